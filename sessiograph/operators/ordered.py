@@ -125,3 +125,15 @@ def run_table(df: DataFrame, keys: list[str], index: str, value: str, aggs: list
     return numbered.groupBy(*keys, "run").agg(
         F.first(value).alias(value), F.min(index).alias("first_idx"), F.max(index).alias("last_idx"),
         F.count(F.lit(1)).alias("length"), *(aggs or []))
+
+
+def previous(df: DataFrame, keys: list[str], order: list[str], chunk: Column, outs: dict[str, Column]) -> DataFrame:
+    """Values of the row before, in an order without dense numbers; null on the first row of a key."""
+    df = df.withColumn(_C, chunk)
+    here = F.struct(*[c.alias(n) for n, c in outs.items()])
+    local = df.withColumn("_prev", F.lag(here).over(_window(keys, order)))
+    ends = df.groupBy(*keys, _C).agg(F.max_by(here, F.struct(*order)).alias("_end"))
+    carried = ends.select(*keys, _C, F.lag("_end").over(Window.partitionBy(*keys).orderBy(_C)).alias("_carry"))
+    joined = local.join(carried, [*keys, _C])
+    return joined.select(*[c for c in df.columns if c != _C],
+                         *[F.coalesce(F.col("_prev"), F.col("_carry"))[n].alias(n) for n in outs])

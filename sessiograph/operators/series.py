@@ -14,3 +14,11 @@ def vector_stats(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     rows = F.array_sort(F.collect_list(F.struct("_pos", "m", "s", "lo", "hi")))  # as long as one vector
     out = per.groupBy(*keys).agg(rows.alias("_r"))
     return out.select(*keys, *[F.col(f"_r.{f}").alias(f"{vec}_{n}") for f, n in (("m", "mean"), ("s", "std"), ("lo", "min"), ("hi", "max"))])
+
+
+def vector_mean(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
+    """Element-wise mean of vectors per key; the elements are averaged on the map side first."""
+    long = df.select(*keys, F.posexplode(vec).alias("_pos", "_x"))
+    per = long.groupBy(*keys, "_pos").agg(F.avg("_x").alias("_m"))
+    ordered = F.array_sort(F.collect_list(F.struct("_pos", "_m")))  # as long as one vector
+    return per.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_m"]).alias(vec))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 
-def r(x: str, name: str) -> str:
-    """Rounded to six places, never minus zero."""
-    return f"round({x}, 6) + CAST(0 AS DOUBLE) AS {name}"
+def r(x: str, name: str, digits: int = 6) -> str:
+    """Rounded (to six places if not said otherwise), never minus zero."""
+    return f"round({x}, {digits}) + CAST(0 AS DOUBLE) AS {name}"
 
 
 def listed(words: list[str]) -> str:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from .registry import Registry
 
-MODULES = ["scalar_functions", "projections"]
+MODULES = ["scalar_functions", "projections", "sessions", "ranking", "joins", "frames", "functionals", "metrics", "models", "sources", "streams"]
 
 
 @cache

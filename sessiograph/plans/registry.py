@@ -34,9 +34,9 @@ class Registry:
         self.sql.update(other.sql)
 
 
-def r6(c: str | Column, name: str | None = None) -> Column:
-    """Rounded to six places for comparison across engines."""
+def r6(c: str | Column, name: str | None = None, digits: int = 6) -> Column:
+    """Rounded for comparison across engines."""
     if isinstance(c, str):
-        return F.round(F.col(c), 6).alias(name or c)
-    out = F.round(c, 6)
+        return F.round(F.col(c), digits).alias(name or c)
+    out = F.round(c, digits)
     return out.alias(name) if name else out
