@@ -42,6 +42,7 @@ def _window(keys: list[str], order: list[str]) -> WindowSpec:
 
 _LOCAL = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count,
           "last": lambda c: F.last(c, ignorenulls=True)}
+_LOCAL["last_before"] = _LOCAL["last"]
 _MERGE = {
     "sum": lambda carry, here: F.when(carry.isNull() & here.isNull(), F.lit(None)).otherwise(
         F.coalesce(carry, F.lit(0)) + F.coalesce(here, F.lit(0))),
@@ -49,22 +50,27 @@ _MERGE = {
     "min": lambda carry, here: F.least(carry, here),
     "max": lambda carry, here: F.greatest(carry, here),
     "last": lambda carry, here: F.coalesce(here, carry),
+    "last_before": lambda carry, here: F.coalesce(here, carry),
 }
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column | None,
             outs: dict[str, tuple[str, Column]], *, keep_chunk: bool = False) -> DataFrame:
-    """Add inclusive prefix aggregates: ``outs[name] = (sum|min|max|count|last, column)``.
+    """Add inclusive prefix aggregates: ``outs[name] = (sum|min|max|count|last|last_before, column)``.
+
+    ``last`` is the last non-null value up to the row, ``last_before`` the same without the row itself.
+   
 
     ``chunk`` must not decrease along ``order``; None means ``_chunk`` is already there.
     """
     if chunk is not None:
         df = df.withColumn(_C, chunk)
     w = _window(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.select("*", *[_LOCAL[f](c).over(w).alias(f"_here_{n}") for n, (f, c) in outs.items()])
+    earlier = _window(keys, order).rowsBetween(Window.unboundedPreceding, -1)
+    local = df.select("*", *[_LOCAL[f](c).over(earlier if f == "last_before" else w).alias(f"_here_{n}") for n, (f, c) in outs.items()])
 
     def total(f: str, c: Column) -> Column:
-        if f == "last":
+        if f in ("last", "last_before"):
             position = F.struct(*[F.col(o) for o in order])
             return F.max_by(c, F.when(c.isNotNull(), position))
         return _LOCAL[f](c)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as sc
+from . import ordered
+from .quantiles import HOT_ROWS, group_quantiles
+
 
 def vector_stats(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     """Element-wise mean, population deviation, minimum and maximum of array columns, per key."""
@@ -22,3 +26,73 @@ def vector_mean(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     per = long.groupBy(*keys, "_pos").agg(F.avg("_x").alias("_m"))
     ordered = F.array_sort(F.collect_list(F.struct("_pos", "_m")))  # as long as one vector
     return per.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_m"]).alias(vec))
+
+
+def smooth(df: DataFrame, keys: list[str], index: str, value: str, width: int = 3, *, no_zero: bool = False, name: str = "smoothed") -> DataFrame:
+    """Centred moving average, narrower at the ends. ``no_zero`` leaves zeros out and keeps a zero as zero."""
+    half = width // 2
+
+    def expr(w):
+        near = w.rowsBetween(-half, half)
+        if not no_zero:
+            return {name: F.avg(value).over(near)}
+        voiced = F.avg(F.when(F.col(value) != 0, F.col(value))).over(near)
+        return {name: F.when(F.col(value) == 0, 0.0).otherwise(voiced)}
+    return ordered.over_neighbours(df, keys, index, expr, half, half)
+
+
+def delta(df: DataFrame, keys: list[str], index: str, value: str, half: int = 2, *, mode: str = "plain", across_zero: bool = True, name: str = "delta") -> DataFrame:
+    """Regression slope over +-half frames, end values repeated; half 0 is the difference to the frame before.
+
+    mode: plain, abs, halfwave (negative to 0) or relative (divided by the value). Without
+    ``across_zero`` a frame whose neighbourhood touches a zero gets 0.
+    """
+    reach = max(half, 1)
+
+    def expr(w):
+        x = F.col(value)
+        if half == 0:
+            slope = x - F.coalesce(F.lag(x).over(w), x)
+            touched = [x, F.coalesce(F.lag(x).over(w), x)]
+        else:
+            # outside the series the first or last value of the neighbourhood stands in
+            near = w.rowsBetween(-half, half)
+            first, last = F.first(x).over(near), F.last(x).over(near)
+            terms = []
+            touched = [x]
+            for n in range(1, half + 1):
+                ahead, back = F.coalesce(F.lead(x, n).over(w), last), F.coalesce(F.lag(x, n).over(w), first)
+                terms.append(n * (ahead - back))
+                touched += [ahead, back]
+            slope = sum(terms[1:], terms[0]) / (2 * sum(n * n for n in range(1, half + 1)))
+        if not across_zero:
+            slope = F.when(F.least(*[F.abs(v) for v in touched]) == 0, 0.0).otherwise(slope)
+        slope = {"plain": slope, "abs": F.abs(slope), "halfwave": F.greatest(slope, F.lit(0.0)),
+                 "relative": F.when(x != 0, slope / F.when(x == 0, 1.0).otherwise(x)).otherwise(0.0)}[mode]
+        return {name: slope}
+    return ordered.over_neighbours(df, keys, index, expr, reach, reach)
+
+
+def median_filter(df: DataFrame, keys: list[str], index: str, value: str, width: int = 5, name: str = "median") -> DataFrame:
+    half = width // 2
+    return ordered.over_neighbours(df, keys, index, lambda w: {name: F.percentile(value, 0.5).over(w.rowsBetween(-half, half))}, half, half)
+
+
+def trend(df: DataFrame, keys: list[str], index: str, value: str, short: int = 5, long: int = 20, flat: float = 0.0) -> DataFrame:
+    """Mean of the last ``short`` frames minus that of the last ``long``: fall -1, flat 0, rise 1."""
+    out = ordered.over_neighbours(df, keys, index, lambda w: {
+        "score": F.avg(value).over(w.rowsBetween(-(short - 1), 0)) - F.avg(value).over(w.rowsBetween(-(long - 1), 0))}, long, 0)
+    return out.withColumn("direction", F.when(F.col("score") > flat, 1).when(F.col("score") < -flat, -1).otherwise(0))
+
+
+def normalize_series(df: DataFrame, keys: list[str], value: str, *, variance: bool = False, skip_zero: bool = False, name: str = "normalized") -> DataFrame:
+    """Subtract the series mean, divide by its population deviation if asked. ``skip_zero`` ignores zeros and keeps them."""
+    x = F.col(value)
+    used = F.when(x != 0, x) if skip_zero else x
+    stats = df.groupBy(*keys).agg(F.avg(used).alias("_m"), F.stddev_pop(used).alias("_s"))
+    y = x - F.col("_m")
+    if variance:
+        y = y / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)
+    if skip_zero:
+        y = F.when(x == 0, 0.0).otherwise(y)
+    return df.join(stats, keys).withColumn(name, y).drop("_m", "_s")
