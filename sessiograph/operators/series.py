@@ -96,3 +96,271 @@ def normalize_series(df: DataFrame, keys: list[str], value: str, *, variance: bo
     if skip_zero:
         y = F.when(x == 0, 0.0).otherwise(y)
     return df.join(stats, keys).withColumn(name, y).drop("_m", "_s")
+
+
+def saved_stats(df: DataFrame, features: list[str]) -> DataFrame:
+    """Mean and deviation of each feature as a small table (feature, mean, std), to be stored and used elsewhere."""
+    row = df.agg(*[F.struct(F.lit(f).alias("feature"), F.avg(sc.skip_nan(f)).alias("mean"), F.stddev_pop(sc.skip_nan(f)).alias("std")).alias(f"_{i}")
+                   for i, f in enumerate(features)])
+    return row.select(F.explode(F.array(*[F.col(f"_{i}") for i in range(len(features))])).alias("s")).select("s.*")
+
+
+def standardize(df: DataFrame, stats: DataFrame, features: list[str]) -> DataFrame:
+    """Apply saved statistics; a feature without spread is only centred. The table has one row per feature."""
+    wide = stats.agg(*[F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"_{c}_{f}") for f in features for c in ("mean", "std")])
+    joined = df.join(F.broadcast(wide))
+    return joined.select(*[c for c in df.columns if c not in features], *[
+        ((F.col(f) - F.col(f"_mean_{f}")) / F.when(F.col(f"_std_{f}") > 0, F.col(f"_std_{f}")).otherwise(1.0)).alias(f) for f in features])
+
+
+# --- functionals: one row per series (or per series and window) ------------------------------------------
+
+
+def unit_windows(df: DataFrame, index: str, size: int, step: int, name: str = "window") -> DataFrame:
+    """Give each frame the windows [w step, w step + size) it lies in; consecutive windows need no copy."""
+    if size == step:
+        return df.withColumn(name, F.floor(F.col(index) / size).cast("long"))
+    first = F.greatest(F.lit(0), F.floor((F.col(index) - size) / step) + 1)
+    return df.withColumn(name, F.explode(F.sequence(first.cast("long"), F.floor(F.col(index) / step).cast("long"))))
+
+
+def nonzero(x: str) -> Column:
+    return F.when(F.col(x) != 0, F.col(x))
+
+
+def means(x: Column) -> dict[str, Column]:
+    nz, a = F.when(x != 0, x), F.abs(x)
+    geometric = F.exp(F.avg(F.ln(F.when(x != 0, a))))
+    return {
+        "amean": F.avg(x), "absmean": F.avg(a), "qmean": F.avg(x * x), "rqmean": F.sqrt(F.avg(x * x)),
+        "nzamean": F.avg(nz), "nzabsmean": F.avg(F.abs(nz)), "nzqmean": F.avg(nz * nz), "nzrqmean": F.sqrt(F.avg(nz * nz)), "nzgmean": geometric,
+        "posamean": F.avg(F.when(x > 0, x)), "negamean": F.avg(F.when(x < 0, x)), "nnz": F.count(nz),
+        "flatness": F.try_divide(geometric, F.avg(F.abs(nz)))}
+
+
+def moments(x: Column) -> dict[str, Column]:
+    return {"amean": F.avg(x), "variance": F.var_pop(x), "stddev": F.stddev_pop(x), "skewness": F.skewness(x), "kurtosis": F.kurtosis(x),
+            "stddevNorm": F.try_divide(F.stddev_pop(x), F.abs(F.avg(x)))}
+
+
+PERCENTILES = {"p20": 0.2, "q1": 0.25, "p50": 0.5, "q3": 0.75, "p80": 0.8}
+
+
+def percentiles(df: DataFrame, keys: list[str], x: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Percentiles, quartiles, their ranges and the 80/20 quotient; exact for series of any length."""
+    q = group_quantiles(df, keys, {"x": x}, PERCENTILES, None, hot_rows)
+    p = {n: F.col(f"x_{n}") for n in PERCENTILES}
+    return q.select(*keys, *[c.alias(n) for n, c in p.items()], (p["p50"] - p["q1"]).alias("iqr12"), (p["q3"] - p["p50"]).alias("iqr23"),
+                    (p["q3"] - p["q1"]).alias("iqr13"), (p["p80"] - p["p20"]).alias("pctlrange"), F.try_divide(p["p80"], p["p20"]).alias("pctlquot"))
+
+
+def extremes(df: DataFrame, keys: list[str], index: str, x: str) -> DataFrame:
+    """Extremes, their first positions in frames and as share of the series, distance to the mean."""
+    v = F.col(x)
+    e = df.groupBy(*keys).agg(F.max(v).alias("max"), F.min(v).alias("min"), F.avg(v).alias("_m"), F.max(index).alias("_n"),
+                              F.min_by(index, F.struct(-v, F.col(index))).alias("max_pos"), F.min_by(index, F.struct(v, F.col(index))).alias("min_pos"))
+    return e.select(*keys, "max", "min", (F.col("max") - F.col("min")).alias("range"), "max_pos", "min_pos",
+                    (F.col("max_pos") / (F.col("_n") + 1)).alias("max_share"), (F.col("max") - F.col("_m")).alias("max_to_mean"),
+                    (F.col("_m") - F.col("min")).alias("min_to_mean"))
+
+
+def linear_regression(df: DataFrame, keys: list[str], index: str, x: str) -> DataFrame:
+    """Slope per frame, offset, mean absolute and mean squared error of the line."""
+    i, v = F.col(index).cast("double"), F.col(x)
+    fit = df.groupBy(*keys).agg(F.coalesce(F.try_divide(F.covar_pop(i, v), F.var_pop(i)), F.lit(0.0)).alias("slope"), F.avg(i).alias("_i"), F.avg(v).alias("_v"))
+    fit = fit.select(*keys, "slope", (F.col("_v") - F.col("slope") * F.col("_i")).alias("offset"))
+    return _with_errors(df, keys, fit, v, F.col("slope") * i + F.col("offset"))
+
+
+def _with_errors(df: DataFrame, keys: list[str], fit: DataFrame, v: Column, line: Column) -> DataFrame:
+    names = [c for c in fit.columns if c not in keys]
+    err = v - line
+    return df.join(fit, keys).groupBy(*keys).agg(*[F.max(c).alias(c) for c in names], F.avg(F.abs(err)).alias("error_abs"), F.avg(err * err).alias("error_sq"))
+
+
+def quadratic_regression(df: DataFrame, keys: list[str], index: str, x: str) -> DataFrame:
+    """a t^2 + b t + c over a series numbered without gaps, errors, vertex, slopes of the two sides.
+
+    With the frame numbers centred, the odd power sums vanish and the even ones follow from n, so the
+    solution is a closed form of n, sum x, sum t x and sum t^2 x. Fewer than three frames give a = 0.
+    """
+    i, v = F.col(index).cast("double"), F.col(x)
+    s = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(v).alias("x0"), F.sum(i * v).alias("x1"), F.sum(i * i * v).alias("x2"))
+    n, m = F.col("n"), (F.col("n") - 1) / 2
+    u2 = n * (n * n - 1) / 12
+    u4 = n * (n * n - 1) * (3 * n * n - 7) / 240
+    ux, u2x = F.col("x1") - m * F.col("x0"), F.col("x2") - 2 * m * F.col("x1") + m * m * F.col("x0")
+    s = s.withColumns({"a": F.when(n > 2, F.try_divide(n * u2x - u2 * F.col("x0"), n * u4 - u2 * u2)).otherwise(0.0),
+                       "bu": F.when(n > 1, F.try_divide(ux, u2)).otherwise(0.0)})
+    s = s.withColumn("cu", (F.col("x0") - F.col("a") * u2) / n)
+    fit = s.select(*keys, "n", "a", (F.col("bu") - 2 * F.col("a") * m).alias("b"), (F.col("cu") - F.col("bu") * m + F.col("a") * m * m).alias("c"))
+    out = _with_errors(df, keys, fit, v, F.col("a") * i * i + F.col("b") * i + F.col("c"))
+    last = F.col("n") - 1
+    vertex = F.when(F.col("a") != 0, F.greatest(F.lit(0.0), F.least(last, F.try_divide(-F.col("b"), 2 * F.col("a")))))
+
+    def at(p: Column) -> Column:
+        return F.col("a") * p * p + F.col("b") * p + F.col("c")
+    out = out.withColumn("vertex", vertex)
+    return out.withColumns({
+        "vertex_value": at(F.col("vertex")), "left_slope": F.try_divide(at(F.col("vertex")) - F.col("c"), F.col("vertex")),
+        "right_slope": F.try_divide(at(last) - at(F.col("vertex")), last - F.col("vertex"))}).drop("n")
+
+
+def centroid(t: Column, x: Column) -> Column:
+    return F.try_divide(F.sum(t * F.abs(x)), F.sum(F.abs(x)))
+
+
+def crossings(df: DataFrame, keys: list[str], index: str, x: str) -> DataFrame:
+    """Share of frames at which the signal (or the signal minus its mean) changes sign."""
+    mean = df.groupBy(*keys).agg(F.avg(x).alias("_m"))
+    c = ordered.over_neighbours(df.select(*keys, index, x), keys, index, lambda w: {"_p": F.lag(x).over(w)}, 1, 0).join(mean, keys)
+
+    def crossed(a: Column, b: Column) -> Column:
+        return F.avg(F.coalesce((a * b < 0) | ((a == 0) & (b != 0)), F.lit(False)).cast("double"))
+    return c.groupBy(*keys).agg(crossed(F.col("_p"), F.col(x)).alias("zcr"), crossed(F.col("_p") - F.col("_m"), F.col(x) - F.col("_m")).alias("mcr"))
+
+
+def segments_by_value(df: DataFrame, keys: list[str], index: str, inside: Column, fps: float, min_run: int = 1, min_pause: int = 1) -> DataFrame:
+    """Stretches where a condition holds, stretches with a shorter pause than ``min_pause`` joined, then
+    those shorter than ``min_run`` dropped: their number, rate and length in seconds."""
+    flagged = df.select(*keys, index, F.coalesce(inside, F.lit(False)).alias("_in"))
+    stretch = ordered.run_table(flagged, keys, index, "_in").where("_in").drop("_in", "run", "length")
+    cell = ordered.chunk_of("first_idx")
+    paused = ordered.previous(stretch, keys, ["first_idx"], cell, {"_end": F.col("last_idx")})
+    fresh = F.col("_end").isNull() | (F.col("first_idx") - F.col("_end") - 1 >= min_pause)
+    grouped = ordered.running(paused, keys, ["first_idx"], cell, {"_g": ("sum", fresh.cast("long"))})
+    seg = grouped.groupBy(*keys, "_g").agg((F.max("last_idx") - F.min("first_idx") + 1).alias("_l")).where(F.col("_l") >= min_run)
+    sec = F.col("_l") / fps
+    stats = seg.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_segments"), F.avg(sec).alias("mean_len"), F.max(sec).alias("max_len"), F.min(sec).alias("min_len"), F.stddev_pop(sec).alias("std_len"))
+    n = df.groupBy(*keys).agg((F.count(F.lit(1)) / fps).alias("_sec"))
+    out = n.join(stats, keys, "left").fillna(0)
+    return out.withColumn("segments_per_sec", F.col("num_segments") / F.col("_sec")).drop("_sec")
+
+
+def segments_by_delta(df: DataFrame, keys: list[str], index: str, x: str, fps: float, share: float = 0.2, average_over: int = 10) -> DataFrame:
+    """A new segment begins where the value leaves the mean of the frames before it by a share of the range."""
+    span = df.groupBy(*keys).agg((F.max(x) - F.min(x)).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    near = ordered.over_neighbours(df.select(*keys, index, x), keys, index, lambda w: {"_a": F.avg(x).over(w.rowsBetween(-average_over, -1))}, average_over, 0)
+    away = near.join(span, keys).withColumn("_away", F.coalesce(F.abs(F.col(x) - F.col("_a")) > share * F.col("_r"), F.lit(False)))
+    edges = ordered.over_neighbours(away, keys, index, lambda w: {"_was": F.coalesce(F.lag("_away").over(w), F.lit(False))}, 1, 0, keep_chunk=True)
+    seg = ordered.running(edges, keys, [index], None, {"_s": ("sum", (F.col("_away") & ~F.col("_was")).cast("long"))})
+    lengths = seg.groupBy(*keys, "_s").agg((F.count(F.lit(1)) / fps).alias("_l"))
+    return lengths.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_segments"), F.avg("_l").alias("mean_len"), F.max("_l").alias("max_len"), F.min("_l").alias("min_len"), F.stddev_pop("_l").alias("std_len"))
+
+
+def times(df: DataFrame, keys: list[str], index: str, x: str, fps: float) -> DataFrame:
+    """Share of time above and below shares of the range, rising, falling, curved left and right; duration."""
+    span = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    near = ordered.over_neighbours(df.select(*keys, index, x), keys, index, lambda w: {"_p": F.lag(x).over(w), "_q": F.lead(x).over(w)}, 1, 1).join(span, keys)
+    v = F.col(x)
+
+    def share(c: Column) -> Column:
+        return F.avg(F.coalesce(c, F.lit(False)).cast("double"))
+    out = {}
+    for p in (25, 50, 75, 90):
+        level = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (p / 100)
+        out[f"up{p}"], out[f"down{p}"] = share(v > level), share(v < level)
+    bend = F.col("_q") - 2 * v + F.col("_p")
+    out |= {"rise": share(v > F.col("_p")), "fall": share(v < F.col("_p")), "left_curved": share(bend > 0), "right_curved": share(bend < 0)}
+    return near.groupBy(*keys).agg(*[c.alias(n) for n, c in out.items()], (F.count(F.lit(1)) / fps).alias("duration"))
+
+
+def onsets(df: DataFrame, keys: list[str], index: str, x: str, fps: float, on: float, off: float | None = None) -> DataFrame:
+    """Onsets (rise above ``on``) and offsets (fall to ``off`` or below): positions, counts, rate."""
+    off = on if off is None else off
+    near = ordered.over_neighbours(df.select(*keys, index, x), keys, index, lambda w: {"_p": F.lag(x).over(w)}, 1, 0)
+    rise = (F.col(x) > on) & F.coalesce(F.col("_p") <= on, F.lit(True))
+    fall = F.coalesce((F.col(x) <= off) & (F.col("_p") > off), F.lit(False))
+    o = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(rise, F.col(index))).alias("first_onset"), F.max(F.when(fall, F.col(index))).alias("last_offset"),
+                                F.count_if(rise).alias("num_onsets"), F.count_if(fall).alias("num_offsets"))
+    return o.select(*keys, (F.col("first_onset") / F.col("_n")).alias("onset_pos"), (F.col("last_offset") / F.col("_n")).alias("offset_pos"),
+                    "num_onsets", "num_offsets", (F.col("num_onsets") * fps / F.col("_n")).alias("onset_rate"))
+
+
+def peaks(df: DataFrame, keys: list[str], index: str, x: str) -> DataFrame:
+    """Frames above both neighbours: number, mean distance and its deviation, mean height. A plateau is no peak."""
+    near = ordered.over_neighbours(df.select(*keys, index, x), keys, index, lambda w: {"_p": F.lag(x).over(w), "_q": F.lead(x).over(w)}, 1, 1)
+    top = near.where((F.col(x) > F.col("_p")) & (F.col(x) > F.col("_q"))).select(*keys, index, x)
+    spaced = ordered.previous(top, keys, [index], ordered.chunk_of(index), {"_b": F.col(index)}).withColumn("_d", F.col(index) - F.col("_b"))
+    stats = spaced.groupBy(*keys).agg(F.count(F.lit(1)).alias("num_peaks"), F.avg("_d").alias("mean_dist"), F.stddev_pop("_d").alias("std_dist"), F.avg(x).alias("peak_mean"))
+    out = df.groupBy(*keys).agg(F.avg(x).alias("_m")).join(stats, keys, "left")
+    return out.select(*keys, F.coalesce("num_peaks", F.lit(0)).alias("num_peaks"), "mean_dist", "std_dist", "peak_mean", (F.col("peak_mean") - F.col("_m")).alias("peak_to_mean"))
+
+
+def peaks2(df: DataFrame, keys: list[str], index: str, x: str, fps: float, share: float = 0.1) -> DataFrame:
+    """Peaks and valleys that stand out, and the slopes between them.
+
+    Equal neighbours are first joined to one stretch, so highs and lows strictly alternate. One of them
+    counts if it differs from the extreme before or after it by at least ``share`` of the range. A slope
+    is the line from a counted low to the next counted high (rising) or the other way (falling), per second.
+    This pruning looks at neighbours only, so it runs as windows over series of any length.
+    """
+    span = df.groupBy(*keys).agg((F.max(x) - F.min(x)).alias("_r"), F.avg(x).alias("_m"), (F.count(F.lit(1)) / fps).alias("_sec"))
+    steps = ordered.run_table(df.select(*keys, index, x), keys, index, x).withColumn("_i", F.col("run") - 1)
+    near = ordered.over_neighbours(steps, keys, "_i", lambda w: {"_p": F.lag(x).over(w), "_q": F.lead(x).over(w)}, 1, 1)
+    high = (F.col(x) > F.col("_p")) & (F.col(x) > F.col("_q"))
+    low = (F.col(x) < F.col("_p")) & (F.col(x) < F.col("_q"))
+    extreme = near.withColumn("_k", F.when(high, 1).when(low, -1)).where(F.col("_k").isNotNull())
+    extreme = ordered.dense_index(extreme.select(*keys, "first_idx", x, "_k"), keys, ["first_idx"], ordered.chunk_of("first_idx"), "_e")
+    swings = ordered.over_neighbours(extreme, keys, "_e", lambda w: {"_a": F.abs(F.col(x) - F.lag(x).over(w)), "_b": F.abs(F.col(x) - F.lead(x).over(w))}, 1, 1).join(span, keys)
+    kept = swings.where(F.greatest(F.coalesce("_a", F.lit(0.0)), F.coalesce("_b", F.lit(0.0))) >= share * F.col("_r"))
+    step = ordered.previous(kept, keys, ["first_idx"], ordered.chunk_of("first_idx"), {"_pk": F.col("_k"), "_px": F.col(x), "_pi": F.col("first_idx")})
+    slope = (F.col(x) - F.col("_px")) / (F.col("first_idx") - F.col("_pi")) * fps
+    up, down = F.when((F.col("_k") == 1) & (F.col("_pk") == -1), slope), F.when((F.col("_k") == -1) & (F.col("_pk") == 1), -slope)
+    top, bottom = F.when(F.col("_k") == 1, F.col(x)), F.when(F.col("_k") == -1, F.col(x))
+    aggs = [F.count(top).alias("num_peaks"), F.avg(top).alias("peak_mean"), (F.max(top) - F.min(top)).alias("peak_range"), F.avg(bottom).alias("min_mean"), (F.max(bottom) - F.min(bottom)).alias("min_range")]
+    for name, s in (("rising", up), ("falling", down)):
+        aggs += [F.avg(s).alias(f"mean_{name}"), F.stddev_pop(s).alias(f"std_{name}"), F.min(s).alias(f"min_{name}"), F.max(s).alias(f"max_{name}"),
+                 F.try_divide(F.stddev_pop(s), F.avg(s)).alias(f"cov_{name}")]
+    out = span.join(step.groupBy(*keys).agg(*aggs), keys, "left")
+    return out.withColumns({"num_peaks": F.coalesce("num_peaks", F.lit(0)), "peaks_per_sec": F.coalesce("num_peaks", F.lit(0)) / F.col("_sec"),
+                            "peak_to_mean": F.col("peak_mean") - F.col("_m")}).drop("_r", "_m", "_sec")
+
+
+def samples(df: DataFrame, keys: list[str], index: str, x: str, positions: list[float]) -> DataFrame:
+    """Values at relative positions 0..1 of the series."""
+    n = df.groupBy(*keys).agg(F.max(index).alias("_n"))
+    at = [F.floor(F.col("_n") * p + 0.5) for p in positions]
+    return df.join(n, keys).groupBy(*keys).agg(*[F.max(F.when(F.col(index) == a, F.col(x))).alias(f"at_{round(p * 100)}") for a, p in zip(at, positions, strict=True)])
+
+
+def dct(df: DataFrame, keys: list[str], index: str, x: str, first: int = 0, last: int = 5) -> DataFrame:
+    """Cosine coefficients of the contour."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    angle = F.lit(3.141592653589793) * (F.col(index) + 0.5) / F.col("_n")
+    return df.join(n, keys).groupBy(*keys).agg(*[F.sum(F.col(x) * F.cos(angle * k)).alias(f"dct{k}") for k in range(first, last + 1)])
+
+
+def level_db(x: Column) -> Column:
+    """10 log10 of the mean energy; null for silence."""
+    return 10 * F.log10(F.when(F.avg(x) > 0, F.avg(x)))
+
+
+def acoustic_set(df: DataFrame, keys: list[str], index: str, f0: str, loudness: str, fps: float = 100.0) -> DataFrame:
+    """The declared set for a pitch contour (zeros are unvoiced) and a loudness contour.
+
+    Moments and percentiles of voiced pitch and of loudness, slopes between their extremes, loudness in
+    voiced and unvoiced stretches, peak and segment rates, equivalent level.
+    """
+    voiced = F.col(f0) != 0
+    smoothed = smooth(df.select(*keys, index, f0, loudness), keys, index, f0, 3, no_zero=True, name="_f")
+    smoothed = smooth(smoothed, keys, index, loudness, 3, name="_l")
+    parts = []
+    for name, x in ((f0, F.when(F.col("_f") != 0, F.col("_f"))), (loudness, F.col("_l"))):
+        m = moments(x)
+        q = group_quantiles(smoothed, keys, {name: x}, {"percentile20": 0.2, "percentile50": 0.5, "percentile80": 0.8},
+                            [m["amean"].alias(f"{name}_amean"), m["stddevNorm"].alias(f"{name}_stddevNorm")])
+        parts.append(q.withColumn(f"{name}_pctlrange0-2", F.col(f"{name}_percentile80") - F.col(f"{name}_percentile20")))
+        slopes = peaks2(smoothed, keys, index, "_f" if name == f0 else "_l", fps)
+        wanted = [F.col(f"{s}_{d}").alias(f"{name}_{o}{d.capitalize()}Slope") for d in ("rising", "falling") for s, o in (("mean", "mean"), ("std", "stddev"))]
+        extra = [F.col("peaks_per_sec").alias(f"{name}PeaksPerSec")] if name == loudness else []
+        parts.append(slopes.select(*keys, *wanted, *extra))
+    parts.append(smoothed.groupBy(*keys).agg(F.avg(F.when(voiced, F.col("_l"))).alias(f"{loudness}V_amean"), F.avg(F.when(~voiced, F.col("_l"))).alias(f"{loudness}UV_amean"),
+                                             level_db(F.col(loudness) * F.col(loudness)).alias("equivalentSoundLevel_dBp")))
+    v, u = (segments_by_value(df, keys, index, c, fps) for c in (voiced, ~voiced))
+    parts.append(v.select(*keys, F.col("segments_per_sec").alias("VoicedSegmentsPerSec"), F.col("mean_len").alias("MeanVoicedSegmentLengthSec"), F.col("std_len").alias("StddevVoicedSegmentLengthSec")))
+    parts.append(u.select(*keys, F.col("mean_len").alias("MeanUnvoicedSegmentLength"), F.col("std_len").alias("StddevUnvoicedSegmentLength")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(part, keys)
+    return out

@@ -121,10 +121,10 @@ def _(t):
 
 def gappy(t):
     """The contour with unvoiced frames as zeros."""
-    return t.frames.withColumn("f0", F.when(F.col("event_type") == "error", 0.0).otherwise(F.col("value")))
+    return t.frames.withColumn("f0", F.when(F.col("event_type") == "error", 0.0).otherwise(F.col("level")))
 
 
-GAPPY = "g AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 ELSE value END AS f0 FROM frames)"
+GAPPY = "g AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 ELSE level END AS f0 FROM frames)"
 
 
 @q("smooth_moving_average", "frames", f"""WITH {GAPPY} SELECT series_id, frame_idx, {r(f'avg(value) {W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)', 'sma3')},
@@ -180,10 +180,10 @@ def _(t):
     return fr.leaky_counter(t.frames, K, IDX, F.col("event_type").isin("error", "click", "view")).select(*KI, r6("gaze_away_time"))
 
 
-@q("exponential_smoothing", "frames", f"""WITH l AS (SELECT series_id, frame_idx, list(value / 7) {W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM frames)
+@q("exponential_smoothing", "frames", f"""WITH l AS (SELECT series_id, frame_idx, list(sqrt(value)) {W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM frames)
     SELECT series_id, frame_idx, {r('list_reduce(v, lambda y, x: 0.3 * x + 0.7 * y, CAST(0 AS DOUBLE))', 'smoothed')} FROM l""")
 def _(t):
-    return fr.exponential_smoothing(t.frames.withColumn("angle", F.col("value") / 7), K, IDX, "angle", "smoothed", 0.3).select(*KI, r6("smoothed"))
+    return fr.exponential_smoothing(t.frames.withColumn("angle", F.sqrt("value")), K, IDX, "angle", "smoothed", 0.3).select(*KI, r6("smoothed"))
 
 
 @q("rolling_stability", "frames", f"""WITH p AS (SELECT *, value / 1000 AS x, (value % 7) / 100 AS y FROM frames),

@@ -25,8 +25,8 @@ def _stats_sql(features, prefix, std, extra=""):
     return ", ".join(cols) + extra
 
 
-def _rounded(df, ids):
-    return df.select(*[F.round(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in ids], *ids)
+def _rounded(df, ids, digits=6):
+    return df.select(*[F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if c not in ids], *ids)
 
 
 @q("session_audio_stats", "features", "SELECT session_id, min(label) AS label, count(*) AS n_audio_segments, "
@@ -50,9 +50,9 @@ def _(t):
 
 
 @q("video_stats", "frames", "SELECT series_id, min(CASE WHEN frame_idx = 0 THEN event_type END) AS label, "
-   + _stats_sql(["value", "t"], "", "samp") + " FROM frames GROUP BY series_id")
+   + _stats_sql(["level", "t"], "", "samp") + " FROM frames GROUP BY series_id")
 def _(t):
-    out = sessions.session_stats(t.frames, ["series_id"], ["value", "t"], "", population=False, zero_empty=False,
+    out = sessions.session_stats(t.frames, ["series_id"], ["level", "t"], "", population=False, zero_empty=False,
                                  aggs=[sessions.first_by("event_type", "frame_idx").alias("label")])
     return _rounded(out, ["series_id"])
 
@@ -149,10 +149,10 @@ def _(t):
     return chunk_summary(chunks, "series_id", "p").select("series_id", "chunks_used", r6("probability", digits=9), r6("positive_ratio"), "prediction", "risk_level")
 
 
-@q("mean_feature_row", "frames", f"""SELECT series_id, {r('avg(CASE WHEN value > 90 THEN 0 ELSE value END)', 'value')}, {r('avg(t)', 't')}, CAST(0 AS DOUBLE) AS motion FROM frames GROUP BY 1""")
+@q("mean_feature_row", "frames", f"""SELECT series_id, {r('avg(CASE WHEN value > 90 THEN 0 ELSE level END)', 'level')}, {r('avg(t)', 't')}, CAST(0 AS DOUBLE) AS motion FROM frames GROUP BY 1""")
 def _(t):
-    f = t.frames.withColumn("value", F.when(F.col("value") > 90, F.lit(float("nan"))).otherwise(F.col("value")))
-    return _rounded(scoring.mean_feature_row(f, "series_id", ["value", "t", "motion"]), ["series_id"])
+    f = t.frames.withColumn("level", F.when(F.col("value") > 90, F.lit(float("nan"))).otherwise(F.col("level")))
+    return _rounded(scoring.mean_feature_row(f, "series_id", ["level", "t", "motion"]), ["series_id"])
 
 
 EMOTION_SQL = "CASE event_type WHEN 'error' THEN ' Sad ' WHEN 'click' THEN 'Happy' WHEN 'view' THEN 'neutral' WHEN 'signup' THEN 'FEAR' ELSE 'unknown' END"
@@ -272,23 +272,23 @@ _ENS = f"""WITH {MODELS_SQL}, a AS (SELECT session_id, count(*) AS n_models, avg
     CASE WHEN n_models = 1 THEN {band('s', 0.59, 0.69)} ELSE {band('s', 0.4, 0.5)} END AS risk_level, CASE WHEN n_models = 1 THEN m ELSE 'ensemble' END AS source FROM a)"""
 
 
-@q("ensemble_average", "", _ENS + f" SELECT session_id, n_models, {r('s', 'ensemble_score')}, prediction, agreement, risk_level, source FROM e")
+@q("ensemble_average", "", _ENS + f" SELECT session_id, n_models, {r('s', 'ensemble_score', 9)}, prediction, agreement, risk_level, source FROM e")
 def _(t):
-    return scoring.ensemble(model_results(t), "session_id").select("session_id", "n_models", r6("ensemble_score"), "prediction", "agreement", "risk_level", "source")
+    return scoring.ensemble(model_results(t), "session_id").select("session_id", "n_models", r6("ensemble_score", digits=9), "prediction", "agreement", "risk_level", "source")
 
 
-@q("ensemble_fallback", "", _ENS + f""" SELECT c_custkey AS session_id, coalesce(n_models, 0) AS n_models, {r('s', 'ensemble_score')}, coalesce(source, 'none') AS source, risk_level, s IS NOT NULL AS success
+@q("ensemble_fallback", "", _ENS + f""" SELECT c_custkey AS session_id, coalesce(n_models, 0) AS n_models, {r('s', 'ensemble_score', 9)}, coalesce(source, 'none') AS source, risk_level, s IS NOT NULL AS success
     FROM customer LEFT JOIN e ON session_id = c_custkey""")
 def _(t):
     every = t.table("customer").select(F.col("c_custkey").alias("session_id"))
     return scoring.ensemble_with_fallback(every, model_results(t), "session_id").select(
-        "session_id", "n_models", r6("ensemble_score"), "source", "risk_level", "success")
+        "session_id", "n_models", r6("ensemble_score", digits=9), "source", "risk_level", "success")
 
 
 @q("batch_prediction_summary", "", _ENS + f""" SELECT count(*) AS total, count(*) FILTER (prediction = 1) AS at_risk, count(*) FILTER (prediction = 0) AS safe,
-    {r('avg(s)', 'mean_score')}, {r('stddev_pop(s)', 'std_score')}, {r('min(s)', 'min_score')}, {r('max(s)', 'max_score')} FROM e""")
+    {r('avg(s)', 'mean_score', 9)}, {r('stddev_pop(s)', 'std_score', 9)}, {r('min(s)', 'min_score', 9)}, {r('max(s)', 'max_score', 9)} FROM e""")
 def _(t):
-    return _rounded(scoring.batch_summary(scoring.ensemble(model_results(t), "session_id"), "ensemble_score", "prediction"), [])
+    return _rounded(scoring.batch_summary(scoring.ensemble(model_results(t), "session_id"), "ensemble_score", "prediction"), [], 9)
 
 
 @q("contribution_share", "", f"""WITH {MODELS_SQL} SELECT session_id, model, {r('score / sum(score) OVER (PARTITION BY session_id) * 100', 'percent')} FROM models""")
@@ -297,10 +297,10 @@ def _(t):
 
 
 @q("control_reference_score", "", f"""WITH {MODELS_SQL}, m AS (SELECT session_id, avg(score) AS m FROM models GROUP BY 1)
-    SELECT c_custkey AS session_id, {r(clamp('coalesce(m, greatest(0.25, 1 - ' + clamp('c_acctbal / 10000') + ' * 0.8))'), 'control_score')} FROM customer LEFT JOIN m ON session_id = c_custkey""")
+    SELECT c_custkey AS session_id, {r(clamp('coalesce(m, greatest(0.25, 1 - ' + clamp('c_acctbal / 10000') + ' * 0.8))'), 'control_score', 9)} FROM customer LEFT JOIN m ON session_id = c_custkey""")
 def _(t):
     subject = t.table("customer").select(F.col("c_custkey").alias("session_id"), (F.col("c_acctbal") / 10000).alias("subject_score"))
-    return scoring.control_reference(model_results(t), subject, "session_id").select("session_id", r6("control_score"))
+    return scoring.control_reference(model_results(t), subject, "session_id").select("session_id", r6("control_score", digits=9))
 
 
 @q("cascade_best_modality", "", f"""WITH {MODELS_SQL}, k AS (SELECT *, CASE model WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 WHEN 'error' THEN 3 END AS k FROM models)

@@ -61,7 +61,7 @@ class Tables:
         numbered = ordered.dense_index(
             self.table("events").select(F.col("user_id").alias("series_id"), "event_id", "ts", "value", "event_type"),
             ["series_id"], ["ts", "event_id"], ordered.ten_minutes("ts"), "frame_idx")
-        return numbered.withColumn("t", F.col("frame_idx") / F.lit(100.0))
+        return numbered.withColumns({"t": F.col("frame_idx") / F.lit(100.0), "level": F.sqrt("value")})
 
     @cached_property
     def features(self) -> DataFrame:
@@ -100,7 +100,7 @@ words AS (SELECT session_id, segment_idx, segment_id, start_time, end_time, dura
     "frames": """
 fr0 AS (SELECT user_id AS series_id, event_id, value, event_type,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame_idx FROM events),
-frames AS (SELECT *, CAST(frame_idx AS DOUBLE) / CAST(100 AS DOUBLE) AS t FROM fr0)""",
+frames AS (SELECT *, CAST(frame_idx AS DOUBLE) / CAST(100 AS DOUBLE) AS t, sqrt(value) AS level FROM fr0)""",
     "features": """
 features AS (SELECT l_orderkey AS session_id, l_linenumber AS segment_idx, CAST(l_orderkey % 2 AS INTEGER) AS label,
     l_quantity AS loudness, l_extendedprice AS "F0", l_discount AS jitter, l_tax AS shimmer FROM lineitem)""",
