@@ -37,3 +37,38 @@ def metric_lookup(df: DataFrame, json: str, section: str, metric: str) -> DataFr
 def insights(rules: list[tuple[Column, str]]) -> Column:
     """The messages whose rule holds, in order."""
     return F.array_compact(F.array(*[F.when(rule, F.lit(text)) for rule, text in rules]))
+
+
+def analyze_session(segments: DataFrame, session: str, score: str = "risk_score", threshold: float = 0.5, k: int = 5) -> DataFrame:
+    """Session report from scored segments: mean of the k highest scores, level, counts, the k segments.
+
+    The list holds k entries; timelines of any length stay rows (see ``segment_timeline``).
+    """
+    from .scoring import top_per_session
+    ranked = segments.withColumn("_o", F.round(score, 12))
+    top = top_per_session(ranked, session, "_o", ["segment_idx"], k).groupBy(session).agg(
+        F.avg(score).alias("overall"),
+        F.array_sort(F.collect_list(F.struct(
+            "rank", "segment_id", "start_time", "end_time", F.concat(sc.format_time("start_time"), F.lit(" - "), sc.format_time("end_time")).alias("time_range"),
+            F.col(score).alias("risk_score"), "risk_level", sc.text_preview("text", 200, True).alias("text")))).alias("top_segments"))
+    counts = segments.groupBy(session).agg(F.count(F.lit(1)).alias("n_segments"), F.count_if(F.col("risk_level") == "high").alias("n_high"))
+    out = counts.join(top, session)
+    return out.withColumns({"risk_level": sc.risk_level("overall", "segment"), "prediction": sc.predict("overall", threshold)})
+
+
+def pack_json(analysis: DataFrame, session: str) -> DataFrame:
+    """One JSON document per session."""
+    label = sc.prediction_label("prediction", "RISK", "CONTROL")
+    doc = F.struct(
+        F.col(session).alias("session_id"), F.struct(F.col("overall").alias("risk_score"), "risk_level", "prediction", label.alias("prediction_label")).alias("overall"),
+        "n_segments", F.col("n_high").alias("n_high_risk_segments"), F.col("top_segments").alias("top_risk_segments"))
+    return analysis.select(session, F.to_json(doc).alias("report"))
+
+
+TOP_SCHEMA = "array<struct<rank:int,segment_id:string,start_time:double,end_time:double,time_range:string,risk_score:double,risk_level:string,text:string>>"
+
+
+def unpack_json(reports: DataFrame, session: str) -> DataFrame:
+    """The segments of report documents, one row each."""
+    parsed = F.from_json(F.get_json_object("report", "$.top_risk_segments"), TOP_SCHEMA)
+    return reports.select(session, F.inline(parsed)).withColumn("rank", F.col("rank").cast("long"))

@@ -345,22 +345,34 @@ def acoustic_set(df: DataFrame, keys: list[str], index: str, f0: str, loudness:
     voiced = F.col(f0) != 0
     smoothed = smooth(df.select(*keys, index, f0, loudness), keys, index, f0, 3, no_zero=True, name="_f")
     smoothed = smooth(smoothed, keys, index, loudness, 3, name="_l")
-    parts = []
-    for name, x in ((f0, F.when(F.col("_f") != 0, F.col("_f"))), (loudness, F.col("_l"))):
-        m = moments(x)
-        q = group_quantiles(smoothed, keys, {name: x}, {"percentile20": 0.2, "percentile50": 0.5, "percentile80": 0.8},
-                            [m["amean"].alias(f"{name}_amean"), m["stddevNorm"].alias(f"{name}_stddevNorm")])
-        parts.append(q.withColumn(f"{name}_pctlrange0-2", F.col(f"{name}_percentile80") - F.col(f"{name}_percentile20")))
-        slopes = peaks2(smoothed, keys, index, "_f" if name == f0 else "_l", fps)
-        wanted = [F.col(f"{s}_{d}").alias(f"{name}_{o}{d.capitalize()}Slope") for d in ("rising", "falling") for s, o in (("mean", "mean"), ("std", "stddev"))]
-        extra = [F.col("peaks_per_sec").alias(f"{name}PeaksPerSec")] if name == loudness else []
-        parts.append(slopes.select(*keys, *wanted, *extra))
-    parts.append(smoothed.groupBy(*keys).agg(F.avg(F.when(voiced, F.col("_l"))).alias(f"{loudness}V_amean"), F.avg(F.when(~voiced, F.col("_l"))).alias(f"{loudness}UV_amean"),
-                                             level_db(F.col(loudness) * F.col(loudness)).alias("equivalentSoundLevel_dBp")))
-    v, u = (segments_by_value(df, keys, index, c, fps) for c in (voiced, ~voiced))
-    parts.append(v.select(*keys, F.col("segments_per_sec").alias("VoicedSegmentsPerSec"), F.col("mean_len").alias("MeanVoicedSegmentLengthSec"), F.col("std_len").alias("StddevVoicedSegmentLengthSec")))
-    parts.append(u.select(*keys, F.col("mean_len").alias("MeanUnvoicedSegmentLength"), F.col("std_len").alias("StddevUnvoicedSegmentLength")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, keys)
-    return out
+    long = smoothed.select(*keys, index, F.explode(F.array(
+        F.struct(F.lit(f0).alias("contour"), F.col("_f").alias("_v"), F.when(F.col("_f") != 0, F.col("_f")).alias("_x")),
+        F.struct(F.lit(loudness).alias("contour"), F.col("_l").alias("_v"), F.col("_l").alias("_x")))).alias("_e")).select(*keys, index, "_e.*")
+    both = [*keys, "contour"]
+    m = moments(F.col("_x"))
+    q = group_quantiles(long, both, {"x": F.col("_x")}, {"20": 0.2, "50": 0.5, "80": 0.8}, [m["amean"].alias("amean"), m["stddevNorm"].alias("stddevNorm")])
+    slopes = peaks2(long, both, index, "_v", fps)
+    stats = {
+        "amean": F.col("amean"), "stddevNorm": F.col("stddevNorm"), **{f"percentile{p}": F.col(f"x_{p}") for p in (20, 50, 80)},
+        "pctlrange0-2": F.col("x_80") - F.col("x_20"), "meanRisingSlope": F.col("mean_rising"), "stddevRisingSlope": F.col("std_rising"),
+        "meanFallingSlope": F.col("mean_falling"), "stddevFallingSlope": F.col("std_falling")}
+    wide = q.join(slopes, both).groupBy(*keys).agg(
+        *[F.max(F.when(F.col("contour") == n, c)).alias(f"{n}_{s}") for n in (f0, loudness) for s, c in stats.items()],
+        F.max(F.when(F.col("contour") == loudness, F.col("peaks_per_sec"))).alias(f"{loudness}PeaksPerSec"))
+
+    level = smoothed.groupBy(*keys).agg(
+        F.avg(F.when(voiced, F.col("_l"))).alias(f"{loudness}V_amean"), F.avg(F.when(~voiced, F.col("_l"))).alias(f"{loudness}UV_amean"),
+        level_db(F.col(loudness) * F.col(loudness)).alias("equivalentSoundLevel_dBp"), (F.count(F.lit(1)) / fps).alias("_sec"))
+    stretch = run_lengths(df.select(*keys, index, voiced.alias("_voiced")), keys, index, "_voiced", fps)
+    on, off = F.when(F.col("_voiced"), F.col("_l")), F.when(~F.col("_voiced"), F.col("_l"))
+    zero = F.lit(0.0)
+    runs = stretch.groupBy(*keys).agg(
+        F.count(on).alias("_n"), F.coalesce(F.avg(on), zero).alias("MeanVoicedSegmentLengthSec"), F.coalesce(F.stddev_pop(on), zero).alias("StddevVoicedSegmentLengthSec"),
+        F.coalesce(F.avg(off), zero).alias("MeanUnvoicedSegmentLength"), F.coalesce(F.stddev_pop(off), zero).alias("StddevUnvoicedSegmentLength"))
+    out = wide.join(level, keys).join(runs, keys)
+    return out.withColumn("VoicedSegmentsPerSec", F.col("_n") / F.col("_sec")).drop("_n", "_sec")
+
+
+def run_lengths(df: DataFrame, keys: list[str], index: str, flag: str, fps: float) -> DataFrame:
+    """Length in seconds of every stretch of a flag."""
+    return ordered.run_table(df, keys, index, flag).select(*keys, flag, (F.col("length") / fps).alias("_l"))

@@ -13,12 +13,12 @@ from .sessions import _rounded
 registry = Registry()
 q = registry.query
 K, IDX = ["series_id"], "frame_idx"
-_SIGNED = "g AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'view' THEN -level ELSE level END AS f0 FROM frames)"
+_SIGNED = "g AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 WHEN event_type = 'view' THEN -1 - level ELSE level + 1 END AS f0 FROM frames)"
 
 
 def signed(t):
     """The contour with zeros and negative values."""
-    e, v = F.col("event_type"), F.col("level")
+    e, v = F.col("event_type"), F.col("level") + 1
     return t.frames.withColumn("f0", F.when(e == "error", 0.0).when(e == "view", -v).otherwise(v))
 
 
