@@ -255,7 +255,7 @@ def _(t):
     return s.select(*KI, r6(fr.event_rate(F.col("blink_count"), F.col("t")), "blink_rate"))
 
 
-_TURNS = f"""WITH s AS (SELECT *, frame_idx - coalesce(max(CASE WHEN NOT value > 25 THEN frame_idx END) {W}), -1) = 3 AS turn_on, frame_idx - coalesce(max(CASE WHEN NOT value < 40 THEN frame_idx END) {W}), -1) = 2 AS turn_off FROM frames),
+_TURNS = f"""WITH s AS (SELECT *, frame_idx - coalesce(max(CASE WHEN NOT value > 40 THEN frame_idx END) {W}), -1) = 3 AS turn_on, frame_idx - coalesce(max(CASE WHEN NOT value < 25 THEN frame_idx END) {W}), -1) = 2 AS turn_off FROM frames),
     e AS (SELECT *, CASE WHEN turn_on THEN 1 WHEN turn_off THEN 0 END AS ev FROM s),
     st AS (SELECT *, last(ev IGNORE NULLS) {W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cur, last(ev IGNORE NULLS) {W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS was FROM e),
     n AS (SELECT *, sum(CASE WHEN turn_on AND coalesce(was, 0) = 0 THEN 1 ELSE 0 END) {W}) AS turn, max(frame_idx) OVER (PARTITION BY series_id) AS mx FROM st),
@@ -265,7 +265,7 @@ _TURNS = f"""WITH s AS (SELECT *, frame_idx - coalesce(max(CASE WHEN NOT value >
 @q("turn_detection", "frames", _TURNS + """, p AS (SELECT series_id, turn, first_frame + piece * 8 AS first_frame, last_frame FROM (SELECT *, unnest(range(0, (last_frame - first_frame) // 8 + 1)) AS piece FROM g))
     SELECT series_id, CAST(turn AS BIGINT) AS turn, first_frame, least(first_frame + 7, last_frame) AS last_frame FROM p""")
 def _(t):
-    return fr.turns(t.frames, K, IDX, "value", 25.0, 40.0, 3, 2, max_frames=8).select("series_id", "turn", "first_frame", "last_frame")
+    return fr.turns(t.frames, K, IDX, "value", 40.0, 25.0, 3, 2, max_frames=8).select("series_id", "turn", "first_frame", "last_frame")
 
 
 @q("adaptive_threshold_gate", "frames", f"""WITH a AS (SELECT *, value / 7 AS gate, avg(value / 7) {W} ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING) AS th FROM frames)
