@@ -23,7 +23,7 @@ def group_kfold(df: DataFrame, group: str, k: int | None = None, name: str = "fo
     if k is not None:
         return df.withColumn(name, F.pmod(group_hash(group), F.lit(k)).cast("int"))
     n = df.agg(F.count_distinct(group).alias("_g"))
-    return df.join(F.broadcast(n)).withColumn(name, F.pmod(group_hash(group), fold_count(F.col("_g"))).cast("int")).drop("_g")
+    return ordered.with_scalars(df, n).withColumn(name, F.pmod(group_hash(group), fold_count(F.col("_g"))).cast("int")).drop("_g")
 
 
 def majority_labels(df: DataFrame, group: str, label: str) -> DataFrame:

@@ -87,9 +87,9 @@ def rolling_stability(df: DataFrame, keys: list[str], index: str, x: str, y: str
 
 def baseline_ratio(df: DataFrame, keys: list[str], index: str, value: str, first: int = 11) -> DataFrame:
     """Mean of the first distances and the ratio to it; null in series shorter than that."""
-    head = df.where(F.col(index) < first).groupBy(*keys).agg(F.avg(value).alias("_b"), F.count(F.lit(1)).alias("_n"))
-    base = head.select(*keys, F.when(F.col("_n") >= first, F.col("_b")).alias("baseline"))
-    return df.join(base, keys, "left").withColumn("distance_ratio", F.col(value) / F.col("baseline"))
+    head = F.when(F.col(index) < first, F.col(value))
+    base = df.groupBy(*keys).agg(F.when(F.max(index) >= first - 1, F.avg(head)).alias("baseline"), F.max(index).alias("_top"))
+    return ordered.attach(df, base, keys, index).withColumn("distance_ratio", F.col(value) / F.col("baseline"))
 
 
 def since_change(df: DataFrame, keys: list[str], index: str, value: Column, t: str, every: int, name: str = "emotion_duration") -> DataFrame:

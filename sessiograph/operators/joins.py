@@ -86,19 +86,20 @@ def substring_match(rest: DataFrame, known: DataFrame, key: str, row_id: str, wa
     return inside.unionByName(around).groupBy(row_id).agg(F.min("_k").alias(key))
 
 
-def frame_range_join(chunks: DataFrame, frames: DataFrame, keys: list[str], chunk_id: str, vec: str, cell: int = 64) -> DataFrame:
+def frame_range_join(chunks: DataFrame, frames: DataFrame, keys: list[str], vec: str, cell: int = 64) -> DataFrame:
     """Mean vector of the frames [first_frame, last_frame) of each chunk.
 
-    A chunk is exploded over the cells of ``cell`` frames it covers and joined on (keys, cell); a frame
+    Each distinct range is computed once, however many chunks share it. A range is exploded over the cells of ``cell`` frames it covers and joined on (keys, cell); a frame
     then meets only chunks of its own cell. Elements are averaged on the map side.
     """
     from .series import vector_mean
+    bounds = [*keys, "first_frame", "last_frame"]
     cells = F.sequence(F.floor(F.col("first_frame") / cell), F.floor((F.col("last_frame") - 1) / cell))
-    spread = chunks.where(F.col("last_frame") > F.col("first_frame")).select(*keys, chunk_id, "first_frame", "last_frame", F.explode(cells).alias("_cell"))
+    ranges = chunks.where(F.col("last_frame") > F.col("first_frame")).select(*bounds).distinct()
+    spread = ranges.select(*bounds, F.explode(cells).alias("_cell"))
     placed = frames.withColumn("_cell", F.floor(F.col("frame_idx") / cell))
     hit = spread.join(placed, [*keys, "_cell"]).where((F.col("frame_idx") >= F.col("first_frame")) & (F.col("frame_idx") < F.col("last_frame")))
-    means = vector_mean(hit.select(chunk_id, vec), [chunk_id], vec)
-    return chunks.join(means, chunk_id)
+    return chunks.join(vector_mean(hit.select(*bounds, vec), bounds, vec), bounds)
 
 
 def chunk_frames_by_index(chunks: DataFrame, lengths: DataFrame, keys: list[str], default: int = 15) -> DataFrame:

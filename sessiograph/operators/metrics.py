@@ -25,7 +25,7 @@ def _curve(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     cell = -F.floor(F.col("score") * CELLS).cast("long")
     run = ordered.running(c, keys, ["_d"], cell, {"tp": ("sum", F.col("pos")), "fp": ("sum", F.col("neg"))}).drop("_d")
     totals = c.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return run.join(totals, keys) if keys else run.join(F.broadcast(totals))
+    return run.join(totals, keys) if keys else ordered.with_scalars(run, totals)
 
 
 def roc_auc(df: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:

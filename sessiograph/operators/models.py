@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..session import durable
 from .folds import group_kfold
+from .ordered import with_scalars
 
 # letters with a mark and the letter without it, derived from Unicode (Latin blocks)
 _MARKED = [chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1]
@@ -47,7 +48,8 @@ def tfidf(df: DataFrame, doc: str, text: str, min_df: int = 2, max_df: float = 0
     """
     counts = df.select(doc, F.explode(ngram_terms(text)).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_total")).join(F.broadcast(n))
+    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_total"))
+    terms = with_scalars(terms, n)
     vocabulary = (terms.where((F.col("_df") >= min_df) & (F.col("_df") <= F.col("_n") * max_df))
                   .orderBy(F.desc("_total"), "term").limit(max_terms)
                   .select("term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf")))
@@ -96,7 +98,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """n / (2 n_class) per row, from one aggregate."""
     n = df.agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_p"))
     w = F.when(F.col(label) == 1, F.try_divide(F.col("_n"), 2 * F.col("_p"))).otherwise(F.try_divide(F.col("_n"), 2 * (F.col("_n") - F.col("_p"))))
-    return df.join(F.broadcast(n)).withColumn("weight", F.coalesce(w, F.lit(1.0))).drop("_n", "_p")
+    return with_scalars(df, n).withColumn("weight", F.coalesce(w, F.lit(1.0))).drop("_n", "_p")
 
 
 def assemble(features: list[str], output: str = "features") -> ft.VectorAssembler:

@@ -143,3 +143,22 @@ def previous(df: DataFrame, keys: list[str], order: list[str], chunk: Column, ou
     joined = local.join(carried, [*keys, _C])
     return joined.select(*[c for c in df.columns if c != _C],
                          *[F.coalesce(F.col("_prev"), F.col("_carry"))[n].alias(n) for n in outs])
+
+
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], index: str, top: str = "_top", size: int = CHUNK_ROWS) -> DataFrame:
+    """Join per-series values to the rows of the series, chunk by chunk.
+
+    A plain join on the series sends a long series to one task. Here the row of a series is copied once
+    per chunk the series has (once for ordinary ones), ``top`` being its highest index, and the join key
+    is (series, chunk): the partitioning the scans of this module already produce.
+    """
+    copies = stats.withColumn(_C, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col(top) / F.lit(size)).cast("long")))).drop(top)
+    rows = df if _C in df.columns else df.withColumn(_C, chunk_of(index, size))
+    return rows.join(copies, [*keys, _C]).drop(_C)
+
+
+def with_scalars(df: DataFrame, row: DataFrame, prefix: str = "") -> DataFrame:
+    """Add the columns of a one-row aggregate to every row, as a scalar subquery instead of a join."""
+    packed = row.select(F.struct(*row.columns)).scalar()
+    out = df.withColumn("_scalars", packed)
+    return out.withColumns({f"{prefix}{c}": F.col("_scalars")[c] for c in row.columns}).drop("_scalars")

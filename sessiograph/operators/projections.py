@@ -10,6 +10,7 @@ from ..constants import (ACOUSTIC_NAME_PARTS, NON_FEATURE_COLUMNS, TEXT_FEATURE_
                          UPLOAD_MIME_TYPES, acoustic_columns)
 from ..functions import scalars as sc
 from ..functions import text as tx
+from . import ordered
 
 
 def feature_names(columns: list[str]) -> tuple[list[str], list[str]]:
@@ -40,7 +41,7 @@ def loudness_columns(df: DataFrame, parts: tuple[str, ...] = ("loudness", "equiv
 def standard_score(df: DataFrame, columns: list[str]) -> DataFrame:
     """Global z-score with sample deviation; a column without spread stays as it is. One aggregate, one broadcast row."""
     stats = df.agg(*[f(sc.skip_nan(c)).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    joined = df.join(F.broadcast(stats))
+    joined = ordered.with_scalars(df, stats)
     scaled = {c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.col(c)) for c in columns}
     return joined.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
@@ -123,14 +124,14 @@ def missing_ids(ids: DataFrame, df: DataFrame, key: str) -> DataFrame:
     return ids.select(F.trim(key).alias(key)).where(F.col(key) != "").distinct().join(df.select(key), key, "left_anti")
 
 
-def duration_window(df: DataFrame, session: str, low: float = 3.0, high: float = 13.0) -> DataFrame:
+def duration_window(df: DataFrame, session: str, index: str, low: float = 3.0, high: float = 13.0) -> DataFrame:
     """Scored segments of low..high seconds; a session without any keeps all its scored segments.
 
     The per-session flag is an aggregate joined back, so a session of any size is spread over tasks.
     """
     scored = df.where(F.col("score").isNotNull()).withColumn("_in", F.col("duration").between(low, high))
-    flags = scored.groupBy(session).agg(F.max("_in").alias("_any"))
-    return scored.join(flags, session).where(F.col("_in") | ~F.col("_any")).drop("_in", "_any")
+    flags = scored.groupBy(session).agg(F.max("_in").alias("_any"), F.max(index).alias("_top"))
+    return ordered.attach(scored, flags, [session], index).where(F.col("_in") | ~F.col("_any")).drop("_in", "_any")
 
 
 def resolve_label(df: DataFrame, own: Column, path: Column, key: str, media: DataFrame, transcripts: DataFrame) -> DataFrame:
@@ -181,10 +182,10 @@ def even_chunks(df: DataFrame, duration: Column, seconds: float = 15.0, at_most:
 
 def downsample_timeline(df: DataFrame, keys: list[str], index: str, max_points: int = 180) -> DataFrame:
     """Every k-th point and the last, k = ceil(n / max_points). The count is an aggregate joined back."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(index).alias("_top"))
     step = F.ceil(F.col("_n") / F.lit(max_points))
     keep = (F.col("_n") <= max_points) | (F.col(index) % step == 0) | (F.col(index) == F.col("_n") - 1)
-    return df.join(counts, keys).where(keep).drop("_n")
+    return ordered.attach(df, counts, keys, index).where(keep).drop("_n")
 
 
 def valid_upload(name: Column, mime: Column) -> Column:

@@ -27,13 +27,17 @@ def group_quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], p
     def pick(n: str, i: int, s: str) -> Column:
         return F.get(F.col(f"_q_{n}"), F.lit(i)).alias(f"{n}_{s}")
 
+    # one small job over the key columns decides whether any group needs the second way at all
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-    ordinary = df.join(F.broadcast(hot), keys, "left_anti")
+    any_hot = not hot.isEmpty()
+    ordinary = df.join(F.broadcast(hot), keys, "left_anti") if any_hot else df
     ordinary = ordinary.groupBy(*keys).agg(
         *(aggs or []), *[F.percentile(c, F.array(*[F.lit(p) for p in plist])).alias(f"_q_{n}") for n, c in clean.items()])
     extra = [c for c in ordinary.columns if c not in keys and not c.startswith("_q_")]
     shape = [*keys, *extra]
     ordinary = ordinary.select(*shape, *[pick(n, i, s) for n in values for i, s in enumerate(probs)])
+    if not any_hot:
+        return ordinary
 
     large = df.join(F.broadcast(hot), keys, "left_semi")
     by_rank = _by_rank(large, keys, clean, probs)

@@ -85,17 +85,17 @@ def trend(df: DataFrame, keys: list[str], index: str, value: str, short: int = 5
     return out.withColumn("direction", F.when(F.col("score") > flat, 1).when(F.col("score") < -flat, -1).otherwise(0))
 
 
-def normalize_series(df: DataFrame, keys: list[str], value: str, *, variance: bool = False, skip_zero: bool = False, name: str = "normalized") -> DataFrame:
+def normalize_series(df: DataFrame, keys: list[str], index: str, value: str, *, variance: bool = False, skip_zero: bool = False, name: str = "normalized") -> DataFrame:
     """Subtract the series mean, divide by its population deviation if asked. ``skip_zero`` ignores zeros and keeps them."""
     x = F.col(value)
     used = F.when(x != 0, x) if skip_zero else x
-    stats = df.groupBy(*keys).agg(F.avg(used).alias("_m"), F.stddev_pop(used).alias("_s"))
+    stats = df.groupBy(*keys).agg(F.avg(used).alias("_m"), F.stddev_pop(used).alias("_s"), F.max(index).alias("_top"))
     y = x - F.col("_m")
     if variance:
         y = y / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)
     if skip_zero:
         y = F.when(x == 0, 0.0).otherwise(y)
-    return df.join(stats, keys).withColumn(name, y).drop("_m", "_s")
+    return ordered.attach(df, stats, keys, index).withColumn(name, y).drop("_m", "_s")
 
 
 def saved_stats(df: DataFrame, features: list[str]) -> DataFrame:
@@ -108,7 +108,7 @@ def saved_stats(df: DataFrame, features: list[str]) -> DataFrame:
 def standardize(df: DataFrame, stats: DataFrame, features: list[str]) -> DataFrame:
     """Apply saved statistics; a feature without spread is only centred. The table has one row per feature."""
     wide = stats.agg(*[F.max(F.when(F.col("feature") == f, F.col(c))).alias(f"_{c}_{f}") for f in features for c in ("mean", "std")])
-    joined = df.join(F.broadcast(wide))
+    joined = ordered.with_scalars(df, wide)
     return joined.select(*[c for c in df.columns if c not in features], *[
         ((F.col(f) - F.col(f"_mean_{f}")) / F.when(F.col(f"_std_{f}") > 0, F.col(f"_std_{f}")).otherwise(1.0)).alias(f) for f in features])
 
@@ -167,15 +167,15 @@ def extremes(df: DataFrame, keys: list[str], index: str, x: str) -> DataFrame:
 def linear_regression(df: DataFrame, keys: list[str], index: str, x: str) -> DataFrame:
     """Slope per frame, offset, mean absolute and mean squared error of the line."""
     i, v = F.col(index).cast("double"), F.col(x)
-    fit = df.groupBy(*keys).agg(F.coalesce(F.try_divide(F.covar_pop(i, v), F.var_pop(i)), F.lit(0.0)).alias("slope"), F.avg(i).alias("_i"), F.avg(v).alias("_v"))
-    fit = fit.select(*keys, "slope", (F.col("_v") - F.col("slope") * F.col("_i")).alias("offset"))
-    return _with_errors(df, keys, fit, v, F.col("slope") * i + F.col("offset"))
+    fit = df.groupBy(*keys).agg(F.coalesce(F.try_divide(F.covar_pop(i, v), F.var_pop(i)), F.lit(0.0)).alias("slope"), F.avg(i).alias("_i"), F.avg(v).alias("_v"), F.max(index).alias("_top"))
+    fit = fit.select(*keys, "slope", (F.col("_v") - F.col("slope") * F.col("_i")).alias("offset"), "_top")
+    return _with_errors(df, keys, index, fit, v, F.col("slope") * i + F.col("offset"))
 
 
-def _with_errors(df: DataFrame, keys: list[str], fit: DataFrame, v: Column, line: Column) -> DataFrame:
-    names = [c for c in fit.columns if c not in keys]
+def _with_errors(df: DataFrame, keys: list[str], index: str, fit: DataFrame, v: Column, line: Column) -> DataFrame:
+    names = [c for c in fit.columns if c not in (*keys, "_top")]
     err = v - line
-    return df.join(fit, keys).groupBy(*keys).agg(*[F.max(c).alias(c) for c in names], F.avg(F.abs(err)).alias("error_abs"), F.avg(err * err).alias("error_sq"))
+    return ordered.attach(df, fit, keys, index).groupBy(*keys).agg(*[F.max(c).alias(c) for c in names], F.avg(F.abs(err)).alias("error_abs"), F.avg(err * err).alias("error_sq"))
 
 
 def quadratic_regression(df: DataFrame, keys: list[str], index: str, x: str) -> DataFrame:
@@ -185,7 +185,7 @@ def quadratic_regression(df: DataFrame, keys: list[str], index: str, x: str) ->
     solution is a closed form of n, sum x, sum t x and sum t^2 x. Fewer than three frames give a = 0.
     """
     i, v = F.col(index).cast("double"), F.col(x)
-    s = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(v).alias("x0"), F.sum(i * v).alias("x1"), F.sum(i * i * v).alias("x2"))
+    s = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(v).alias("x0"), F.sum(i * v).alias("x1"), F.sum(i * i * v).alias("x2"), F.max(index).alias("_top"))
     n, m = F.col("n"), (F.col("n") - 1) / 2
     u2 = n * (n * n - 1) / 12
     u4 = n * (n * n - 1) * (3 * n * n - 7) / 240
@@ -193,8 +193,8 @@ def quadratic_regression(df: DataFrame, keys: list[str], index: str, x: str) ->
     s = s.withColumns({"a": F.when(n > 2, F.try_divide(n * u2x - u2 * F.col("x0"), n * u4 - u2 * u2)).otherwise(0.0),
                        "bu": F.when(n > 1, F.try_divide(ux, u2)).otherwise(0.0)})
     s = s.withColumn("cu", (F.col("x0") - F.col("a") * u2) / n)
-    fit = s.select(*keys, "n", "a", (F.col("bu") - 2 * F.col("a") * m).alias("b"), (F.col("cu") - F.col("bu") * m + F.col("a") * m * m).alias("c"))
-    out = _with_errors(df, keys, fit, v, F.col("a") * i * i + F.col("b") * i + F.col("c"))
+    fit = s.select(*keys, "_top", "n", "a", (F.col("bu") - 2 * F.col("a") * m).alias("b"), (F.col("cu") - F.col("bu") * m + F.col("a") * m * m).alias("c"))
+    out = _with_errors(df, keys, index, fit, v, F.col("a") * i * i + F.col("b") * i + F.col("c"))
     last = F.col("n") - 1
     vertex = F.when(F.col("a") != 0, F.greatest(F.lit(0.0), F.least(last, F.try_divide(-F.col("b"), 2 * F.col("a")))))
 
@@ -212,8 +212,9 @@ def centroid(t: Column, x: Column) -> Column:
 
 def crossings(df: DataFrame, keys: list[str], index: str, x: str) -> DataFrame:
     """Share of frames at which the signal (or the signal minus its mean) changes sign."""
-    mean = df.groupBy(*keys).agg(F.avg(x).alias("_m"))
-    c = ordered.over_neighbours(df.select(*keys, index, x), keys, index, lambda w: {"_p": F.lag(x).over(w)}, 1, 0).join(mean, keys)
+    mean = df.groupBy(*keys).agg(F.avg(x).alias("_m"), F.max(index).alias("_top"))
+    near = ordered.over_neighbours(df.select(*keys, index, x), keys, index, lambda w: {"_p": F.lag(x).over(w)}, 1, 0, keep_chunk=True)
+    c = ordered.attach(near, mean, keys, index)
 
     def crossed(a: Column, b: Column) -> Column:
         return F.avg(F.coalesce((a * b < 0) | ((a == 0) & (b != 0)), F.lit(False)).cast("double"))
@@ -239,9 +240,9 @@ def segments_by_value(df: DataFrame, keys: list[str], index: str, inside: Column
 
 def segments_by_delta(df: DataFrame, keys: list[str], index: str, x: str, fps: float, share: float = 0.2, average_over: int = 10) -> DataFrame:
     """A new segment begins where the value leaves the mean of the frames before it by a share of the range."""
-    span = df.groupBy(*keys).agg((F.max(x) - F.min(x)).alias("_r"), F.count(F.lit(1)).alias("_n"))
-    near = ordered.over_neighbours(df.select(*keys, index, x), keys, index, lambda w: {"_a": F.avg(x).over(w.rowsBetween(-average_over, -1))}, average_over, 0)
-    away = near.join(span, keys).withColumn("_away", F.coalesce(F.abs(F.col(x) - F.col("_a")) > share * F.col("_r"), F.lit(False)))
+    span = df.groupBy(*keys).agg((F.max(x) - F.min(x)).alias("_r"), F.max(index).alias("_top"))
+    near = ordered.over_neighbours(df.select(*keys, index, x), keys, index, lambda w: {"_a": F.avg(x).over(w.rowsBetween(-average_over, -1))}, average_over, 0, keep_chunk=True)
+    away = ordered.attach(near, span, keys, index).withColumn("_away", F.coalesce(F.abs(F.col(x) - F.col("_a")) > share * F.col("_r"), F.lit(False)))
     edges = ordered.over_neighbours(away, keys, index, lambda w: {"_was": F.coalesce(F.lag("_away").over(w), F.lit(False))}, 1, 0, keep_chunk=True)
     seg = ordered.running(edges, keys, [index], None, {"_s": ("sum", (F.col("_away") & ~F.col("_was")).cast("long"))})
     lengths = seg.groupBy(*keys, "_s").agg((F.count(F.lit(1)) / fps).alias("_l"))
@@ -250,8 +251,9 @@ def segments_by_delta(df: DataFrame, keys: list[str], index: str, x: str, fps: f
 
 def times(df: DataFrame, keys: list[str], index: str, x: str, fps: float) -> DataFrame:
     """Share of time above and below shares of the range, rising, falling, curved left and right; duration."""
-    span = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    near = ordered.over_neighbours(df.select(*keys, index, x), keys, index, lambda w: {"_p": F.lag(x).over(w), "_q": F.lead(x).over(w)}, 1, 1).join(span, keys)
+    span = df.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.max(index).alias("_top"))
+    near = ordered.over_neighbours(df.select(*keys, index, x), keys, index, lambda w: {"_p": F.lag(x).over(w), "_q": F.lead(x).over(w)}, 1, 1, keep_chunk=True)
+    near = ordered.attach(near, span, keys, index)
     v = F.col(x)
 
     def share(c: Column) -> Column:
@@ -295,14 +297,15 @@ def peaks2(df: DataFrame, keys: list[str], index: str, x: str, fps: float, share
     is the line from a counted low to the next counted high (rising) or the other way (falling), per second.
     This pruning looks at neighbours only, so it runs as windows over series of any length.
     """
-    span = df.groupBy(*keys).agg((F.max(x) - F.min(x)).alias("_r"), F.avg(x).alias("_m"), (F.count(F.lit(1)) / fps).alias("_sec"))
+    span = df.groupBy(*keys).agg((F.max(x) - F.min(x)).alias("_r"), F.avg(x).alias("_m"), (F.count(F.lit(1)) / fps).alias("_sec"), F.max(index).alias("_top"))
     steps = ordered.run_table(df.select(*keys, index, x), keys, index, x).withColumn("_i", F.col("run") - 1)
     near = ordered.over_neighbours(steps, keys, "_i", lambda w: {"_p": F.lag(x).over(w), "_q": F.lead(x).over(w)}, 1, 1)
     high = (F.col(x) > F.col("_p")) & (F.col(x) > F.col("_q"))
     low = (F.col(x) < F.col("_p")) & (F.col(x) < F.col("_q"))
     extreme = near.withColumn("_k", F.when(high, 1).when(low, -1)).where(F.col("_k").isNotNull())
     extreme = ordered.dense_index(extreme.select(*keys, "first_idx", x, "_k"), keys, ["first_idx"], ordered.chunk_of("first_idx"), "_e")
-    swings = ordered.over_neighbours(extreme, keys, "_e", lambda w: {"_a": F.abs(F.col(x) - F.lag(x).over(w)), "_b": F.abs(F.col(x) - F.lead(x).over(w))}, 1, 1).join(span, keys)
+    swings = ordered.over_neighbours(extreme, keys, "_e", lambda w: {"_a": F.abs(F.col(x) - F.lag(x).over(w)), "_b": F.abs(F.col(x) - F.lead(x).over(w))}, 1, 1)
+    swings = ordered.attach(swings, span.select(*keys, "_r", "_top"), keys, "first_idx")
     kept = swings.where(F.greatest(F.coalesce("_a", F.lit(0.0)), F.coalesce("_b", F.lit(0.0))) >= share * F.col("_r"))
     step = ordered.previous(kept, keys, ["first_idx"], ordered.chunk_of("first_idx"), {"_pk": F.col("_k"), "_px": F.col(x), "_pi": F.col("first_idx")})
     slope = (F.col(x) - F.col("_px")) / (F.col("first_idx") - F.col("_pi")) * fps
@@ -314,21 +317,21 @@ def peaks2(df: DataFrame, keys: list[str], index: str, x: str, fps: float, share
                  F.try_divide(F.stddev_pop(s), F.avg(s)).alias(f"cov_{name}")]
     out = span.join(step.groupBy(*keys).agg(*aggs), keys, "left")
     return out.withColumns({"num_peaks": F.coalesce("num_peaks", F.lit(0)), "peaks_per_sec": F.coalesce("num_peaks", F.lit(0)) / F.col("_sec"),
-                            "peak_to_mean": F.col("peak_mean") - F.col("_m")}).drop("_r", "_m", "_sec")
+                            "peak_to_mean": F.col("peak_mean") - F.col("_m")}).drop("_r", "_m", "_sec", "_top")
 
 
 def samples(df: DataFrame, keys: list[str], index: str, x: str, positions: list[float]) -> DataFrame:
     """Values at relative positions 0..1 of the series."""
-    n = df.groupBy(*keys).agg(F.max(index).alias("_n"))
+    n = df.groupBy(*keys).agg(F.max(index).alias("_n"), F.max(index).alias("_top"))
     at = [F.floor(F.col("_n") * p + 0.5) for p in positions]
-    return df.join(n, keys).groupBy(*keys).agg(*[F.max(F.when(F.col(index) == a, F.col(x))).alias(f"at_{round(p * 100)}") for a, p in zip(at, positions, strict=True)])
+    return ordered.attach(df, n, keys, index).groupBy(*keys).agg(*[F.max(F.when(F.col(index) == a, F.col(x))).alias(f"at_{round(p * 100)}") for a, p in zip(at, positions, strict=True)])
 
 
 def dct(df: DataFrame, keys: list[str], index: str, x: str, first: int = 0, last: int = 5) -> DataFrame:
     """Cosine coefficients of the contour."""
-    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(index).alias("_top"))
     angle = F.lit(3.141592653589793) * (F.col(index) + 0.5) / F.col("_n")
-    return df.join(n, keys).groupBy(*keys).agg(*[F.sum(F.col(x) * F.cos(angle * k)).alias(f"dct{k}") for k in range(first, last + 1)])
+    return ordered.attach(df, n, keys, index).groupBy(*keys).agg(*[F.sum(F.col(x) * F.cos(angle * k)).alias(f"dct{k}") for k in range(first, last + 1)])
 
 
 def level_db(x: Column) -> Column:

@@ -23,14 +23,15 @@ def score_jump(df: DataFrame, session: str, order: list[str], chunk: Column, sco
     return out.withColumn("jump", F.abs(F.col(score) - F.col("_p"))).drop("_p")
 
 
-def minmax_normalize(df: DataFrame, session: str, signals: dict[str, bool], suffix: str = "_norm") -> DataFrame:
+def minmax_normalize(df: DataFrame, session: str, index: str, signals: dict[str, bool], suffix: str = "_norm") -> DataFrame:
     """(x - min) / (max - min) within the session; ``signals[name]`` says whether to invert.
 
     A constant signal gives 0.5, a signal without values 0, a missing value 0. The extremes are an
     aggregate joined back, so they combine on the map side and a long session is not one task.
     """
     cells = {s: sc.finite(s) for s in signals}
-    stats = df.groupBy(session).agg(*[f(c).alias(f"_{n}_{s}") for s, c in cells.items() for n, f in (("lo", F.min), ("hi", F.max))])
+    stats = df.groupBy(session).agg(*[f(c).alias(f"_{n}_{s}") for s, c in cells.items() for n, f in (("lo", F.min), ("hi", F.max))],
+                                    F.max(index).alias("_top"))
 
     def scaled(s: str, invert: bool) -> Column:
         x, lo, hi = cells[s], F.col(f"_lo_{s}"), F.col(f"_hi_{s}")
@@ -38,31 +39,31 @@ def minmax_normalize(df: DataFrame, session: str, signals: dict[str, bool], suff
         y = F.when(lo.isNull(), 0.0).when(flat, 0.5).otherwise(F.coalesce((x - lo) / F.when(flat, F.lit(1.0)).otherwise(hi - lo), F.lit(0.0)))
         return 1.0 - y if invert else y
 
-    joined = df.join(stats, session)
+    joined = ordered.attach(df, stats, [session], index)
     return joined.select(*df.columns, *[scaled(s, inv).alias(f"{s}{suffix}") for s, inv in signals.items()])
 
 
-def video_risk(frames: DataFrame, session: str) -> DataFrame:
+def video_risk(frames: DataFrame, session: str, index: str) -> DataFrame:
     """Weighted sum of the normalized signals that exist; y is the clamped score."""
     present = [(c, label, w, inv) for c, label, w, inv in VIDEO_SIGNALS if c in frames.columns]
-    n = minmax_normalize(frames, session, {c: inv for c, _, _, inv in present})
+    n = minmax_normalize(frames, session, index, {c: inv for c, _, _, inv in present})
     total = sum((F.col(f"{c}_norm") * w for c, _, w, _ in present), F.lit(0.0))
     signals = F.array(*[F.struct(F.lit(label).alias("feature"), sc.clamp01(F.col(f"{c}_norm")).alias("value")) for c, label, _, _ in present])
     return n.withColumn("raw_score", total).withColumns({"y": sc.clamp01("raw_score"), "signals": signals})
 
 
-def video_risk_markers(frames: DataFrame, session: str, order: list[str], k: int = 4, drivers: int = 3) -> DataFrame:
+def video_risk_markers(frames: DataFrame, session: str, index: str, k: int = 4, drivers: int = 3) -> DataFrame:
     """The k highest frames with their strongest non-zero signals; ties keep the order of the signals."""
-    top = top_per_session(video_risk(frames, session), session, "raw_score", order, k)
+    top = top_per_session(video_risk(frames, session, index), session, "raw_score", [index], k)
     tagged = F.transform("signals", lambda s, i: F.struct((-s["value"]).alias("o"), i.alias("i"), s["feature"].alias("feature"), s["value"].alias("value")))
     best = F.filter(F.slice(F.array_sort(tagged), 1, drivers), lambda s: s["value"] > 0)
     return top.withColumn("top_signals", F.transform(best, lambda s: F.struct(s["feature"].alias("feature"), s["value"].alias("value"))))
 
 
-def acoustic_index(segments: DataFrame, session: str) -> DataFrame:
+def acoustic_index(segments: DataFrame, session: str, index: str) -> DataFrame:
     """Weighted index of pauses, slowness, articulation, confidence and energy; x is the segment midpoint."""
     present = [(c, w, inv) for c, w, inv in ACOUSTIC_SIGNALS if c in segments.columns]
-    n = minmax_normalize(segments, session, {c: inv for c, _, inv in present})
+    n = minmax_normalize(segments, session, index, {c: inv for c, _, inv in present})
     n = n.withColumns({f"{c}_norm": F.lit(0.0) for c, _, _ in ACOUSTIC_SIGNALS if c not in segments.columns})
     total = sum((F.col(f"{c}_norm") * w for c, w, _ in ACOUSTIC_SIGNALS), F.lit(0.0))
     middle = F.col("start_time") + F.greatest(F.lit(0.0), F.col("end_time") - F.col("start_time")) / 2
@@ -110,8 +111,8 @@ def chunk_index(frames: DataFrame, session: str, t: str, index: str, seconds: fl
 
     The window is per chunk, whose frames are bounded by its length in seconds.
     """
-    d = frames.groupBy(session).agg(F.max(t).alias("_d"))
-    c = frames.join(d, session).withColumn("chunk", F.floor(F.col(t) / seconds).cast("long"))
+    d = frames.groupBy(session).agg(F.max(t).alias("_d"), F.max(index).alias("_top"))
+    c = ordered.attach(frames, d, [session], index).withColumn("chunk", F.floor(F.col(t) / seconds).cast("long"))
     c = c.withColumns({"chunk_start": F.col("chunk") * F.lit(seconds), "chunk_end": F.least((F.col("chunk") + 1) * F.lit(seconds), F.col("_d"))})
     w = Window.partitionBy(session, "chunk").orderBy(index)
     kept = c.where(F.col("chunk_end") > F.col("chunk_start")).withColumn("_rn", F.row_number().over(w))

@@ -46,7 +46,7 @@ def norm_sql(x, key, invert=False):
     SELECT series_id, frame_idx, {r(norm_sql('gappy', 'series_id'), 'gappy_norm')}, {r(norm_sql('flat', 'series_id', True), 'flat_norm')} FROM f""")
 def _(t):
     f = t.frames.withColumns({"gappy": F.when(F.col("event_type") != "error", F.col("value")), "flat": F.when(F.col("series_id") % 2 == 0, 7.5).otherwise(F.col("value"))})
-    return windows.minmax_normalize(f, "series_id", {"gappy": False, "flat": True}).select(*KI, r6("gappy_norm"), r6("flat_norm"))
+    return windows.minmax_normalize(f, "series_id", IDX, {"gappy": False, "flat": True}).select(*KI, r6("gappy_norm"), r6("flat_norm"))
 
 
 _VM = """vm AS (SELECT series_id, frame_idx, t, CASE WHEN event_type = 'error' THEN value / 40 END AS gaze_away_time, value / 150 AS head_down_duration,
@@ -63,7 +63,7 @@ def _video(t):
 
 @q("video_risk_timeline", "frames", _VN + f" SELECT series_id, frame_idx, t AS x, {r(clamp('y'), 'y')} FROM s")
 def _(t):
-    return windows.video_risk(_video(t), "series_id").select(*KI, F.col("t").alias("x"), r6("y"))
+    return windows.video_risk(_video(t), "series_id", IDX).select(*KI, F.col("t").alias("x"), r6("y"))
 
 
 @q("video_risk_markers", "frames", _VN + f""", k AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY round(y, 12) DESC, frame_idx) AS rank FROM s),
@@ -72,7 +72,7 @@ def _(t):
     d AS (SELECT *, row_number() OVER (PARTITION BY series_id, rank ORDER BY v DESC, o) AS dr FROM u)
     SELECT series_id, frame_idx, rank, {r(clamp('y'), 'score')}, feature, {r('v', 'value')} FROM d WHERE dr <= 3 AND v > 0""")
 def _(t):
-    m = windows.video_risk_markers(_video(t), "series_id", ["frame_idx"])
+    m = windows.video_risk_markers(_video(t), "series_id", IDX)
     e = m.select(*KI, "rank", r6("y", "score"), F.explode("top_signals").alias("s"))
     return e.select(*KI, "rank", "score", "s.feature", r6(F.col("s.value"), "value"))
 
@@ -88,7 +88,7 @@ def _acoustic(t):
     s = t.segments.select(*ID, "start_time", "end_time", F.col("score").alias("pause_ratio"), tx.speech_rate("text", "duration").alias("speech_rate"),
                           tx.articulation_rate("text", "duration", "score").alias("articulation_rate"),
                           F.when(F.col("segment_idx") % 3 > 0, tx.type_token_ratio("text")).alias("asr_conf_mean"))
-    return windows.acoustic_index(s, "session_id")
+    return windows.acoustic_index(s, "session_id", "segment_idx")
 
 
 @q("acoustic_index", "tokens", _ACSQL + f" SELECT session_id, segment_idx, {r('start_time + greatest(0, end_time - start_time) / 2', 'x')}, {r(clamp('y'), 'y')} FROM s")

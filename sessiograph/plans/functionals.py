@@ -258,8 +258,8 @@ def _(t):
 @q("series_normalize", "frames", f"""WITH {GAPPY}, s AS (SELECT series_id, avg(level) AS m, avg(CASE WHEN f0 <> 0 THEN f0 END) AS fm, stddev_pop(CASE WHEN f0 <> 0 THEN f0 END) AS fs FROM g GROUP BY 1)
     SELECT g.series_id, frame_idx, {r('level - m', 'centred')}, {r('CASE WHEN f0 = 0 THEN 0 ELSE (f0 - fm) / fs END', 'voiced_mvn')} FROM g JOIN s ON s.series_id = g.series_id""")
 def _(t):
-    n = series.normalize_series(gappy(t), K, "level", name="centred")
-    n = series.normalize_series(n, K, "f0", variance=True, skip_zero=True, name="voiced_mvn")
+    n = series.normalize_series(gappy(t), K, IDX, "level", name="centred")
+    n = series.normalize_series(n, K, IDX, "f0", variance=True, skip_zero=True, name="voiced_mvn")
     return n.select("series_id", "frame_idx", r6("centred"), r6("voiced_mvn"))
 
 

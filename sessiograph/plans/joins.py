@@ -190,7 +190,7 @@ def _range_sql(src):
 
 def _range(t, fn):
     frames, chunks, lengths = _aligned(t)
-    out = joins.frame_range_join(fn(chunks, lengths, ["subject"]), frames, ["subject"], "chunk_id", "vec")
+    out = joins.frame_range_join(fn(chunks, lengths, ["subject"]), frames, ["subject"], "vec")
     return out.select("chunk_id", "first_frame", "last_frame", (F.col("last_frame") - F.col("first_frame")).alias("n"),
                       r6(F.get("vec", F.lit(0)), "v0"), r6(F.get("vec", F.lit(63)), "v63"))
 

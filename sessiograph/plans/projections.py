@@ -135,7 +135,7 @@ def _(t):
     SELECT session_id, segment_idx, duration, score FROM f WHERE has = 0 OR duration BETWEEN 3 AND 13""")
 def _(t):
     s = t.segments.withColumn("score", F.when(F.col("score") > 0.05, F.col("score")))
-    return pr.duration_window(s, "session_id").select(*ID, "duration", "score")
+    return pr.duration_window(s, "session_id", "segment_idx").select(*ID, "duration", "score")
 
 
 @q("resolve_label", "listing media scripts", r"""WITH rows0 AS (SELECT o_orderkey, 'rec_' || CAST(o_custkey AS VARCHAR) AS file_id,

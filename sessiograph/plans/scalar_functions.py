@@ -8,6 +8,7 @@ from ..constants import NEGATIONS, PERSON_PRONOUNS, PRONOUNS, STOPWORDS_RU
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..functions import vectors as vec
+from ..operators.ordered import with_scalars
 from ._sql import AWL, N, TTR, band, clamp, count_of, listed, r
 from .registry import Registry, r6
 
@@ -175,7 +176,7 @@ def _long(df, column, name="x"):
 def _(t):
     from ..operators.series import vector_stats
     stats = vector_stats(t.vectors, [], "vec")
-    return _long(t.vectors.join(F.broadcast(stats)), vec.scale_and_clip(F.col("vec"), F.col("vec_mean"), F.col("vec_std")))
+    return _long(with_scalars(t.vectors, stats), vec.scale_and_clip(F.col("vec"), F.col("vec_mean"), F.col("vec_std")))
 
 
 @q("vector_mvn", "vectors", """WITH l AS (SELECT frame_idx, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS pos FROM vectors),
@@ -184,7 +185,7 @@ def _(t):
 def _(t):
     from ..operators.series import vector_stats
     stats = vector_stats(t.vectors, [], "vec")
-    return _long(t.vectors.join(F.broadcast(stats)), vec.range_normalize(F.col("vec"), F.col("vec_min"), F.col("vec_max")))
+    return _long(with_scalars(t.vectors, stats), vec.range_normalize(F.col("vec"), F.col("vec_min"), F.col("vec_max")))
 
 
 @q("concat_vectors", "vectors", """WITH c AS (SELECT frame_idx, list_concat(vec[1:13], vec[14:64]) AS v FROM vectors)

@@ -15,10 +15,13 @@ from ..sources.tables import upsert_by_session
 WATERMARK = "1 minute"
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema, files_per_trigger: int = 100) -> DataFrame:
-    """A folder of parquet files as a stream; files already seen are not read again."""
+def file_stream(spark: SparkSession, folder: str, pattern: str, schema, bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """A folder of parquet files as a stream; files already seen are not read again.
+
+    The size of a batch is bounded, and with it what a stateful operator sees of one series at a time.
+    """
     return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+            .option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(folder))
 
 
 def event_time(ts: str) -> Column:

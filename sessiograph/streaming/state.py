@@ -1,7 +1,7 @@
 """Stateful operators over arriving frames: what the batch operators compute, one batch at a time.
 
 Each series keeps one small state. Frames of a series are ordered inside a batch; batches are bounded by
-the number of files per trigger.
+the bytes per trigger.
 """
 
 from __future__ import annotations
