@@ -100,10 +100,10 @@ _PROF = _ACSQL + f""", p AS (SELECT session_id, avg(n_pause_ratio) AS pause_rati
     avg(n_asr_conf_mean) AS asr_conf_mean, avg({clamp('y')}) AS risk FROM s GROUP BY 1)"""
 
 
-@q("acoustic_profile", "tokens", _PROF + f""" SELECT session_id, {', '.join(r(c, c) for c, _, _ in _AC)}, CAST(0 AS DOUBLE) AS rms_mean, {r('risk', 'acoustic_risk')} FROM p""")
+@q("acoustic_profile", "tokens", _PROF + f""" SELECT session_id, {', '.join(r(c, c, 9) for c, _, _ in _AC)}, CAST(0 AS DOUBLE) AS rms_mean, {r('risk', 'acoustic_risk', 9)} FROM p""")
 def _(t):
     p = windows.acoustic_profile(_acoustic(t), "session_id")
-    return p.select("session_id", *[r6(c) for c, _, _ in _AC], "rms_mean", r6("acoustic_risk"))
+    return p.select("session_id", *[r6(c, digits=9) for c, _, _ in _AC], "rms_mean", r6("acoustic_risk", digits=9))
 
 
 @q("acoustic_insights", "tokens", _PROF + """ SELECT session_id, concat_ws(' | ', CASE WHEN pause_ratio >= 0.55 THEN 'Long pauses are frequent in this interview.' END,
@@ -186,11 +186,11 @@ def _(t):
     return fr.exponential_smoothing(t.frames.withColumn("angle", F.sqrt("value")), K, IDX, "angle", "smoothed", 0.3).select(*KI, r6("smoothed"))
 
 
-@q("rolling_stability", "frames", f"""WITH p AS (SELECT *, value / 1000 AS x, (value % 7) / 100 AS y FROM frames),
+@q("rolling_stability", "frames", f"""WITH p AS (SELECT *, level / 200 AS x, sqrt(value + 1) / 300 AS y FROM frames),
     v AS (SELECT *, count(*) {W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS n, (var_pop(x) {W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) + var_pop(y) {W} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)) / 2 AS v FROM p)
     SELECT series_id, frame_idx, {r('CASE WHEN n >= 5 THEN ' + clamp('1 - v * 100') + ' ELSE 1 END', 'head_stability')} FROM v""")
 def _(t):
-    p = t.frames.withColumns({"x": F.col("value") / 1000, "y": (F.col("value") % 7) / 100})
+    p = t.frames.withColumns({"x": F.col("level") / 200, "y": F.sqrt(F.col("value") + 1) / 300})
     return fr.rolling_stability(p, K, IDX, "x", "y").select(*KI, r6("head_stability"))
 
 
@@ -268,10 +268,10 @@ def _(t):
     return fr.turns(t.frames, K, IDX, "value", 40.0, 25.0, 3, 2, max_frames=8).select("series_id", "turn", "first_frame", "last_frame")
 
 
-@q("adaptive_threshold_gate", "frames", f"""WITH a AS (SELECT *, value / 7 AS gate, avg(value / 7) {W} ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING) AS th FROM frames)
+@q("adaptive_threshold_gate", "frames", f"""WITH a AS (SELECT *, level AS gate, avg(level) {W} ROWS BETWEEN 200 PRECEDING AND 1 PRECEDING) AS th FROM frames)
     SELECT series_id, frame_idx, value, {r('th', 'threshold')} FROM a WHERE th IS NULL OR gate >= th""")
 def _(t):
-    return fr.adaptive_gate(t.frames.withColumn("gate", F.col("value") / 7), K, IDX, "gate").select(*KI, "value", r6("threshold"))
+    return fr.adaptive_gate(t.frames.withColumn("gate", F.col("level")), K, IDX, "gate").select(*KI, "value", r6("threshold"))
 
 
 @q("median_filter", "frames", f"SELECT series_id, frame_idx, {r(f'quantile_cont(value, 0.5) {W} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)', 'median')} FROM frames")

@@ -173,12 +173,12 @@ def _(t):
     return d.select("series_id", "dominant", r6("negative_ratio"), F.explode("distribution").alias("emotion", "share")).withColumn("share", F.round("share", 6))
 
 
-@q("emotion_score", "frames", _EMO + f""", p AS (SELECT series_id, avg(value) / 200 AS p FROM frames WHERE event_type = 'purchase' GROUP BY 1),
+@q("emotion_score", "frames", _EMO + f""", p AS (SELECT series_id, avg(level) / 20 AS p FROM frames WHERE event_type = 'purchase' GROUP BY 1),
     f AS (SELECT s.series_id, {clamp('0.7 * neg + 0.3 * coalesce(p, 0)')} AS x FROM s LEFT JOIN p ON p.series_id = s.series_id)
     SELECT series_id, {r('x', 'emotion_score', 9)}, CAST(x >= 0.5 AS INTEGER) AS prediction, CASE WHEN x >= 0.5 THEN 'experimental' ELSE 'control' END AS prediction_label, {band('x', 0.4, 0.5)} AS risk_level FROM f""")
 def _(t):
     d = scoring.emotion_distribution(emotions(t), "series_id", "emotion")
-    p = t.frames.where(F.col("event_type") == "purchase").groupBy("series_id").agg((F.avg("value") / 200).alias("p"))
+    p = t.frames.where(F.col("event_type") == "purchase").groupBy("series_id").agg((F.avg("level") / 20).alias("p"))
     s = d.join(p, "series_id", "left").withColumn("emotion_score", scoring.emotion_score(F.col("negative_ratio"), F.col("p")))
     return scoring.verdict(s, "emotion_score", 0.5).select("series_id", r6("emotion_score", digits=9), "prediction", "prediction_label", "risk_level")
 
@@ -247,11 +247,11 @@ def _(t):
     return scoring.video_anomaly_indicators(video_metrics(t), "series_id").withColumn("rule_score", F.round("rule_score", 6))
 
 
-@q("video_anomaly_score", "frames", _VID + f""", s AS (SELECT c_custkey AS series_id, CASE WHEN c_acctbal > 0 THEN least(1, c_acctbal / 10000) END AS model_prob FROM customer),
+@q("video_anomaly_score", "frames", _VID + f""", s AS (SELECT c_custkey AS series_id, CASE WHEN c_acctbal > 0 THEN least(1, sqrt(c_acctbal) / 100) END AS model_prob FROM customer),
     y AS (SELECT s.series_id, CASE WHEN rule_score IS NULL THEN 1 ELSE {clamp('0.7 * rule_score + 0.3 * coalesce(model_prob, 0)')} END AS y FROM s LEFT JOIN x ON x.series_id = s.series_id)
     SELECT series_id, {r('y', 'anomaly_score')}, CAST(y >= 0.6 AS INTEGER) AS prediction, {band('y', 0.4, 0.5)} AS risk_level FROM y""")
 def _(t):
-    c = t.table("customer").select(F.col("c_custkey").alias("series_id"), F.when(F.col("c_acctbal") > 0, F.least(F.lit(1.0), F.col("c_acctbal") / 10000)).alias("model_prob"))
+    c = t.table("customer").select(F.col("c_custkey").alias("series_id"), F.when(F.col("c_acctbal") > 0, F.least(F.lit(1.0), F.sqrt("c_acctbal") / 100)).alias("model_prob"))
     s = scoring.video_anomaly_score(c, scoring.video_anomaly_indicators(video_metrics(t), "series_id"), "series_id")
     return s.select("series_id", r6("anomaly_score"), "prediction", "risk_level")
 

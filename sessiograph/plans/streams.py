@@ -48,15 +48,15 @@ def _(t):
     return state.episodes(s, "series_id", ["ts", "event_id"], "loud", "event_type").select("series_id", "first_frame", "end_frame", "details")
 
 
-@q("stream_frame_state", "frames", f"""WITH b AS (SELECT *, value / 100 AS ear, event_type IN ('error', 'click', 'view') AS away FROM frames),
+@q("stream_frame_state", "frames", f"""WITH b AS (SELECT *, level / 22 AS ear, event_type IN ('error', 'click', 'view') AS away FROM frames),
     e AS (SELECT *, CASE WHEN ear < 0.21 AND coalesce(lag(ear) {W}), 1) >= 0.21 THEN 1 ELSE 0 END AS e, sum(CASE WHEN away THEN 1 ELSE -1 END) {W}) AS s,
         frame_idx - coalesce(max(CASE WHEN NOT away THEN frame_idx END) {W}), -1) AS run, list(ear) {W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM b)
     SELECT series_id, frame_idx, CAST(sum(e) {W}) AS BIGINT) AS blink_count, {r('run / CAST(30 AS DOUBLE)', 'streak')}, {r(f'(s - least(0, min(s) {W}))) / CAST(30 AS DOUBLE)', 'gaze_away_time')},
-    {r('list_reduce(v, lambda y, x: 0.3 * x + 0.7 * y, CAST(0 AS DOUBLE))', 'smoothed', 9)} FROM e""")
+    {r('list_reduce(v, lambda y, x: 0.3 * x + 0.7 * y, CAST(0 AS DOUBLE))', 'smoothed')} FROM e""")
 def _(t):
-    s = event_stream(t).select("series_id", "ts", "event_id", (F.col("value") / 100).alias("ear"), F.col("event_type").isin("error", "click", "view").alias("away"))
+    s = event_stream(t).select("series_id", "ts", "event_id", (F.sqrt("value") / 22).alias("ear"), F.col("event_type").isin("error", "click", "view").alias("away"))
     out = state.frame_state(s, "series_id", ["ts", "event_id"], "ear", "away")
-    return out.select("series_id", "frame_idx", "blink_count", r6("streak"), r6("gaze_away_time"), r6("smoothed", digits=9))
+    return out.select("series_id", "frame_idx", "blink_count", r6("streak"), r6("gaze_away_time"), r6("smoothed"))
 
 
 @q("stream_turns", "frames", _TURNS + " SELECT series_id, first_frame, last_frame FROM g")
