@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.vectors import let
 from ..session import durable
 from .folds import group_kfold
 from .ordered import with_scalars
@@ -35,9 +36,11 @@ def plain_text(text: str | Column) -> Column:
 def ngram_terms(text: str | Column) -> Column:
     """Words of two or more letters and pairs of neighbouring words."""
     words = F.regexp_extract_all(plain_text(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
-                       lambda a, b: F.concat(a, F.lit(" "), b))
-    return F.concat(words, pairs)
+
+    def with_pairs(w: Column) -> Column:
+        rest = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.concat(w, F.zip_with(F.slice(w, F.lit(1), rest), F.slice(w, F.lit(2), rest), lambda a, b: F.concat(a, F.lit(" "), b)))
+    return let(words, with_pairs)
 
 
 def tfidf(df: DataFrame, doc: str, text: str, min_df: int = 2, max_df: float = 0.95, max_terms: int = 3000) -> DataFrame:

@@ -66,18 +66,19 @@ def project_audio_schema(df: DataFrame) -> DataFrame:
 
 def project_text_schema(df: DataFrame, start_gap: Column, language_lists: dict | None = None, stopwords: list[str] | None = None) -> DataFrame:
     """The 25 columns of the text feature table. ``start_gap`` is the step from the previous start."""
-    n = tx.word_count("text")
-    stop, hard = tx.stopword_count("text", stopwords), tx.complex_word_count("text")
-    return df.select(
+    t = tx.Split("text")
+    n = tx.word_count(t)
+    stop, hard = tx.stopword_count(t, stopwords), tx.complex_word_count(t)
+    return t.add_to(df).select(
         "start_time", "end_time", F.lit(None).cast("string").alias("speaker"), "text", "session_id", "label", "duration",
-        start_gap.alias("pause_prev"), n.alias("num_tokens"), tx.unique_tokens("text").alias("num_unique_tokens"),
-        tx.char_count("text").alias("num_chars"), n.alias("word_count"), tx.sentence_count("text").alias("sent_count"),
-        tx.speech_rate("text", "duration").alias("words_per_sec"), tx.type_token_ratio("text").alias("type_token_ratio"),
-        tx.avg_word_length("text").alias("avg_word_len"), hard.alias("num_complex_words"),
-        tx.ratio_of_tokens(hard, "text").alias("complex_word_ratio"), stop.alias("num_stopwords"),
-        tx.ratio_of_tokens(stop, "text").alias("stopword_ratio"), tx.marks("text", r"\?").alias("qmark_count"),
-        tx.marks("text", "!").alias("excl_count"),
-        *[c.alias(k) for k, c in tx.person_pronouns("text", language_lists).items()])
+        start_gap.alias("pause_prev"), n.alias("num_tokens"), tx.unique_tokens(t).alias("num_unique_tokens"),
+        tx.char_count(t).alias("num_chars"), n.alias("word_count"), tx.sentence_count(t).alias("sent_count"),
+        tx.speech_rate(t, "duration").alias("words_per_sec"), tx.type_token_ratio(t).alias("type_token_ratio"),
+        tx.avg_word_length(t).alias("avg_word_len"), hard.alias("num_complex_words"),
+        tx.ratio_of_tokens(hard, t).alias("complex_word_ratio"), stop.alias("num_stopwords"),
+        tx.ratio_of_tokens(stop, t).alias("stopword_ratio"), tx.marks(t, r"\?").alias("qmark_count"),
+        tx.marks(t, "!").alias("excl_count"),
+        *[c.alias(k) for k, c in tx.person_pronouns(t, language_lists).items()])
 
 
 def sync_columns(df: DataFrame, reference: DataFrame, drop: tuple[str, ...] = ()) -> DataFrame:

@@ -31,7 +31,8 @@ def group_quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], p
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
     any_hot = not hot.isEmpty()
     ordinary = df.join(F.broadcast(hot), keys, "left_anti") if any_hot else df
-    ordinary = ordinary.groupBy(*keys).agg(
+    # a buffer holds all distinct values, so combining before the shuffle saves nothing: rows are moved instead
+    ordinary = ordinary.repartition(*keys).groupBy(*keys).agg(
         *(aggs or []), *[F.percentile(c, F.array(*[F.lit(p) for p in plist])).alias(f"_q_{n}") for n, c in clean.items()])
     extra = [c for c in ordinary.columns if c not in keys and not c.startswith("_q_")]
     shape = [*keys, *extra]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..operators import folds, models, projections, reports, scoring, series, sessions
-from ..session import durable
+from ..session import durable, spread
 from ._sql import AWL, TTR, band, r
 from .registry import Registry, r6
 
@@ -51,7 +51,7 @@ def _(t):
     x AS (SELECT doc_id, c.term, (1 + ln(tf)) * idf AS w FROM c JOIN v ON v.term = c.term), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM x GROUP BY 1)
     SELECT x.doc_id, term, round(w / l, 6) AS weight FROM x JOIN l ON l.doc_id = x.doc_id""")
 def _(t):
-    return models.tfidf(t.table("documents").select("doc_id", "text"), "doc_id", "text").withColumn("weight", F.round("weight", 6))
+    return models.tfidf(spread(t.table("documents").select("doc_id", "text")), "doc_id", "text").withColumn("weight", F.round("weight", 6))
 
 
 AUDIO = ["audio_loudness_mean", "audio_f0_mean", "audio_jitter_max", "audio_n"]
@@ -64,7 +64,7 @@ def training_sessions(t):
     """
     a = t.table("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(
         F.avg("l_quantity").alias("audio_loudness_mean"), F.avg("l_extendedprice").alias("audio_f0_mean"), F.max("l_tax").alias("audio_jitter_max"), F.count(F.lit(1)).cast("double").alias("audio_n"))
-    s = t.table("documents").join(t.table("labels").select("doc_id", F.col("quality").alias("label")), "doc_id").join(a, "doc_id", "left")
+    s = spread(t.table("documents").select("doc_id", "text", "source")).join(t.table("labels").select("doc_id", F.col("quality").alias("label")), "doc_id").join(a, "doc_id", "left")
     s = projections.fill_missing_features(s.select("doc_id", "text", F.col("source").alias("group_src"), F.col("label").cast("int").alias("label"), *AUDIO), AUDIO)
     s = s.withColumns({"group_id": F.col("doc_id").cast("string"), "terms": models.ngram_terms("text")})
     return durable(folds.group_kfold(s, "group_id", 3), "training")

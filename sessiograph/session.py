@@ -51,3 +51,13 @@ def durable(df, purpose: str):
     path = shared_dir(spark, purpose)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path)
+
+
+def spread(df):
+    """Redistribute the rows of an input that has fewer splits than there are cores.
+
+    One large file with one row group is one task otherwise. Inputs with enough splits, the normal case on
+    a cluster, pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
