@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..constants import NEGATIVE_EMOTIONS, SESSION_THRESHOLD
+from ..constants import AUDIO_ANOMALY as A
+from ..constants import DECEPTION as D
+from ..constants import EMOTION, NEGATIVE_EMOTIONS, SESSION_THRESHOLD, VIDEO_ANOMALY, VIDEO_RULES
+from ..constants import TEXT_ANOMALY as T
 from ..functions import scalars as sc
 from ..functions import text as tx
 from . import ordered
@@ -23,9 +26,9 @@ def deception_score(used: DataFrame, session: str) -> DataFrame:
     """From scored segments, already restricted to the wanted durations."""
     s = used.groupBy(session).agg(
         F.count(F.lit(1)).alias("segments_used"), F.avg("score").alias("mean"), F.stddev_pop("score").alias("std"),
-        F.avg((F.col("score") >= 0.6).cast("double")).alias("high_ratio"))
-    s = s.withColumn("deception_score", sc.clamp01(0.50 * F.col("mean") + 0.35 * F.col("std") + 0.15 * F.col("high_ratio")))
-    return verdict(s, "deception_score", 0.55)
+        F.avg((F.col("score") >= D["high_from"]).cast("double")).alias("high_ratio"))
+    s = s.withColumn("deception_score", sc.clamp01(sum(F.col(c) * D[c] for c in ("mean", "std", "high_ratio"))))
+    return verdict(s, "deception_score", D["threshold"])
 
 
 def text_anomaly_score(df: DataFrame, session: str, text: str = "text") -> DataFrame:
@@ -45,12 +48,12 @@ def text_anomaly_score(df: DataFrame, session: str, text: str = "text") -> DataF
         "lexical_diversity": sc.safe_div(F.col("unique_words").cast("double"), F.col("word_count").cast("double")),
         "punctuation_ratio": F.col("_p") / F.greatest(F.lit(1), F.col("_len"))})
     s = s.withColumn("repetition_ratio", F.lit(1.0) - F.col("lexical_diversity"))
-    score = sc.clamp01(0.55 * F.col("repetition_ratio") + F.when(F.col("word_count") < 25, 0.25).otherwise(0.0)
-                       + 0.20 * F.least(F.lit(1.0), F.col("punctuation_ratio") * 4.0))
-    return verdict(s.withColumn("anomaly_score", score), "anomaly_score", 0.6, "anomaly", "normal").drop("_p", "_len")
+    score = sc.clamp01(T["repetition"] * F.col("repetition_ratio") + F.when(F.col("word_count") < T["short_below"], T["short"]).otherwise(0.0)
+                       + T["punctuation"] * F.least(F.lit(1.0), F.col("punctuation_ratio") * T["punctuation_scale"]))
+    return verdict(s.withColumn("anomaly_score", score), "anomaly_score", T["threshold"], "anomaly", "normal").drop("_p", "_len")
 
 
-def audio_anomaly_score(df: DataFrame, session: str, index: str, chunk: Column, jump: float = 0.35) -> DataFrame:
+def audio_anomaly_score(df: DataFrame, session: str, index: str, chunk: Column, jump: float = A["jump_above"]) -> DataFrame:
     """Spread of scores and durations, jumps between neighbours and shortness of a session."""
     scored = df.where(F.col("score").isNotNull()).select(session, index, "score", "duration")
     stepped = ordered.previous(scored, [session], [index], chunk, {"_before": F.col("score")})
@@ -58,17 +61,9 @@ def audio_anomaly_score(df: DataFrame, session: str, index: str, chunk: Column,
         F.count(F.lit(1)).alias("segments_used"), F.stddev_pop("score").alias("score_std"),
         (F.stddev_pop("duration") / F.greatest(F.lit(1e-6), F.avg("duration"))).alias("duration_cv"),
         F.coalesce(F.avg((F.abs(F.col("score") - F.col("_before")) > jump).cast("double")), F.lit(0.0)).alias("jump_ratio"))
-    score = sc.clamp01(0.40 * F.col("score_std") + 0.30 * F.least(F.lit(1.0), F.col("duration_cv")) + 0.20 * F.col("jump_ratio")
-                       + F.when(F.col("segments_used") < 3, 0.10).otherwise(0.0))
-    return verdict(s.withColumn("anomaly_score", score), "anomaly_score", 0.6, "anomaly", "normal")
-
-
-VIDEO_RULES = {
-    # indicator: (column, aggregate, limit); max must exceed the limit, mean must stay below it
-    "gaze_avoidance": ("gaze_away_time", "max", 5.0), "head_down_long": ("head_down_duration", "max", 3.0),
-    "instability": ("head_stability", "mean", 0.5), "face_touching": ("face_touch_count", "max", 3.0),
-    "blinking_spikes": ("blink_count", "max", 20.0),
-}
+    score = sc.clamp01(A["std"] * F.col("score_std") + A["duration_cv"] * F.least(F.lit(1.0), F.col("duration_cv")) + A["jumps"] * F.col("jump_ratio")
+                       + F.when(F.col("segments_used") < A["few_below"], A["few"]).otherwise(0.0))
+    return verdict(s.withColumn("anomaly_score", score), "anomaly_score", A["threshold"], "anomaly", "normal")
 
 
 def video_anomaly_indicators(frames: DataFrame, session: str) -> DataFrame:
@@ -93,9 +88,9 @@ def video_anomaly_indicators(frames: DataFrame, session: str) -> DataFrame:
 def video_anomaly_score(sessions: DataFrame, indicators: DataFrame, session: str, model_prob: str = "model_prob") -> DataFrame:
     """0.7 of the rules and 0.3 of the model; a session without frames scores 1."""
     s = sessions.join(indicators, session, "left")
-    mixed = sc.clamp01(0.70 * F.col("rule_score") + 0.30 * F.coalesce(F.col(model_prob), F.lit(0.0)))
+    mixed = sc.clamp01(VIDEO_ANOMALY["rules"] * F.col("rule_score") + VIDEO_ANOMALY["model"] * F.coalesce(F.col(model_prob), F.lit(0.0)))
     s = s.withColumn("anomaly_score", F.when(F.col("rule_score").isNull(), 1.0).otherwise(mixed))
-    return verdict(s, "anomaly_score", 0.6, "anomaly", "normal")
+    return verdict(s, "anomaly_score", VIDEO_ANOMALY["threshold"], "anomaly", "normal")
 
 
 def emotion_distribution(frames: DataFrame, session: str, emotion: str) -> DataFrame:
@@ -114,7 +109,7 @@ def emotion_distribution(frames: DataFrame, session: str, emotion: str) -> DataF
 
 
 def emotion_score(negative_ratio: Column, model_prob: Column) -> Column:
-    return sc.clamp01(0.70 * F.coalesce(negative_ratio, F.lit(0.0)) + 0.30 * F.coalesce(model_prob, F.lit(0.0)))
+    return sc.clamp01(EMOTION["negative"] * F.coalesce(negative_ratio, F.lit(0.0)) + EMOTION["model"] * F.coalesce(model_prob, F.lit(0.0)))
 
 
 def session_scores(df: DataFrame, session: str, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:

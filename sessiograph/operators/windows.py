@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import ACOUSTIC_SIGNALS, VIDEO_SIGNALS
+from ..constants import ACOUSTIC_INSIGHTS, ACOUSTIC_SIGNALS, VIDEO_SIGNALS
 from ..functions import scalars as sc
 from . import ordered
 from .reports import insights
@@ -73,13 +73,7 @@ def acoustic_index(segments: DataFrame, session: str, index: str) -> DataFrame:
 def acoustic_profile(index: DataFrame, session: str) -> DataFrame:
     """Session means of the five signals and the index, with the messages they call for."""
     p = index.groupBy(session).agg(*[F.avg(f"{c}_norm").alias(c) for c, _, _ in ACOUSTIC_SIGNALS], F.avg("y").alias("acoustic_risk"))
-    rules = [
-        (F.col("pause_ratio") >= 0.55, "Long pauses are frequent in this interview."),
-        (F.col("speech_rate") >= 0.55, "Speech pace is slower than the rest of this session."),
-        (F.col("articulation_rate") >= 0.55, "Articulation becomes less fluent in several segments."),
-        (F.col("asr_conf_mean") >= 0.45, "Speech confidence drops in multiple transcript segments."),
-        (F.col("acoustic_risk") < 0.35, "Acoustic pattern looks relatively stable across the session."),
-    ]
+    rules = [(F.col(c) >= limit if op == ">=" else F.col(c) < limit, text) for c, op, limit, text in ACOUSTIC_INSIGHTS]
     return p.withColumn("insights", insights(rules))
 
 

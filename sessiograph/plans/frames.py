@@ -8,7 +8,7 @@ from ..functions import face
 from ..functions import text as tx
 from ..operators import frames as fr
 from ..operators import ordered, phrases, projections, ranking, series, windows
-from ._sql import band, clamp, r
+from ._sql import clamp, r
 from .joins import PARTS_SQL, split_parts
 from .registry import Registry, r6
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import series
 from ._sql import r
-from .frames import GAPPY, W, _delta_sql, gappy
+from .frames import GAPPY, W, gappy
 from .registry import Registry, r6
 from .sessions import _rounded
 

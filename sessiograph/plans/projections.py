@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import UPLOAD_EXTENSIONS, UPLOAD_MIME_TYPES
-from ..functions import scalars as sc
 from ..functions import text as tx
 from ..operators import ordered
 from ..operators import projections as pr

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..constants import TERM_STOPWORDS
 from ..functions import scalars as sc
-from ..functions import vectors as vec
 from ..operators import ranking, scoring
 from ._sql import band, r
 from .registry import Registry, r6

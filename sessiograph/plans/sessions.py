@@ -8,7 +8,7 @@ from ..functions import scalars as sc
 from ..operators import ordered, projections, scoring, sessions
 from ..sources import media
 from ._sql import band, clamp, count_of, r
-from .projections import _ROUNDED, TEXT_TABLE_SQL, text_table
+from .projections import TEXT_TABLE_SQL, text_table
 from .registry import Registry, r6
 
 registry = Registry()
