@@ -30,8 +30,12 @@ def event_time(ts: str) -> Column:
     return F.timestamp_micros(minutes * 60_000_000 + (F.extract(F.lit("SECOND"), F.col(ts)) * 1_000_000).cast("long"))
 
 
-def run(stream: DataFrame, mode: str = "update", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """Process what is there and return all output rows with their batch number."""
+def run(stream: DataFrame, mode: str = "update", each: Callable[[DataFrame, int], DataFrame] | None = None,
+        counts: dict[str, int] | None = None) -> DataFrame:
+    """Process what is there and return all output rows with their batch number.
+
+    ``counts`` receives the number of input rows and of rows dropped because they came after the watermark.
+    """
     spark = stream.sparkSession
     out, state = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-state")
     schema = []
@@ -43,6 +47,10 @@ def run(stream: DataFrame, mode: str = "update", each: Callable[[DataFrame, int]
 
     query = (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start())
     query.awaitTermination()
+    if counts is not None:
+        progress = query.recentProgress
+        counts["input_rows"] = sum(p["numInputRows"] for p in progress)
+        counts["late_rows"] = sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
     if not schema:
         return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
     return spark.read.schema(T.StructType([*schema[0].fields, T.StructField("batch", T.IntegerType())])).option("basePath", out).parquet(out)
@@ -54,13 +62,14 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
-def windowed_functionals(stream: DataFrame, keys: list[str], ts: str, value: str, size: str, step: str | None = None, watermark: str = WATERMARK) -> DataFrame:
+def windowed_functionals(stream: DataFrame, keys: list[str], ts: str, value: str, size: str, step: str | None = None, watermark: str = WATERMARK,
+                         counts: dict[str, int] | None = None) -> DataFrame:
     """Mean, deviation, extremes and count on event-time windows; a window still open is part of the result."""
     w = F.window(ts, size, step) if step else F.window(ts, size)
     agg = stream.withWatermark(ts, watermark).groupBy(*keys, w).agg(
         F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
     flat = agg.select(*keys, F.unix_seconds("window.start").alias("window_start"), "n", "mean", "std", "min", "max")
-    return latest(run(flat, "update"), [*keys, "window_start"])
+    return latest(run(flat, "update", counts=counts), [*keys, "window_start"])
 
 
 def chunk_scores(stream: DataFrame, session: str, ts: str, score: str, size: str = "15 seconds", watermark: str = WATERMARK) -> DataFrame:

@@ -1,6 +1,7 @@
 """A stream in several batches gives what the batch operator gives on the same rows."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
 
@@ -66,3 +67,17 @@ def test_upsert_per_batch(spark, tmp_path):
     initial = spark.createDataFrame([(1, 99, 0.0), (7, 99, 0.5)], "s long, i long, v double")
     out = jobs.upsert_features(stream(spark, tmp_path / "in").select("s", "i", "v"), initial, "s").collect()
     assert {r.s for r in out} == {1, 2, 7} and not any(r.s == 1 and r.i == 99 for r in out)
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    def put(*seconds):
+        rows = [(1, n, 1.0, True, dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(seconds=n)) for n in seconds]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in order of their time
+    put(0, 1)
+    put(7200, 7201)
+    put(7202)  # the watermark that judges late rows is the one of the batch before
+    put(2, 7203)
+    counts = {}
+    got = jobs.windowed_functionals(stream(spark, tmp_path / "in"), ["s"], "at", "v", "10 seconds", counts=counts).collect()
+    assert counts == {"input_rows": 7, "late_rows": 1} and sorted(r.n for r in got) == [2, 4]
