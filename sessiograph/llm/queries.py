@@ -10,6 +10,7 @@ from .exact_dedup import exact_duplicates
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import HOST_RATE, REPEATED_LINES, REPEATED_WORDS, SYMBOLS_PER_WORD, WORD_LENGTH, quality
+from .suffix_dedup import repeated_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +92,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_minhash_dedup")
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(documents(spark, sf_dir))
