@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_duplicates
+from .language_id import language_of
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import HOST_RATE, REPEATED_LINES, REPEATED_WORDS, SYMBOLS_PER_WORD, WORD_LENGTH, quality
@@ -97,3 +98,8 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(documents(spark, sf_dir))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_of(documents(spark, sf_dir))
