@@ -11,6 +11,7 @@ from .language_id import language_of
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import HOST_RATE, REPEATED_LINES, REPEATED_WORDS, SYMBOLS_PER_WORD, WORD_LENGTH, quality
+from .secret_scan import secrets
 from .suffix_dedup import repeated_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +104,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_of(documents(spark, sf_dir))
+
+
+@query("op9_secret_scan")
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(documents(spark, sf_dir))
