@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import PART, chat_format
 from .exact_dedup import exact_duplicates
 from .language_id import language_of
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import HOST_RATE, REPEATED_LINES, REPEATED_WORDS, SYMBOLS_PER_WORD, WORD_LENGTH, quality
 from .secret_scan import secrets
+from .sentencepiece_codec import encode
 from .suffix_dedup import repeated_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +111,25 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_secret_scan")
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir))
+
+
+CHAT_SQL = f"""
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+  SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s, row_number() OVER o AS j,
+    string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '') OVER o AS prefix, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
+whole AS (SELECT n, prefix, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE j = n GROUP BY n, prefix),
+stays AS (SELECT conv_id, copies FROM whole ANTI JOIN (SELECT DISTINCT j AS n, prefix FROM p WHERE j < n) USING (n, prefix))
+SELECT conv_id, CAST(coalesce(floor(turn / {PART}), -1) AS BIGINT) AS part, count(*) AS n_turns, copies, string_agg(s, '' ORDER BY j) AS rendered
+FROM p JOIN stays USING (conv_id) GROUP BY conv_id, part, copies"""
+
+
+@query("op4_chat_format", CHAT_SQL)
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+@query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
