@@ -65,3 +65,38 @@ def slices(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(mod).cast("long"))
+
+
+def with_digest(docs: DataFrame, name: str, text_col: str, digests) -> DataFrame:
+    """``docs`` with one more binary column: ``digests`` of each batch of texts (null as empty)."""
+    fields = docs.schema.add(name, "binary")
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [t or "" for t in batch.column(at).cast(pa.string()).to_pylist()]
+            out = [d for lo, hi in slices(texts, 1_000_000) for d in digests(texts[lo:hi])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, fields)
+
+
+def keep_marked(docs: DataFrame, flags: DataFrame, id_col: str, text_col: str, digests) -> DataFrame:
+    """The rows of ``docs`` that ``flags`` (doc_id, digest, kept) keeps, unchanged.
+
+    Rows are addressed by id and digest, so null ids and ids with several texts are told apart; of rows that agree in both,
+    as many stay as are kept there (one).
+    """
+    name = free_name(docs, "_digest")
+    tagged = with_digest(docs, name, text_col, digests)
+    sums = stored(flags.groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("stay"))
+                  .where("stay < n").select(F.col("doc_id").alias("_of"), F.col("digest").alias("_by"), "stay"), "dropped")
+    same = tagged[id_col].cast("long").eqNullSafe(sums["_of"]) & (tagged[name] == sums["_by"])
+    rest = tagged.join(sums, same, "left_anti")
+    if sums.where("stay > 0").isEmpty():
+        return rest.drop(name)
+    once = sums.where("stay > 0")
+    again = tagged.join(once, tagged[id_col].cast("long").eqNullSafe(once["_of"]) & (tagged[name] == once["_by"]), "left_semi").dropDuplicates([id_col, name])
+    return rest.unionByName(again).drop(name)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, narrow, parts_for, stored
+from ._common import discard, keep_marked, narrow, parts_for, stored
 
 #: Fingerprints one owner holds on average (8 bytes each while it decodes).
 PER_OWNER = 4_000_000
@@ -121,13 +121,8 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([shas[i] for i in kept], pa.binary()), pa.array([texts[i] for i in kept], pa.binary())], names=["sha", "body"])
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after lower-casing A-Z; a null text counts as empty. Of equal texts the largest id
-    stays (a null id is the smallest); of repeated rows with that id exactly one has ``kept``. An empty table gives an
-    empty result. Other columns of ``docs`` are ignored.
-    """
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, keep_id, size, kept, sha of every input row."""
     rows = narrow(docs, id_col, text_col)
     owners = parts_for(rows.count(), PER_OWNER, 8)
     both = stored(rows.mapInArrow(_fingerprint(owners), PRINTS), "prints", "message")
@@ -149,4 +144,20 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         "doc_id", F.col("top.doc_id").alias("keep_id"), "size", ((F.col("block") == F.col("top.block")) & (F.col("row") == F.col("top.row"))).alias("kept"), "sha",
     ).unionByName(flagged.where(~F.col("suspect")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("kept"), "sha",
-    )).select("doc_id", "keep_id", F.col("size").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    ))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after lower-casing A-Z; a null text counts as empty. Of equal texts the largest id
+    stays (a null id is the smallest); of repeated rows with that id exactly one has ``kept``. An empty table gives an
+    empty result. Other columns of ``docs`` are ignored.
+    """
+    return _groups(docs, id_col, text_col).select("doc_id", "keep_id", F.col("size").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+def without_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``exact_duplicates`` keeps, with all their columns."""
+    flags = _groups(docs, id_col, text_col).select("doc_id", F.col("sha").alias("digest"), "kept")
+    return keep_marked(docs, flags, id_col, text_col, lambda texts: [hashlib.sha256(t.encode().lower()).digest() for t in texts])

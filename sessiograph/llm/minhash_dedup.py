@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, narrow, slices, stored
+from ._common import discard, keep_marked, narrow, slices, stored
 from ._hashing import joined, mix, prefix, spans, word_spans
 from .components import connected
 
@@ -174,14 +174,8 @@ def class_links(rows: DataFrame, sketches: DataFrame, classes: DataFrame) -> Dat
     return links
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
-
-    Sets are the distinct word pairs after lower-casing A-Z (a single word is its own set), by 64-bit hash. Texts without
-    words, null or empty, have an empty set, are linked with nothing and kept. ``component_id`` is the least id
-    reachable (null ids count as largest; null only where a component has no other); exactly one row of a component is
-    kept, also of repeated rows. An empty table gives an empty result; other columns are ignored.
-    """
+def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, set_hash, n_shingles, component_id, kept of every input row."""
     rows = narrow(docs, id_col, text_col)
     sketches = stored(rows.mapInArrow(_sketches, SKETCH), "sketches")
     nowhere = F.coalesce("doc_id", F.lit((1 << 63) - 1))
@@ -196,6 +190,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tops = whole.groupBy("comp").agg(F.min("low").alias("top"))
     of_class = stored(whole.join(tops, "comp").select("set_hash", F.col("top.doc_id").alias("component_id"), F.col("top.rid").alias("kept_rid")), "of_class")
     out = full.select("rid", "doc_id", "n", "set_hash").join(of_class, "set_hash").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("rid") == F.col("kept_rid")).alias("kept"))
-    empty = sketches.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+        "doc_id", "set_hash", F.col("n").alias("n_shingles"), "component_id", (F.col("rid") == F.col("kept_rid")).alias("kept"))
+    empty = sketches.where("n = 0").select("doc_id", "set_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
     return out.unionByName(empty)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Sets are the distinct word pairs after lower-casing A-Z (a single word is its own set), by 64-bit hash. Texts without
+    words, null or empty, have an empty set, are linked with nothing and kept. ``component_id`` is the least id
+    reachable (null ids count as largest; null only where a component has no other); exactly one row of a component is
+    kept, also of repeated rows. An empty table gives an empty result; other columns are ignored.
+    """
+    return _components(docs, id_col, text_col).drop("set_hash")
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns. Of rows with one id and equal sets one stays."""
+    flags = _components(docs, id_col, text_col).select("doc_id", F.col("set_hash").alias("digest"), "kept")
+    return keep_marked(docs, flags, id_col, text_col, lambda texts: [_hash(s) for s in shingle_sets([t.encode().lower() for t in texts])])

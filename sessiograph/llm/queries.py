@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import PART, chat_format
 from .exact_dedup import exact_duplicates
 from .language_id import language_of
+from .lm_scoring import lm_scores
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import HOST_RATE, REPEATED_LINES, REPEATED_WORDS, SYMBOLS_PER_WORD, WORD_LENGTH, quality
@@ -133,3 +134,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_sentencepiece")
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir))
