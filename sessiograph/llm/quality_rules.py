@@ -16,6 +16,8 @@ from ._common import SPACES, stored
 SYMBOLS_PER_WORD, REPEATED_LINES, WORD_LENGTH, REPEATED_WORDS = 0.1, 0.3, (2.0, 12.0), 0.3
 #: A host is rejected from this shrunk failure rate on.
 HOST_RATE = 0.5
+#: Least weight of the prior, in documents.
+PRIOR = 4.0
 #: Rejected hosts up to this counted number are broadcast; more are joined by shuffle.
 SMALL_HOSTS = 10_000
 
@@ -73,12 +75,12 @@ def soft_failed() -> Column:
 
 def host_verdicts(counts: DataFrame) -> DataFrame:
     """host, n, failed, rate (shrunk), rejected. The prior's mean and weight follow from the hosts' rates (moments);
-    hosts that all agree, or a single host, leave no variance to fit and get a prior of one document."""
+    its weight is that of PRIOR documents at least, also where all hosts agree and leave no variance to fit."""
     hosts = counts.where(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("soft_failed").cast("long")).alias("failed"))
     share = F.col("failed") / F.col("n")
     one = hosts.agg(F.avg(share).alias("mean"), F.var_pop(share).alias("var"), F.count("*").alias("k")).first()
     mean, var = one["mean"] or 0.0, one["var"] or 0.0
-    weight = max(1.0, mean * (1 - mean) / var - 1) if var > 0 else 1.0
+    weight = max(PRIOR, mean * (1 - mean) / var - 1) if var > 0 else PRIOR
     rate = (F.col("failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight))
     return hosts.select("host", "n", "failed", rate.alias("rate"), (rate > HOST_RATE).alias("rejected"))
 

@@ -12,7 +12,7 @@ from .language_id import language_of
 from .lm_scoring import lm_scores
 from .minhash_dedup import near_duplicates
 from .packing import pack
-from .quality_rules import HOST_RATE, REPEATED_LINES, REPEATED_WORDS, SYMBOLS_PER_WORD, WORD_LENGTH, quality
+from .quality_rules import HOST_RATE, PRIOR, REPEATED_LINES, REPEATED_WORDS, SYMBOLS_PER_WORD, WORD_LENGTH, quality
 from .secret_scan import secrets
 from .sentencepiece_codec import encode
 from .suffix_dedup import repeated_spans
@@ -81,7 +81,7 @@ judged AS (
   FROM counts),
 hosts AS (SELECT source, count(*) AS n, sum(CAST(soft_failed AS BIGINT)) AS failed FROM judged WHERE source IS NOT NULL GROUP BY source),
 prior AS (SELECT avg(failed / n) AS mean, var_pop(failed / n) AS var FROM hosts),
-weight AS (SELECT mean, CASE WHEN var > 0 THEN greatest(1.0, mean * (1 - mean) / var - 1) ELSE 1.0 END AS k FROM prior),
+weight AS (SELECT mean, CASE WHEN var > 0 THEN greatest({PRIOR}, mean * (1 - mean) / var - 1) ELSE {PRIOR} END AS k FROM prior),
 verdicts AS (SELECT source, (failed + mean * k) / (n + k) AS rate FROM hosts, weight)"""
 
 
