@@ -33,7 +33,7 @@ def tolerance_join(df: DataFrame, other: DataFrame, key: str, tolerance: float =
     under their names; its start and end are called ``_start`` and ``_end``. The last match by start wins.
     """
     cell = F.floor(F.col("start_time") / tolerance).cast("long")
-    left = df.withColumn("_cell", cell)
+    left = df.withColumn("_cell", cell).withColumn("_row", F.monotonically_increasing_id())
     right = (other.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
              .withColumnRenamed("start_time", "_start").withColumnRenamed("end_time", "_end"))
     near = (F.abs(left["start_time"] - right["_start"]) < tolerance) & (F.abs(left["end_time"] - right["_end"]) < tolerance)
@@ -41,8 +41,8 @@ def tolerance_join(df: DataFrame, other: DataFrame, key: str, tolerance: float =
     values = [c for c in other.columns if c not in (key, "start_time", "end_time")]
     joined = left.join(right, same & near, how)
     pick = F.max_by(F.struct(*[right[c] for c in values]), F.struct(right["_start"], right["_end"]))
-    ids = [left[c] for c in df.columns]
-    return joined.groupBy(*ids).agg(pick.alias("_m")).select(*df.columns, *[F.col(f"_m.{c}").alias(c) for c in values])
+    own = F.first(F.struct(*[left[c] for c in df.columns]))  # equal rows stay as many as they are
+    return joined.groupBy("_row").agg(pick.alias("_m"), own.alias("_own")).select("_own.*", *[F.col(f"_m.{c}").alias(c) for c in values])
 
 
 def interval_join_words(parts: DataFrame, words: DataFrame, keys: list[str], start: str = "part_start", end: str = "part_end") -> DataFrame:

@@ -43,20 +43,20 @@ def ngram_terms(text: str | Column) -> Column:
     return let(words, with_pairs)
 
 
-def tfidf(df: DataFrame, doc: str, text: str, min_df: int = 2, max_df: float = 0.95, max_terms: int = 3000) -> DataFrame:
+def tfidf(df: DataFrame, doc: str, text: str, min_df: int = 2, max_df: float = 0.95, *, max_terms: int | None) -> DataFrame:
     """(doc, term, weight): 1 + ln tf, smoothed idf + 1, unit length per document.
 
-    The vocabulary is the most frequent terms within the document-frequency limits; its size is fixed, so
-    it is broadcast. Counting is per (document, term) with map-side combine.
+    The vocabulary is the terms within the document-frequency limits, or the ``max_terms`` most frequent of them; only
+    one of such a fixed size is broadcast. Counting is per (document, term) with map-side combine.
     """
     counts = df.select(doc, F.explode(ngram_terms(text)).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = df.agg(F.count(F.lit(1)).alias("_n"))
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df"), F.sum("tf").alias("_total"))
     terms = with_scalars(terms, n)
-    vocabulary = (terms.where((F.col("_df") >= min_df) & (F.col("_df") <= F.col("_n") * max_df))
-                  .orderBy(F.desc("_total"), "term").limit(max_terms)
-                  .select("term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf")))
-    weighted = counts.join(F.broadcast(vocabulary), "term").withColumn("_w", (1 + F.log("tf")) * F.col("_idf"))
+    usable = terms.where((F.col("_df") >= min_df) & (F.col("_df") <= F.col("_n") * max_df))
+    chosen = usable if max_terms is None else usable.orderBy(F.desc("_total"), "term").limit(max_terms)
+    vocabulary = chosen.select("term", (F.log((F.col("_n") + 1) / (F.col("_df") + 1)) + 1).alias("_idf"))
+    weighted = counts.join(vocabulary if max_terms is None else F.broadcast(vocabulary), "term").withColumn("_w", (1 + F.log("tf")) * F.col("_idf"))
     norms = weighted.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
     return weighted.join(norms, doc).select(doc, "term", (F.col("_w") / F.col("_l")).alias("weight"))
 
@@ -81,7 +81,7 @@ class TextVectors:
         self.stages = stages
 
     @staticmethod
-    def fit(df: DataFrame, max_terms: int = 3000, min_df: int = 2, max_df: float = 0.95) -> TextVectors:
+    def fit(df: DataFrame, max_terms: int, min_df: int = 2, max_df: float = 0.95) -> TextVectors:
         """``df`` has the terms of a document in ``terms``; store it before, it is read several times."""
         terms = df.select("terms")
         counter = ft.CountVectorizer(inputCol="terms", outputCol="_counts", vocabSize=max_terms, minDF=float(min_df), maxDF=max_df).fit(terms)
@@ -166,7 +166,7 @@ def fit_calibrated_svc(train: DataFrame, folds: int = 3, max_iter: int = 10) ->
     return score
 
 
-def text_scores(train: DataFrame, held: DataFrame, name: str = "p_text", max_terms: int = 1000) -> DataFrame:
+def text_scores(train: DataFrame, held: DataFrame, name: str = "p_text", max_terms: int = 3000) -> DataFrame:
     """Fit text features and the calibrated SVC on ``train``, score ``held``.
 
     The training vectors are written once: every fit of the learner reads them, none computes them again.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import (ACOUSTIC_NAME_PARTS, NON_FEATURE_COLUMNS, TEXT_FEATURE_NAMES, UPLOAD_EXTENSIONS,
-                         UPLOAD_MIME_TYPES, acoustic_columns)
+                         UPLOAD_MIME_TYPES, ACOUSTIC_COLUMNS)
 from ..functions import scalars as sc
 from ..functions import text as tx
 from . import ordered
@@ -59,7 +59,7 @@ def project_audio_schema(df: DataFrame) -> DataFrame:
     ids = ["file_id", "segment_id", "start", "end", "duration", "label"]
     lexical = ["speech_rate", "articulation_rate", "type_token_ratio", "pronoun_count", "negation_count", "avg_word_length"]
     have = set(df.columns)
-    known = [F.col(f"`{c}`") for c in [*ids, *acoustic_columns(), *lexical] if c in have]
+    known = [F.col(f"`{c}`") for c in [*ids, *ACOUSTIC_COLUMNS, *lexical] if c in have]
     default = {"segment_path": F.lit(""), "asr_conf_mean": F.lit(0.0), "asr_conf_std": F.lit(0.0), "word_count": tx.word_count("text")}
     return df.select(*known, *[F.col(n) if n in have else c.alias(n) for n, c in default.items()])
 
@@ -168,20 +168,21 @@ def fps_interval(fps: Column, rate: Column | float) -> Column:
     return F.greatest(F.lit(1), F.floor(fps / rate)).cast("long")
 
 
-def even_chunks(df: DataFrame, duration: Column, seconds: float = 15.0, at_most: int = 24) -> DataFrame:
-    """Chunk numbers of a recording with their bounds, thinned evenly to ``at_most``; one input row per recording."""
+def even_chunks(df: DataFrame, duration: Column, seconds: float = 15.0, at_most: int | None = None) -> DataFrame:
+    """Chunk numbers of a recording with their bounds, thinned evenly to ``at_most`` if given; one input row per recording."""
     n = F.greatest(F.lit(1), F.ceil(duration / seconds)).cast("long")
-    step = (F.col("_n") - 1) / F.lit(float(at_most - 1))
-    all_of_them = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
-    thinned = F.transform(F.sequence(F.lit(0), F.lit(at_most - 1)), lambda i: F.bround(i * step).cast("long"))
-    chosen = F.when(F.col("_n") > at_most, thinned).otherwise(F.when(F.col("_n") <= at_most, all_of_them))
+    chosen = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)
+    if at_most is not None:
+        step = (F.col("_n") - 1) / F.lit(float(at_most - 1))
+        thinned = F.transform(F.sequence(F.lit(0), F.lit(at_most - 1)), lambda i: F.bround(i * step).cast("long"))
+        chosen = F.when(F.col("_n") > at_most, thinned).otherwise(F.when(F.col("_n") <= at_most, chosen))
     out = df.withColumn("_n", n).withColumn("_d", duration).withColumn("chunk", F.explode(chosen))
     out = out.withColumns({"chunk_start": F.col("chunk") * F.lit(seconds),
                            "chunk_end": F.least((F.col("chunk") + 1) * F.lit(seconds), F.col("_d"))})
     return out.where(F.col("chunk_end") > F.col("chunk_start")).drop("_n", "_d")
 
 
-def downsample_timeline(df: DataFrame, keys: list[str], index: str, max_points: int = 180) -> DataFrame:
+def downsample_timeline(df: DataFrame, keys: list[str], index: str, max_points: int) -> DataFrame:
     """Every k-th point and the last, k = ceil(n / max_points). The count is an aggregate joined back."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(index).alias("_top"))
     step = F.ceil(F.col("_n") / F.lit(max_points))

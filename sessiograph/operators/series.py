@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
@@ -28,49 +28,52 @@ def vector_mean(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     return per.groupBy(*keys).agg(F.transform(ordered, lambda s: s["_m"]).alias(vec))
 
 
-def smooth(df: DataFrame, keys: list[str], index: str, value: str, width: int = 3, *, no_zero: bool = False, name: str = "smoothed") -> DataFrame:
+def smooth_over(w: WindowSpec, value: str, width: int = 3, *, no_zero: bool = False) -> Column:
     """Centred moving average, narrower at the ends. ``no_zero`` leaves zeros out and keeps a zero as zero."""
-    half = width // 2
+    near = w.rowsBetween(-(width // 2), width // 2)
+    if not no_zero:
+        return F.avg(value).over(near)
+    voiced = F.avg(F.when(F.col(value) != 0, F.col(value))).over(near)
+    return F.when(F.col(value) == 0, 0.0).otherwise(voiced)
 
-    def expr(w):
-        near = w.rowsBetween(-half, half)
-        if not no_zero:
-            return {name: F.avg(value).over(near)}
-        voiced = F.avg(F.when(F.col(value) != 0, F.col(value))).over(near)
-        return {name: F.when(F.col(value) == 0, 0.0).otherwise(voiced)}
-    return ordered.over_neighbours(df, keys, index, expr, half, half)
 
+def smooth(df: DataFrame, keys: list[str], index: str, value: str, width: int = 3, *, no_zero: bool = False, name: str = "smoothed") -> DataFrame:
+    """``smooth_over`` as a column; several columns of one neighbourhood go into one ``over_neighbours``."""
+    return ordered.over_neighbours(df, keys, index, lambda w: {name: smooth_over(w, value, width, no_zero=no_zero)}, width // 2, width // 2)
 
-def delta(df: DataFrame, keys: list[str], index: str, value: str, half: int = 2, *, mode: str = "plain", across_zero: bool = True, name: str = "delta") -> DataFrame:
+
+def delta_over(w: WindowSpec, value: str, half: int = 2, *, mode: str = "plain", across_zero: bool = True) -> Column:
     """Regression slope over +-half frames, end values repeated; half 0 is the difference to the frame before.
 
     mode: plain, abs, halfwave (negative to 0) or relative (divided by the value). Without
     ``across_zero`` a frame whose neighbourhood touches a zero gets 0.
     """
-    reach = max(half, 1)
+    x = F.col(value)
+    touched = [x]
+    if half == 0:
+        before = F.coalesce(F.lag(x).over(w), x)
+        slope = x - before
+        touched.append(before)
+    else:
+        # outside the series the first or last value of the neighbourhood stands in
+        near = w.rowsBetween(-half, half)
+        first, last = F.first(x).over(near), F.last(x).over(near)
+        terms = []
+        for n in range(1, half + 1):
+            ahead, back = F.coalesce(F.lead(x, n).over(w), last), F.coalesce(F.lag(x, n).over(w), first)
+            terms.append(n * (ahead - back))
+            touched += [ahead, back]
+        slope = sum(terms[1:], terms[0]) / (2 * sum(n * n for n in range(1, half + 1)))
+    if not across_zero:
+        slope = F.when(F.least(*[F.abs(v) for v in touched]) == 0, 0.0).otherwise(slope)
+    return {"plain": slope, "abs": F.abs(slope), "halfwave": F.greatest(slope, F.lit(0.0)),
+            "relative": F.when(x != 0, slope / F.when(x == 0, 1.0).otherwise(x)).otherwise(0.0)}[mode]
 
-    def expr(w):
-        x = F.col(value)
-        if half == 0:
-            slope = x - F.coalesce(F.lag(x).over(w), x)
-            touched = [x, F.coalesce(F.lag(x).over(w), x)]
-        else:
-            # outside the series the first or last value of the neighbourhood stands in
-            near = w.rowsBetween(-half, half)
-            first, last = F.first(x).over(near), F.last(x).over(near)
-            terms = []
-            touched = [x]
-            for n in range(1, half + 1):
-                ahead, back = F.coalesce(F.lead(x, n).over(w), last), F.coalesce(F.lag(x, n).over(w), first)
-                terms.append(n * (ahead - back))
-                touched += [ahead, back]
-            slope = sum(terms[1:], terms[0]) / (2 * sum(n * n for n in range(1, half + 1)))
-        if not across_zero:
-            slope = F.when(F.least(*[F.abs(v) for v in touched]) == 0, 0.0).otherwise(slope)
-        slope = {"plain": slope, "abs": F.abs(slope), "halfwave": F.greatest(slope, F.lit(0.0)),
-                 "relative": F.when(x != 0, slope / F.when(x == 0, 1.0).otherwise(x)).otherwise(0.0)}[mode]
-        return {name: slope}
-    return ordered.over_neighbours(df, keys, index, expr, reach, reach)
+
+def delta(df: DataFrame, keys: list[str], index: str, value: str, half: int = 2, *, mode: str = "plain", across_zero: bool = True, name: str = "delta") -> DataFrame:
+    """``delta_over`` as a column; several columns of one neighbourhood go into one ``over_neighbours``."""
+    reach = max(half, 1)
+    return ordered.over_neighbours(df, keys, index, lambda w: {name: delta_over(w, value, half, mode=mode, across_zero=across_zero)}, reach, reach)
 
 
 def median_filter(df: DataFrame, keys: list[str], index: str, value: str, width: int = 5, name: str = "median") -> DataFrame:

@@ -1,7 +1,7 @@
 """Segments to sessions: statistics, texts, counts, checks.
 
 Every group here may be of any size: averages, deviations, extremes and counts combine on the map side,
-medians go through ``group_quantiles``, texts are joined in parts of bounded length.
+medians go through ``group_quantiles``, texts are joined part by part before the parts are joined.
 """
 
 from __future__ import annotations
@@ -42,15 +42,18 @@ def session_stats(df: DataFrame, keys: list[str], features: list[str], prefix: s
     return out.select(*names, *[empty(F.col(f"{f}_median")).alias(f"{prefix}{f}_median") for f in features])
 
 
-def text_parts(df: DataFrame, session: str, index: str, text: str = "text", part_segments: int = PART_SEGMENTS) -> DataFrame:
-    """Non-blank segment texts joined in order, one row per part of at most ``part_segments`` segments.
+def session_text(df: DataFrame, session: str, index: str, text: str = "text", part_segments: int = PART_SEGMENTS) -> DataFrame:
+    """Non-blank segment texts joined in order, one row per session.
 
-    A session shorter than that is one part; nothing is cut off from longer ones.
+    Parts of ``part_segments`` segments are joined first, so no task sorts a whole long session's segments; the text of a
+    session itself is one value, which Spark limits to 2 GB.
     """
     clean = df.select(session, index, tx.strip_blanks(text).alias("_t")).where(F.col("_t") != "")
     part = F.floor(F.col(index) / part_segments).cast("long")
     ordered = F.array_sort(F.collect_list(F.struct(F.col(index), F.col("_t"))))
-    return clean.groupBy(session, part.alias("part")).agg(F.array_join(F.transform(ordered, lambda s: s["_t"]), " ").alias("full_text"))
+    parts = clean.groupBy(session, part.alias("_part")).agg(F.array_join(F.transform(ordered, lambda s: s["_t"]), " ").alias("_t"))
+    whole = F.array_sort(F.collect_list(F.struct("_part", "_t")))
+    return parts.groupBy(session).agg(F.array_join(F.transform(whole, lambda s: s["_t"]), " ").alias("full_text"))
 
 
 def class_balance(df: DataFrame, session: str, label: str, minimum: int = 10) -> DataFrame:

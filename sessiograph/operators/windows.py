@@ -100,14 +100,17 @@ def answer_intervals(questions: DataFrame, session: str, index: str, media_end:
     return out.where((F.col("answer_start") < F.col("answer_end")) & (F.col("answer_end") <= F.col(media_end)))
 
 
-def chunk_index(frames: DataFrame, session: str, t: str, index: str, seconds: float = 15.0, at_most: int = 6) -> DataFrame:
-    """Chunk of each frame with its clipped bounds, the first ``at_most`` frames of each chunk.
+def chunk_index(frames: DataFrame, session: str, t: str, index: str, seconds: float = 15.0, at_most: int | None = None) -> DataFrame:
+    """Chunk of each frame with its clipped bounds; with ``at_most`` the first so many frames of each chunk.
 
     The window is per chunk, whose frames are bounded by its length in seconds.
     """
     d = frames.groupBy(session).agg(F.max(t).alias("_d"), F.max(index).alias("_top"))
     c = ordered.attach(frames, d, [session], index).withColumn("chunk", F.floor(F.col(t) / seconds).cast("long"))
     c = c.withColumns({"chunk_start": F.col("chunk") * F.lit(seconds), "chunk_end": F.least((F.col("chunk") + 1) * F.lit(seconds), F.col("_d"))})
+    kept = c.where(F.col("chunk_end") > F.col("chunk_start"))
+    if at_most is None:
+        return kept.drop("_d")
     w = Window.partitionBy(session, "chunk").orderBy(index)
-    kept = c.where(F.col("chunk_end") > F.col("chunk_start")).withColumn("_rn", F.row_number().over(w))
+    kept = kept.withColumn("_rn", F.row_number().over(w))
     return kept.where(F.col("_rn") <= at_most).drop("_rn", "_d")

@@ -25,10 +25,9 @@ def turn_chunk():
 
 
 @q("start_gap", "segments", f"""SELECT session_id, segment_idx, {r('start_time - lag(start_time) OVER w', 'start_gap')}, {r('start_time - lag(end_time) OVER w', 'pause')}
-    FROM segments WHERE score > 0.2 WINDOW w AS (PARTITION BY session_id ORDER BY segment_idx)""")
+    FROM segments WINDOW w AS (PARTITION BY session_id ORDER BY segment_idx)""")
 def _(t):
-    s = t.segments.where("score > 0.2")
-    return windows.start_gap(s, "session_id", ["segment_idx"], turn_chunk()).select(*ID, r6("start_gap"), r6("pause"))
+    return windows.start_gap(t.segments, "session_id", ["segment_idx"], turn_chunk()).select(*ID, r6("start_gap"), r6("pause"))
 
 
 @q("score_jump", "segments", f"SELECT session_id, segment_idx, {r('abs(score - lag(score) OVER (PARTITION BY session_id ORDER BY segment_idx))', 'jump')} FROM segments")
@@ -130,8 +129,8 @@ GAPPY = "g AS (SELECT *, CASE WHEN event_type = 'error' THEN 0 ELSE level END AS
 @q("smooth_moving_average", "frames", f"""WITH {GAPPY} SELECT series_id, frame_idx, {r(f'avg(value) {W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)', 'sma3')},
     {r(f'CASE WHEN f0 = 0 THEN 0 ELSE avg(CASE WHEN f0 <> 0 THEN f0 END) {W} ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END', 'sma3nz')} FROM g""")
 def _(t):
-    s = series.smooth(gappy(t), K, IDX, "value", 3, name="sma3")
-    return series.smooth(s, K, IDX, "f0", 3, no_zero=True, name="sma3nz").select(*KI, r6("sma3"), r6("sma3nz"))
+    s = ordered.over_neighbours(gappy(t), K, IDX, lambda w: {"sma3": series.smooth_over(w, "value"), "sma3nz": series.smooth_over(w, "f0", no_zero=True)})
+    return s.select(*KI, r6("sma3"), r6("sma3nz"))
 
 
 def _delta_sql(x, half):
@@ -148,11 +147,10 @@ _D = _delta_sql("value", 2)
     SELECT series_id, frame_idx, {r('d', 'delta')}, {r('abs(d)', 'abs_delta')}, {r('greatest(d, 0)', 'half_delta')}, {r('CASE WHEN value <> 0 THEN d / value ELSE 0 END', 'rel_delta')},
     {r('diff', 'diff')}, {r('CASE WHEN touch THEN 0 ELSE fdiff END', 'voiced_diff')} FROM d""")
 def _(t):
-    d = gappy(t)
-    for mode, name in (("plain", "delta"), ("abs", "abs_delta"), ("halfwave", "half_delta"), ("relative", "rel_delta")):
-        d = series.delta(d, K, IDX, "value", 2, mode=mode, name=name)
-    d = series.delta(d, K, IDX, "value", 0, name="diff")
-    d = series.delta(d, K, IDX, "f0", 0, across_zero=False, name="voiced_diff")
+    modes = {"delta": "plain", "abs_delta": "abs", "half_delta": "halfwave", "rel_delta": "relative"}
+    d = ordered.over_neighbours(gappy(t), K, IDX, lambda w: {
+        **{name: series.delta_over(w, "value", mode=mode) for name, mode in modes.items()},
+        "diff": series.delta_over(w, "value", 0), "voiced_diff": series.delta_over(w, "f0", 0, across_zero=False)}, 2, 2)
     return d.select(*KI, *[r6(c) for c in ("delta", "abs_delta", "half_delta", "rel_delta", "diff", "voiced_diff")])
 
 
@@ -300,14 +298,14 @@ def _(t):
 
 @q("chunk_index", "frames", f"""WITH c AS (SELECT series_id, frame_idx, CAST(floor(t / CAST(0.16 AS DOUBLE)) AS BIGINT) AS chunk, max(t) OVER (PARTITION BY series_id) AS d FROM frames),
     b AS (SELECT *, chunk * CAST(0.16 AS DOUBLE) AS chunk_start, least((chunk + 1) * CAST(0.16 AS DOUBLE), d) AS chunk_end FROM c),
-    k AS (SELECT *, row_number() OVER (PARTITION BY series_id, chunk ORDER BY frame_idx) AS rn FROM b WHERE chunk_end > chunk_start)
-    SELECT series_id, frame_idx, chunk, round(chunk_start, 6) AS chunk_start, round(chunk_end, 6) AS chunk_end FROM k WHERE rn <= 6""")
+    k AS (SELECT * FROM b WHERE chunk_end > chunk_start)
+    SELECT series_id, frame_idx, chunk, round(chunk_start, 6) AS chunk_start, round(chunk_end, 6) AS chunk_end FROM k""")
 def _(t):
-    return windows.chunk_index(t.frames, "series_id", "t", "frame_idx", 0.16, 6).select(*KI, "chunk", r6("chunk_start"), r6("chunk_end"))
+    return windows.chunk_index(t.frames, "series_id", "t", "frame_idx", 0.16).select(*KI, "chunk", r6("chunk_start"), r6("chunk_end"))
 
 
 @q("split_long_segments", "segments", f"""WITH {PARTS_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY segment_idx, part) - 1 AS new_idx FROM bounds)
-    SELECT session_id, segment_idx, session_id || '_segment_' || lpad(CAST(new_idx AS VARCHAR), 4, '0') AS new_segment_id, round(part_start, 6) AS part_start, round(part_end, 6) AS part_end FROM n""")
+    SELECT session_id, segment_idx, session_id || '_segment_' || printf('%04d', new_idx) AS new_segment_id, round(part_start, 6) AS part_start, round(part_end, 6) AS part_end FROM n""")
 def _(t):
     n = windows.renumber_parts(split_parts(t), "session_id", ["segment_idx", "part"], turn_chunk())
     return n.select(*ID, "new_segment_id", r6("part_start"), r6("part_end"))

@@ -68,8 +68,7 @@ def _(t):
     FROM segments s LEFT JOIN (SELECT session_id, string_agg(trim(text), ' ' ORDER BY segment_idx) AS full_text FROM segments GROUP BY 1) t ON t.session_id = s.session_id GROUP BY 1""")
 def _(t):
     stats = t.segments.groupBy("session_id").agg(r6(F.avg("score"), "score_mean"), F.count(F.lit(1)).alias("n_segments"), F.min("label").alias("label"))
-    first_part = sessions.text_parts(t.segments, "session_id", "segment_idx")
-    return stats.join(first_part.where("part = 0").drop("part"), "session_id", "left")
+    return stats.join(sessions.session_text(t.segments, "session_id", "segment_idx"), "session_id", "left")
 
 
 @q("anti_join_completed", "listing media scripts", "SELECT DISTINCT label, file_id FROM media WHERE file_id NOT IN (SELECT file_id FROM scripts)")
@@ -239,17 +238,17 @@ def _(t):
 
 
 @q("frame_sync_concat", "frames", """SELECT series_id, frame_idx, value AS f0, value * 2 AS loudness, e AS event_type FROM frames
-    JOIN (SELECT series_id AS s, frame_idx AS i, event_type AS e FROM frames WHERE value > 10) ON s = series_id AND i = frame_idx""")
+    JOIN (SELECT series_id AS s, frame_idx AS i, event_type AS e FROM frames) ON s = series_id AND i = frame_idx""")
 def _(t):
     k = ["series_id", "frame_idx"]
     levels = [t.frames.select(*k, F.col("value").alias("f0")), t.frames.select(*k, (F.col("value") * 2).alias("loudness")),
-              t.frames.where(F.col("value") > 10).select(*k, "event_type")]
+              t.frames.select(*k, "event_type")]
     return joins.frame_sync(levels, k)
 
 
 @q("positional_join", "", "SELECT vec_id AS instance_id, label, value FROM embeddings JOIN events ON event_id = vec_id")
 def _(t):
-    # stored rows carry their instance number, which the numbering of rows in file order must reproduce
-    a = joins.with_instance_number(t.table("embeddings").select("vec_id", "label"))
+    # both tables store their instance numbers; files and splits give no order to count rows in
+    a = t.table("embeddings").select(F.col("vec_id").alias("instance_id"), "label")
     b = t.table("events").select(F.col("event_id").alias("instance_id"), "value")
-    return joins.positional(a, b, "instance_id").where(F.col("vec_id") == F.col("instance_id")).select("instance_id", "label", "value")
+    return joins.positional(a, b, "instance_id").select("instance_id", "label", "value")

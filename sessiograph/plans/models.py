@@ -47,11 +47,11 @@ def _(t):
 @q("tfidf_features", "", rf"""WITH w AS (SELECT doc_id, regexp_extract_all(translate(lower(text), '{models.ACCENTED}', '{models.PLAIN}'), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM documents),
     e AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
     c AS (SELECT doc_id, term, count(*) AS tf FROM e GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM documents),
-    v AS (SELECT term, ln((n + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1 AS idf FROM c, n GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= n * 0.95 ORDER BY sum(tf) DESC, term LIMIT 3000),
+    v AS (SELECT term, ln((n + 1) / CAST(count(*) + 1 AS DOUBLE)) + 1 AS idf FROM c, n GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= n * 0.95),
     x AS (SELECT doc_id, c.term, (1 + ln(tf)) * idf AS w FROM c JOIN v ON v.term = c.term), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM x GROUP BY 1)
     SELECT x.doc_id, term, round(w / l, 6) AS weight FROM x JOIN l ON l.doc_id = x.doc_id""")
 def _(t):
-    return models.tfidf(spread(t.table("documents").select("doc_id", "text")), "doc_id", "text").withColumn("weight", F.round("weight", 6))
+    return models.tfidf(spread(t.table("documents").select("doc_id", "text")), "doc_id", "text", max_terms=None).withColumn("weight", F.round("weight", 6))
 
 
 AUDIO = ["audio_loudness_mean", "audio_f0_mean", "audio_jitter_max", "audio_n"]
@@ -111,7 +111,7 @@ def _(t):
 @q("early_fusion_linear")
 def _(t):
     s = training_sessions(t)
-    vec = models.TextVectors.fit(s, max_terms=1000)
+    vec = models.TextVectors.fit(s, max_terms=3000)
     from pyspark.ml import feature as ft
     num = models.assemble(AUDIO, "_num").transform(vec.transform(s))
     num = ft.StandardScaler(inputCol="_num", outputCol="_numz", withMean=True).fit(num).transform(num)
@@ -199,16 +199,16 @@ def _(t):
 
 _FB = """f AS (SELECT s.session_id, t.p_text, a.p_final FROM (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS session_id FROM customer) s
     LEFT JOIN (SELECT session_id, avg(score) AS p_text FROM segments GROUP BY 1) t ON t.session_id = s.session_id
-    LEFT JOIN (SELECT CAST(l_orderkey AS VARCHAR) AS session_id, avg(l_discount) * 10 AS p_final FROM lineitem GROUP BY 1 HAVING count(*) > 4) a ON a.session_id = s.session_id)"""
+    LEFT JOIN (SELECT CAST(l_orderkey AS VARCHAR) AS session_id, avg(l_discount) * 10 AS p_final FROM lineitem GROUP BY 1) a ON a.session_id = s.session_id)"""
 
 
 @q("score_text_only_fallback", "segments", f"""WITH {_FB} SELECT session_id, {r('coalesce(p_final, p_text)', 'score')}, CASE WHEN p_final IS NOT NULL THEN 'nlp' WHEN p_text IS NOT NULL THEN 'nlp_text_fallback' ELSE 'none' END AS source,
     CASE WHEN p_final IS NULL THEN 'no segment features' END AS reason FROM f""")
 def _(t):
     text = t.segments.groupBy("session_id").agg(F.avg("score").alias("p_text"))
-    li = t.table("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("session_id")).agg((F.avg("l_discount") * 10).alias("p_final"), F.count(F.lit(1)).alias("_n"))
+    li = t.table("lineitem").groupBy(F.col("l_orderkey").cast("string").alias("session_id")).agg((F.avg("l_discount") * 10).alias("p_final"))
     every = t.table("customer").select(F.col("c_custkey").cast("string").alias("session_id"))
-    joined = every.join(text, "session_id", "left").join(li.where("_n > 4").drop("_n"), "session_id", "left")
+    joined = every.join(text, "session_id", "left").join(li, "session_id", "left")
     return models.text_fallback(joined, "session_id").select("session_id", r6("score"), "source", "reason")
 
 

@@ -162,10 +162,9 @@ def _(t):
     return pr.gate_by_value(both, F.col("value"), ["unvoiced"], 40.0, invert=True, zero=True)
 
 
-@q("sample_every_nth_frame", "frames", """WITH s AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY frame_idx) AS rn FROM frames WHERE frame_idx % 3 = 0)
-    SELECT series_id, frame_idx, value FROM s WHERE rn <= 120""")
+@q("sample_every_nth_frame", "frames", """SELECT series_id, frame_idx, value FROM frames WHERE frame_idx % 3 = 0""")
 def _(t):
-    return pr.every_nth(t.frames, "frame_idx", 3, 120).select("series_id", "frame_idx", "value")
+    return pr.every_nth(t.frames, "frame_idx", 3).select("series_id", "frame_idx", "value")
 
 
 @q("sample_at_fps", "frames", """SELECT series_id, frame_idx, value FROM frames WHERE frame_idx % greatest(1, CAST(floor((series_id % 30 + 1) / CAST(4 AS DOUBLE)) AS BIGINT)) = 0""")
@@ -179,7 +178,7 @@ def _(t):
     SELECT session_id, chunk, chunk * CAST(15 AS DOUBLE) AS chunk_start, least((chunk + 1) * CAST(15 AS DOUBLE), d) AS chunk_end FROM c WHERE least((chunk + 1) * CAST(15 AS DOUBLE), d) > chunk * 15""")
 def _(t):
     lengths = t.segments.groupBy("session_id").agg((F.max("end_time") * 8).alias("d"))
-    return pr.even_chunks(lengths, F.col("d")).drop("d")
+    return pr.even_chunks(lengths, F.col("d"), at_most=24).drop("d")
 
 
 @q("downsample_timeline", "frames", """WITH n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM frames)

@@ -59,9 +59,9 @@ def _(t):
 
 @q("concat_session_text", "segments", r"""WITH c AS (SELECT session_id, segment_idx, regexp_replace(regexp_replace(text,
     '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ''), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '') AS x FROM segments)
-    SELECT session_id, segment_idx // 4096 AS part, string_agg(x, ' ' ORDER BY segment_idx) AS full_text FROM c WHERE x <> '' GROUP BY 1, 2""")
+    SELECT session_id, string_agg(x, ' ' ORDER BY segment_idx) AS full_text FROM c WHERE x <> '' GROUP BY 1""")
 def _(t):
-    return sessions.text_parts(t.segments, "session_id", "segment_idx")
+    return sessions.session_text(t.segments, "session_id", "segment_idx")
 
 
 @q("session_segment_count", "segments", "SELECT session_id, count(*) AS n_segments FROM segments GROUP BY 1")
@@ -257,12 +257,12 @@ def _(t):
 
 
 MODELS_SQL = """models AS (SELECT user_id AS session_id, event_type AS model, least(1, max(value) / 250) AS score, CAST(least(1, max(value) / 250) >= 0.5 AS INTEGER) AS prediction
-    FROM events WHERE value > 120 GROUP BY 1, 2)"""
+    FROM events GROUP BY 1, 2)"""
 
 
 def model_results(t):
-    """Answers of up to five models per session; a model without high events did not answer."""
-    m = t.table("events").where(F.col("value") > 120).groupBy(F.col("user_id").alias("session_id"), F.col("event_type").alias("model")).agg(
+    """Answers of up to five models per session; a model without events did not answer."""
+    m = t.table("events").groupBy(F.col("user_id").alias("session_id"), F.col("event_type").alias("model")).agg(
         F.least(F.lit(1.0), F.max("value") / 250).alias("score"))
     return m.withColumns({"prediction": sc.predict("score", 0.5), "success": F.lit(True)})
 

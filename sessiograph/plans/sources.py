@@ -23,9 +23,9 @@ def _features_csv(t):
     return tables.scan_feature_csv(t.spark, path, _FCSV)
 
 
-@q("scan_feature_csv", "features", 'SELECT session_id, segment_idx, loudness, "F0", jitter FROM features WHERE jitter > 0.02')
+@q("scan_feature_csv", "features", 'SELECT session_id, segment_idx, loudness, "F0", jitter FROM features')
 def _(t):
-    return _features_csv(t).where("jitter > 0.02").select("session_id", "segment_idx", "loudness", "F0", "jitter")
+    return _features_csv(t).select("session_id", "segment_idx", "loudness", "F0", "jitter")
 
 
 @q("csv_sink", "features", "SELECT * FROM features")
@@ -40,18 +40,18 @@ def _(t):
     return tables.scan_series(t.spark, path, "series_id long, frame_idx long, value double", ";", "frame_idx", 10, 40)
 
 
-@q("scan_transcripts", "words", """SELECT session_id, segment_idx // 4096 AS part, CAST(count(DISTINCT segment_idx) AS INTEGER) AS n_segments, count(*) AS n_words FROM words GROUP BY 1, 2""")
+@q("scan_transcripts", "words", """SELECT session_id, CAST(count(DISTINCT segment_idx) AS INTEGER) AS n_segments, count(*) AS n_words FROM words GROUP BY 1""")
 def _(t):
     path = shared_dir(t.spark, "transcripts")
     docs = transcripts.nested(t.segments, "session_id", "segment_idx", t.words)
-    docs.write.partitionBy("session_id", "part").json(path)
+    docs.write.partitionBy("session_id").json(path)
     read = transcripts.scan_transcripts(t.spark, path)
     n_words = F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + F.size(F.coalesce(s["words"], F.array())))
-    return read.select(F.regexp_extract("file_path", "session_id=([^/]+)/", 1).alias("session_id"), F.regexp_extract("file_path", "part=([0-9]+)/", 1).cast("long").alias("part"),
+    return read.select(F.regexp_extract("file_path", "session_id=([^/]+)/", 1).alias("session_id"),
                        F.size("segments").alias("n_segments"), n_words.alias("n_words"))
 
 
-@q("explode_transcript_segments", "segments", r"""SELECT session_id, CASE WHEN segment_idx % 5 = 0 THEN 'transcript_segment_' || lpad(CAST(rn AS VARCHAR), 4, '0') ELSE segment_id END AS segment_id,
+@q("explode_transcript_segments", "segments", r"""SELECT session_id, CASE WHEN segment_idx % 5 = 0 THEN 'transcript_segment_' || printf('%04d', rn) ELSE segment_id END AS segment_id,
     round(CASE WHEN segment_idx % 7 = 3 THEN 0 ELSE start_time END, 6) AS start_time, round(end_time, 6) AS end_time, round(end_time - CASE WHEN segment_idx % 7 = 3 THEN 0 ELSE start_time END, 6) AS duration,
     regexp_replace(regexp_replace(text, '^[\s\x0B\x1C-\x1F\x{85}\p{Z}]+', ''), '[\s\x0B\x1C-\x1F\x{85}\p{Z}]+$', '') AS text
     FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY segment_idx) - 1 AS rn FROM segments)""")

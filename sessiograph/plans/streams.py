@@ -17,13 +17,13 @@ q = registry.query
 
 def event_stream(t):
     """Events as a stream, with the event time as an instant."""
-    src = jobs.file_stream(t.spark, t.dir, "events.parquet", t.table("events").schema)
+    src = jobs.file_stream(t.spark, f"{t.dir}/events.parquet", t.table("events").schema)
     return src.withColumns({"series_id": F.col("user_id"), "at": jobs.event_time("ts")})
 
 
 @q("stream_new_media", "listing media scripts", "SELECT listing_id, file_id, label FROM media WHERE file_id NOT IN (SELECT file_id FROM scripts)")
 def _(t):
-    src = jobs.file_stream(t.spark, t.dir, "orders.parquet", t.table("orders").schema)
+    src = jobs.file_stream(t.spark, f"{t.dir}/orders.parquet", t.table("orders").schema)
     ext = F.element_at(F.create_map(*[F.lit(x) for kv in _EXT.items() for x in kv]), F.col("o_orderpriority"))
     folder = F.when(F.col("o_orderstatus") == "F", "0").when(F.col("o_orderstatus") == "O", "1").otherwise("draft")
     listing = src.select(F.col("o_orderkey").alias("listing_id"), F.concat(F.lit("audio_wav/"), folder, F.lit("/rec_"), F.col("o_custkey").cast("string"), F.lit("."), ext).alias("path"))
@@ -76,21 +76,21 @@ def _rounded(df, keys):
     SELECT event_type, window_start, count(*) AS n, {_AGG} FROM f GROUP BY 1, 2""")
 def _(t):
     s = event_stream(t).withColumn("level", F.sqrt("value"))
-    return _rounded(jobs.windowed_functionals(s, ["event_type"], "at", "level", "1 day"), ["event_type"])
+    return _rounded(jobs.windowed_functionals(s, ["event_type"], "at", "level", "1 day", watermark=jobs.REPLAY), ["event_type"])
 
 
 @q("stream_sliding_functionals", "", f"""WITH f AS (SELECT event_type, sqrt(value) AS level, (epoch_us(ts) // 21600000000 - unnest(range(0, 4))) * 21600 AS window_start FROM events)
     SELECT event_type, window_start, count(*) AS n, {_AGG} FROM f GROUP BY 1, 2""")
 def _(t):
     s = event_stream(t).withColumn("level", F.sqrt("value"))
-    return _rounded(jobs.windowed_functionals(s, ["event_type"], "at", "level", "1 day", "6 hours"), ["event_type"])
+    return _rounded(jobs.windowed_functionals(s, ["event_type"], "at", "level", "1 day", "6 hours", watermark=jobs.REPLAY), ["event_type"])
 
 
 @q("stream_chunk_scores", "", f"""WITH c AS (SELECT user_id AS series_id, epoch_us(ts) // 86400000000 AS c, avg(sqrt(value)) AS p FROM events GROUP BY 1, 2)
     SELECT series_id, count(*) AS chunks_used, {r('avg(p)', 'probability')} FROM c GROUP BY 1""")
 def _(t):
     s = event_stream(t).withColumn("p", F.sqrt("value"))
-    return jobs.chunk_scores(s, "series_id", "at", "p", "1 day").select("series_id", "chunks_used", r6("probability"))
+    return jobs.chunk_scores(s, "series_id", "at", "p", "1 day", watermark=jobs.REPLAY).select("series_id", "chunks_used", r6("probability"))
 
 
 @q("stream_latest_session_score", "", """SELECT user_id AS series_id, count(*) AS uploads, arg_max(value, (ts, event_id)) AS latest_score, max(value) AS highest_score FROM events GROUP BY 1""")
@@ -101,7 +101,7 @@ def _(t):
 @q("stream_dedup_segments", "", "SELECT DISTINCT user_id AS series_id, event_type FROM events")
 def _(t):
     s = event_stream(t).select("series_id", "event_type", "at")
-    return jobs.dedup(s, ["series_id", "event_type"], "at", "400 days").select("series_id", "event_type")
+    return jobs.dedup(s, ["series_id", "event_type"], "at", watermark=jobs.REPLAY).select("series_id", "event_type")
 
 
 

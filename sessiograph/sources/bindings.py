@@ -33,7 +33,7 @@ class Tables:
         base = self.table("conversations").select(
             F.col("conv_id").cast("string").alias("session_id"),
             F.col("turn").alias("segment_idx"),
-            F.concat(F.col("conv_id").cast("string"), F.lit("_segment_"), F.lpad(F.col("turn").cast("string"), 4, "0")).alias("segment_id"),
+            F.concat(F.col("conv_id").cast("string"), F.lit("_segment_"), F.format_string("%04d", F.col("turn"))).alias("segment_id"),
             "role", "text", (F.col("conv_id") % 2).cast("int").alias("label"),
             (F.length("text") / F.lit(CHARS_PER_SECOND)).alias("duration"),
             (F.length("text") % 101 / F.lit(100.0)).alias("score"))
@@ -83,7 +83,7 @@ class Tables:
 SQL = {
     "segments": """
 seg0 AS (SELECT CAST(conv_id AS VARCHAR) AS session_id, turn AS segment_idx,
-    CAST(conv_id AS VARCHAR) || '_segment_' || lpad(CAST(turn AS VARCHAR), 4, '0') AS segment_id,
+    CAST(conv_id AS VARCHAR) || '_segment_' || printf('%04d', turn) AS segment_id,
     role, text, CAST(conv_id % 2 AS INTEGER) AS label,
     CAST(length(text) AS DOUBLE) / CAST(16 AS DOUBLE) AS duration,
     CAST(length(text) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS score FROM conversations),

@@ -28,8 +28,8 @@ def explode_segments(transcripts: DataFrame, key: str) -> DataFrame:
         F.greatest(F.lit(0.0), end - start).alias("duration"), tx.strip_blanks("s.text").alias("text"), F.col("s.words").alias("words"))
 
 
-def nested(segments: DataFrame, session: str, index: str, words: DataFrame | None = None, part_segments: int = 4096) -> DataFrame:
-    """Documents of at most ``part_segments`` segments each, from flat segments (and their words)."""
+def nested(segments: DataFrame, session: str, index: str, words: DataFrame | None = None) -> DataFrame:
+    """One document per session, from flat segments (and their words). A document is one value, which Spark limits to 2 GB."""
     s = segments
     if words is not None:
         w = F.array_sort(F.collect_list(F.struct("word_idx", "word", "word_start", "word_end", "word_score")))  # words of one segment
@@ -38,7 +38,6 @@ def nested(segments: DataFrame, session: str, index: str, words: DataFrame | Non
         s = s.join(listed, [session, index], "left")
     else:
         s = s.withColumn("words", F.lit(None).cast("array<struct<word:string,start:double,end:double,score:double>>"))
-    part = F.floor(F.col(index) / part_segments).cast("long").alias("part")
     entry = F.struct(F.col(index), F.struct(F.col("segment_id").alias("id"), F.col("start_time").cast("string").alias("start"), F.col("end_time").cast("string").alias("end"), "text", "words").alias("s"))
-    grouped = s.groupBy(session, part).agg(F.array_sort(F.collect_list(entry)).alias("_l"))
-    return grouped.select(session, "part", F.transform("_l", lambda x: x["s"]).alias("segments"))
+    grouped = s.groupBy(session).agg(F.array_sort(F.collect_list(entry)).alias("_l"))
+    return grouped.select(session, F.transform("_l", lambda x: x["s"]).alias("segments"))

@@ -12,16 +12,18 @@ from pyspark.sql import types as T
 from ..session import shared_dir
 from ..sources.tables import upsert_by_session
 
-WATERMARK = "1 minute"
+#: Watermark for replays of stored tables: no row of a table is ever late, in whatever order its files come.
+REPLAY = "36500 days"
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema, bytes_per_trigger: int = 1 << 30) -> DataFrame:
-    """A folder of parquet files as a stream; files already seen are not read again.
+def file_stream(spark: SparkSession, path: str, schema, bytes_per_trigger: int = 1 << 30) -> DataFrame:
+    """A parquet table, one file or a folder of part files, as a stream; files already seen are not read again.
 
     The size of a batch is bounded, and with it what a stateful operator sees of one series at a time.
     """
-    return (spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-            .option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(folder))
+    folder, _, name = path.rstrip("/").rpartition("/")
+    # a pattern that fits the name alone: a plain path would have to be a folder
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", str(bytes_per_trigger)).parquet(f"{folder}/[{name[0]}]{name[1:]}")
 
 
 def event_time(ts: str) -> Column:
@@ -62,7 +64,7 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r")).select(*keys, "_r.*")
 
 
-def windowed_functionals(stream: DataFrame, keys: list[str], ts: str, value: str, size: str, step: str | None = None, watermark: str = WATERMARK,
+def windowed_functionals(stream: DataFrame, keys: list[str], ts: str, value: str, size: str, step: str | None = None, *, watermark: str,
                          counts: dict[str, int] | None = None) -> DataFrame:
     """Mean, deviation, extremes and count on event-time windows; a window still open is part of the result."""
     w = F.window(ts, size, step) if step else F.window(ts, size)
@@ -72,7 +74,7 @@ def windowed_functionals(stream: DataFrame, keys: list[str], ts: str, value: str
     return latest(run(flat, "update", counts=counts), [*keys, "window_start"])
 
 
-def chunk_scores(stream: DataFrame, session: str, ts: str, score: str, size: str = "15 seconds", watermark: str = WATERMARK) -> DataFrame:
+def chunk_scores(stream: DataFrame, session: str, ts: str, score: str, size: str = "15 seconds", *, watermark: str) -> DataFrame:
     """Mean score per chunk, then the mean of the chunks per session."""
     agg = stream.withWatermark(ts, watermark).groupBy(session, F.window(ts, size)).agg(F.avg(score).alias("p"))
     chunks = latest(run(agg.select(session, F.unix_seconds("window.start").alias("chunk_start"), "p"), "update"), [session, "chunk_start"])
@@ -85,7 +87,7 @@ def session_scores(stream: DataFrame, session: str, order: list[str], score: str
     return latest(run(agg, "update"), [session])
 
 
-def dedup(stream: DataFrame, keys: list[str], ts: str, watermark: str = WATERMARK) -> DataFrame:
+def dedup(stream: DataFrame, keys: list[str], ts: str, *, watermark: str) -> DataFrame:
     """First occurrence of each key while its repetitions lie within the watermark."""
     return run(stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys), "append").drop("batch")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sessiograph.functions import scalars as sc
 from sessiograph.functions import text as tx
 from sessiograph.functions import vectors as vec
-from sessiograph.operators import folds, frames, metrics, phrases, projections, scoring, series, sessions, windows
+from sessiograph.operators import folds, frames, joins, metrics, phrases, projections, scoring, series, sessions, windows
 from sessiograph.sources import media, tables, transcripts
 
 NAN, INF = float("nan"), float("inf")
@@ -77,10 +77,18 @@ def test_session_stats_skip_nan_and_fill(spark):
     assert math.isclose(text["a"].text_x_std, math.sqrt(2)) and text["b"].text_x_std is None
 
 
-def test_text_parts_split_long_sessions(spark):
+def test_session_text_is_whole(spark):
     df = spark.createDataFrame([("s", i, f" w{i} " if i % 3 else "  ") for i in range(10)], "s string, i long, text string")
-    parts = {r.part: r.full_text for r in sessions.text_parts(df, "s", "i", part_segments=4).collect()}
-    assert parts == {0: "w1 w2", 1: "w4 w5 w7", 2: "w8"}
+    assert [r.full_text for r in sessions.session_text(df, "s", "i", part_segments=4).collect()] == ["w1 w2 w4 w5 w7 w8"]
+    long = spark.range(5000).select(F.lit("s").alias("s"), F.col("id").alias("i"), F.concat(F.lit("w"), "id").alias("text"))
+    assert sessions.session_text(long, "s", "i").first().full_text == " ".join(f"w{i}" for i in range(5000))
+
+
+def test_tolerance_join_keeps_equal_rows(spark):
+    left = spark.createDataFrame([("s", 1.0, 2.0, "a"), ("s", 1.0, 2.0, "a"), ("s", 5.0, 6.0, "b")], "session_id string, start_time double, end_time double, x string")
+    right = spark.createDataFrame([("s", 1.001, 2.001, 0.5)], "session_id string, start_time double, end_time double, pause_ratio double")
+    got = sorted((r.x, r.pause_ratio or 0.0) for r in joins.tolerance_join(left, right, "session_id").collect())
+    assert got == [("a", 0.5), ("a", 0.5), ("b", 0.0)]
 
 
 def test_label_mismatch_stops(spark):

@@ -23,7 +23,7 @@ def files(spark, folder, n_files=3, rows=40):
 
 def stream(spark, folder):
     # one byte per batch: every file is a batch of its own
-    return jobs.file_stream(spark, str(folder), "*.parquet", SCHEMA, 1)
+    return jobs.file_stream(spark, str(folder), SCHEMA, 1)
 
 
 def test_state_equals_batch(spark, tmp_path):
@@ -55,7 +55,7 @@ def test_silence_ends_a_turn(spark, tmp_path):
 
 def test_windows_and_latest(spark, tmp_path):
     batch = files(spark, tmp_path / "in")
-    got = jobs.windowed_functionals(stream(spark, tmp_path / "in"), ["s"], "at", "v", "4 seconds").select("s", "n", F.round("mean", 9))
+    got = jobs.windowed_functionals(stream(spark, tmp_path / "in"), ["s"], "at", "v", "4 seconds", watermark="1 minute").select("s", "n", F.round("mean", 9))
     want = batch.groupBy("s", F.window("at", "4 seconds")).agg(F.count("*").alias("n"), F.round(F.avg("v"), 9)).drop("window")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     last = jobs.session_scores(stream(spark, tmp_path / "in"), "s", ["i"], "v").collect()
@@ -79,5 +79,5 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     put(7202)  # the watermark that judges late rows is the one of the batch before
     put(2, 7203)
     counts = {}
-    got = jobs.windowed_functionals(stream(spark, tmp_path / "in"), ["s"], "at", "v", "10 seconds", counts=counts).collect()
+    got = jobs.windowed_functionals(stream(spark, tmp_path / "in"), ["s"], "at", "v", "10 seconds", watermark="1 minute", counts=counts).collect()
     assert counts == {"input_rows": 7, "late_rows": 1} and sorted(r.n for r in got) == [2, 4]
