@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct word pairs; the sketch is the
 and only classes are compared. The inverted lists are kept by runs of three neighbouring sketch values: two sets with a
 Jaccard similarity of 0.8 agree on at least four of five values in hash order, so they share many such runs, while
 texts that merely share a passage share few. Every class leaves its most common runs aside (as many as a linked pair is sure to
-have to spare); short lists give all their pairs, long ones one leader per round until what is left to compare is
-linear. The union sketch of a pair estimates its similarity, the full sets decide.
+have to spare); short lists give all their pairs, long ones the pairs with one leader. The union sketch of a pair estimates its similarity,
+the full sets decide. Rows that a long list leaves outside its largest component are compared with the rest in blocks.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ SPARE = 16
 SHORT = 8
 #: Estimates below this are no candidates; at a similarity of 0.8 or more the chance is below 1e-12.
 LEAST_ESTIMATE = 0.5
-ROUNDS = 12
+#: Set values that one block of askers, and one of sets asked, holds.
+ASKING, ASKED = 500_000, 2_000_000
 SKETCH = "rid long, doc_id long, n long, set_hash binary, sketch array<long>"
 
 
@@ -133,8 +134,8 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
 
 
-def class_links(rows: DataFrame, sketches: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what similarity 0.8 connects, between class ids."""
+def class_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, comp of the classes that similarity 0.8 connects with others."""
     lists = stored(_lists(classes), "lists")
     listed = lists.select("cid").distinct()
     known = classes.join(listed, "cid", "left_semi")
@@ -142,36 +143,69 @@ def class_links(rows: DataFrame, sketches: DataFrame, classes: DataFrame) -> Dat
     sets = stored(rows.join(asked, rows["doc_id"].eqNullSafe(asked["id"])).select("text", "set_hash", "cid").mapInArrow(_full_sets, "cid long, members array<long>")
                   .groupBy("cid").agg(F.first("members").alias("members")), "sets")
     verify = _Verifier(known, sets)
-    short = lists.where(F.col("length") <= SHORT)
-    links = stored(verify.links(_pairs(short, short)), "links")
-    long = lists.where(F.col("length") > SHORT)
-    for turn in range(ROUNDS + 1):
-        found = connected(links)
-        labelled = long.join(found.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-        labelled = stored(labelled, "labelled")
-        # of each list the rows outside its largest component are open; a list of one component is done
-        sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        tops = stored(sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all")).where(F.col("top.c") < F.col("all"))
-                      .select("key", F.col("top.comp").alias("most"), (F.col("all") - F.col("top.c")).alias("open"), "all"), "tops")
-        work = tops.agg(F.sum(F.col("open") * F.col("all")), F.sum("all")).first()
-        if not work[1]:
-            break
-        here = labelled.join(tops, "key")
-        last = work[0] <= SHORT * work[1] or turn == ROUNDS
-        if last:
-            left = here.where(F.col("comp") != F.col("most"))
-        else:
-            order = F.xxhash64("cid", F.lit(turn))
-            left = here.groupBy("key").agg(F.min_by(F.struct("cid", "n", "comp"), order).alias("x")).select("key", "x.*")
-        met = left.alias("l").join(here.alias("r"), F.col("l.key") == F.col("r.key")).where((F.col("l.comp") != F.col("r.comp")) & _close(F.col("l.n"), F.col("r.n")))
-        pairs = met.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
-        links = stored(links.unionByName(verify.links(pairs)).distinct(), "links")
-        discard(labelled)
-        if last:
-            break
-    discard(lists)
-    discard(sets)
-    return links
+    short, long = lists.where(F.col("length") <= SHORT), lists.where(F.col("length") > SHORT)
+    leaders = long.groupBy("key").agg(F.min_by(F.struct("cid", "n"), F.xxhash64("cid")).alias("x")).select("key", "x.*")
+    links = stored(verify.links(_pairs(short, short).unionByName(_pairs(leaders, long)).distinct()), "links")
+    labels = connected(links)
+    more = stored(_open_links(long, labels, sets), "links")
+    if not more.isEmpty():
+        labels = connected(links.unionByName(more))
+    for x in (lists, sets, links):
+        discard(x)
+    return labels
+
+
+def _open_links(long: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside long lists that the leaders left open.
+
+    A list of one component is done. In any other every row outside the list's largest component asks that component
+    and the rows that ask with it. Asking happens in blocks: the askers' sets and the others', of bounded size, meet
+    in one task, which counts shared values without making a row per pair.
+    """
+    labelled = stored(long.select("key", "cid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid")), "labelled")
+    sizes = labelled.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    tops = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select("key", F.col("top.comp").alias("most"))
+    asking = stored(labelled.join(tops, "key").where("comp != most").select("most", "cid", "n", "comp").distinct(), "asking")
+    wanted = asking.select("most").distinct()
+    members = labelled.select("cid", "n", "comp").distinct().join(wanted, F.col("comp") == F.col("most")).select("most", "cid", "n", "comp")
+    asked = stored(members.unionByName(asking), "asked")
+
+    def blocks(rows: DataFrame, per: int, name: str) -> DataFrame:
+        return rows.groupBy("most").agg(F.ceil(F.sum("n") / per).cast("int").alias(name))
+
+    shape = stored(blocks(asking, ASKING, "xs").join(blocks(asked, ASKED, "ys"), "most"), "shape")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        return rows.join(shape, "most").select("most", "cid", "n", "comp", F.pmod(F.xxhash64("cid"), F.col(own)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)).join(
+            sets, "cid").select(*(F.col(c).alias(c) for c in ("most", "xs", "ys", "cid", "n", "comp", "members")))
+
+    left, right = dealt(asking, "xs", "ys"), dealt(asked, "ys", "xs")
+    keys = ("most", "xs", "ys")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_ask, "a long, b long").distinct()
+
+
+def _ask(asking: pa.Table, asked: pa.Table) -> pa.Table:
+    """Links between two blocks of sets, across components."""
+    a, b = [], []
+    if asking.num_rows and asked.num_rows:
+        lists = asked["members"].combine_chunks()
+        values, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        cid, n, comp = (asked[c].to_numpy() for c in ("cid", "n", "comp"))
+        mine = asking["members"].combine_chunks()
+        flat, at = mine.flatten().to_numpy(), mine.offsets.to_numpy() - mine.offsets[0].as_py()
+        for i, (x, nx, cx) in enumerate(zip(*(asking[c].to_pylist() for c in ("cid", "n", "comp")), strict=True)):
+            part = flat[at[i] : at[i + 1]]
+            lo, hi = np.searchsorted(values, part, "left"), np.searchsorted(values, part, "right")
+            k = hi - lo
+            met = owner[np.repeat(lo - np.cumsum(k) + k, k) + np.arange(k.sum())]
+            shared = np.bincount(met, minlength=len(cid))
+            hit = np.flatnonzero((100 * shared >= 80 * (nx + n - shared)) & (comp != cx))
+            a.extend(np.minimum(cid[hit], x).tolist())
+            b.extend(np.maximum(cid[hit], x).tolist())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -184,8 +218,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.min(F.struct("rid", "doc_id")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
         F.min(F.struct(nowhere.alias("order"), "rid", "doc_id")).alias("low"),
     ).select("set_hash", F.col("one.rid").alias("cid"), F.col("one.doc_id").alias("doc_id"), "n", "sketch", "low"), "classes")
-    links = class_links(rows, sketches, classes)
-    labels = connected(links)
+    labels = class_components(rows, classes)
     whole = classes.select("set_hash", "cid", "low").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     tops = whole.groupBy("comp").agg(F.min("low").alias("top"))
     of_class = stored(whole.join(tops, "comp").select("set_hash", F.col("top.doc_id").alias("component_id"), F.col("top.rid").alias("kept_rid")), "of_class")
