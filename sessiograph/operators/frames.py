@@ -34,10 +34,15 @@ def rising_edge_count(df: DataFrame, keys: list[str], index: str, flag: Column,
     return ordered.running(marked, keys, [index], None, {name: ("sum", edge.cast("long"))}).drop("_p", "_f")
 
 
+def streaks(df: DataFrame, keys: list[str], index: str, flags: dict[str, Column], *, keep_chunk: bool = False) -> DataFrame:
+    """Per flag the frames in a row for which it holds: the distance to the last frame where it did not. One scan for all flags."""
+    last_off = {f"_off_{n}": ("last", F.when(~flag, F.col(index))) for n, flag in flags.items()}
+    out = ordered.running(df, keys, [index], ordered.chunk_of(index), last_off, keep_chunk=keep_chunk)
+    return out.withColumns({n: F.col(index) - F.coalesce(f"_off_{n}", F.lit(-1)) for n in flags}).drop(*last_off)
+
+
 def streak(df: DataFrame, keys: list[str], index: str, flag: Column, name: str, *, keep_chunk: bool = False) -> DataFrame:
-    """Frames in a row for which the flag holds: the distance to the last frame where it did not."""
-    out = ordered.running(df, keys, [index], ordered.chunk_of(index), {"_off": ("last", F.when(~flag, F.col(index)))}, keep_chunk=keep_chunk)
-    return out.withColumn(name, F.col(index) - F.coalesce("_off", F.lit(-1))).drop("_off")
+    return streaks(df, keys, index, {name: flag}, keep_chunk=keep_chunk)
 
 
 def leaky_counter(df: DataFrame, keys: list[str], index: str, away: Column, name: str = "gaze_away_time", fps: int = FPS) -> DataFrame:
@@ -45,8 +50,7 @@ def leaky_counter(df: DataFrame, keys: list[str], index: str, away: Column, name
 
     With S the running sum of the steps, the counter is S minus the lowest S so far (at most 0).
     """
-    summed = ordered.running(df, keys, [index], ordered.chunk_of(index), {"_s": ("sum", F.when(away, 1).otherwise(-1).cast("long"))}, keep_chunk=True)
-    low = ordered.running(summed, keys, [index], None, {"_m": ("min", F.col("_s"))})
+    low = ordered.running_low(df, keys, [index], ordered.chunk_of(index), F.when(away, 1).otherwise(-1).cast("long"), "_s", "_m")
     return low.withColumn(name, (F.col("_s") - F.least(F.lit(0), F.col("_m"))) / fps).drop("_s", "_m")
 
 

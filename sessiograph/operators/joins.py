@@ -47,10 +47,19 @@ def tolerance_join(df: DataFrame, other: DataFrame, key: str, tolerance: float =
 
 def interval_join_words(parts: DataFrame, words: DataFrame, keys: list[str], start: str = "part_start", end: str = "part_end") -> DataFrame:
     """Words of a segment to its parts: a word belongs where it starts or where it ends, so one that
-    straddles a cut belongs to both. ``keys`` name the segment; a segment has few parts."""
+    straddles a cut belongs to both. ``keys`` name the segment, whose parts are equally long and numbered in ``part``.
+
+    Each word meets only the parts its ends fall into (and their neighbours, for rounding), never all parts of a long segment.
+    """
+    first = F.min_by(F.struct(F.col(start).alias("s"), (F.col(end) - F.col(start)).alias("w")), "part")
+    shape = parts.groupBy(*keys).agg(first.alias("_f"))
+    at = [F.floor((F.col(c) - F.col("_f.s")) / F.nullif(F.col("_f.w"), F.lit(0.0))) for c in ("word_start", "word_end")]
+    near = F.array_distinct(F.array(*[F.coalesce(p, F.lit(0)).cast("long") + d for p in at for d in (-1, 0, 1)]))
+    words = words.join(shape, keys).withColumn("_part", F.explode(near)).drop("_f")
+    parts = parts.withColumn("_part", F.col("part").cast("long"))
     hit = (((F.col("word_start") >= F.col(start)) & (F.col("word_start") < F.col(end)))
            | ((F.col("word_end") > F.col(start)) & (F.col("word_end") <= F.col(end))))
-    return parts.join(words, keys).where(hit)
+    return parts.join(words, [*keys, "_part"]).where(hit).drop("_part")
 
 
 def priority_join(df: DataFrame, candidates: Column, other: DataFrame, key: str, row_id: str) -> DataFrame:

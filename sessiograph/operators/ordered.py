@@ -89,6 +89,18 @@ def running(df: DataFrame, keys: list[str], order: list[str], chunk: Column | No
     return out if keep_chunk else out.drop(_C)
 
 
+def running_low(df: DataFrame, keys: list[str], order: list[str], chunk: Column, step: Column, total: str, low: str) -> DataFrame:
+    """Running sum of ``step`` and the lowest running sum so far, in one scan: chunks carry their sum and their lowest prefix."""
+    w = Window.partitionBy(*keys, _C).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumn(_C, chunk).withColumn("_s", F.sum(step).over(w)).withColumn("_m", F.min("_s").over(w))
+    before = Window.partitionBy(*keys).orderBy(_C).rowsBetween(Window.unboundedPreceding, -1)
+    ends = local.groupBy(*keys, _C).agg(F.max_by("_s", F.struct(*order)).alias("_all"), F.min("_s").alias("_low"))
+    shifted = ends.withColumn("_by", F.coalesce(F.sum("_all").over(before), F.lit(0)))
+    carried = shifted.select(*keys, _C, "_by", F.min(F.col("_by") + F.col("_low")).over(before).alias("_floor"))
+    return local.join(carried, [*keys, _C]).select(
+        *[c for c in df.columns], (F.col("_s") + F.col("_by")).alias(total), F.least("_floor", F.col("_m") + F.col("_by")).alias(low))
+
+
 def dense_index(df: DataFrame, keys: list[str], order: list[str], chunk: Column, name: str, start: int = 0) -> DataFrame:
     """Number the rows of each key from ``start`` in the given order."""
     out = running(df, keys, order, chunk, {name: ("count", F.lit(1))})

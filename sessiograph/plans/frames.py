@@ -226,9 +226,7 @@ def _risk_state(t):
     s = t.frames.withColumns({"head_down": F.col("value") > 40, "looking_at_camera": ~F.col("event_type").isin("error", "click"),
                               "emotion": F.when(F.col("event_type").isin("view", "signup"), "sad").otherwise("happy"),
                               "head_stability": F.least(F.lit(1.0), F.col("value") / 90)})
-    s = fr.streak(s, K, IDX, F.col("head_down"), "_h")
-    s = fr.streak(s, K, IDX, ~F.col("looking_at_camera"), "_g")
-    s = fr.streak(s, K, IDX, F.col("emotion") == "sad", "_e")
+    s = fr.streaks(s, K, IDX, {"_h": F.col("head_down"), "_g": ~F.col("looking_at_camera"), "_e": F.col("emotion") == "sad"})
     return s.withColumns({"head_down_duration": F.col("_h") / 1.0, "gaze_away_time": F.col("_g") * 2.0, "emotion_duration": F.col("_e") * 3.0})
 
 
@@ -287,8 +285,8 @@ def _(t):
     l AS (SELECT s.session_id, segment_idx, end_time AS answer_start, lead(end_time) OVER (PARTITION BY s.session_id ORDER BY segment_idx) AS answer_end, media_end FROM segments s JOIN m ON m.session_id = s.session_id)
     SELECT session_id, segment_idx, round(answer_start, 6) AS answer_start, round(answer_end, 6) AS answer_end FROM l WHERE answer_start < answer_end AND answer_end <= media_end""")
 def _(t):
-    m = t.segments.groupBy("session_id").agg((F.max("end_time") * 0.9).alias("media_end"))
-    return windows.answer_intervals(t.segments.join(m, "session_id"), "session_id", "segment_idx", "media_end").select(*ID, r6("answer_start"), r6("answer_end"))
+    m = t.segments.groupBy("session_id").agg((F.max("end_time") * 0.9).alias("media_end"), F.max("segment_idx").alias("_top"))
+    return windows.answer_intervals(ordered.attach(t.segments, m, ["session_id"], "segment_idx"), "session_id", "segment_idx", "media_end").select(*ID, r6("answer_start"), r6("answer_end"))
 
 
 @q("first_per_session", "", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1")

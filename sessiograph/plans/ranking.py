@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..constants import TERM_STOPWORDS
 from ..functions import scalars as sc
-from ..operators import ranking, scoring
+from ..operators import ordered, ranking, scoring
 from ._sql import band, r
 from .registry import Registry, r6
 
@@ -91,8 +91,8 @@ def _(t):
     k AS (SELECT f.series_id, greatest(CAST(0 AS DOUBLE), least(d, t)) AS x, row_number() OVER (PARTITION BY f.series_id ORDER BY value DESC, frame_idx) AS rank FROM frames f JOIN n ON n.series_id = f.series_id)
     SELECT series_id, round(x, 2) AS time, CAST(min(rank) AS INTEGER) AS rank FROM k WHERE rank <= 4 GROUP BY 1, 2""")
 def _(t):
-    d = t.frames.groupBy("series_id").agg((F.max("t") * 0.9).alias("d"))
-    return ranking.frame_capture_times(t.frames.join(d, "series_id"), "series_id", "t", "value", ["frame_idx"], F.col("d"))
+    d = t.frames.groupBy("series_id").agg((F.max("t") * 0.9).alias("d"), F.max("frame_idx").alias("_top"))
+    return ranking.frame_capture_times(ordered.attach(t.frames, d, ["series_id"], "frame_idx"), "series_id", "t", "value", ["frame_idx"], F.col("d"))
 
 
 @q("union_append", "", """SELECT o_orderkey AS k, o_totalprice AS price, CAST(NULL AS DOUBLE) AS tax FROM orders
