@@ -258,7 +258,11 @@ def _(t):
     return reports.unpack_json(packed, "session_id").select("session_id", "segment_id", "rank", r6("risk_score"), r6("start_time"))
 
 
-@q("feature_selection")
+# for a 0/1 label the ANOVA F is r^2 (n - 2) / (1 - r^2), so it ranks as the correlation does
+@q("feature_selection", "tokens", f"""WITH lex AS (SELECT CAST(role = 'assistant' AS INTEGER) AS y, duration, CAST(len(w) AS DOUBLE) AS word_count, {TTR} AS type_token_ratio, {AWL} AS avg_word_length,
+        len(list_filter(w, lambda x: length(x) > 6)) / (len(w) + 1e-10) AS complex FROM toks),
+    f AS (SELECT unnest({SEG}) AS feature, unnest([{', '.join(f'corr({c}, y)' for c in SEG)}]) AS x FROM lex)
+    SELECT feature, row_number() OVER (ORDER BY abs(x) DESC) <= 3 AS selected, {r('x', 'r')} FROM f""")
 def _(t):
     s = durable(labelled_segments(t), "segments")
     chosen = models.select_by_label(s, SEG, 3)
