@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import shared_dir
 
@@ -25,13 +27,18 @@ def stored(df: DataFrame, purpose: str, partition_by: str | None = None) -> Data
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a ``stored`` table that nothing reads any more."""
+def discard(df: DataFrame, part: str = "") -> None:
+    """Delete the files of a ``stored`` table, or one partition folder of it, that nothing reads any more.
+
+    The driver's garbage goes too: Spark frees shuffle files once the plans that wrote them are collected.
+    """
     path = getattr(df, "_stored_at", None)
     if path:
         spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}" if part else path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        gc.collect()
+        spark._jvm.System.gc()
 
 
 def parts_for(rows: int, per_part: int, least: int = 1) -> int:
@@ -69,7 +76,7 @@ def crc_mod(doc_id: Column, mod: int) -> Column:
 
 def with_digest(docs: DataFrame, name: str, text_col: str, digests) -> DataFrame:
     """``docs`` with one more binary column: ``digests`` of each batch of texts (null as empty)."""
-    fields = docs.schema.add(name, "binary")
+    fields = T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())])
     at = docs.columns.index(text_col)
 
     def run(batches):

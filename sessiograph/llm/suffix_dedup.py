@@ -152,8 +152,11 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Removed bytes of each text from the first and last windows of its repeated runs."""
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        for rid, body, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            spans_ = sorted((r["lo"], r["hi"] + LENGTH) for r in runs)
+        for rid, body, runs, starts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            at = np.array(starts, np.int64)
+            ends = np.flatnonzero(np.diff(at, append=-1) != 1)  # consecutive windows are one run
+            firsts = np.append(0, ends[:-1] + 1) if len(at) else ends
+            spans_ = sorted([*((r["lo"], r["hi"] + LENGTH) for r in runs), *zip(at[firsts].tolist(), (at[ends] + LENGTH).tolist(), strict=True)])
             kept, removed, n_spans, end = hashlib.sha256(), 0, 0, 0
             lo_now, hi_now = spans_[0]
             for lo, hi in [*spans_[1:], (len(body) + 1, len(body) + 1)]:
@@ -187,24 +190,31 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = both.where(~F.col("anchor")).select("rid", "doc_id", "n_bytes", "sha")
     # length SEED
     left = stored(_again(both.where("anchor").select("rid", "seed", "whole", "place"), "seed"), "seeds")
+    discard(both, "anchor=true")
     # equal neighbourhoods are past the threshold; one member stands for them among the other neighbourhoods of its seed
     wholes = stored(left.groupBy("seed", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("one")), "wholes")
     several = wholes.groupBy("seed").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-    open_ = wholes.join(several, "seed").select("seed", "one.rid", "one.place")
-    done = left.join(wholes.where("n > 1").select("seed", "whole"), ["seed", "whole"]).select(
-        "rid", F.expr("shiftright(place, 20)").alias("lo"), F.expr("shiftright(place, 20) + (place & 1023)").alias("hi"))
+    open_ = wholes.join(several, "seed").select("seed", "one.rid", "one.place").groupBy("rid").agg(F.collect_list(F.struct("place", "seed")).alias("rows"))
+    done = stored(left.join(wholes.where("n > 1").select("seed", "whole"), ["seed", "whole"]).select(
+        "rid", F.expr("shiftright(place, 20)").alias("lo"), F.expr("shiftright(place, 20) + (place & 1023)").alias("hi")), "done")
     wanted = left.select("rid").distinct().join(texts, "rid").select("rid", F.col("doc_id").alias("id"), "sha")
     bodies = stored(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"])).select("text", "sha", "rid").mapInArrow(_asked, "rid long, body binary"), "bodies")
+    discard(left)
     # length COARSE, then LENGTH; lists are the anchors of one text
-    per_text = open_.groupBy("rid").agg(F.collect_list(F.struct("place", "seed")).alias("rows"))
-    tests = stored(bodies.join(per_text, "rid").select("rid", "body", "rows").mapInArrow(_tests, "rid long, seed long, place long, k int, code long"), "tests")
-    coarse = _again(tests, "seed", "k", "code").groupBy("rid").agg(F.collect_list(F.struct("place", "k", "seed")).alias("rows"))
+    tests = stored(bodies.join(open_, "rid").select("rid", "body", "rows").mapInArrow(_tests, "rid long, seed long, place long, k int, code long"), "tests")
+    discard(wholes)
+    coarse = stored(_again(tests, "seed", "k", "code").groupBy("rid").agg(F.collect_list(F.struct("place", "k", "seed")).alias("rows")), "coarse")
+    discard(tests)
     windows = stored(bodies.join(coarse, "rid").select("rid", "body", "rows").mapInArrow(_windows, "rid long, seed long, start long, code long"), "windows")
-    same = _again(windows, "seed", "code").select("rid", F.col("start").alias("lo"), F.col("start").alias("hi"))
-    runs = done.unionByName(same).groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    cut = stored(bodies.join(runs, "rid").select("rid", "body", "runs").mapInArrow(_result, "rid long, n_removed long, n_spans long, kept binary")
+    discard(coarse)
+    same = stored(_again(windows, "seed", "code").groupBy("rid").agg(F.sort_array(F.collect_list("start")).alias("starts")), "same")
+    discard(windows)
+    runs = done.groupBy("rid").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    both_runs = runs.join(same, "rid", "full").select("rid", F.coalesce("runs", F.array().cast("array<struct<lo:bigint,hi:bigint>>")).alias("runs"),
+                                                      F.coalesce("starts", F.array().cast("array<bigint>")).alias("starts"))
+    cut = stored(bodies.join(both_runs, "rid").select("rid", "body", "runs", "starts").mapInArrow(_result, "rid long, n_removed long, n_spans long, kept binary")
                  .groupBy("rid").agg(*(F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept"))), "cut")
-    for x in (left, wholes, tests, windows, bodies):
+    for x in (done, same, bodies):
         discard(x)
     found = texts.join(cut, "rid", "left")
     return found.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
