@@ -26,6 +26,11 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{SPACES}]+"), lambda w: w != "")
 
 
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: a lambda variable stands for it, where an expression would be repeated."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _repeated(codes: Column) -> Column:
     """Words covered by windows of three that occur twice or more; ``codes`` holds one hash per window, in order."""
     ordered = F.sort_array(F.transform(codes, lambda c, i: F.struct(c.alias("c"), i.alias("i"))))
@@ -39,26 +44,30 @@ def _repeated(codes: Column) -> Column:
         steps = F.transform(at, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(at, k + 1) - p, F.lit(3))))
         return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
-    once = F.transform(F.array(ordered), starts)  # a lambda variable is computed once, an expression once per use
-    return F.get(F.transform(once, covered), 0)
+    some = _once(ordered, lambda pairs: _once(starts(pairs), covered))
+    return F.when(F.size(F.array_distinct(codes)) == F.size(codes), F.lit(0)).otherwise(some).cast("long")
+
+
+def _measured(words: Column) -> Column:
+    windows = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    codes = F.when(F.size(words) > 3, windows).otherwise(F.array().cast("array<bigint>"))
+    return F.struct(F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), _once(codes, _repeated).alias("n_repeat_words"))
 
 
 def text_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str | None, carry: bool = False) -> DataFrame:
     """doc_id, host, the counts and verdicts of each row, with ``carry`` also the row itself; a null text has no words."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    host = docs[host_col] if host_col else None
+    host = docs[host_col] if host_col else F.lit(None)
     row = F.struct(*[docs[c] for c in docs.columns]) if carry else F.lit(None).cast("int")
-    split = docs.select(
-        row.alias("row"), docs[id_col].cast("long").alias("doc_id"), (F.lit(None) if host is None else host).cast("string").alias("host"), words_of(text).alias("words"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{SPACES}]")).alias("lines"),
-        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"))
-    coded = split.select(
-        "row", "doc_id", "host", "n_symbols", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("words") > 3, F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))),
-               lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)))).otherwise(F.array().cast("array<bigint>")).alias("codes"))
-    counts = coded.select("row", "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines",
-                        F.when(F.size(F.array_distinct("codes")) == F.size("codes"), F.lit(0)).otherwise(_repeated(F.col("codes"))).cast("long").alias("n_repeat_words"))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{SPACES}]"))
+    measured = docs.select(
+        row.alias("row"), docs[id_col].cast("long").alias("doc_id"), host.cast("string").alias("host"),
+        _once(words_of(text), _measured).alias("w"),
+        _once(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
+        F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.monotonically_increasing_id().alias("n"))
+    # a row number keeps filters above the measuring; below it they would measure once per use
+    counts = measured.select("row", "doc_id", "host", "n", "w.n_words", "w.word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words").where("n >= 0").drop("n")
     judged = counts.withColumn("base_failed", base_failed()).withColumn("soft_failed", soft_failed())
     return judged if carry else judged.drop("row")
 
