@@ -173,8 +173,9 @@ def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _again(rows: DataFrame, *key: str) -> DataFrame:
-    """Rerank: the rows whose key is not unique."""
-    same = rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    """Rerank: the rows whose key is not unique. The keys are written first, so that both sides of the join are plain
+    exchanges and a key with a large part of all rows can be split."""
+    same = stored(rows.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").drop("_n"), "keys")
     return rows.join(same, list(key))
 
 
