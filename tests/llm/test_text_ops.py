@@ -198,13 +198,13 @@ def test_lm_counts_and_gain(spark):
     rng = random.Random(9)
     follow = {w: [f"w{(i * 7 + k) % 60}" for k in range(3)] for i, w in enumerate(f"w{i}" for i in range(60))}
     rows = []
-    for i in range(240):
+    for i in range(1500):
         w, text = "w1", []
         for _ in range(rng.randint(20, 90)):
             text.append(w.upper() if rng.random() < 0.1 else w)
             w = rng.choice(follow[w])
         rows.append((i, " ".join(text)))
-    rows += [(500, None), (501, ""), (502, "never seen words zzz zzz"), (None, "w1 w2"), (3, "w3 w4"), (504, "w5 " * 30_000)]
+    rows += [(2500, None), (2501, ""), (2502, "never seen words zzz zzz"), (None, "w1 w2"), (3, "w3 w4"), (2504, "w5 " * 30_000)]
     got = lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     held = [r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 == 2 for r in rows]
     counts = Counter()
@@ -217,7 +217,7 @@ def test_lm_counts_and_gain(spark):
         tokens = [*words(r[1]), "\n"]
         want[(r[0], h, len(tokens), sum(counts[t] > 0 for t in tokens), total, round(sum(math.log10((counts[t] + 1) / (total + types + 1)) for t in tokens), 4))] += 1
     assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    out = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 240]
+    out = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 1500]
     assert sum(r.score for r in out) > 0.8 * sum(r.base_score for r in out)  # context tells one of three words out of sixty
     assert lm_scores(empty_docs(spark)).collect() == []
 
@@ -336,5 +336,5 @@ def test_query_equals_its_sql(spark, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, name):
-    got = QUERIES[name](spark, DATA)
+    got = QUERIES[name](spark, DATA.replace("0.001", "0.01") if name.startswith("op9_") else DATA)  # the smallest texts hold no candidate
     assert got.where(F.col("doc_id").isNotNull()).count() > 0
