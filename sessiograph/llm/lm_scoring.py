@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import crc_mod, slices, stored
@@ -273,6 +273,24 @@ def _average(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                       pa.array([(v / t).astype(np.float32).tobytes() for t, v in sums.values()], pa.binary())], names=["piece", "tokens", "weights"])
 
 
+def _level() -> Column:
+    """Counts in a few thousand ascending steps, exact below 1024."""
+    n = F.col("n")
+    return F.when(n < 1024, n).otherwise(F.floor(64 * (F.log2(n) - 10)) + 1024).cast("long")
+
+
+def _head_level(vocabulary: DataFrame) -> int:
+    """The least step from which on there are HEAD words at most."""
+    steps = {r["step"]: r["k"] for r in vocabulary.groupBy(_level().alias("step")).agg(F.count("*").alias("k")).collect()}
+    least, total = 1 << 62, 0
+    for step in sorted(steps, reverse=True):
+        total += steps[step]
+        if total > HEAD:
+            break
+        least = step
+    return least
+
+
 def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     """The model of a table of texts (one column, all rows), and the counts of its words (word, ending, n)."""
     counted = stored(texts.mapInArrow(_count, COUNTS).groupBy("pair", "word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")), "words", "pair")
@@ -281,7 +299,7 @@ def fit(texts: DataFrame) -> tuple[Model, DataFrame]:
     for r in counted.where("pair").select("word", "n").collect():  # ENDINGS * CONTEXTS rows at most
         pairs[r["word"]] = r["n"]
     group = ending_groups(pairs)
-    head = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).collect()  # HEAD rows
+    head = vocabulary.where(_level() >= _head_level(vocabulary)).collect()  # HEAD rows at most
     words = np.array([r["word"] for r in head], np.int64).view(np.uint64)
     counts, endings = np.array([r["n"] for r in head], np.int64), np.array([r["ending"] for r in head], np.int64)
     of_group = F.element_at(F.array(*[F.lit(int(g)) for g in group]), F.col("ending") + 1)
