@@ -101,7 +101,7 @@ def keep_marked(docs: DataFrame, flags: DataFrame, id_col: str, text_col: str, d
     sums = stored(flags.groupBy("doc_id", "digest").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("stay"))
                   .where("stay < n").select(F.col("doc_id").alias("_of"), F.col("digest").alias("_by"), "stay"), "dropped")
     same = tagged[id_col].cast("long").eqNullSafe(sums["_of"]) & (tagged[name] == sums["_by"])
-    rest = tagged.join(sums, same, "left_anti")
+    rest = tagged.join(sums.hint("merge"), same, "left_anti")  # one plan at every size: the dropped rows grow with the table
     if sums.where("stay > 0").isEmpty():
         return rest.drop(name)
     once = sums.where("stay > 0")
