@@ -1,6 +1,6 @@
 """Near duplicates by bottom-k sketches from one hash function.
 
-A document's set holds the hashes of its distinct word pairs; the sketch is the K least of them. Equal sets are one class,
+A document's set holds the hashes of its distinct runs of ``width`` words; the sketch is the K least of them. Equal sets are one class,
 and only classes are compared. The inverted lists are kept by runs of three neighbouring sketch values: two sets with a
 Jaccard similarity of 0.8 agree on at least four of five values in hash order, so they share many such runs, while
 texts that merely share a passage share few. Every class leaves its most common runs aside (as many as a linked pair is sure to
@@ -23,6 +23,8 @@ from ._common import discard, keep_marked, narrow, slices, stored
 from ._hashing import joined, mix, prefix, spans, word_spans
 from .components import connected
 
+#: Words of a shingle, where nothing else is asked for.
+WIDTH = 2
 #: Sketch size. At similarity 0.8 the chance that two sketches share no run of three is below 1e-19.
 K = 128
 #: Runs a class of full sketch size leaves aside at most: a pair at 0.8 shares fewer than this with a chance below 1e-8.
@@ -36,20 +38,31 @@ ASKING, ASKED = 500_000, 2_000_000
 SKETCH = "rid long, doc_id long, n long, set_hash binary, sketch array<long>"
 
 
-def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of the word pairs of each text (of the whole word sequence if it is shorter)."""
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the runs of ``width`` words of each text (of the whole word sequence if it is shorter)."""
     data, at = joined(texts)
     if not len(data):
         return [np.zeros(0, np.uint64)] * len(texts)
     start, end, before = word_spans(data, at)
     words = spans(prefix(data), start, end)
-    pairs = mix(words[:-1] * np.uint64(0x9FB21C651E98DF25) + (words[1:] ^ np.uint64(0xA0761D6478BD642F))) if len(words) > 1 else words[:0]
+    runs = _runs(words, width)
     out = []
     for lo, hi in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-        out.append(np.unique(pairs[lo : hi - 1]) if hi - lo > 1 else mix(words[lo:hi]))
+        out.append(np.unique(runs[lo : hi - width + 1]) if hi - lo >= width else _runs(words[lo:hi], hi - lo))
     return out
 
 
+def _runs(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every run of ``width`` neighbouring word hashes."""
+    n = len(words) - width + 1
+    if n < 1 or not width:
+        return words[:0]
+    out = words[:n]
+    for i in range(1, width):
+        out = out * np.uint64(0x9FB21C651E98DF25) + (words[i : n + i] ^ np.uint64(0xA0761D6478BD642F))
+    return mix(out)
+
+
 def _bytes(column: pa.Array) -> list[bytes]:
     return [(t or "").encode().lower() for t in column.to_pylist()]
 
@@ -58,12 +71,12 @@ def _hash(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     row = TaskContext.get().partitionId() << 33
     for batch in batches:
         texts = _bytes(batch.column(1))
         for lo, hi in slices(texts, 1_000_000):
-            sets = shingle_sets(texts[lo:hi])
+            sets = shingle_sets(texts[lo:hi], width)
             low = [s[:K].view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, low)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
@@ -73,12 +86,12 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row += hi - lo
 
 
-def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Sets of the classes asked for; a row whose set is another one (an id with several texts) is passed over."""
     for batch in batches:
         texts, wanted, cid = _bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for lo, hi in slices(texts, 1_000_000):
-            found = [(c, s.view(np.int64)) for c, w, s in zip(cid[lo:hi], wanted[lo:hi], shingle_sets(texts[lo:hi]), strict=True) if _hash(s) == w]
+            found = [(c, s.view(np.int64)) for c, w, s in zip(cid[lo:hi], wanted[lo:hi], shingle_sets(texts[lo:hi], width), strict=True) if _hash(s) == w]
             ends = np.cumsum([0, *(len(s) for _, s in found)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([c for c, _ in found], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(s for _, s in found)])))],
@@ -134,13 +147,13 @@ def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.select(F.least("l.cid", "r.cid").alias("a"), F.greatest("l.cid", "r.cid").alias("b")).distinct()
 
 
-def class_components(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def class_components(rows: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """node, comp of the classes that similarity 0.8 connects with others."""
     lists = stored(_lists(classes), "lists")
     listed = lists.select("cid").distinct()
     known = classes.join(listed, "cid", "left_semi")
     asked = known.select(F.col("doc_id").alias("id"), "set_hash", "cid")
-    sets = stored(rows.join(asked, rows["doc_id"].eqNullSafe(asked["id"])).select("text", "set_hash", "cid").mapInArrow(_full_sets, "cid long, members array<long>")
+    sets = stored(rows.join(asked, rows["doc_id"].eqNullSafe(asked["id"])).select("text", "set_hash", "cid").mapInArrow(lambda batches: _full_sets(batches, width), "cid long, members array<long>")
                   .groupBy("cid").agg(F.first("members").alias("members")), "sets")
     verify = _Verifier(known, sets)
     short, long = lists.where(F.col("length") <= SHORT), lists.where(F.col("length") > SHORT)
@@ -208,17 +221,17 @@ def _ask(asking: pa.Table, asked: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """doc_id, set_hash, n_shingles, component_id, kept of every input row."""
     rows = narrow(docs, id_col, text_col)
-    sketches = stored(rows.mapInArrow(_sketches, SKETCH), "sketches")
+    sketches = stored(rows.mapInArrow(lambda batches: _sketches(batches, width), SKETCH), "sketches")
     nowhere = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     full = sketches.where("n > 0")
     classes = stored(full.groupBy("set_hash").agg(
         F.min(F.struct("rid", "doc_id")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
         F.min(F.struct(nowhere.alias("order"), "rid", "doc_id")).alias("low"),
     ).select("set_hash", F.col("one.rid").alias("cid"), F.col("one.doc_id").alias("doc_id"), "n", "sketch", "low"), "classes")
-    labels = class_components(rows, classes)
+    labels = class_components(rows, classes, width)
     whole = classes.select("set_hash", "cid", "low").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     tops = whole.groupBy("comp").agg(F.min("low").alias("top"))
     of_class = stored(whole.join(tops, "comp").select("set_hash", F.col("top.doc_id").alias("component_id"), F.col("top.rid").alias("kept_rid")), "of_class")
@@ -228,18 +241,18 @@ def _components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return out.unionByName(empty)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
-    Sets are the distinct word pairs after lower-casing A-Z (a single word is its own set), by 64-bit hash. Texts without
+    Sets are the distinct runs of ``width`` words after lower-casing A-Z (a shorter text is its own set), by 64-bit hash. Texts without
     words, null or empty, have an empty set, are linked with nothing and kept. ``component_id`` is the least id
     reachable (null ids count as largest; null only where a component has no other); exactly one row of a component is
     kept, also of repeated rows. An empty table gives an empty result; other columns are ignored.
     """
-    return _components(docs, id_col, text_col).drop("set_hash")
+    return _components(docs, id_col, text_col, width).drop("set_hash")
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns. Of rows with one id and equal sets one stays."""
-    flags = _components(docs, id_col, text_col).select("doc_id", F.col("set_hash").alias("digest"), "kept")
-    return keep_marked(docs, flags, id_col, text_col, lambda texts: [_hash(s) for s in shingle_sets([t.encode().lower() for t in texts])])
+    flags = _components(docs, id_col, text_col, width).select("doc_id", F.col("set_hash").alias("digest"), "kept")
+    return keep_marked(docs, flags, id_col, text_col, lambda texts: [_hash(s) for s in shingle_sets([t.encode().lower() for t in texts], width)])

@@ -7,13 +7,14 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from sessiograph.llm import minhash_dedup
 from sessiograph.llm.components import connected
 from sessiograph.llm.exact_dedup import exact_duplicates, golomb_decode, golomb_encode, without_exact_duplicates
 from sessiograph.llm.minhash_dedup import near_duplicates, shingle_sets, without_near_duplicates
 from sessiograph.llm.suffix_dedup import repeated_spans
 
-from .helpers import PROSE, SCHEMA, components_plain, counted, edge_docs, edge_rows, empty_docs, exact_plain, repeats_plain, shingles
+from .helpers import PROSE, SCHEMA, components_plain, counted, edge_docs, edge_rows, empty_docs, exact_plain, repeats_plain, shingles, words
 
 
 @settings(max_examples=60, deadline=None)
@@ -145,3 +146,35 @@ def test_repeats_long_text_in_segments(spark, monkeypatch):
     border = long[suffix_dedup.SEGMENT - 150 : suffix_dedup.SEGMENT + 250]
     got = {r.doc_id: r for r in repeated_spans(spark.createDataFrame([(1, long), (2, "x" * 50 + border + "y" * 50)], "doc_id long, text string")).collect()}
     assert (got[1].n_removed, got[1].n_spans, got[2].n_removed, got[2].n_spans) == (400, 1, 400, 1)
+
+
+def _stage_plain(rows, width=5):
+    """Ids that stay: the least of every component of similarity 0.8 on runs of ``width`` words, by comparing all pairs."""
+    sets = []
+    for _, text in rows:
+        w = words(text)
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))) if w else frozenset())
+    comp = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]) and comp[i] != comp[j]:
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    return sorted(min(r[0] for r, c in zip(rows, comp) if c == k) for k in set(comp))
+
+
+def test_near_stage_compares_runs_of_five_words(spark):
+    rng = random.Random(7)
+    base = [f"v{rng.randrange(5000)}" for _ in range(300)]
+    sparse = [f"n{i}" if i % 20 == 10 else w for i, w in enumerate(base)]  # 15 words changed: similar in pairs, not in runs of five
+    near = base[:150] + ["other"] + base[151:]
+    pool = [rng.choice("abcdefgh") for _ in range(3000)]  # a small vocabulary: nearly all pairs in every text
+    texts = [base, sparse, near, pool[:1500], pool[1500:], ["one", "two", "three"], ["one", "two", "three"], ["one", "two", "four"], ["one"], []]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == _stage_plain(rows) == [0, 1, 3, 4, 5, 7, 8, 9]
+    assert _stage_plain(rows, 2) != _stage_plain(rows)
+
+
+def test_shingle_sets_of_five_words_match_words():
+    texts = ["a b c a b c a b c", "a b c d e", "a b c d", "one", "", "x  y\tz"]
+    assert [len(s) for s in shingle_sets([t.encode() for t in texts], 5)] == [3, 1, 1, 1, 0, 1]
