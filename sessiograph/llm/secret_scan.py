@@ -35,7 +35,7 @@ LONG = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 CANDIDATE = "|".join([*PROVIDERS, ASSIGNED, LONG])
 
 FEATURES = ["length", "transitions", "digits", "capitals", "variety", "covered", "telling", "harmless", "assigned", "quoted", "in_path", "test_path"]
-#: The documented bound on labelled findings that the forest is fitted on, and its size.
+#: The documented bound on labelled findings that the forest is fitted on (both labels together), and its size.
 FIT_ROWS, TREES, DEPTH, SEED = 20_000, 30, 6, 11
 CONTEXT = 60
 
@@ -92,21 +92,33 @@ def weak_label() -> Column:
 
 
 def train(rows: DataFrame):
-    """A forest from rows with features and a 0/1 ``label``; at most about FIT_ROWS of them, chosen by hash of the value.
+    """A forest from rows with features and a 0/1 ``label``, or None unless both labels are there.
 
-    Returns the fitted model, or the one label there is, or None without labelled rows.
+    At most about FIT_ROWS rows are drawn, each label by its own rate: all of a rare one (half of FIT_ROWS
+    at most), the rest from the other. Both labels weigh the same in the fit, so that a verdict does not follow their ratio or the size of the table.
     """
-    known = rows.where(F.col("label").isNotNull())
-    seen = known.agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).first()
-    if not seen["n"]:
+    known = rows.where(F.col("label").isNotNull()).withColumn("label", F.col("label").cast("double"))
+    seen = known.agg(F.count_if(F.col("label") == 0).alias("no"), F.count_if(F.col("label") == 1).alias("yes")).first()
+    if not min(seen):
         return None
-    if seen["lo"] == seen["hi"]:
-        return float(seen["lo"])
-    share = min(1.0, FIT_ROWS / seen["n"])
-    fit = known.where(F.pmod(F.xxhash64("value", "before", "label"), F.lit(1_000_000)) < 1_000_000 * share)
-    data = stored(_assembled(fit).select("features", "label"), "labelled")
-    left = data.agg(F.countDistinct("label")).first()[0]
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxMemoryInMB=64).fit(data) if left == 2 else float(seen["hi"])
+    rare = min(*seen, FIT_ROWS // 2)
+    drawn = known.where(F.rand(SEED) < F.when(F.col("label") == 1, _rate(seen["yes"], rare)).when(F.col("label") == 0, _rate(seen["no"], rare)))
+    data = stored(_assembled(drawn).select("features", "label"), "labelled")
+    got = data.agg(F.count_if(F.col("label") == 0).alias("no"), F.count_if(F.col("label") == 1).alias("yes")).first()
+    weighed = data.withColumn("weight", F.when(F.col("label") == 1, sum(got) / (2 * got["yes"])).otherwise(sum(got) / (2 * got["no"])))
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, maxMemoryInMB=64, weightCol="weight").fit(weighed)
+
+
+def _rate(n: int, rare: int) -> float:
+    """Share of ``n`` rows of a label that leaves FIT_ROWS in all, where ``rare`` rows of the other label stay."""
+    return min(1.0, (FIT_ROWS - rare) / n)
+
+
+def evidence() -> Column:
+    """Score of a candidate without a forest: the clear cases as ``weak_label`` has them, the others by what stands in and around the value."""
+    clues = 0.6 * F.col("telling") + 0.2 * F.col("assigned") + 0.1 * F.col("quoted") + F.when(F.col("variety") >= 0.5, 0.1).otherwise(0.0)
+    against = 0.5 * F.col("harmless") + 0.5 * F.col("in_path") + 0.3 * F.col("test_path")
+    return F.coalesce(weak_label().cast("double"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), clues - against)))
 
 
 def _assembled(rows: DataFrame) -> DataFrame:
@@ -114,9 +126,9 @@ def _assembled(rows: DataFrame) -> DataFrame:
 
 
 def scored(rows: DataFrame, model) -> DataFrame:
-    """``score`` (probability of a secret) and ``secret``; without a model every candidate counts as one."""
-    if model is None or isinstance(model, float):
-        out = rows.withColumn("score", F.lit(1.0 if model is None else model))
+    """``score`` (probability of a secret where both labels are equally frequent) and ``secret``; without a model the candidate's own ``evidence``."""
+    if model is None:
+        out = rows.withColumn("score", evidence())
     else:
         out = model.transform(_assembled(rows)).withColumn("score", vector_to_array("probability")[1])
     return out.withColumn("secret", F.col("score") >= 0.5)

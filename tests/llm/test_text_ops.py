@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sessiograph.llm import quality_rules as quality_ops
+from sessiograph.llm import secret_scan
 from sessiograph.llm.chat_format import chat_format
 from sessiograph.llm.language_id import language_of
 from sessiograph.llm.lm_scoring import lm_scores
@@ -279,6 +280,29 @@ def test_secrets_from_labelled_findings(spark):
     assert {r.doc_id: r.secret for r in secrets(docs, labelled).collect()} == {1: False, 2: True}
 
 
+def _secret_docs(spark, rows):
+    return spark.createDataFrame([(i, t, "a") for i, t in rows], "doc_id long, text string, source string")
+
+
+def test_secrets_where_one_label_is_rare(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "FIT_ROWS", 200)
+    rng = random.Random(3)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(3008)]
+    rows = [(i, f"the commit {h} fixed it") for i, h in enumerate(hexes[:3000])] + [(5000 + i, f"before password={h[:18]} after") for i, h in enumerate(hexes[3000:])]
+    got = secrets(_secret_docs(spark, rows)).where("secret").collect()
+    assert {r.doc_id for r in got} == set(range(5000, 5008))
+
+
+def test_secrets_where_all_labels_are_one(spark):
+    rng = random.Random(4)
+    hexes = ["".join(rng.choice("0123456789abcdef") for _ in range(40)) for _ in range(30)]
+    rows = [(i, f"before password={h[:18]} after") for i, h in enumerate(hexes)] + [(100, f"see {hexes[0]} there"), (101, "in /usr/lib/python3/dist-packages/abc/7def it is"), (102, "password=k7Qz9w and")]
+    docs = _secret_docs(spark, rows)
+    got = {r.doc_id: r.secret for r in secrets(docs).collect()}
+    assert got == {**dict.fromkeys(range(30), True), 100: False, 101: False, 102: True}
+    assert {r.doc_id: r.text for r in redacted(docs).collect()}[100] == rows[30][1]
+
+
 # chat
 def test_chat_snapshots(spark):
     def turns(conv, *texts):
