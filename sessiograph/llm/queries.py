@@ -9,12 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat_format import PART, chat_format
 from .exact_dedup import exact_duplicates
 from .language_id import language_of
+from .lexical_search import search
+from .license_scan import license_scan
 from .lm_scoring import lm_scores
 from .minhash_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import HOST_RATE, PRIOR, REPEATED_LINES, REPEATED_WORDS, SYMBOLS_PER_WORD, WORD_LENGTH, quality
 from .secret_scan import secrets
 from .sentencepiece_codec import encode
+from .spelling import LEAST_COUNT, LEAST_LENGTH, RATIO, SPOILED, spelling_variants
 from .suffix_dedup import repeated_spans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +142,58 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_lm_scoring")
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
+
+
+TERMS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op11_lexical_search", f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS_SQL} AS words FROM documents),
+sized AS (SELECT rid, doc_id, len(words) AS n, words FROM d WHERE len(words) > 0),
+tot AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sized),
+asked AS (SELECT qid, item_id, term, count(*) AS times
+  FROM (SELECT qid, item_id, unnest(words) AS term FROM (SELECT row_number() OVER () AS qid, item_id, {TERMS_SQL} AS words FROM benchmark)) GROUP BY qid, item_id, term),
+post AS (SELECT rid, doc_id, n, term, count(*) AS tf FROM (SELECT rid, doc_id, n, unnest(words) AS term FROM sized)
+  WHERE term IN (SELECT term FROM asked) GROUP BY rid, doc_id, n, term),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM post GROUP BY term), tot),
+scores AS (
+  SELECT qid, item_id, rid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // terms)))) AS BIGINT) AS score
+  FROM post JOIN weights USING (term) JOIN asked USING (term), tot GROUP BY qid, item_id, rid, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: crc32 of a text in DuckDB: its table of remainders, then one step a byte.
+CRC_TABLE_SQL = ("list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), "
+                 "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))")
+CRC_SQL = ("xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(key))), lambda i: CAST('0x' || substr(hex(encode(key)), CAST(2 * i + 1 AS INTEGER), 2) AS BIGINT))), "
+           "lambda c, b: xor(c >> 8, steps[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)")
+
+
+@query("op12_spelling", f"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all({LOWER}, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+long AS (SELECT doc_id, run, count(*) AS c FROM runs WHERE length(run) >= {LEAST_LENGTH} GROUP BY doc_id, run),
+hashed AS (SELECT run, c, {CRC_SQL} AS h FROM (SELECT run, c, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS key FROM long), (SELECT {CRC_TABLE_SQL} AS steps)),
+words AS (SELECT CASE WHEN h % {SPOILED} = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, c FROM hashed),
+vocabulary AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM words WHERE length(word) >= {LEAST_LENGTH} GROUP BY word HAVING sum(c) >= {LEAST_COUNT}),
+cuts AS (SELECT word, n, i, substr(word, 1, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS cut FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocabulary)),
+shorter AS (SELECT DISTINCT c.word, c.n, v.word AS other, v.n AS m FROM cuts c JOIN vocabulary v ON c.cut = v.word),
+near AS (SELECT word, n, other, m FROM shorter UNION ALL SELECT other, m, word, n FROM shorter UNION ALL
+  SELECT a.word, a.n, b.word, b.n FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word != b.word),
+found AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+best AS (SELECT found.word, any_value(n_near) AS n_near, any_value(found.m) AS m, min(other) AS other FROM found JOIN near ON found.word = near.word AND found.m = near.m GROUP BY found.word),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= {RATIO} * v.n THEN other END AS form, CASE WHEN m >= {RATIO} * v.n THEN m END AS form_n
+  FROM vocabulary v LEFT JOIN best USING (word)),
+chain AS (SELECT word, word AS up FROM forms UNION ALL SELECT chain.word, forms.form FROM chain JOIN forms ON chain.up = forms.word WHERE forms.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.up FROM chain JOIN forms ON chain.up = forms.word WHERE forms.form IS NULL)
+SELECT forms.word, form, up AS root, n, n_near, form_n FROM forms JOIN ends USING (word)""")
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+@query("op13_license_scan")
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(documents(spark, sf_dir)).drop("places")
