@@ -158,7 +158,7 @@ def test_license_scan(spark):
     mit = next(t.text for t in lic.TEMPLATES if t.text.startswith("permission is hereby granted"))
     notice = next(t.text for t in lic.TEMPLATES if t.label == "gpl-notice")
     more = ["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3.",
-            "ALL rights\nreserved.", "Licensed under CC BY-NC 4.0.", PROSE + mit.replace("charge", "any charge") + " " + PROSE + mit, notice.upper().replace(" ", "\n"),
+            "ALL rights\nreserved.", "Licensed under CC BY-NC 4.0.", PROSE + mit.replace("obtaining", "lawfully obtaining") + " " + PROSE + mit, notice.upper().replace(" ", "\n"),
             "cc", "by", "the license of the fishing club was released under version 2 of its rules", "general public license " * 300, mit[:60], "cc by cc by all rights reserved",
             PROSE * 2000 + "Licensed under CC BY 4.0", notice.replace("gnu general", "gnu very special general"), "license " * 5000 + "released under the mit license"]
     rows = [(500 + i, t) for i, t in enumerate(more)]
