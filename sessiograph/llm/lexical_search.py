@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ._common import discard, narrow, parts_for, stored
 
 #: Text bytes that a block of documents gathers before it is written, and items that are answered together.
-BLOCK_BYTES, GROUP_ITEMS = 32_000_000, 512
+BLOCK_BYTES, GROUP_ITEMS = 12_000_000, 512
 #: Lists of at most SHORT postings are summed ahead; longer ones carry the highest count of every RANGE documents.
 SHORT, RANGE = 128, 256
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

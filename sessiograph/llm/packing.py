@@ -8,7 +8,6 @@ over remaining capacities finds in log2(window) steps.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -24,26 +23,49 @@ from ._common import narrow, parts_for, slices, stored
 #: Pieces one block places; a block leaves a few open windows, so this bounds padding as well as memory.
 PER_BLOCK = 50_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
-_CACHED = 400_000
+#: Bytes a task spends on words whose ids it keeps, bytes of an entry besides the word, and the longest word kept.
+CACHED_BYTES, ENTRY_BYTES, CACHED_WORD = 100_000_000, 150, 64
 _tokenizers: dict[str, tuple] = {}
 
+SPACE, OTHER, LETTER, NUMBER = range(4)
 
-def _plain_letters() -> tuple[re.Pattern, re.Pattern]:
-    """Texts of printable Latin characters, and the words the tokenizer's own pattern finds in them once in lower case."""
-    latin = [chr(c) for c in range(0x180) if unicodedata.category(chr(c))[0] not in "CZ"]
-    letters = "".join(c for c in latin if c.isalpha() and unicodedata.category(c)[0] == "L")
-    numbers = "".join(c for c in latin if unicodedata.category(c)[0] == "N")
-    inside = "".join(re.escape(c) for c in latin)
-    safe = re.compile(f"[{inside} \\n\\t\\r]*")
-    return safe, re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^ \\n\\t\\r{letters}{numbers}]+")
+
+def _kinds() -> tuple[np.ndarray, bytes, bytes]:
+    """For Latin-1 bytes: kind of character, lower case, and those that go the fast way (printable or plain white space)."""
+    chars = [chr(c) for c in range(256)]
+    kinds = np.array([SPACE if c in " \n\t\r" else {"L": LETTER, "N": NUMBER}.get(unicodedata.category(c)[0], OTHER) for c in chars], np.uint8)
+    lower = bytes(ord(c.lower()) for c in chars)
+    return kinds, lower, bytes(i for i, c in enumerate(chars) if c in " \n\t\r" or unicodedata.category(c)[0] not in "CZ")
+
+
+def split_words(data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of every word of lower-case Latin-1 text that ends in white space, as the tokenizer's own pattern cuts it.
+
+    A word is a run of letters, one number, a run of other characters, or an apostrophe that begins such a run together with
+    the s, t, m, d, re, ve or ll behind it.
+    """
+    kind = kinds[data]
+    before = np.concatenate([[SPACE], kind[:-1]])
+    first = (kind != SPACE) & ((kind != before) | (kind == NUMBER))
+    mark = np.flatnonzero((data == 39) & first)
+    if len(mark):
+        one, two = (data[np.minimum(mark + k, len(data) - 1)] for k in (1, 2))
+        size = np.where(np.isin(one, list(b"stmd")), 1, np.where(((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108), 2, 0))
+        mark, size = mark[size > 0], size[size > 0]
+        first[mark + 1] = False
+        after = mark + 1 + size
+        first[after] = kind[after] != SPACE
+    edges = np.flatnonzero(first | ((kind == SPACE) & (before != SPACE)))
+    starts = first[edges]
+    return edges[starts], (np.append(edges[1:], len(data)) - edges)[starts]
 
 
 def word_encoder(path: str, expected: str) -> Callable[[list[str]], list[bytes]]:
     """Ids of whole texts as little-endian unsigned 32-bit integers, exactly as ``Tokenizer.encode(..., add_special_tokens=False)``.
 
-    Words of a word-level BPE are independent, so ids are kept by word. This path is taken only for the layout of steps
-    named by ``expected`` and for texts of printable Latin characters without special-token strings; all else goes
-    through the library as a whole.
+    Words of a word-level BPE are independent, so texts are cut into words as arrays, and every distinct word is encoded
+    once; its ids are kept within CACHED_BYTES. This path is taken only for the layout of steps named by ``expected`` and
+    for texts of printable Latin-1 characters without special-token strings; all else goes through the library as a whole.
     """
     from tokenizers import Tokenizer
 
@@ -53,24 +75,56 @@ def word_encoder(path: str, expected: str) -> Callable[[list[str]], list[bytes]]
         with open(path, encoding="utf-8") as f:
             layout = json.load(f)
         steps = "+".join(x["type"] for x in layout["normalizer"].get("normalizers", [])) if layout.get("normalizer") else ""
-        _tokenizers[path] = (Tokenizer.from_file(path), {}, steps == expected, [t["content"] for t in layout.get("added_tokens", [])], *_plain_letters())
-    tok, known, by_word, special, safe, words = _tokenizers[path]
+        _tokenizers[path] = (Tokenizer.from_file(path), {}, [CACHED_BYTES], steps == expected, [t["content"].encode() for t in layout.get("added_tokens", [])], *_kinds())
+    tok, known, room, by_word, special, kinds, lower, safe = _tokenizers[path]
 
     def bytes_of(ids: list[int]) -> bytes:
         return np.array(ids, "<u4").tobytes()
 
-    def encode(texts: list[str]) -> list[bytes]:
-        plain = [by_word and not any(s in t for s in special) and safe.fullmatch(t) is not None for t in texts]
-        split = [words.findall(t.lower()) if p else [] for t, p in zip(texts, plain, strict=True)]
-        new = list(set().union(*split) - known.keys()) if split else []
-        if len(known) + len(new) > _CACHED:
+    def plain(text: str) -> bytes | None:
+        try:
+            body = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        return None if not by_word or body.translate(None, safe) or any(s in body for s in special) else body
+
+    def ids_of(words: list[bytes]) -> list[bytes]:
+        new = [w for w in words if w not in known]
+        room[0] -= sum(len(w) + ENTRY_BYTES for w in new if len(w) <= CACHED_WORD)
+        if room[0] < 0:
             known.clear()
-            new = list(set().union(*split))
+            room[0] = CACHED_BYTES
+            new = words
+        fresh = {}
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
-            known.update(zip(part, (bytes_of(e.ids) for e in tok.encode_batch(part, add_special_tokens=False)), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, s)) if p else bytes_of(tok.encode(t, add_special_tokens=False).ids) for s, p, t in zip(split, plain, texts, strict=True)]
+            found = tok.encode(b" ".join(part).decode("latin-1"), add_special_tokens=False)
+            ends = (4 * np.cumsum(np.bincount(found.word_ids, minlength=len(part)))).tolist()
+            ids = bytes_of(found.ids)
+            fresh.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
+        out = [fresh[w] if w in fresh else known[w] for w in words]
+        known.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_WORD)
+        return out
+
+    def encode_plain(bodies: list[bytes]) -> list[bytes]:
+        data = np.frombuffer(b"\n".join([*bodies, b""]).translate(lower), np.uint8)
+        start, size = split_words(data, kinds)
+        if not len(start):
+            return [b""] * len(bodies)
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[kinds[data] != SPACE])]).dictionary_encode()
+        codes, ids = coded.indices.to_numpy(zero_copy_only=False), ids_of(coded.dictionary.to_pylist())
+        count = np.array([len(x) // 4 for x in ids], np.int64)
+        begin, flat = np.concatenate([[0], np.cumsum(count)[:-1]]), np.frombuffer(b"".join(ids), "<u4")
+        ends = np.concatenate([[0], np.cumsum(count[codes])])
+        out = flat[np.repeat(begin[codes] - ends[:-1], count[codes]) + np.arange(ends[-1])].tobytes()
+        cuts = 4 * ends[np.searchsorted(start, np.cumsum([0, *(len(b) + 1 for b in bodies)]))]
+        return [out[lo:hi] for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        bodies = [plain(t) for t in texts]
+        done = iter(encode_plain([b for b in bodies if b is not None]))
+        return [bytes_of(tok.encode(t, add_special_tokens=False).ids) if b is None else next(done) for t, b in zip(texts, bodies, strict=True)]
 
     return encode
 
