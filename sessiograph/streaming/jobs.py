@@ -3,17 +3,31 @@ failure overwrites its own output, so every row counts once."""
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..session import shared_dir
-from ..sources.tables import upsert_by_session
+from ..sources.versioned import BucketedTable
 
-#: Watermark for replays of stored tables: no row of a table is ever late, in whatever order its files come.
-REPLAY = "36500 days"
+#: Event time of the row that ends a stream (2262, the last year pandas knows), and the last moment a timer waits for (2200), in
+#: microseconds; a watermark delay has to be shorter than the time between.
+END, END_TIMER = 9_214_646_400_000_000, 7_258_118_400_000_000
+
+
+def home_of(spark: SparkSession, name: str) -> str:
+    """The folder of the query ``name`` under the shared folder: its checkpoint and output, so that a new start goes on where the last ended."""
+    return f"{shared_dir(spark, 'streams').rsplit('/', 1)[0]}/streams/{name}"
+
+
+def span(table: DataFrame, ts: str) -> str:
+    """The time between a stored table's first and last row as a watermark delay: whatever the order of its files, no row is late."""
+    first, last = table.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    return f"{(last - first) // 1000 + 1 if first is not None else 0} milliseconds"
 
 
 def file_stream(spark: SparkSession, path: str, schema, bytes_per_trigger: int = 1 << 30) -> DataFrame:
@@ -32,30 +46,90 @@ def event_time(ts: str) -> Column:
     return F.timestamp_micros(minutes * 60_000_000 + (F.extract(F.lit("SECOND"), F.col(ts)) * 1_000_000).cast("long"))
 
 
-def run(stream: DataFrame, mode: str = "update", each: Callable[[DataFrame, int], DataFrame] | None = None,
-        counts: dict[str, int] | None = None) -> DataFrame:
+class _Progress(StreamingQueryListener):
+    """Input and late rows of every batch of the queries started meanwhile; the progress a query keeps itself ends at its last hundred batches."""
+
+    def __init__(self, counts: dict[str, int]):
+        self.counts, self.ended = counts, threading.Event()
+        counts.update(input_rows=0, late_rows=0)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.counts["input_rows"] += event.progress.numInputRows
+        self.counts["late_rows"] += sum(o.numRowsDroppedByWatermark for o in event.progress.stateOperators)
+        self.counts["state_rows"] = sum(o.numRowsTotal for o in event.progress.stateOperators)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.set()
+
+
+def _ended(stream: DataFrame, home: str, ts: str) -> tuple[DataFrame, Callable[[], None]]:
+    """The stream with the row that ends it, and a function that lets that row appear.
+
+    The row comes from a folder of its own and lies so far in the future that every window, slot and timer is due.
+    """
+    spark, folder = stream.sparkSession, f"{home}/end"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    marks = spark.readStream.schema(stream.schema).parquet(folder)
+
+    def end() -> None:
+        if not fs.listStatus(where):
+            last = [F.timestamp_micros(F.lit(END)).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+            spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(folder)
+
+    return stream.unionByName(marks), end
+
+
+def run(stream: DataFrame, mode: str = "update", each: Callable[[DataFrame, int], DataFrame] | None = None, counts: dict[str, int] | None = None,
+        home: str | None = None, closing: str | None = None, stateful: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Process what is there and return all output rows with their batch number.
 
-    ``counts`` receives the number of input rows and of rows dropped because they came after the watermark.
+    ``stateful`` makes the query of the stream. With ``closing`` (the event-time column) the stream ends after its last row:
+    everything still open is put out and its state removed. ``home`` is the query's folder (``home_of``); started again there,
+    it goes on behind the last finished batch, and a batch cut short overwrites its own output, so every row counts once.
+    Without a folder every call replays the stream. ``counts`` receives the rows read, those dropped as later than the
+    watermark (of an aggregation: partial sums) and the rows of state left.
     """
     spark = stream.sparkSession
-    out, state = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-state")
-    schema = []
+    home = home or shared_dir(spark, "stream")
+    out = f"{home}/out"
+    source, end = _ended(stream, home, closing) if closing else (stream, None)
+    query = stateful(source) if stateful else source
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = each(batch, number) if each else batch
-        schema[:] = [rows.schema]
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
-
-    query = (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start())
-    query.awaitTermination()
-    if counts is not None:
-        progress = query.recentProgress
-        counts["input_rows"] = sum(p["numInputRows"] for p in progress)
-        counts["late_rows"] = sum(o["numRowsDroppedByWatermark"] for p in progress for o in p["stateOperators"])
-    if not schema:
-        return spark.createDataFrame([], stream.schema).withColumn("batch", F.lit(0))
-    return spark.read.schema(T.StructType([*schema[0].fields, T.StructField("batch", T.IntegerType())])).option("basePath", out).parquet(out)
+        (each(batch, number) if each else batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    def go() -> None:
+        held = dict(counts or {})
+        listener = _Progress(counts) if counts is not None else None
+        if listener:
+            spark.streams.addListener(listener)
+        query.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+        if listener:
+            listener.ended.wait(60)
+            spark.streams.removeListener(listener)
+            for k in ("input_rows", "late_rows"):
+                counts[k] += held.get(k, 0)
+
+    go()
+    if end:
+        end()
+        go()
+        go()  # the watermark has passed everything: what is due comes out
+        if counts is not None:
+            counts["input_rows"] -= 1
+    schema = (each(spark.createDataFrame([], query.schema), -1) if each else query).schema
+    where = spark._jvm.org.apache.hadoop.fs.Path(out)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema).withColumn("batch", F.lit(0))
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.IntegerType())])).option("basePath", out).parquet(out)
 
 
 def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,49 +139,53 @@ def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def windowed_functionals(stream: DataFrame, keys: list[str], ts: str, value: str, size: str, step: str | None = None, *, watermark: str,
-                         counts: dict[str, int] | None = None) -> DataFrame:
-    """Mean, deviation, extremes and count on event-time windows; a window still open is part of the result."""
+                         counts: dict[str, int] | None = None, home: str | None = None) -> DataFrame:
+    """Mean, deviation, extremes and count on event-time windows (start in milliseconds), each once when no row can change it any more."""
     w = F.window(ts, size, step) if step else F.window(ts, size)
-    agg = stream.withWatermark(ts, watermark).groupBy(*keys, w).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
-    flat = agg.select(*keys, F.unix_seconds("window.start").alias("window_start"), "n", "mean", "std", "min", "max")
-    return latest(run(flat, "update", counts=counts), [*keys, "window_start"])
 
+    def windows(rows: DataFrame) -> DataFrame:
+        agg = rows.withWatermark(ts, watermark).groupBy(*keys, w).agg(
+            F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+        return agg.select(*keys, F.unix_millis("window.start").alias("window_start"), "n", "mean", "std", "min", "max")
+
+    return run(stream, "append", counts=counts, home=home, closing=ts, stateful=windows).drop("batch")
 
-def chunk_scores(stream: DataFrame, session: str, ts: str, score: str, size: str = "15 seconds", *, watermark: str) -> DataFrame:
+
+def chunk_scores(stream: DataFrame, session: str, ts: str, score: str, size: str = "15 seconds", *, watermark: str, home: str | None = None) -> DataFrame:
     """Mean score per chunk, then the mean of the chunks per session."""
-    agg = stream.withWatermark(ts, watermark).groupBy(session, F.window(ts, size)).agg(F.avg(score).alias("p"))
-    chunks = latest(run(agg.select(session, F.unix_seconds("window.start").alias("chunk_start"), "p"), "update"), [session, "chunk_start"])
-    return chunks.groupBy(session).agg(F.count(F.lit(1)).alias("chunks_used"), F.avg("p").alias("probability"))
+    def chunks(rows: DataFrame) -> DataFrame:
+        agg = rows.withWatermark(ts, watermark).groupBy(session, F.window(ts, size)).agg(F.avg(score).alias("p"))
+        return agg.select(session, F.unix_millis("window.start").alias("chunk_start"), "p")
+
+    done = run(stream, "append", home=home, closing=ts, stateful=chunks)
+    return done.groupBy(session).agg(F.count(F.lit(1)).alias("chunks_used"), F.avg("p").alias("probability"))
 
 
-def session_scores(stream: DataFrame, session: str, order: list[str], score: str) -> DataFrame:
-    """The latest score of each session and the number of uploads so far."""
+def session_scores(stream: DataFrame, session: str, order: list[str], score: str, home: str | None = None) -> DataFrame:
+    """The latest score of each session and the number of uploads so far; one row of state a session, as the result is one row a session."""
     agg = stream.groupBy(session).agg(F.count(F.lit(1)).alias("uploads"), F.max_by(score, F.struct(*order)).alias("latest_score"), F.max(score).alias("highest_score"))
-    return latest(run(agg, "update"), [session])
+    return latest(run(agg, "update", home=home), [session])
 
 
-def dedup(stream: DataFrame, keys: list[str], ts: str, *, watermark: str) -> DataFrame:
+def dedup(stream: DataFrame, keys: list[str], ts: str, *, watermark: str, home: str | None = None) -> DataFrame:
     """First occurrence of each key while its repetitions lie within the watermark."""
-    return run(stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys), "append").drop("batch")
+    def first(rows: DataFrame) -> DataFrame:
+        return rows.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(keys)
+
+    return run(stream, "append", home=home, closing=ts, stateful=first).where(F.unix_micros(ts) < END).drop("batch")
 
 
-def new_media(stream: DataFrame, done: DataFrame, key: str) -> DataFrame:
+def new_media(stream: DataFrame, done: DataFrame, key: str, home: str | None = None) -> DataFrame:
     """Rows whose session is not done yet; the finished sessions are a static table."""
-    return run(stream.join(done.select(key).distinct(), key, "left_anti"), "append").drop("batch")
+    return run(stream.join(done.select(key).distinct(), key, "left_anti"), "append", home=home).drop("batch")
 
 
-def upsert_features(stream: DataFrame, initial: DataFrame, key: str) -> DataFrame:
-    """Replace the rows of the sessions in each batch, keep the rest; every batch writes a new version."""
+def upsert_features(stream: DataFrame, initial: DataFrame, key: str, home: str | None = None) -> DataFrame:
+    """Replace the rows of the sessions in each batch, keep the rest; a batch rewrites the hash buckets of its sessions alone."""
     spark = stream.sparkSession
-    root, state = shared_dir(spark, "upsert"), shared_dir(spark, "stream-state")
-    initial.write.parquet(f"{root}/v=-1")
-    last = [-1]
-
-    def write(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(initial.schema).parquet(f"{root}/v={number - 1}")
-        upsert_by_session(before, batch, key).write.mode("overwrite").parquet(f"{root}/v={number}")
-        last[0] = number
-
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/v={last[0]}")
+    home = home or shared_dir(spark, "upsert")
+    table = BucketedTable(spark, f"{home}/table", key, initial.schema)
+    if not table.versions():
+        table.create(initial)
+    stream.writeStream.foreachBatch(table.upsert).option("checkpointLocation", f"{home}/state").trigger(availableNow=True).start().awaitTermination()
+    return table.read()

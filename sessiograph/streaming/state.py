@@ -1,44 +1,146 @@
-"""Stateful operators over arriving frames: what the batch operators compute, one batch at a time.
+"""Stateful operators over arriving frames: what the batch operators compute, in whatever order the files come.
 
-Each series keeps one small state. Frames of a series are ordered inside a batch; batches are bounded by
-the bytes per trigger.
+The frames of a series wait in slots of event time until the watermark has passed a slot, then they are sorted and
+handed to the operator's step, slot by slot. Timers on event time release the slots, end a silence and end the state of a
+series that has gone quiet, so nothing is kept for ever.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from . import jobs
 
-STATE = "state string"
-
-
-def _apply(stream: DataFrame, key: str, order: list[str], step, schema: str) -> DataFrame:
-    """Run ``step(state, rows) -> (state, output rows)`` per series; the state is a JSON object."""
-    columns = [f.split()[0] for f in schema.split(", ")]
-
-    def update(series: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(order)
-        held = json.loads(state.get[0]) if state.exists else {}
-        held, out = step(held, rows)
-        state.update((json.dumps(held),))
-        yield pd.DataFrame([(series[0], *r) for r in out], columns=columns)
-
-    return stream.groupBy(key).applyInPandasWithState(update, schema, STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def frame_state(stream: DataFrame, key: str, order: list[str], value: str, away: str, threshold: float = 0.21, alpha: float = 0.3, fps: int = 30) -> DataFrame:
-    """Blink count, streak, leaky counter, smoothing and stability of each frame."""
-    def step(s: dict, rows: pd.DataFrame):
+#: The state store that keeps maps and timers.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Column of event time in microseconds (names that begin with an underscore do not reach the operator).
+TIME = "micros_"
+
+
+class InOrder(StatefulProcessor):
+    """``step(state, rows) -> (state, output rows)`` over each series' rows in event order.
+
+    Rows are lists of time (microseconds), ``order`` and ``values``. ``quiet(state, now)`` is asked at ``silence``
+    microseconds after the last row, ``finish(state)`` once ``idle`` microseconds have passed without a row, or at the end
+    of the stream; then the series' state is removed. Both return output rows.
+    """
+
+    def __init__(self, columns: list[str], n_order: int, names: list[str], slot: int, step, finish, quiet=None, silence: int | None = None, idle: int | None = None):
+        self.columns, self.n_order, self.names, self.slot = columns, n_order, names, slot
+        self.step, self.finish, self.quiet, self.silence, self.idle = step, finish, quiet, silence, idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "slot long, part long", "rows string")
+        self.held = handle.getValueState("held", "parts long, last long, armed long, state string")
+
+    def _wait(self, micros: int) -> int:
+        """Set the series' next timer, in whole milliseconds."""
+        at = -(-micros // 1000)
+        self.handle.registerTimer(at)
+        return at
+
+    def _end(self, last: int) -> int:
+        return jobs.END_TIMER if self.idle is None else min(last + self.idle + 1000, jobs.END_TIMER)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Store the rows of each slot as a part; frames are Arrow batches, never a whole series."""
+        parts, last, armed, state = self.held.get() if self.held.exists() else (0, -1, jobs.END, "{}")
+        first = None
+        for frame in rows:
+            if frame.empty:  # a key that has only timers due
+                continue
+            frame = frame[frame[TIME] < jobs.END]
+            for slot, part in frame.groupby(frame[TIME] // self.slot):
+                lines = list(map(list, zip(*(part[c].tolist() for c in self.columns))))
+                self.pending.updateValue((int(slot), parts), (json.dumps(lines),))
+                parts += 1
+                first = int(slot) if first is None else min(first, int(slot))
+        if first is not None:
+            if (first + 1) * self.slot < armed * 1000:
+                armed = self._wait((first + 1) * self.slot)
+            self.held.update((parts, last, armed, state))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        parts, last, armed, text = self.held.get() if self.held.exists() else (0, -1, jobs.END, "{}")
+        if armed * 1000 > now:  # an earlier timer has done this one's work
+            return
+        state, waiting = json.loads(text), sorted(tuple(k) for k in self.pending.keys())
+        due = [k for k in waiting if (k[0] + 1) * self.slot <= now]
+        for _, same in groupby(due, key=lambda k: k[0]):
+            same = list(same)
+            rows = sorted((r for k in same for r in json.loads(self.pending.getValue(k)[0])), key=lambda r: r[: 1 + self.n_order])
+            for k in same:
+                self.pending.removeKey(k)
+            ends = [i for i, r in enumerate(rows) if self.idle is not None and r[0] - (rows[i - 1][0] if i else last) > self.idle and (i or last >= 0)]
+            for lo, hi in zip([0, *ends], [*ends, len(rows)]):
+                if lo in ends:
+                    yield from self._rows(key, self.finish(state))
+                    state = {}
+                state, out = self.step(state, rows[lo:hi])
+                yield from self._rows(key, out)
+            last = rows[-1][0]
+        rest = waiting[len(due) :]
+        # the next row, if any waits, is later than the watermark: a silence up to there is known already
+        if self.silence is not None and now > last + self.silence:
+            state, out = self.quiet(state, now)
+            yield from self._rows(key, out)
+        if now >= self._end(last):
+            yield from self._rows(key, self.finish(state))
+            state, parts = {}, parts if rest else 0
+            if not rest:
+                self.held.clear()
+                return
+        times = [self._end(last)] if now < self._end(last) else []
+        times += [(rest[0][0] + 1) * self.slot] if rest else []
+        times += [last + self.silence + 1000] if self.silence is not None and now <= last + self.silence else []
+        self.held.update((parts, last, self._wait(min(times)), json.dumps(state)))
+
+    def _rows(self, key, out: list) -> Iterator[pd.DataFrame]:
+        for lo in range(0, len(out), 10_000):
+            yield pd.DataFrame([(key[0], *r) for r in out[lo : lo + 10_000]], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(stream: DataFrame, key: str, ts: str, order: list[str], values: list[str], schema: str, step, finish, *, delay: str, slot: float, home: str | None,
+              idle: float | None, counts: dict[str, int] | None, quiet=None, silence: float | None = None) -> DataFrame:
+    """Run an ``InOrder`` operator to the end of the stream. ``slot``, ``silence`` and ``idle`` are seconds of event time."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+
+    def micros(s: float | None) -> int | None:
+        return None if s is None else int(s * 1_000_000)
+
+    def stateful(rows: DataFrame) -> DataFrame:
+        narrow = rows.withWatermark(ts, delay).select(key, ts, F.unix_micros(ts).alias(TIME), *order, *values)
+        processor = InOrder([TIME, *order, *values], len(order), [f.split()[0] for f in schema.split(", ")], micros(slot), step, finish, quiet, micros(silence), micros(idle))
+        return narrow.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+    return jobs.run(stream, "append", counts=counts, home=home, closing=ts, stateful=stateful).drop("batch")
+
+
+def frame_state(stream: DataFrame, key: str, ts: str, order: list[str], value: str, away: str, threshold: float = 0.21, alpha: float = 0.3, fps: int = 30, *,
+                delay: str, slot: float = 1.0, idle: float | None = None, home: str | None = None, counts: dict[str, int] | None = None) -> DataFrame:
+    """Blink count, streak, leaky counter, smoothing and stability of each frame.
+
+    Frames up to ``delay`` late are in order; later ones are dropped and counted. A series without frames for ``idle``
+    seconds is over: its next frame begins a new one.
+    """
+    def step(s: dict, rows: list):
         i, blinks, prev = s.get("i", 0), s.get("blinks", 0), s.get("prev", 1.0)
         run, leak, smooth, last = s.get("run", 0), s.get("leak", 0), s.get("smooth", 0.0), s.get("last", [])
         out = []
-        for v, a in zip(rows[value].to_numpy(), rows[away].to_numpy(), strict=True):
+        for *_, v, a in rows:
             v, a = float(v), bool(a)
             blinks += int(v < threshold <= prev)
             run = run + 1 if a else 0
@@ -53,15 +155,16 @@ def frame_state(stream: DataFrame, key: str, order: list[str], value: str, away:
         return {"i": i, "blinks": blinks, "prev": prev, "run": run, "leak": leak, "smooth": smooth, "last": last}, out
 
     schema = f"{key} long, frame_idx long, blink_count long, streak double, gaze_away_time double, smoothed double, head_stability double"
-    return jobs.run(_apply(stream, key, order, step, schema), "update").drop("batch")
+    return _in_order(stream, key, ts, order, [value, away], schema, step, lambda s: [], delay=delay, slot=slot, home=home, idle=idle, counts=counts)
 
 
-def episodes(stream: DataFrame, key: str, order: list[str], flag: str, payload: str, fps: float = 100.0) -> DataFrame:
-    """Episodes of a flag. An open one is reported with the last frame as its end and replaced later."""
-    def step(s: dict, rows: pd.DataFrame):
+def episodes(stream: DataFrame, key: str, ts: str, order: list[str], flag: str, payload: str, *, delay: str, slot: float = 1.0, idle: float | None = None,
+             home: str | None = None, counts: dict[str, int] | None = None) -> DataFrame:
+    """Episodes of a flag, each once when it is over; one still open when its series ends has the last frame as its end."""
+    def step(s: dict, rows: list):
         i, start, details = s.get("i", 0), s.get("start"), s.get("details")
         out = []
-        for f, p in zip(rows[flag].to_numpy(), rows[payload].to_numpy(), strict=True):
+        for *_, f, p in rows:
             if f:
                 start = i if start is None else start
                 details = str(p)
@@ -69,38 +172,44 @@ def episodes(stream: DataFrame, key: str, order: list[str], flag: str, payload:
                 out.append((start, i, details, True))
                 start = details = None
             i += 1
-        if start is not None:
-            out.append((start, i - 1, details, False))
         return {"i": i, "start": start, "details": details}, out
 
+    def finish(s: dict):
+        return [(s["start"], s["i"] - 1, s["details"], False)] if s.get("start") is not None else []
+
     schema = f"{key} long, first_frame long, end_frame long, details string, closed boolean"
-    return jobs.latest(jobs.run(_apply(stream, key, order, step, schema), "update"), [key, "first_frame"])
+    return _in_order(stream, key, ts, order, [flag, payload], schema, step, finish, delay=delay, slot=slot, home=home, idle=idle, counts=counts)
+
 
+def turns(stream: DataFrame, key: str, ts: str, order: list[str], level: str, threshold: float, threshold2: float, n_pre: int = 10, n_post: int = 20, *,
+          timeout: float | None = 2.0, delay: str, slot: float = 1.0, idle: float | None = None, home: str | None = None, counts: dict[str, int] | None = None) -> DataFrame:
+    """Speech turns with hysteresis; ``timeout`` seconds without a frame also end a turn, by the next frame or by a timer."""
+    limit = None if timeout is None else int(timeout * 1_000_000)
 
-def turns(stream: DataFrame, key: str, order: list[str], level: str, threshold: float, threshold2: float, n_pre: int = 10, n_post: int = 20,
-          time: str | None = None, timeout: float = 2.0) -> DataFrame:
-    """Speech turns with hysteresis; with ``time`` a pause of more than ``timeout`` seconds also ends a turn."""
-    def step(s: dict, rows: pd.DataFrame):
-        i, loud, quiet, start, last = s.get("i", 0), s.get("loud", 0), s.get("quiet", 0), s.get("start"), s.get("last")
+    def silent(s: dict):
+        ended = [(s["start"], s["i"] - 1, True)] if s.get("start") is not None else []
+        return {**s, "start": None, "loud": 0, "quiet": 0}, ended
+
+    def step(s: dict, rows: list):
         out = []
-        stamps = rows[time].to_numpy() if time else [None] * len(rows)
-        for x, t in zip(rows[level].to_numpy(), stamps, strict=True):
-            if t is not None and last is not None and float(t) - last > timeout:
-                if start is not None:
-                    out.append((start, i - 1, True))
-                start, loud, quiet = None, 0, 0
-            last = None if t is None else float(t)
-            loud = loud + 1 if x > threshold else 0
-            quiet = quiet + 1 if x < threshold2 else 0
-            if loud == n_pre:
-                start = i - n_pre + 1 if start is None else start
-            elif quiet == n_post and start is not None:
-                out.append((start, i - n_post, True))
-                start = None
-            i += 1
-        if start is not None:
-            out.append((start, i - 1, False))
-        return {"i": i, "loud": loud, "quiet": quiet, "start": start, "last": last}, out
+        s = {"i": 0, "loud": 0, "quiet": 0, "start": None, "last": None, **s}
+        for t, *_, x in rows:
+            if limit is not None and s["last"] is not None and t - s["last"] > limit:
+                s, ended = silent(s)
+                out += ended
+            i, s["last"] = s["i"], t
+            s["loud"] = s["loud"] + 1 if x > threshold else 0
+            s["quiet"] = s["quiet"] + 1 if x < threshold2 else 0
+            if s["loud"] == n_pre:
+                s["start"] = i - n_pre + 1 if s["start"] is None else s["start"]
+            elif s["quiet"] == n_post and s["start"] is not None:
+                out.append((s["start"], i - n_post, True))
+                s["start"] = None
+            s["i"] = i + 1
+        return s, out
+
+    def finish(s: dict):
+        return [(s["start"], s["i"] - 1, False)] if s.get("start") is not None else []
 
     schema = f"{key} long, first_frame long, last_frame long, closed boolean"
-    return jobs.latest(jobs.run(_apply(stream, key, order, step, schema), "update"), [key, "first_frame"])
+    return _in_order(stream, key, ts, order, [level], schema, step, finish, delay=delay, slot=slot, home=home, idle=idle, counts=counts, quiet=lambda s, now: silent(s), silence=timeout)
