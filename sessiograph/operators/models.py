@@ -9,18 +9,19 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark import keyword_only
 from pyspark.ml import Pipeline, Transformer
 from pyspark.ml import classification as C
 from pyspark.ml import feature as ft
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions.vectors import let
-from ..session import durable
-from .folds import group_kfold
 from .ordered import with_scalars
 
 # letters with a mark and the letter without it, derived from Unicode (Latin blocks)
@@ -61,17 +62,18 @@ def tfidf(df: DataFrame, doc: str, text: str, min_df: int = 2, max_df: float = 0
     return weighted.join(norms, doc).select(doc, "term", (F.col("_w") / F.col("_l")).alias("weight"))
 
 
-class LogTf(Transformer):
-    """1 + ln of the counts of a count vector, zeros kept; the result is compressed."""
+class LogTf(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """1 + ln of the counts of a count vector, zeros kept; the result is compressed. Part of saved pipelines."""
 
-    def __init__(self, source: str, target: str):
+    @keyword_only
+    def __init__(self, *, inputCol: str | None = None, outputCol: str | None = None):
         super().__init__()
-        self.source, self.target = source, target
+        self._set(**self._input_kwargs)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        logged = F.transform(vector_to_array(self.source), lambda x: F.when(x > 0, 1 + F.log(F.when(x > 0, x).otherwise(1.0))).otherwise(0.0))
+        logged = F.transform(vector_to_array(self.getInputCol()), lambda x: F.when(x > 0, 1 + F.log(F.when(x > 0, x).otherwise(1.0))).otherwise(0.0))
         raw = df.withColumn("_log", array_to_vector(logged))
-        return ft.VectorAssembler(inputCols=["_log"], outputCol=self.target).transform(raw).drop("_log")
+        return ft.VectorAssembler(inputCols=["_log"], outputCol=self.getOutputCol()).transform(raw).drop("_log")
 
 
 class TextVectors:
@@ -85,7 +87,7 @@ class TextVectors:
         """``df`` has the terms of a document in ``terms``; store it before, it is read several times."""
         terms = df.select("terms")
         counter = ft.CountVectorizer(inputCol="terms", outputCol="_counts", vocabSize=max_terms, minDF=float(min_df), maxDF=max_df).fit(terms)
-        log_tf = LogTf("_counts", "_tf")
+        log_tf = LogTf(inputCol="_counts", outputCol="_tf")
         idf = ft.IDF(inputCol="_tf", outputCol="_idf").fit(log_tf.transform(counter.transform(terms)))
         scale = ft.ElementwiseProduct(scalingVec=Vectors.dense(idf.idf.toArray() + 1.0), inputCol="_tf", outputCol="_scaled")
         return TextVectors([counter, log_tf, scale, ft.Normalizer(inputCol="_scaled", outputCol="text_vec", p=2.0)])
@@ -109,93 +111,24 @@ def assemble(features: list[str], output: str = "features") -> ft.VectorAssemble
 
 
 def numeric_pipeline(features: list[str], learner) -> Pipeline:
-    """Scale the columns, then learn; missing values are filled before."""
-    return Pipeline(stages=[assemble(features, "raw"), ft.StandardScaler(inputCol="raw", outputCol="features", withMean=True), learner])
-
-
-def positive(df: DataFrame, name: str) -> DataFrame:
-    """Probability of class 1 as a column."""
-    return df.withColumn(name, F.get(vector_to_array("probability"), F.lit(1)))
-
-
-def margin(df: DataFrame, name: str) -> DataFrame:
-    return df.withColumn(name, F.get(vector_to_array("rawPrediction"), F.lit(1)))
+    """Scale the columns, then learn the probability vector ``p``; missing values are filled before."""
+    return Pipeline(stages=[assemble(features, "raw"), ft.StandardScaler(inputCol="raw", outputCol="features", withMean=True), learner.setProbabilityCol("p")])
 
 
 def learners(seed: int = 42, width: int | None = None) -> dict[str, Callable]:
     """The baseline learners by name."""
     out = {
-        "logistic_l2": lambda: C.LogisticRegression(maxIter=50, regParam=0.1, elasticNetParam=0.0),
-        "logistic_l1": lambda: C.LogisticRegression(maxIter=50, regParam=0.02, elasticNetParam=1.0),
-        "random_forest": lambda: C.RandomForestClassifier(numTrees=20, maxDepth=4, seed=seed),
+        "logistic_l2": lambda: C.LogisticRegression(maxIter=1000, regParam=0.1, elasticNetParam=0.0),
+        "logistic_l1": lambda: C.LogisticRegression(maxIter=1000, regParam=0.02, elasticNetParam=1.0),
+        "random_forest": lambda: C.RandomForestClassifier(numTrees=200, maxDepth=5, seed=seed),
         "naive_bayes": lambda: C.NaiveBayes(modelType="gaussian"),
-        "gradient_boosting": lambda: C.GBTClassifier(maxIter=8, maxDepth=3, seed=seed),
+        "gradient_boosting": lambda: C.GBTClassifier(maxIter=50, maxDepth=3, seed=seed),
     }
     if width:
-        out["perceptron"] = lambda: C.MultilayerPerceptronClassifier(layers=[width, 8, 2], maxIter=30, seed=seed)
-    return out
-
-
-def out_of_fold(df: DataFrame, k: int, fit_score: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Held-out scores of every row. ``fit_score(train, held_out)`` trains on the other folds and scores one."""
-    parts = [fit_score(df.where(F.col("fold") != i), df.where(F.col("fold") == i)) for i in range(k)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out["perceptron"] = lambda: C.MultilayerPerceptronClassifier(layers=[width, 64, 32, 2], maxIter=200, seed=seed)
     return out
 
 
-def fit_calibrated_svc(train: DataFrame, folds: int = 3, max_iter: int = 10) -> Callable[[DataFrame, str], DataFrame]:
-    """Linear SVC with class weights; a logistic curve over held-out margins turns margins into probabilities."""
-    svc = C.LinearSVC(maxIter=max_iter, regParam=0.01, weightCol="weight")
-    inner = group_kfold(class_weights(train.select("group_id", "label", "features")), "group_id", folds, "_inner")
-    parts = []
-    for i in range(folds):
-        fitted = svc.fit(inner.where(F.col("_inner") != i))
-        parts.append(margin(fitted.transform(inner.where(F.col("_inner") == i)), "m").select("label", "m"))
-    margins = parts[0]
-    for p in parts[1:]:
-        margins = margins.unionByName(p)
-    curve = C.LogisticRegression(maxIter=50, featuresCol="mv").fit(margins.withColumn("mv", array_to_vector(F.array("m"))))
-    a, b = float(curve.coefficients[0]), float(curve.intercept)
-    final = svc.fit(inner)
-
-    def score(df: DataFrame, name: str) -> DataFrame:
-        scored = margin(final.transform(df), "_m")
-        return scored.withColumn(name, 1 / (1 + F.exp(-(F.col("_m") * a + b)))).drop("_m", "rawPrediction", "prediction")
-    return score
-
-
-def text_scores(train: DataFrame, held: DataFrame, name: str = "p_text", max_terms: int = 3000) -> DataFrame:
-    """Fit text features and the calibrated SVC on ``train``, score ``held``.
-
-    The training vectors are written once: every fit of the learner reads them, none computes them again.
-    """
-    vec = TextVectors.fit(train, max_terms=max_terms)
-    model = fit_calibrated_svc(durable(vec.transform(train).select("group_id", "label", F.col("text_vec").alias("features")), "vectors"))
-    return model(vec.transform(held).withColumnRenamed("text_vec", "features"), name).drop("features")
-
-
-def boosted_scores(train: DataFrame, held: DataFrame, features: list[str], name: str = "p_audio", weighted: bool = False) -> DataFrame:
-    gbt = C.GBTClassifier(maxIter=10, maxDepth=3, seed=42, labelCol="label")
-    if weighted:
-        gbt, train = gbt.setWeightCol("weight"), class_weights(train)
-    model = numeric_pipeline(features, gbt).fit(train)
-    return positive(model.transform(held), name).drop("raw", "features", "rawPrediction", "probability", "prediction", "weight")
-
-
-def late_fusion(oof: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], dict[str, float]]:
-    """Logistic regression over (p_text, p_audio), and its weights."""
-    asm = assemble(["p_text", "p_audio"], "features")
-    model = C.LogisticRegression(maxIter=50).fit(asm.transform(oof))
-    weights = {"w_text": float(model.coefficients[0]), "w_audio": float(model.coefficients[1]), "intercept": float(model.intercept)}
-
-    def score(df: DataFrame) -> DataFrame:
-        z = F.col("p_text") * weights["w_text"] + F.col("p_audio") * weights["w_audio"] + weights["intercept"]
-        return df.withColumn("p_final", 1 / (1 + F.exp(-z)))
-    return score, weights
-
-
 def linear_score(features: dict[str, float], intercept: float, stats: DataFrame, df: DataFrame, name: str = "risk_score") -> DataFrame:
     """Score of a stored linear model package: fill, scale by saved statistics, logistic function."""
     from .projections import fill_missing_features

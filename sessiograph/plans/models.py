@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 
-
-
+from pyspark.ml import PipelineModel
+from pyspark.ml import feature as ft
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions import text as tx
-from ..operators import folds, models, projections, reports, scoring, series, sessions
-from ..session import durable, spread
+from ..operators import folds, models, packages, projections, reports, scoring, series, sessions
+from ..session import durable, shared_dir, spread
 from ._sql import AWL, TTR, band, r
 from .registry import Registry, r6
 
@@ -57,37 +58,42 @@ def _(t):
 AUDIO = ["audio_loudness_mean", "audio_f0_mean", "audio_jitter_max", "audio_n"]
 
 
-def training_sessions(t):
-    """Labelled documents as sessions: text, audio statistics of the order of the same number, label, group.
-
-    Stored once, because every learner reads it many times.
-    """
-    a = t.table("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(
+def audio_of_documents(t):
+    """Audio statistics of the order with a document's number."""
+    return t.table("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(
         F.avg("l_quantity").alias("audio_loudness_mean"), F.avg("l_extendedprice").alias("audio_f0_mean"), F.max("l_tax").alias("audio_jitter_max"), F.count(F.lit(1)).cast("double").alias("audio_n"))
-    s = spread(t.table("documents").select("doc_id", "text", "source")).join(t.table("labels").select("doc_id", F.col("quality").alias("label")), "doc_id").join(a, "doc_id", "left")
-    s = projections.fill_missing_features(s.select("doc_id", "text", F.col("source").alias("group_src"), F.col("label").cast("int").alias("label"), *AUDIO), AUDIO)
-    s = s.withColumns({"group_id": F.col("doc_id").cast("string"), "terms": models.ngram_terms("text")})
-    return durable(folds.group_kfold(s, "group_id", 3), "training")
 
 
-def _text_oof(s):
-    return models.out_of_fold(s, 3, models.text_scores)
+def sessions_to_score(t):
+    """All documents as sessions: terms of the text, audio statistics where there are any."""
+    return t.table("documents").select("doc_id", models.ngram_terms("text").alias("terms")).join(audio_of_documents(t), "doc_id", "left")
+
+
+def training_sessions(t):
+    """Labelled documents as sessions: text, audio statistics, label, group. Stored once, because every learner reads it many times."""
+    s = t.table("documents").select("doc_id", "text").join(t.table("labels").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id").join(audio_of_documents(t), "doc_id", "left")
+    s = projections.fill_missing_features(s, AUDIO)
+    s = s.withColumns({"group_id": F.col("doc_id").cast("string"), "terms": models.ngram_terms("text")})
+    return durable(folds.group_kfold(s, "group_id", packages.Settings.folds), "training")
 
 
-def _audio_oof(s):
-    return models.out_of_fold(s, 3, lambda a, b: models.boosted_scores(a, b, AUDIO))
+def session_package(t):
+    """The trained package of one data directory: trained by the first query that needs it, loaded by all others."""
+    path = shared_dir(t.spark, "models").rsplit("/", 1)[0] + "/models/sessions-" + hashlib.md5(f"{t.dir}|{packages.Settings()}|{AUDIO}".encode()).hexdigest()
+    if not packages.SessionPackage.exists(t.spark, path):
+        packages.SessionPackage.train(training_sessions(t), "doc_id", AUDIO).save(path)
+    return packages.SessionPackage.load(t.spark, path)
 
 
 @q("text_svc_calibrated")
 def _(t):
-    s = training_sessions(t)
-    return models.text_scores(s, s).select("doc_id", "label", r6("p_text"))
+    return packages.with_score(session_package(t).text, sessions_to_score(t).select("doc_id", "terms"), "p_text").select("doc_id", r6("p_text"))
 
 
 @q("audio_gbt")
 def _(t):
-    s = training_sessions(t)
-    return models.boosted_scores(s, s, AUDIO).select("doc_id", "label", r6("p_audio"))
+    s = projections.fill_missing_features(sessions_to_score(t).drop("terms"), AUDIO)
+    return packages.with_score(session_package(t).audio, s, "p_audio").select("doc_id", r6("p_audio"))
 
 
 def labelled_segments(t):
@@ -95,60 +101,66 @@ def labelled_segments(t):
     feats = {"duration": F.col("duration"), "word_count": tx.word_count("text").cast("double"), "type_token_ratio": tx.type_token_ratio("text"),
              "avg_word_length": tx.avg_word_length("text"), "complex": tx.ratio_of_tokens(tx.complex_word_count("text"), "text")}
     s = t.segments.select("session_id", "segment_idx", "segment_id", "start_time", "end_time", "text", (F.col("role") == "assistant").cast("int").alias("label"), *[c.alias(n) for n, c in feats.items()])
-    return folds.group_kfold(s, "session_id", 3)
+    return folds.group_kfold(s, "session_id", packages.SEGMENT.folds)
 
 
 SEG = ["duration", "word_count", "type_token_ratio", "avg_word_length", "complex"]
 
 
+def segment_scores(t):
+    """Held-out scores of all segments and the models of the folds."""
+    s = durable(labelled_segments(t).drop("text"), "segments")
+    return packages.held_out(s, packages.SEGMENT.folds, lambda d: packages.tree_model(d, SEG, packages.SEGMENT, balanced=True), "segment_score")
+
+
 @q("segment_gbt")
 def _(t):
-    s = durable(labelled_segments(t), "segments")
-    oof = models.out_of_fold(s, 3, lambda a, b: models.boosted_scores(a, b, SEG, "segment_score", weighted=True))
-    return oof.select("session_id", "segment_idx", "fold", "label", r6("segment_score"))
+    return segment_scores(t)[0].select("session_id", "segment_idx", "fold", "label", r6("segment_score"))
+
+
+@q("segment_feature_importance")
+def _(t):
+    fitted = segment_scores(t)[1]
+    return packages.mean_importances(t.spark, [packages.importances(m, SEG) for m in fitted], 15).select("rank", "feature", r6("importance"))
 
 
 @q("early_fusion_linear")
 def _(t):
     s = training_sessions(t)
-    vec = models.TextVectors.fit(s, max_terms=3000)
-    from pyspark.ml import feature as ft
-    num = models.assemble(AUDIO, "_num").transform(vec.transform(s))
-    num = ft.StandardScaler(inputCol="_num", outputCol="_numz", withMean=True).fit(num).transform(num)
-    both = durable(models.assemble(["text_vec", "_numz"]).transform(num).select("doc_id", "group_id", "label", "features"), "vectors")
-    return models.fit_calibrated_svc(both)(both, "p").select("doc_id", "label", r6("p"))
+    vectors = models.TextVectors.fit(s, packages.Settings.max_terms, packages.Settings.min_df, packages.Settings.max_df)
+    scaler = ft.StandardScaler(inputCol="_num", outputCol="_numz", withMean=True).fit(models.assemble(AUDIO, "_num").transform(s))
+    stages = PipelineModel([*vectors.stages, models.assemble(AUDIO, "_num"), scaler, models.assemble(["text_vec", "_numz"])])
+    both = durable(stages.transform(s).select("doc_id", "group_id", "label", "features"), "vectors")
+    model = PipelineModel([*stages.stages, *packages.calibrated_svc(both, packages.Settings())])
+    return packages.with_score(model, projections.fill_missing_features(sessions_to_score(t), AUDIO), "p_final").select("doc_id", r6("p_final", "p"))
 
 
 @q("early_fusion_trees")
 def _(t):
-    s = training_sessions(t)
-    wide = s.withColumns({"n_words": tx.word_count("text").cast("double"), "ttr": tx.type_token_ratio("text")})
-    return models.boosted_scores(wide, wide, [*AUDIO, "n_words", "ttr"], "p", weighted=True).select("doc_id", "label", r6("p"))
+    def wide(df):
+        return projections.fill_missing_features(df, AUDIO).withColumns({"n_terms": F.size("terms").cast("double"), "distinct_terms": F.size(F.array_distinct("terms")).cast("double")})
+    columns = [*AUDIO, "n_terms", "distinct_terms"]
+    model = packages.tree_model(wide(training_sessions(t)), columns, packages.Settings(), balanced=True)
+    return packages.with_score(model, wide(sessions_to_score(t)), "p_final").select("doc_id", r6("p_final", "p"))
 
 
 @q("oof_predictions")
 def _(t):
-    return _text_oof(training_sessions(t)).select("doc_id", "fold", "label", r6("p_text"))
-
-
-def _fused(t):
-    s = training_sessions(t)
-    oof = durable(_text_oof(s).select("doc_id", "fold", "label", "p_text").join(_audio_oof(s).select("doc_id", "p_audio"), "doc_id"), "oof")
-    score, weights = models.late_fusion(oof)
-    return score(oof), weights
+    return session_package(t).oof.select("doc_id", "fold", "label", r6("p_text"))
 
 
 @q("late_fusion_meta")
 def _(t):
-    scored, weights = _fused(t)
-    return scored.select("doc_id", "fold", "label", r6("p_text"), r6("p_audio"), r6("p_final"), *[F.lit(v).alias(k) for k, v in weights.items()])
+    p = session_package(t)
+    return p.oof.select("doc_id", "fold", "label", r6("p_text"), r6("p_audio"), r6("p_final"), *[F.lit(p.info[k]).alias(k) for k in ("w_text", "w_audio", "intercept")])
 
 
 @q("average_fusion")
 def _(t):
-    s = training_sessions(t)
-    audio = models.out_of_fold(s, 3, lambda a, b: models.boosted_scores(a, b, AUDIO[:2], "p_audio"))
-    video = models.out_of_fold(s, 3, lambda a, b: models.boosted_scores(a, b, AUDIO[2:], "p_video"))
+    s, k = training_sessions(t), packages.Settings.folds
+    (audio, _), (video, _) = packages.side_by_side([
+        lambda: packages.held_out(s, k, lambda d: packages.tree_model(d, AUDIO[:2], packages.Settings()), "p_audio"),
+        lambda: packages.held_out(s, k, lambda d: packages.tree_model(d, AUDIO[2:], packages.Settings()), "p_video")])
     both = audio.select("doc_id", "label", "p_audio").join(video.select("doc_id", "p_video"), "doc_id")
     p = (F.col("p_audio") + F.col("p_video")) / 2
     return both.select("doc_id", "label", r6(p, "p_fused"), (p >= 0.5).cast("int").alias("prediction"))
@@ -156,11 +168,11 @@ def _(t):
 
 @q("baseline_models")
 def _(t):
-    s = training_sessions(t)
+    s, makers = training_sessions(t), models.learners(width=len(AUDIO))
+    parts = packages.side_by_side([lambda make=make: packages.held_out(s, packages.Settings.folds, lambda d: models.numeric_pipeline(AUDIO, make()).fit(d), "p_held")[0] for make in makers.values()])
     out = None
-    for name, make in models.learners(width=len(AUDIO)).items():
-        part = models.out_of_fold(s, 3, lambda a, b, make=make: models.positive(models.numeric_pipeline(AUDIO, make()).fit(a).transform(b), "p")).select(
-            F.lit(name).alias("model"), "doc_id", "label", r6("p"))
+    for name, part in zip(makers, parts, strict=True):
+        part = part.select(F.lit(name).alias("model"), "doc_id", "label", r6("p_held", "p"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -193,8 +205,8 @@ def _(t):
 
 @q("score_sessions")
 def _(t):
-    scored, _ = _fused(t)
-    return scoring.late_fusion_verdict(scored, "p_final").select("doc_id", r6("p_text"), r6("p_audio"), r6("p_final"), "prediction", "prediction_label", "risk_level")
+    scored = models.text_fallback(session_package(t).score(sessions_to_score(t)), "doc_id")
+    return scoring.late_fusion_verdict(scored, "score").select("doc_id", r6("p_text"), r6("p_audio"), r6("p_final"), r6("score"), "source", "reason", "trained", "prediction", "prediction_label", "risk_level")
 
 
 _FB = """f AS (SELECT s.session_id, t.p_text, a.p_final FROM (SELECT DISTINCT CAST(c_custkey AS VARCHAR) AS session_id FROM customer) s
