@@ -222,7 +222,7 @@ def _ask(asking: pa.Table, asked: pa.Table) -> pa.Table:
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, set_hash, n_shingles, component_id, kept of every input row."""
+    """doc_id, set_hash, n_shingles, component_id, kept, stays of every input row."""
     rows = narrow(docs, id_col, text_col)
     sketches = stored(rows.mapInArrow(lambda batches: _sketches(batches, width), SKETCH), "sketches")
     nowhere = F.coalesce("doc_id", F.lit((1 << 63) - 1))
@@ -236,23 +236,23 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int) -> Data
     tops = whole.groupBy("comp").agg(F.min("low").alias("top"))
     of_class = stored(whole.join(tops, "comp").select("set_hash", F.col("top.doc_id").alias("component_id"), F.col("top.rid").alias("kept_rid")), "of_class")
     out = full.select("rid", "doc_id", "n", "set_hash").join(of_class, "set_hash").select(
-        "doc_id", "set_hash", F.col("n").alias("n_shingles"), "component_id", (F.col("rid") == F.col("kept_rid")).alias("kept"))
-    empty = sketches.where("n = 0").select("doc_id", "set_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+        "doc_id", "set_hash", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), (F.col("rid") == F.col("kept_rid")).alias("stays"))
+    empty = sketches.where("n = 0").select("doc_id", "set_hash", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(True).alias("stays"))
     return out.unionByName(empty)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, stays.
 
     Sets are the distinct runs of ``width`` words after lower-casing A-Z (a shorter text is its own set), by 64-bit hash. Texts without
     words, null or empty, have an empty set, are linked with nothing and kept. ``component_id`` is the least id
-    reachable (null ids count as largest; null only where a component has no other); exactly one row of a component is
-    kept, also of repeated rows. An empty table gives an empty result; other columns are ignored.
+    reachable (null ids count as largest; null only where a component has no other). ``kept`` holds for the rows that bear it, so for
+    all rows of a repeated id; ``stays`` for exactly one row of each component. An empty table gives an empty result; other columns are ignored.
     """
     return _components(docs, id_col, text_col, width).drop("set_hash")
 
 
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns. Of rows with one id and equal sets one stays."""
-    flags = _components(docs, id_col, text_col, width).select("doc_id", F.col("set_hash").alias("digest"), "kept")
+    flags = _components(docs, id_col, text_col, width).select("doc_id", F.col("set_hash").alias("digest"), F.col("stays").alias("kept"))
     return keep_marked(docs, flags, id_col, text_col, lambda texts: [_hash(s) for s in shingle_sets([t.encode().lower() for t in texts], width)])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .chat_format import PART, chat_format
+from .chat_format import chat_format
 from .exact_dedup import exact_duplicates
 from .language_id import language_of
 from .lexical_search import search
@@ -99,7 +99,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_minhash_dedup")
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), width=2)
+    return near_duplicates(documents(spark, sf_dir), width=2).drop("stays")
 
 
 @query("op10_suffix_dedup")
@@ -117,7 +117,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(documents(spark, sf_dir))
 
 
-CHAT_SQL = f"""
+CHAT_SQL = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 p AS (
   SELECT conv_id, turn, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS s, row_number() OVER o AS j,
@@ -125,8 +125,7 @@ p AS (
   FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING)),
 whole AS (SELECT n, prefix, min(conv_id) AS conv_id, count(*) AS copies FROM p WHERE j = n GROUP BY n, prefix),
 stays AS (SELECT conv_id, copies FROM whole ANTI JOIN (SELECT DISTINCT j AS n, prefix FROM p WHERE j < n) USING (n, prefix))
-SELECT conv_id, CAST(coalesce(floor(turn / {PART}), -1) AS BIGINT) AS part, count(*) AS n_turns, copies, string_agg(s, '' ORDER BY j) AS rendered
-FROM p JOIN stays USING (conv_id) GROUP BY conv_id, part, copies"""
+SELECT conv_id, count(*) AS n_turns, copies, string_agg(s, '' ORDER BY j) AS rendered FROM p JOIN stays USING (conv_id) GROUP BY conv_id, copies"""
 
 
 @query("op4_chat_format", CHAT_SQL)

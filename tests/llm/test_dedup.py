@@ -62,10 +62,16 @@ def _near(spark, rows, schema="doc_id long, text string"):
 def test_near_edges(spark):
     got = _near(spark, edge_rows(), SCHEMA).collect()
     without = [r for r in got if r.n_shingles]
-    kept = [r for r in without if r.kept]
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+    kept = [r for r in without if r.stays]
     # one kept row in a component; the null id's lonely text has a component without an id, id 21 stands in two
     assert len(kept) == len({r.component_id for r in without}) + 1 and sum(r.component_id == 21 for r in kept) == 2
-    assert all(r.kept for r in got if not r.n_shingles)
+    assert all(r.kept and r.stays for r in got if not r.n_shingles)
+
+
+def test_near_repeated_ids(spark):
+    got = near_duplicates(spark.createDataFrame([(5, PROSE), (5, PROSE), (7, PROSE)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(5, 5, True), (5, 5, True), (7, 5, False)] and sum(r.stays for r in got) == 1
 
 
 def test_near_families_share_components(spark, monkeypatch):

@@ -311,18 +311,37 @@ def test_chat_snapshots(spark):
     rows = [*turns(1, "hi"), *turns(2, "hi", "hello"), *turns(3, "hi", "hello", "how"), *turns(4, "hi", "other"), *turns(5, "hi", "other"), *turns(6, "hello"), *turns(7, None, ""),
             (8, 5, "user", "hi"), (8, 9, "assistant", "other"), (8, 9, "assistant", "other"), (None, 0, "user", "lost"), (9, None, "user", "no number"), (9, 0, None, "then")]
     got = {r.conv_id: r for r in chat_format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert {c: r.copies for c, r in got.items() if r.part == 0} == {3: 1, 4: 3, 6: 1, 7: 1, 9: 1}  # 8 says the same as 4 and 5 under other numbers
+    assert {c: r.copies for c, r in got.items()} == {3: 1, 4: 3, 6: 1, 7: 1, 9: 1}  # 8 says the same as 4 and 5 under other numbers
     assert got[3].rendered == "<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\nhello<|im_end|>\n<|im_start|>user\nhow<|im_end|>\n"
     parts = chat_format(spark.createDataFrame(turns(1, *map(str, range(2500))) + turns(2, *map(str, range(1500))), "conv_id long, turn long, role string, text string")).collect()
-    assert sorted((r.conv_id, r.part, r.n_turns) for r in parts) == [(1, 0, 1024), (1, 1, 1024), (1, 2, 452)]
+    assert [(r.conv_id, r.n_turns) for r in parts] == [(1, 2500)]
+    assert parts[0].rendered == "".join(f"<|im_start|>{'assistant' if i % 2 else 'user'}\n{i}<|im_end|>\n" for i in range(2500))
     assert chat_format(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).collect() == []
 
 
+def test_chat_ties_clashing_columns_and_long_turns(spark):
+    """Turns of one number go by role and text, as in the SQL; numbers below -PART follow turns without one."""
+    import duckdb
+    import pandas as pd
+
+    rows = [(1, 1, "user", t) for t in ("beta", "alpha", "zeta", "gamma")] + [(2, 1, "user", "alpha"), (2, 1, "assistant", "zeta"), (3, None, "user", "first"), (3, -5000, "user", "second"),
+            (3, 7, "user", "x" * 300_000), (4, 1, "user", "alpha"), (4, 1, "user", "beta")]
+    schema = "conv_id long, turn long, role string, text string"
+    extra = spark.createDataFrame(rows, schema).selectExpr("*", "1 as part", "'h' as h", "2 as j", "3 as copies", "4 as n")
+    got = Counter((r.conv_id, r.n_turns, r.copies, r.rendered) for r in chat_format(extra).collect())
+    con = duckdb.connect()
+    con.register("frame", pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"turn": "Int64"}))
+    con.execute("CREATE VIEW conversations AS SELECT conv_id, turn, role, text FROM frame")
+    assert got == Counter(con.sql(SQL["op4_chat_format"]).select("conv_id, n_turns, copies, rendered").fetchall())
+    assert 4 not in {k[0] for k in got}  # alpha, beta begins conversation 1
+
+
 # pipeline and registration
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
-    from .helpers import components_plain, exact_plain
+    from .helpers import exact_plain
+    from .test_dedup import _stage_plain
 
     steps = dict(corpus_pipeline.STAGES)
     assert list(steps) == ["quality_rules", "exact_dedup", "near_dedup", "secret_scan", "packing"]
@@ -335,8 +354,7 @@ def test_pipeline_stages(spark):
     left = [r for r in left if r[0] in keep]
     assert {r.doc_id for r in two.collect()} == keep
     three = steps["near_dedup"](spark, two, DATA)
-    comp, size = components_plain(left)
-    keep = {r[0] for r, c, n in zip(left, comp, size) if c == r[0] or not n}
+    keep = set(_stage_plain([r[:2] for r in left]))
     assert {r.doc_id for r in three.collect()} == keep
     four = steps["secret_scan"](spark, three, DATA)
     assert {r.doc_id for r in four.collect()} == keep and four.columns == docs.columns and four.where("text rlike 'AKIA[0-9A-Z]{16}'").count() == 0
@@ -349,7 +367,7 @@ def test_query_equals_its_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     got = QUERIES[name](spark, DATA)
     cols = sorted(got.columns)
