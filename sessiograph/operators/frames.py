@@ -54,30 +54,36 @@ def leaky_counter(df: DataFrame, keys: list[str], index: str, away: Column, name
     return low.withColumn(name, (F.col("_s") - F.least(F.lit(0), F.col("_m"))) / fps).drop("_s", "_m")
 
 
+#: Frames a smoothing block holds at most.
+BLOCK_FRAMES = 1 << 20
+
+
 def exponential_smoothing(df: DataFrame, keys: list[str], index: str, value: str, name: str, alpha: float = 0.3) -> DataFrame:
-    """y = alpha x + (1 - alpha) y before, starting from 0.
+    """y = alpha x + (1 - alpha) y before, starting from 0; as exact as the loop, whatever the size of earlier values.
 
-    The weights inside a short block are explicit powers, so a block is a plain running sum. The block is
-    chosen so that one block back weighs 1e-8; of the blocks before, three are added and the rest weighs
-    less than 1e-24, below double precision.
+    The weights inside a short block are explicit powers, so a block is a plain running sum and carries one affine map
+    (decay, end). A group of blocks composes its maps in order. Groups are so long that a whole one weighs less than the least
+    double times the inverse of the largest: what a group carries on is its own end alone, and no earlier value is cut.
     """
+    if alpha <= 0:
+        return df.withColumn(name, F.lit(0.0))
     keep = 1.0 - alpha
-    block = max(1, math.floor(-math.log(1e8) / math.log(keep))) if keep > 0 else 1
+    block = max(1, min(BLOCK_FRAMES, math.floor(-math.log(1e8) / math.log(keep)))) if keep > 0 else 1
     decay = keep ** block
+    group = max(2, math.ceil(-math.log(1e300) * 2.2 / math.log(decay))) if decay > 0 else 2
     b, p = F.floor(F.col(index) / block).cast("long"), F.col(index) % block
     boosted = F.col(value) * alpha * F.pow(F.lit(keep), -p)
     numbered = df.withColumns({"_b": b, "_p": p})
     w = ordered.Window.partitionBy(*keys, "_b").orderBy(index).rowsBetween(ordered.Window.unboundedPreceding, 0)
     local = numbered.withColumn("_y", F.sum(boosted).over(w) * F.pow(F.lit(keep), F.col("_p")))
-    ends = numbered.groupBy(*keys, "_b").agg((F.sum(boosted) * keep ** (block - 1)).alias("_e"))
-
-    def before(win):
-        terms = [F.coalesce(F.lag("_e", j + 1).over(win), F.lit(0.0)) * decay ** j for j in range(3)]
-        return {"_c": terms[0] + terms[1] + terms[2]}
-
-    carried = ordered.over_neighbours(ends, keys, "_b", before, 3, 0).select(*keys, "_b", "_c")
+    ends = numbered.groupBy(*keys, "_b").agg((F.coalesce(F.sum(boosted), F.lit(0.0)) * keep ** (block - 1)).alias("_e"))
+    groups = ends.groupBy(*keys, F.floor(F.col("_b") / group).cast("long").alias("_g")).agg(F.sort_array(F.collect_list(F.struct("_b", "_e"))).alias("_l"))
+    composed = groups.withColumn("_before", F.aggregate("_l", F.array(F.lit(0.0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) * decay + x["_e"]))))
+    linked = ordered.over_neighbours(composed, keys, "_g", lambda win: {"_in": F.coalesce(F.lag(F.element_at("_before", -1)).over(win), F.lit(0.0))}, 1, 0)
+    carried = linked.select(*keys, "_before", "_in", F.posexplode("_l").alias("_at", "_x")).select(
+        *keys, F.col("_x._b").alias("_b"), (F.get("_before", F.col("_at")) + F.pow(F.lit(decay), F.col("_at")) * F.col("_in")).alias("_c"))
     out = local.join(carried, [*keys, "_b"])
-    return out.select(*df.columns, (F.col("_y") + F.col("_c") * F.pow(F.lit(keep), F.col("_p") + 1)).alias(name))
+    return out.select(*df.columns, (F.coalesce("_y", F.lit(0.0)) + F.col("_c") * F.pow(F.lit(keep), F.col("_p") + 1)).alias(name))
 
 
 def rolling_stability(df: DataFrame, keys: list[str], index: str, x: str, y: str, name: str = "head_stability", size: int = 10, least: int = 5) -> DataFrame:

@@ -130,6 +130,29 @@ def meta_model(oof: DataFrame, s: Settings) -> PipelineModel:
     return Pipeline(stages=[assemble(["p_text", "p_audio"], "meta"), lr]).fit(class_weights(oof))
 
 
+def stored_at(spark: SparkSession, path: str) -> bool:
+    """Whether a complete package is there: its file of names is written last."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/info/_SUCCESS")
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def write_info(spark: SparkSession, path: str, info: dict) -> None:
+    spark.createDataFrame([(json.dumps(info),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/info")
+
+
+def read_info(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/info").first()[0])
+
+
+def train_segments(segments: DataFrame, features: list[str], path: str, s: Settings = SEGMENT, name: str = "segment_score") -> None:
+    """Boosted trees over labelled segments (with ``fold``): held-out scores, one pipeline per fold and their importances, saved at ``path``."""
+    oof, fitted = held_out(durable(segments, "segments"), s.folds, lambda d: tree_model(d, features, s, balanced=True), name)
+    oof.write.mode("overwrite").parquet(f"{path}/oof")
+    for i, m in enumerate(fitted):
+        m.write().overwrite().save(f"{path}/fold-{i}")
+    write_info(oof.sparkSession, path, {"features": features, "settings": asdict(s), "importances": [importances(m, features) for m in fitted]})
+
+
 class SessionPackage:
     """Text, audio and fusion models of sessions."""
 
@@ -153,19 +176,14 @@ class SessionPackage:
         for name in ("text", "audio", "meta"):
             getattr(self, name).write().overwrite().save(f"{path}/{name}")
         self.oof.write.mode("overwrite").parquet(f"{path}/oof")
-        self.oof.sparkSession.createDataFrame([(json.dumps(self.info),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/info")
+        write_info(self.oof.sparkSession, path, self.info)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> SessionPackage:
-        info = json.loads(spark.read.text(f"{path}/info").first()[0])
+        info = read_info(spark, path)
         parts = [PipelineModel.load(f"{path}/{name}") for name in ("text", "audio", "meta")]
         return SessionPackage(*parts, spark.read.parquet(f"{path}/oof"), info)
 
-    @staticmethod
-    def exists(spark: SparkSession, path: str) -> bool:
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/info/_SUCCESS")
-        return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
     def score(self, sessions: DataFrame) -> DataFrame:
         """session, p_text, p_audio, p_final of every row: trained rows by the models of the other folds, all others by the final ones.
 

@@ -24,12 +24,13 @@ def _raw_features(t):
 
 
 def _raw_segments(t):
-    k = F.col("o_orderkey").cast("string")
-    return t.table("orders").select(F.concat(F.lit("rec"), k).alias("session_id"), F.explode(F.array(F.lit("1"), F.lit("2"))).alias("segment_id"), "o_totalprice")
+    k = F.col("l_orderkey").cast("string")
+    return t.table("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_extendedprice").alias("price")).select(
+        F.concat(F.lit("rec"), k).alias("session_id"), F.col("l_linenumber").cast("string").alias("segment_id"), "price")
 
 
-@q("join_segments_features", "", """WITH f AS (SELECT l_orderkey, l_linenumber, max(l_tax) AS shimmer FROM lineitem WHERE l_linenumber IN (1, 2) GROUP BY 1, 2)
-    SELECT 'rec' || l_orderkey AS session_id, CAST(l_linenumber AS VARCHAR) AS segment_id, o_totalprice, shimmer FROM orders JOIN f ON o_orderkey = l_orderkey""")
+@q("join_segments_features", "", """SELECT 'rec' || l_orderkey AS session_id, CAST(l_linenumber AS VARCHAR) AS segment_id, max(l_extendedprice) AS price, max(l_tax) AS shimmer
+    FROM lineitem GROUP BY l_orderkey, l_linenumber""")
 def _(t):
     return joins.join_segments_features(_raw_segments(t), _raw_features(t))
 

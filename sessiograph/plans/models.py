@@ -77,10 +77,15 @@ def training_sessions(t):
     return durable(folds.group_kfold(s, "group_id", packages.Settings.folds), "training")
 
 
+def package_path(t, name: str, *settings) -> str:
+    """Folder of a package trained from one data directory under these settings."""
+    return shared_dir(t.spark, "models").rsplit("/", 1)[0] + f"/models/{name}-" + hashlib.md5(f"{t.dir}|{settings}".encode()).hexdigest()
+
+
 def session_package(t):
     """The trained package of one data directory: trained by the first query that needs it, loaded by all others."""
-    path = shared_dir(t.spark, "models").rsplit("/", 1)[0] + "/models/sessions-" + hashlib.md5(f"{t.dir}|{packages.Settings()}|{AUDIO}".encode()).hexdigest()
-    if not packages.SessionPackage.exists(t.spark, path):
+    path = package_path(t, "sessions", packages.Settings(), AUDIO)
+    if not packages.stored_at(t.spark, path):
         packages.SessionPackage.train(training_sessions(t), "doc_id", AUDIO).save(path)
     return packages.SessionPackage.load(t.spark, path)
 
@@ -107,21 +112,23 @@ def labelled_segments(t):
 SEG = ["duration", "word_count", "type_token_ratio", "avg_word_length", "complex"]
 
 
-def segment_scores(t):
-    """Held-out scores of all segments and the models of the folds."""
-    s = durable(labelled_segments(t).drop("text"), "segments")
-    return packages.held_out(s, packages.SEGMENT.folds, lambda d: packages.tree_model(d, SEG, packages.SEGMENT, balanced=True), "segment_score")
+def segment_package(t) -> str:
+    """Folder of the trained segment trees; trained by the first query that needs them."""
+    path = package_path(t, "segments", packages.SEGMENT, SEG)
+    if not packages.stored_at(t.spark, path):
+        packages.train_segments(labelled_segments(t).drop("text"), SEG, path)
+    return path
 
 
 @q("segment_gbt")
 def _(t):
-    return segment_scores(t)[0].select("session_id", "segment_idx", "fold", "label", r6("segment_score"))
+    return t.spark.read.parquet(f"{segment_package(t)}/oof").select("session_id", "segment_idx", "fold", "label", r6("segment_score"))
 
 
 @q("segment_feature_importance")
 def _(t):
-    fitted = segment_scores(t)[1]
-    return packages.mean_importances(t.spark, [packages.importances(m, SEG) for m in fitted], 15).select("rank", "feature", r6("importance"))
+    info = packages.read_info(t.spark, segment_package(t))
+    return packages.mean_importances(t.spark, info["importances"], 15).select("rank", "feature", r6("importance"))
 
 
 @q("early_fusion_linear")

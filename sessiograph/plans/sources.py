@@ -44,11 +44,10 @@ def _(t):
 def _(t):
     path = shared_dir(t.spark, "transcripts")
     docs = transcripts.nested(t.segments, "session_id", "segment_idx", t.words)
-    docs.write.partitionBy("session_id").json(path)
-    read = transcripts.scan_transcripts(t.spark, path)
+    docs.write.json(path)
+    read = transcripts.scan_transcript_lines(t.spark, path, "session_id")
     n_words = F.aggregate("segments", F.lit(0).cast("long"), lambda a, s: a + F.size(F.coalesce(s["words"], F.array())))
-    return read.select(F.regexp_extract("file_path", "session_id=([^/]+)/", 1).alias("session_id"),
-                       F.size("segments").alias("n_segments"), n_words.alias("n_words"))
+    return read.select("session_id", F.size("segments").alias("n_segments"), n_words.alias("n_words"))
 
 
 @q("explode_transcript_segments", "segments", r"""SELECT session_id, CASE WHEN segment_idx % 5 = 0 THEN 'transcript_segment_' || printf('%04d', rn) ELSE segment_id END AS segment_id,

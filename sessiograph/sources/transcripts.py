@@ -17,6 +17,11 @@ def scan_transcripts(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("file_path", F.col("_metadata.file_path"))
 
 
+def scan_transcript_lines(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """One row per line: many documents a file, each with its id in ``key``; files are split between tasks."""
+    return spark.read.schema(f"{key} string, {SCHEMA}").json(path)
+
+
 def explode_segments(transcripts: DataFrame, key: str) -> DataFrame:
     """One row per segment: default id, start and end as numbers, duration not below 0, trimmed text."""
     e = transcripts.select(key, F.posexplode_outer("segments").alias("pos", "s"))

@@ -195,3 +195,18 @@ def test_substring_match_is_exact(spark):
 def test_checked_union_refuses_other_types(spark):
     with pytest.raises(ValueError):
         ranking.checked_union(spark.range(1), spark.range(1).select(F.col("id").cast("int")))
+
+
+@pytest.mark.parametrize("alpha", [0.3, 0.02, 0.9, 1.0])
+def test_smoothing_equals_the_loop(spark, alpha):
+    """An impulse of 1e30 is still there hundreds of frames later; long and short series, several groups of blocks."""
+    series = {1: [1e30] + [0.0] * 400, 2: [math.sin(i) for i in range(9000)], 3: [2.5], 4: [0.0] * 300 + [1e300] + [1.0] * 5200 + [-1e12] + [0.25] * 800}
+    df = spark.createDataFrame([(k, i, x) for k, xs in series.items() for i, x in enumerate(xs)], "k long, i long, x double")
+    got = {(r.k, r.i): r.y for r in fr.exponential_smoothing(df, ["k"], "i", "x", "y", alpha).collect()}
+    assert len(got) == sum(map(len, series.values()))
+    for k, xs in series.items():
+        y, size = 0.0, 0.0
+        for i, x in enumerate(xs):
+            y = alpha * x + (1 - alpha) * y
+            size = max(abs(alpha * x), (1 - alpha) * size)
+            assert math.isclose(got[k, i], y, rel_tol=1e-9, abs_tol=1e-12 * size), (k, i)
