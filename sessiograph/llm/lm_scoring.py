@@ -174,15 +174,28 @@ class Model:
         inner = (mix(one * np.uint64(1 << 10) + cls.astype(np.uint64) + np.uint64(5)) & np.uint64(INNER - 1)).astype(np.uint16)
         return rank, cls, rows, inner
 
+    def _class_scores(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Unnormalised logarithms of the classes, the largest of each token 0."""
+        x = self.top.take(rows[0], 0)
+        for r in rows[1:]:
+            x += self.top.take(r, 0)
+        x += self.bias
+        x -= x.max(1, keepdims=True)
+        return x
+
+    def _inner_scores(self, cls: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        x = self.inner_bias.take(cls, 0)
+        x += self.inner.take(inner, 0)
+        x -= x.max(1, keepdims=True)
+        return x
+
     def class_log(self, rows: list[np.ndarray]) -> np.ndarray:
         """Natural logarithms of the class probabilities."""
-        x = self.bias + sum(self.top[r] for r in rows)
-        x -= x.max(1, keepdims=True)
+        x = self._class_scores(rows)
         return x - np.log(np.exp(x).sum(1, keepdims=True))
 
     def inner_log(self, cls: np.ndarray, inner: np.ndarray) -> np.ndarray:
-        x = self.inner_bias[cls] + self.inner[inner]
-        x -= x.max(1, keepdims=True)
+        x = self._inner_scores(cls, inner)
         return x - np.log(np.exp(x).sum(1, keepdims=True))
 
     def train(self, words: np.ndarray, endings: np.ndarray, firsts: np.ndarray, top_sum: np.ndarray, inner_sum: np.ndarray) -> None:
@@ -191,13 +204,13 @@ class Model:
         for lo in range(0, len(words), BATCH):
             part = slice(lo, lo + BATCH)
             mine = [r[part] for r in rows]
-            g = np.exp(self.class_log(mine))
+            g = _softmax(self._class_scores(mine))
             g[np.arange(len(g)), cls[part]] -= 1
             for r in mine:
                 _step(self.top, top_sum, r, g)
             often = np.flatnonzero((rank[part] >= 0) & (rank[part] < self.n_frequent)) + lo
             if len(often):
-                g = np.exp(self.inner_log(cls[often], inner[often]))
+                g = _softmax(self._inner_scores(cls[often], inner[often]))
                 g[np.arange(len(g)), self.slot[rank[often]]] -= 1
                 _step(self.inner, inner_sum, inner[often], g)
 
@@ -223,15 +236,29 @@ class Model:
         return np.add.reduceat(out, firsts[:-1]), np.add.reduceat(known, firsts[:-1]), np.add.reduceat((~tail).astype(np.int64), firsts[:-1]), tail
 
 
+def _softmax(x: np.ndarray) -> np.ndarray:
+    np.exp(x, out=x)
+    x /= x.sum(1, keepdims=True)
+    return x
+
+
 def _step(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, g: np.ndarray) -> None:
     """Add each row's gradients up and move the rows once."""
     order = np.argsort(rows, kind="stable")
     ordered = rows[order]
     starts = np.flatnonzero(np.diff(ordered, prepend=ordered[0] ^ np.uint16(1)))
-    total = np.add.reduceat(g[order], starts, axis=0)
+    total = np.add.reduceat(g.take(order, 0), starts, axis=0)
     at = ordered[starts]
-    squares[at] += total * total
-    table[at] -= RATE * total / np.sqrt(squares[at] + 1e-6)
+    size = squares.take(at, 0)
+    size += total * total
+    squares[at] = size
+    size += 1e-6
+    np.sqrt(size, out=size)
+    total *= RATE
+    total /= size
+    moved = table.take(at, 0)
+    moved -= total
+    table[at] = moved
 
 
 def _chunks(table: np.ndarray) -> list[np.ndarray]:
