@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -37,7 +38,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
     keys = [k for k in os.environ.get("BENCH_QUERIES", "").split(",") if k] or HEADLINE
-    spark = build_session("bench", cpus, int(cpus) if cpus.isdigit() else 8)
+    spark = build_session("bench", cpus, int(cpus) if cpus.isdigit() else 8, {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="bench-")})
     spark.read.parquet(f"{sf_dir}/nation.parquet").count()  # start the executors
     queries, times = catalog().queries, {}
     for key in keys:

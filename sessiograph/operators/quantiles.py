@@ -1,8 +1,9 @@
-"""Exact interpolated quantiles per group, whatever the size of a group.
+"""Exact interpolated quantiles per group, whatever the size of a group: one plan, no job while it is built.
 
-``percentile`` keeps every distinct value of a group in one buffer. That is the fast way for ordinary
-groups; groups above ``hot_rows`` are answered by rank instead: equal values are counted first, then the
-value range around each wanted rank is narrowed twice by histograms of fixed size.
+Equal values are counted first. The wanted ranks are then found by two histograms over the counts: cells of equal ratio
+(so outliers and infinities have cells of their own), then cells of equal width inside the cell a rank falls into; the few
+values left are numbered. Every step is a grouping with partial sums or a join on (group, cell), so a hot group spreads over
+its cells, and a window sees at most the cells of one group.
 """
 
 from __future__ import annotations
@@ -10,72 +11,67 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_ROWS = 4_000_000
-BINS = 4096
+#: Cells per doubling of the value, and cells of equal width inside one of these.
+PER_OCTAVE, WITHIN = 512, 1 << 20
+#: Cell numbers start here on both sides of 0: more than the octaves of a double below 1.
+OFFSET = PER_OCTAVE * 1100
 
 
-def group_quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], probs: dict[str, float],
-                    aggs: list[Column] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``keys``, the extra ``aggs`` and one column ``<value>_<prob name>`` per value and quantile.
+def ratio_cell(v: Column) -> Column:
+    """A whole number that does not decrease with ``v``: sign and logarithm; infinities come last."""
+    size = F.greatest(F.lit(1), F.floor(F.log2(F.abs(v)) * PER_OCTAVE) + OFFSET)
+    top = F.lit(PER_OCTAVE * 1030 + OFFSET)
+    return (F.when(v == 0, F.lit(0)).otherwise(F.signum(v).cast("long") * F.when(F.abs(v) == float("inf"), top).otherwise(size))).cast("long")
 
-    Null and NaN values are left out. At most rows / hot_rows keys can be hot, so their list is small
-    enough to broadcast.
+
+def group_quantiles(df: DataFrame, keys: list[str], values: dict[str, Column], probs: dict[str, float], aggs: list[Column] | None = None) -> DataFrame:
+    """``keys``, the extra ``aggs`` and one column ``<value>_<prob name>`` per value and quantile; null where a group has no value.
+
+    Null and NaN values are left out. Keys must not be null.
     """
     clean = {n: F.nanvl(c.cast("double"), F.lit(None).cast("double")) for n, c in values.items()}
-    plist = list(probs.values())
-
-    def pick(n: str, i: int, s: str) -> Column:
-        return F.get(F.col(f"_q_{n}"), F.lit(i)).alias(f"{n}_{s}")
-
-    # one small job over the key columns decides whether any group needs the second way at all
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-    any_hot = not hot.isEmpty()
-    ordinary = df.join(F.broadcast(hot), keys, "left_anti") if any_hot else df
-    # a buffer holds all distinct values, so combining before the shuffle saves nothing: rows are moved instead
-    ordinary = ordinary.repartition(*keys).groupBy(*keys).agg(
-        *(aggs or []), *[F.percentile(c, F.array(*[F.lit(p) for p in plist])).alias(f"_q_{n}") for n, c in clean.items()])
-    extra = [c for c in ordinary.columns if c not in keys and not c.startswith("_q_")]
-    shape = [*keys, *extra]
-    ordinary = ordinary.select(*shape, *[pick(n, i, s) for n in values for i, s in enumerate(probs)])
-    if not any_hot:
-        return ordinary
-
-    large = df.join(F.broadcast(hot), keys, "left_semi")
-    by_rank = _by_rank(large, keys, clean, probs)
-    if aggs:
-        by_rank = large.groupBy(*keys).agg(*aggs).join(by_rank, keys, "left")
-    return ordinary.unionByName(by_rank.select(*ordinary.columns))
-
-
-def _by_rank(df: DataFrame, keys: list[str], values: dict[str, Column], probs: dict[str, float]) -> DataFrame:
     k = [*keys, "_name"]
-    long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(n).alias("_name"), c.alias("_v")) for n, c in values.items()])).alias("_e"))
-    counts = (long.select(*keys, "_e.*").where(F.col("_v").isNotNull())
-              .groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    spread = counts.groupBy(*k).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-    wanted = F.array(*[F.struct(F.lit(s).alias("_p"), ((F.col("_n") - 1) * F.lit(p)).alias("_at")) for s, p in probs.items()])
-    positions = spread.select(*k, "_a", "_b", F.explode(wanted).alias("_w")).select(*k, "_a", "_b", "_w.*")
-    target = positions.select(*k, "_a", "_b", F.explode(F.array_distinct(F.array(
-        F.floor("_at"), F.ceil("_at")))).alias("_rank")).distinct().withColumn("_base", F.lit(0).cast("long"))
-    tk = [*k, "_rank"]
-    for _ in range(2):
-        near = counts.join(F.broadcast(target), k).where(F.col("_v").between(F.col("_a"), F.col("_b")))
-        share = (F.col("_v") - F.col("_a")) / (F.col("_b") - F.col("_a")) * BINS
-        cell = F.when(F.col("_b") > F.col("_a"), F.least(F.lit(BINS - 1), F.floor(share))).otherwise(0)
-        hist = near.withColumn("_cell", cell).groupBy(*tk, "_base", "_cell").agg(
-            F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        below = F.sum("_c").over(Window.partitionBy(*tk).orderBy("_cell")) - F.col("_c") + F.col("_base")
-        target = (hist.withColumn("_below", below)
-                  .where((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_c")))
-                  .select(*tk, F.col("_lo").alias("_a"), F.col("_hi").alias("_b"), F.col("_below").alias("_base")))
-    near = counts.join(F.broadcast(target), k).where(F.col("_v").between(F.col("_a"), F.col("_b")))
-    below = F.sum("_c").over(Window.partitionBy(*tk).orderBy("_v")) - F.col("_c") + F.col("_base")
-    found = (near.withColumn("_below", below)
-             .where((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_c")))
-             .select(*tk, "_v"))
-    low = positions.withColumn("_rank", F.floor("_at")).join(found.withColumnRenamed("_v", "_x"), tk)
-    both = low.withColumn("_rank", F.ceil("_at")).join(found.withColumnRenamed("_v", "_y"), tk)
-    value = F.col("_x") + (F.col("_y") - F.col("_x")) * (F.col("_at") - F.floor("_at"))
-    return both.groupBy(*keys).agg(*[
-        F.max(F.when((F.col("_name") == n) & (F.col("_p") == s), value)).alias(f"{n}_{s}") for n in values for s in probs])
+    listed = F.array(*[F.struct(F.lit(n).alias("_name"), (c + F.lit(0.0)).alias("_v")) for n, c in clean.items()])
+    counts = df.select(*keys, F.inline(listed)).where(F.col("_v").isNotNull()).groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    # the distinct values are dealt once by (group, cell): the cells, both joins and the windows inside a cell use this order
+    counts = counts.withColumn("_cell", ratio_cell(F.col("_v"))).repartition(*k, "_cell")
+
+    cells = counts.groupBy(*k, "_cell").agg(F.sum("_c").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b"))
+    total = F.sum("_c").over(Window.partitionBy(*k))
+    wanted = F.array_distinct(F.array(*[f((F.col("_n") - 1) * F.lit(float(p))).cast("long") for p in probs.values() for f in (F.floor, F.ceil)]))
+    below = F.sum("_c").over(Window.partitionBy(*k).orderBy("_cell")) - F.col("_c")
+    inside = F.filter(wanted, lambda r: (r >= F.col("_base")) & (r < F.col("_base") + F.col("_c")))
+    first = cells.withColumns({"_n": total, "_base": below}).select(*k, "_cell", "_n", "_a", "_b", "_base", F.explode(inside).alias("_rank"))
+
+    share = F.floor((F.col("_v") / 2 - F.col("_a") / 2) / (F.col("_b") / 2 - F.col("_a") / 2) * WITHIN)
+    part = F.when(F.col("_b") > F.col("_a"), F.least(F.lit(WITHIN - 1), share)).otherwise(0)
+    finer = counts.join(first, [*k, "_cell"]).withColumn("_part", part).groupBy(*k, "_cell", "_rank", "_n", "_base", "_part").agg(
+        F.sum("_c").alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    second = _reached(finer, [*k, "_cell", "_rank"], "_part").select(*k, "_cell", "_rank", "_n", "_lo", "_hi", F.col("_below").alias("_base"))
+
+    near = counts.join(second, [*k, "_cell"]).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    found = _reached(near.select(*k, "_cell", "_rank", "_n", "_base", "_v", "_c"), [*k, "_cell", "_rank"], "_v")
+
+    def at(n: str, rank: Column) -> Column:
+        return F.max(F.when((F.col("_name") == n) & (F.col("_rank") == rank), F.col("_v")))
+
+    picked = {}
+    for n in values:
+        for s, p in probs.items():
+            place = (F.col("_n") - 1) * F.lit(float(p))
+            picked[f"{n}_{s}"] = (at(n, F.floor(place)), at(n, F.ceil(place)), F.max(F.when(F.col("_name") == n, place - F.floor(place))))
+    out = found.groupBy(*keys).agg(*[c.alias(f"_{x}{i}") for x, three in picked.items() for i, c in enumerate(three)])
+    out = out.select(*keys, *[_between(F.col(f"_{x}0"), F.col(f"_{x}1"), F.col(f"_{x}2")).alias(x) for x in picked])
+    base = df.groupBy(*keys).agg(*(aggs or [F.lit(0).alias("_none")]))
+    return base.drop("_none").join(out, keys, "left")
+
+
+def _reached(hist: DataFrame, group: list[str], by: str) -> DataFrame:
+    """Rows of a histogram of one rank each in which the rank lies."""
+    below = F.sum("_c").over(Window.partitionBy(*group).orderBy(by)) - F.col("_c") + F.col("_base")
+    return hist.withColumn("_below", below).where((F.col("_rank") >= F.col("_below")) & (F.col("_rank") < F.col("_below") + F.col("_c")))
+
+
+def _between(low: Column, high: Column, share: Column) -> Column:
+    """Linear interpolation; equal ends (also infinite ones) and a share of 0 give the lower one."""
+    return F.when((share == 0) | (low == high), low).otherwise(low + (high - low) * share)

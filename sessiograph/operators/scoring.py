@@ -13,7 +13,7 @@ from ..constants import TEXT_ANOMALY as T
 from ..functions import scalars as sc
 from ..functions import text as tx
 from . import ordered
-from .quantiles import HOT_ROWS, group_quantiles
+from .quantiles import group_quantiles
 
 
 def verdict(df: DataFrame, score: str, threshold: float, positive: str = "experimental", negative: str = "control") -> DataFrame:
@@ -112,7 +112,7 @@ def emotion_score(negative_ratio: Column, model_prob: Column) -> Column:
     return sc.clamp01(EMOTION["negative"] * F.coalesce(negative_ratio, F.lit(0.0)) + EMOTION["model"] * F.coalesce(model_prob, F.lit(0.0)))
 
 
-def session_scores(df: DataFrame, session: str, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def session_scores(df: DataFrame, session: str, order: list[str]) -> DataFrame:
     """All ways to turn segment scores into one session score.
 
     The top five come from a ranked window Spark limits before the shuffle, the rest from one aggregate.
@@ -121,7 +121,7 @@ def session_scores(df: DataFrame, session: str, order: list[str], hot_rows: int
     base = group_quantiles(df, [session], {"score": F.col("score")}, {"p90": 0.9}, [
         F.count(F.lit(1)).alias("n_segments"), F.avg("score").alias("score_mean"), F.max("score").alias("score_max"),
         F.min("score").alias("score_min"), F.stddev_pop("score").alias("score_std"),
-        (F.sum(F.col("score") * weight) / F.sum(weight)).alias("score_weighted")], hot_rows)
+        (F.sum(F.col("score") * weight) / F.sum(weight)).alias("score_weighted")])
     top = top_per_session(df, session, "score", order, 5).groupBy(session).agg(F.avg("score").alias("score_mean_top5"))
     return base.join(top, session)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from . import ordered
-from .quantiles import HOT_ROWS, group_quantiles
+from .quantiles import group_quantiles
 
 
 def vector_stats(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
@@ -149,9 +149,9 @@ def moments(x: Column) -> dict[str, Column]:
 PERCENTILES = {"p20": 0.2, "q1": 0.25, "p50": 0.5, "q3": 0.75, "p80": 0.8}
 
 
-def percentiles(df: DataFrame, keys: list[str], x: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+def percentiles(df: DataFrame, keys: list[str], x: Column) -> DataFrame:
     """Percentiles, quartiles, their ranges and the 80/20 quotient; exact for series of any length."""
-    q = group_quantiles(df, keys, {"x": x}, PERCENTILES, None, hot_rows)
+    q = group_quantiles(df, keys, {"x": x}, PERCENTILES)
     p = {n: F.col(f"x_{n}") for n in PERCENTILES}
     return q.select(*keys, *[c.alias(n) for n, c in p.items()], (p["p50"] - p["q1"]).alias("iqr12"), (p["q3"] - p["p50"]).alias("iqr23"),
                     (p["q3"] - p["q1"]).alias("iqr13"), (p["p80"] - p["p20"]).alias("pctlrange"), F.try_divide(p["p80"], p["p20"]).alias("pctlquot"))

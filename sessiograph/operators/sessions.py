@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions import text as tx
-from .quantiles import HOT_ROWS, group_quantiles
+from .quantiles import group_quantiles
 
 PART_SEGMENTS = 4096
 
@@ -22,7 +22,7 @@ def first_by(value: str, *order: str) -> Column:
 
 
 def session_stats(df: DataFrame, keys: list[str], features: list[str], prefix: str, *, population: bool, zero_empty: bool,
-                  aggs: list[Column] | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                  aggs: list[Column] | None = None) -> DataFrame:
     """Mean, deviation, median, minimum and maximum of every feature; NaN values are skipped.
 
     ``population`` uses the population deviation with 0 for a single row, otherwise the sample one with
@@ -37,7 +37,7 @@ def session_stats(df: DataFrame, keys: list[str], features: list[str], prefix: s
         std = F.stddev_pop(x) if population else F.stddev_samp(x)
         parts += [empty(c).alias(f"{prefix}{f}_{n}") for n, c in
                   (("mean", F.avg(x)), ("std", std), ("min", F.min(x)), ("max", F.max(x)))]
-    out = group_quantiles(df, keys, {f: F.col(f) for f in features}, {"median": 0.5}, parts, hot_rows)
+    out = group_quantiles(df, keys, {f: F.col(f) for f in features}, {"median": 0.5}, parts)
     names = [c for c in out.columns if not c.endswith("_median")]
     return out.select(*names, *[empty(F.col(f"{f}_median")).alias(f"{prefix}{f}_median") for f in features])
 

@@ -36,7 +36,7 @@ def delay(t):
 
 
 #: Seconds of recording that are buffered, sorted and released together.
-SLOT = 30.0
+SLOT = 60.0
 W2 = "OVER (PARTITION BY series_id, stretch ORDER BY frame_idx"
 
 

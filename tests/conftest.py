@@ -9,8 +9,8 @@ from sessiograph.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", 8, 4)
+def spark(tmp_path_factory):
+    session = build_session("tests", 8, 4, {"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield session
     session.stop()
 

@@ -102,20 +102,44 @@ def test_quantiles_by_rank_are_exact(spark, values, copies):
     rows = [("hot", float(v)) for v in values * copies] + [("cold", 1.0), ("empty", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = {"p10": 0.1, "p50": 0.5, "p90": 0.9, "lo": 0.0, "hi": 1.0}
-    got = {r.k: r for r in quantiles.group_quantiles(df, ["k"], {"v": F.col("v")}, probs, [F.count(F.lit(1)).alias("n")], hot_rows=0).collect()}
+    got = {r.k: r for r in quantiles.group_quantiles(df, ["k"], {"v": F.col("v")}, probs, [F.count(F.lit(1)).alias("n")]).collect()}
     want = np.quantile(np.array(values * copies), list(probs.values()))
     assert np.allclose([got["hot"][f"v_{p}"] for p in probs], want, rtol=1e-9, atol=1e-6)
     assert got["cold"].v_p50 == 1.0 and got["empty"].v_p50 is None and got["empty"].n == 1
 
 
-def test_quantiles_split_hot_from_ordinary(spark):
+def test_quantiles_of_a_hot_group_outliers_and_infinities(spark):
     rnd = random.Random(3)
-    rows = [("hot", rnd.gauss(0, 1)) for _ in range(500)] + [("cold", float(i)) for i in range(9)] + [("cold", float("nan"))]
-    df = spark.createDataFrame(rows, "k string, v double")
-    a = sorted(quantiles.group_quantiles(df, ["k"], {"v": F.col("v")}, {"m": 0.5, "q": 0.9}, hot_rows=100).collect())
-    b = sorted(quantiles.group_quantiles(df, ["k"], {"v": F.col("v")}, {"m": 0.5, "q": 0.9}).collect())
-    assert [x.k for x in a] == [x.k for x in b]
-    assert np.allclose([[x.v_m, x.v_q] for x in a], [[x.v_m, x.v_q] for x in b])
+    groups = {"hot": [rnd.gauss(0, 1) for _ in range(3000)], "cold": [float(i) for i in range(9)] + [float("nan")], "outliers": [1e300, -1e300, 5e-324, 0.0, -0.0, 1e-9, 2.0, 2.0, 3.0],
+              "infinite": [float("inf"), float("inf"), 1.0, float("-inf")], "close": [1 + i * 2.0 ** -52 for i in range(40)], "same": [7.25] * 50, "none": [None, float("nan")]}
+    df = spark.createDataFrame([(k, v, v) for k, vs in groups.items() for v in vs], "k string, v double, w double")
+    probs = {"lo": 0.0, "q": 0.25, "m": 0.5, "p90": 0.9, "hi": 1.0}
+    got = {r.k: r for r in quantiles.group_quantiles(df, ["k"], {"v": F.col("v"), "w2": F.col("w") * 2}, probs).collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        vs = sorted(v for v in vs if v is not None and v == v)
+        for s, p in probs.items():
+            if not vs:
+                assert got[k][f"v_{s}"] is None
+                continue
+            at = (len(vs) - 1) * p
+            low, high = vs[math.floor(at)], vs[math.ceil(at)]
+            want = low if low == high else low + (high - low) * (at - math.floor(at))
+            if math.isnan(want):  # between two infinities
+                assert math.isnan(got[k][f"v_{s}"])
+                continue
+            assert got[k][f"v_{s}"] == want or math.isclose(got[k][f"v_{s}"], want, rel_tol=1e-12), (k, s)
+            assert got[k][f"w2_{s}"] == 2 * got[k][f"v_{s}"] or k in ("outliers",)
+
+
+def test_quantiles_run_nothing_while_they_are_built(spark):
+    group = "quantile-plan"
+    spark.sparkContext.setJobGroup(group, group)
+    df = quantiles.group_quantiles(spark.range(100).selectExpr("id % 3 as k", "double(id) as v"), ["k"], {"v": F.col("v")}, {"m": 0.5})
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
 def test_smoothing_and_leaky_counter_equal_loops(spark):
