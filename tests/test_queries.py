@@ -7,8 +7,9 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from sessiograph.operators import models
+from sessiograph.operators import folds, packages
 from sessiograph.plans.catalog import catalog
 from sessiograph.sources.bindings import Tables
 from tests.conftest import DATA
@@ -70,21 +71,41 @@ def test_scan_reads_two_columns(spark):
     assert "text" not in plan.split("ReadSchema")[1].split(">")[0] or "conv_id" in plan
 
 
-def test_models_give_probabilities_without_leaks(spark):
-    sessions = importlib.import_module("sessiograph.plans.models").training_sessions(Tables(spark, DATA))
-    audio = ["audio_loudness_mean", "audio_f0_mean"]
-    seen = []
-
-    def fit(train, held):
-        assert train.join(held.select("group_id"), "group_id").count() == 0
-        seen.append(held.count())
-        return models.boosted_scores(train, held, audio)
-    out = models.out_of_fold(sessions, 3, fit)
-    rows = out.select("doc_id", "p_audio").collect()
-    assert len(rows) == len({r.doc_id for r in rows}) == sum(seen) and all(0 <= r.p_audio <= 1 for r in rows)
-    held = sessions.where("fold = 0")
-    text = models.text_scores(sessions.where("fold != 0"), held, max_terms=200).select("p_text").collect()
-    assert len(text) == held.count() and all(0 <= r.p_text <= 1 for r in text)
+SMALL = packages.Settings(folds=3, max_terms=200, min_df=2, svc_iterations=20, rounds=5)
+
+
+def test_held_out_scores_have_no_leaks(spark):
+    sessions = folds.group_kfold(importlib.import_module("sessiograph.plans.models").training_sessions(Tables(spark, DATA)).drop("fold"), "group_id", 3)
+    audio, seen = ["audio_loudness_mean", "audio_f0_mean"], []
+
+    def fit(train):
+        seen.append({r.group_id for r in train.select("group_id").collect()})
+        return packages.tree_model(train, audio, SMALL)
+    out, fitted = packages.held_out(sessions, 3, fit, "p_audio")
+    rows = out.select("doc_id", "group_id", "p_audio").collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == sessions.count() and all(0 <= r.p_audio <= 1 for r in rows)
+    assert all(sum(r.group_id in groups for groups in seen) == 2 for r in rows)
+    ranked = packages.mean_importances(spark, [packages.importances(m, audio) for m in fitted]).collect()
+    assert [r.rank for r in ranked] == [1, 2] and abs(sum(r.importance for r in ranked) - 1) < 1e-9 and ranked[0].importance >= ranked[1].importance
+
+
+def test_a_saved_package_scores_every_document(spark, tmp_path):
+    plans = importlib.import_module("sessiograph.plans.models")
+    t = Tables(spark, DATA)
+    package = packages.SessionPackage.train(plans.training_sessions(t), "doc_id", plans.AUDIO, SMALL)
+    package.save(str(tmp_path / "p"))
+    assert packages.stored_at(spark, str(tmp_path / "p"))
+    loaded = packages.SessionPackage.load(spark, str(tmp_path / "p"))
+    silent = F.when(F.col("doc_id") % 7 != 3, F.lit(True))
+    every = plans.sessions_to_score(t).withColumns({c: F.when(silent, F.col(c)) for c in plans.AUDIO})
+    rows, again = ({r.doc_id: r for r in p.score(every).collect()} for p in (package, loaded))
+    assert rows == again and len(rows) == t.table("documents").count()
+    oof = {r.doc_id: r for r in package.oof.collect()}
+    for r in rows.values():
+        assert 0 <= r.p_text <= 1 and (r.p_final is None) == (r.p_audio is None)
+        assert r.trained == (r.doc_id in oof) and (r.doc_id % 7 != 3 or r.p_final is None)
+        if r.trained:
+            assert r.p_text == oof[r.doc_id].p_text and r.p_final in (None, oof[r.doc_id].p_final)
 
 
 def test_entry(spark):
