@@ -56,6 +56,12 @@ def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
+def addressed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``narrow`` rows with ``raw``, a 64-bit hash of the text: texts are fetched by id and hash, so an id that many rows bear
+    is not one key."""
+    return narrow(docs, id_col, text_col).withColumn("raw", F.xxhash64("text"))
+
+
 def slices(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of about ``most`` bytes; one text is never cut."""
     start = size = 0

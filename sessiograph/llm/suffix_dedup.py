@@ -1,11 +1,10 @@
-"""Repeated strings by prefix doubling over sampled suffixes.
-
-A suffix array of every position would move sixteen bytes or more per byte of text, so ranks start at sampled positions: of every
-window of LENGTH bytes the least SEED-byte gram (by hash) is its anchor, which equal windows choose alike. Spark sorts
-and ranks the anchors by their first SEED bytes; unique ones are done. An anchor whose whole neighbourhood (all windows
-it stands for) has an equal is past the threshold and done too. What is left is ranked again at growing lengths, the pair
-of a rank and the bytes that follow: first COARSE bytes at every STEP-th offset, then LENGTH bytes at every
-offset, and what becomes unique goes at each step. One member of equal neighbourhoods stands for the others.
+"""Repeated strings by grouping hashes at sampled anchors; rank doubling over every position is in ``suffix_doubling``.
+
+Of every window of LENGTH bytes the least SEED-byte gram (by hash) is its anchor, which equal windows choose alike. Anchors are
+grouped by the hash of their SEED bytes; unique ones are done. An anchor whose whole neighbourhood (all windows it stands for) has
+an equal is done too, and one member of equal neighbourhoods stands for the others. What is left is grouped by hashes at growing
+lengths: first COARSE bytes at every STEP-th offset, then LENGTH bytes at every offset, and what becomes unique goes at
+each step. Texts that repeat as a whole need no fetching: one of them stands for all, and all of their bytes go.
 """
 
 from __future__ import annotations
@@ -19,14 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, narrow, slices, stored
+from ._common import addressed, discard, slices, stored
 from ._hashing import joined, mix, prefix, spans
 
 LENGTH, SEED, STEP = 200, 50, 25
 COARSE = LENGTH - STEP
 #: Texts are read in segments of this many window starts.
 SEGMENT = 500_000
-FIRST = "anchor boolean, rid long, doc_id long, n_bytes long, sha binary, seed long, whole long, place long"
+FIRST = "anchor boolean, rid long, doc_id long, raw long, n_bytes long, sha binary, seed long, whole long, place long"
 
 
 def _place(p1: np.ndarray, anchor: np.ndarray, p2: np.ndarray) -> np.ndarray:
@@ -69,12 +68,12 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for every text, then rows for its anchors."""
     row = TaskContext.get().partitionId() << 33
-    names = ["anchor", "rid", "doc_id", "n_bytes", "sha", "seed", "whole", "place"]
+    names = ["anchor", "rid", "doc_id", "raw", "n_bytes", "sha", "seed", "whole", "place"]
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
         n = len(texts)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([False] * n), pa.array(range(row, row + n), pa.int64()), batch.column(0), pa.array([len(t) for t in texts], pa.int64()),
+            [pa.array([False] * n), pa.array(range(row, row + n), pa.int64()), batch.column(0), batch.column(2), pa.array([len(t) for t in texts], pa.int64()),
              pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), *[pa.nulls(n, pa.int64())] * 3], names=names)
         parts = [(i, s, t[s : s + SEGMENT + LENGTH - 1]) for i, t in enumerate(texts) if len(t) >= LENGTH for s in range(0, len(t) - LENGTH + 1, SEGMENT)]
         for lo, hi in slices([t for _, _, t in parts], SEGMENT):
@@ -83,16 +82,18 @@ def _first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = np.array([i for i, _, _ in parts[lo:hi]], np.int64)[text]
             begin = np.array([s for _, s, _ in parts[lo:hi]], np.int64)[text]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ones(m, bool)), pa.array(of + row), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
+                [pa.array(np.ones(m, bool)), pa.array(of + row), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
                  pa.array(seed.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(place + (begin << 20))], names=names)
         row += n
 
 
 def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the rows asked for; an id that comes with several texts is told apart by hash."""
+    """Texts of the rows asked for, told apart by SHA-256 too. Repeated rows with one id follow each other: one of them is enough."""
+    before = None
     for batch in batches:
-        texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
-        found = [i for i, s in enumerate(batch.column(1).to_pylist()) if hashlib.sha256(texts[i]).digest() == s]
+        texts, rids = [(t or "").encode() for t in batch.column(0).to_pylist()], batch.column(2).to_pylist()
+        found = [i for i, s in enumerate(batch.column(1).to_pylist()) if rids[i] != (rids[i - 1] if i else before) and hashlib.sha256(texts[i]).digest() == s]
+        before = rids[-1] if rids else before
         yield pa.RecordBatch.from_arrays([batch.column(2).take(pa.array(found, pa.int64())), pa.array([texts[i] for i in found], pa.binary())], names=["rid", "body"])
 
 
@@ -183,14 +184,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if a LENGTH-byte string over it also starts anywhere else in the table; judged on UTF-8 bytes of the
-    input, never across texts. Keys are 128 bits of polynomial hashes. A null text counts as empty; a repeated row is a copy like any other;
-    null ids and ids with several texts are kept apart. An empty table gives an empty result; other columns are ignored.
+    input, never across texts. Keys are two 64-bit polynomial hashes of strings of at most 350 bytes. A null text counts as empty; a repeated row is a copy like any other;
+    null ids and ids with several texts are kept apart. All bytes of a text of LENGTH bytes or more that repeats as a whole go. An empty table gives an empty result; other columns are ignored.
     """
-    rows = narrow(docs, id_col, text_col)
+    rows = addressed(docs, id_col, text_col)
     both = stored(rows.mapInArrow(_first, FIRST), "first", "anchor")
-    texts = both.where(~F.col("anchor")).select("rid", "doc_id", "n_bytes", "sha")
+    texts = both.where(~F.col("anchor")).select("rid", "doc_id", "raw", "n_bytes", "sha")
+    # texts that repeat as a whole: the first stands for all
+    copies = stored(texts.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.count("*").alias("n"), F.min("rid").alias("first")).where("n > 1").select("sha", "first"), "copies")
+    spare = texts.join(copies, "sha").where("rid != first").select("rid")
     # length SEED
-    left = stored(_again(both.where("anchor").select("rid", "seed", "whole", "place"), "seed"), "seeds")
+    left = stored(_again(both.where("anchor").select("rid", "seed", "whole", "place"), "seed").join(spare, "rid", "left_anti"), "seeds")
     discard(both, "anchor=true")
     # equal neighbourhoods are past the threshold; one member stands for them among the other neighbourhoods of its seed
     wholes = stored(left.groupBy("seed", "whole").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("one")), "wholes")
@@ -198,8 +202,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_ = wholes.join(several, "seed").select("seed", "one.rid", "one.place").groupBy("rid").agg(F.collect_list(F.struct("place", "seed")).alias("rows"))
     done = stored(left.join(wholes.where("n > 1").select("seed", "whole"), ["seed", "whole"]).select(
         "rid", F.expr("shiftright(place, 20)").alias("lo"), F.expr("shiftright(place, 20) + (place & 1023)").alias("hi")), "done")
-    wanted = left.select("rid").distinct().join(texts, "rid").select("rid", F.col("doc_id").alias("id"), "sha")
-    bodies = stored(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"])).select("text", "sha", "rid").mapInArrow(_asked, "rid long, body binary"), "bodies")
+    wanted = left.select("rid").distinct().join(texts, "rid").select("rid", F.col("doc_id").alias("id"), F.col("raw").alias("of"), "sha")
+    bodies = stored(rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["id"]) & (rows["raw"] == wanted["of"])).select("text", "sha", "rid").mapInArrow(_asked, "rid long, body binary"), "bodies")
     discard(left)
     # length COARSE, then LENGTH; lists are the anchors of one text
     tests = stored(bodies.join(open_, "rid").select("rid", "body", "rows").mapInArrow(_tests, "rid long, seed long, place long, k int, code long"), "tests")
@@ -217,6 +221,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                  .groupBy("rid").agg(*(F.first(c).alias(c) for c in ("n_removed", "n_spans", "kept"))), "cut")
     for x in (done, same, bodies):
         discard(x)
-    found = texts.join(cut, "rid", "left")
-    return found.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
-                        F.lower(F.hex(F.coalesce("kept", "sha"))).alias("kept_sha256"))
+    found = texts.join(cut, "rid", "left").join(copies, "sha", "left")
+    whole = F.col("first").isNotNull()
+    return found.select("doc_id", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+                        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+                        F.when(whole, F.sha2(F.lit(b""), 256)).otherwise(F.lower(F.hex(F.coalesce("kept", "sha")))).alias("kept_sha256"))
