@@ -2,38 +2,48 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cache
 
 import numpy as np
 
-#: An odd multiplier and its inverse modulo 2**64; a second pair for 128-bit keys.
-BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93)
+#: An odd multiplier modulo 2**64.
+BASE = 0x9E3779B97F4A7C15
+#: Strings up to this length are told apart by a polynomial modulo 2**64; regular strings of 1024 bytes can agree in it whatever the base.
+PLAIN = 256
 
 
 @cache
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i for i up to n."""
-    base = BASES[which]
-    up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+    up, down = np.full(n + 1, BASE, np.uint64), np.full(n + 1, pow(BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def tables(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """``powers`` for at least n, with few different sizes."""
-    return powers(1 << max(16, int(n).bit_length()), which)
+    return powers(1 << max(16, int(n).bit_length()))
 
 
-def prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
+def prefix(data: np.ndarray) -> np.ndarray:
     """Running sum of (byte + 1) * B**i with a leading zero: the hash of [s, e) is (p[e] - p[s]) * B**-s."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * tables(len(data), which)[0][: len(data)], out=out[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * tables(len(data))[0][: len(data)], out=out[1:])
     return out
 
 
-def spans(p: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+def spans(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of [start, end), equal for equal bytes wherever they stand."""
-    return mix((p[end] - p[start]) * tables(len(p), which)[1][start])
+    return mix((p[end] - p[start]) * tables(len(p))[1][start])
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words [start, end); the few longer than PLAIN bytes by a cryptographic hash."""
+    out = spans(prefix(data), start, end)
+    for i in np.flatnonzero(end - start > PLAIN).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:

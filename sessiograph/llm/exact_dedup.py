@@ -18,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, keep_marked, narrow, parts_for, stored
+from ._common import addressed, discard, keep_marked, parts_for, stored
 
 #: Fingerprints one owner holds on average (8 bytes each while it decodes).
 PER_OWNER = 4_000_000
-PRINTS = "message boolean, block int, row long, owner int, doc_id long, print long, sha binary, code binary"
+PRINTS = "message boolean, block int, row long, owner int, doc_id long, raw long, print long, sha binary, code binary"
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -71,9 +71,9 @@ def _fingerprint(owners: int):
             n = len(shas)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([False] * n), pa.array([block] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()),
-                 pa.array([int(p) // width for p in prints.tolist()], pa.int32()), batch.column(0), pa.array(prints.view("<i8")),
+                 pa.array([int(p) // width for p in prints.tolist()], pa.int32()), batch.column(0), batch.column(2), pa.array(prints.view("<i8")),
                  pa.array(shas, pa.binary()), pa.nulls(n, pa.binary())],
-                names=["message", "block", "row", "owner", "doc_id", "print", "sha", "code"])
+                names=["message", "block", "row", "owner", "doc_id", "raw", "print", "sha", "code"])
             row += n
             if len(seen) > 64:
                 seen = [np.unique(np.concatenate(seen))]
@@ -83,8 +83,8 @@ def _fingerprint(owners: int):
         for part in np.split(mine, cuts) if len(mine) else []:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([True]), pa.array([block], pa.int32()), pa.nulls(1, pa.int64()), pa.array([int(part[0]) // width], pa.int32()),
-                 pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([golomb_encode(part)], pa.binary())],
-                names=["message", "block", "row", "owner", "doc_id", "print", "sha", "code"])
+                 pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([golomb_encode(part)], pa.binary())],
+                names=["message", "block", "row", "owner", "doc_id", "raw", "print", "sha", "code"])
 
     return run
 
@@ -109,11 +109,11 @@ def _suspect(rows: pa.Table, bitmaps: pa.Table) -> pa.Table:
     for o in np.unique(owner).tolist():
         where = np.flatnonzero(owner == o)
         flags[where] |= np.unpackbits(np.frombuffer(bits[o], np.uint8), count=len(where)).astype(bool)
-    return rows.select(["block", "row", "doc_id", "sha"]).append_column("suspect", pa.array(flags[inverse]))
+    return rows.select(["block", "row", "doc_id", "raw", "sha"]).append_column("suspect", pa.array(flags[inverse]))
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash and bytes of the normalised text; only rows whose text is the suspect one (an id may come with several texts)."""
+    """Hash and bytes of the normalised text; only rows whose text is the suspect one (two texts of one id may share a 64-bit hash)."""
     for batch in batches:
         texts = [(t or "").encode().lower() for t in batch.column(0).to_pylist()]
         shas = [hashlib.sha256(t).digest() for t in texts]
@@ -123,18 +123,18 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, keep_id, size, kept, sha of every input row."""
-    rows = narrow(docs, id_col, text_col)
+    rows = addressed(docs, id_col, text_col)
     owners = parts_for(rows.count(), PER_OWNER, 8)
     both = stored(rows.mapInArrow(_fingerprint(owners), PRINTS), "prints", "message")
-    prints = both.where(~F.col("message")).select("block", "row", "owner", "doc_id", "print", "sha")
+    prints = both.where(~F.col("message")).select("block", "row", "owner", "doc_id", "raw", "print", "sha")
     bitmaps = (both.where(F.col("message")).select("block", "owner", "code").groupBy("owner")
                .applyInPandas(_mark, "block int, owner int, bitmap binary"))
     flagged = stored(prints.groupBy("block").cogroup(bitmaps.groupBy("block"))
-                     .applyInArrow(_suspect, "block int, row long, doc_id long, sha binary, suspect boolean"), "suspects")
+                     .applyInArrow(_suspect, "block int, row long, doc_id long, raw long, sha binary, suspect boolean"), "suspects")
     discard(both)
     suspects = flagged.where("suspect")
-    asked = suspects.select(F.col("doc_id").alias("id"), "sha").distinct()
-    bodies = rows.join(asked, rows["doc_id"].eqNullSafe(asked["id"])).select("text", "sha").mapInArrow(_normalise, "sha binary, body binary")
+    asked = suspects.select(F.col("doc_id").alias("id"), F.col("raw").alias("of"), "sha").distinct()
+    bodies = rows.join(asked, rows["doc_id"].eqNullSafe(asked["id"]) & (rows["raw"] == asked["of"])).select("text", "sha").mapInArrow(_normalise, "sha binary, body binary")
     checked = (bodies.groupBy("sha", "body").agg(F.count("*").alias("n")).groupBy("sha").agg(F.count("*").alias("texts"), F.sum("n").alias("size")))
     groups = suspects.groupBy("sha").agg(F.max(F.struct("doc_id", "block", "row")).alias("top"))
     verified = stored(groups.join(checked, "sha").select(

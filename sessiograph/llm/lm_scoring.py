@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import crc_mod, slices, stored
-from ._hashing import joined, mix, prefix, spans, word_spans
+from ._hashing import joined, mix, word_hashes, word_spans
 
 #: Words whose counts every task holds, words with a softmax of their own, class width, ending groups and buckets.
 HEAD, FREQUENT, WIDTH, GROUPS, ENDINGS, CONTEXTS = 65_536, 1024, 64, 8, 512, 64
@@ -40,7 +40,7 @@ def _start_and_ends(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndar
         n = len(texts)
         return np.full(n, END), np.zeros(n, np.int64), np.arange(n + 1)
     start, end, before = word_spans(data, at)
-    words = spans(prefix(data), start, end)
+    words = word_hashes(data, start, end)
     last = end - 1
     mark = (data[last] < 128) & ~((data[last] >= 97) & (data[last] <= 122)) & (last > start)
     last = last - mark

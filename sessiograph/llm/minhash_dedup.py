@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, keep_marked, narrow, slices, stored
-from ._hashing import joined, mix, prefix, spans, word_spans
+from ._common import addressed, discard, keep_marked, slices, stored
+from ._hashing import joined, mix, word_hashes, word_spans
 from .components import connected
 
 #: Words of a shingle, where nothing else is asked for.
@@ -35,7 +35,7 @@ SHORT = 8
 LEAST_ESTIMATE = 0.5
 #: Set values that one block of askers, and one of sets asked, holds.
 ASKING, ASKED = 500_000, 2_000_000
-SKETCH = "rid long, doc_id long, n long, set_hash binary, sketch array<long>"
+SKETCH = "rid long, doc_id long, raw long, n long, set_hash binary, sketch array<long>"
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -44,7 +44,7 @@ def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
     if not len(data):
         return [np.zeros(0, np.uint64)] * len(texts)
     start, end, before = word_spans(data, at)
-    words = spans(prefix(data), start, end)
+    words = word_hashes(data, start, end)
     runs = _runs(words, width)
     out = []
     for lo, hi in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
@@ -80,14 +80,14 @@ def _sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             low = [s[:K].view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, low)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + hi - lo), pa.int64()), batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
+                [pa.array(range(row, row + hi - lo), pa.int64()), batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([_hash(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(low)))],
-                names=["rid", "doc_id", "n", "set_hash", "sketch"])
+                names=["rid", "doc_id", "raw", "n", "set_hash", "sketch"])
             row += hi - lo
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the classes asked for; a row whose set is another one (an id with several texts) is passed over."""
+    """Sets of the classes asked for; a row whose set is another one (two texts of one id and 64-bit hash) is passed over."""
     for batch in batches:
         texts, wanted, cid = _bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for lo, hi in slices(texts, 1_000_000):
@@ -152,8 +152,8 @@ def class_components(rows: DataFrame, classes: DataFrame, width: int) -> DataFra
     lists = stored(_lists(classes), "lists")
     listed = lists.select("cid").distinct()
     known = classes.join(listed, "cid", "left_semi")
-    asked = known.select(F.col("doc_id").alias("id"), "set_hash", "cid")
-    sets = stored(rows.join(asked, rows["doc_id"].eqNullSafe(asked["id"])).select("text", "set_hash", "cid").mapInArrow(lambda batches: _full_sets(batches, width), "cid long, members array<long>")
+    asked = known.select(F.col("doc_id").alias("id"), F.col("raw").alias("of"), "set_hash", "cid")
+    sets = stored(rows.join(asked, rows["doc_id"].eqNullSafe(asked["id"]) & (rows["raw"] == asked["of"])).select("text", "set_hash", "cid").mapInArrow(lambda batches: _full_sets(batches, width), "cid long, members array<long>")
                   .groupBy("cid").agg(F.first("members").alias("members")), "sets")
     verify = _Verifier(known, sets)
     short, long = lists.where(F.col("length") <= SHORT), lists.where(F.col("length") > SHORT)
@@ -223,14 +223,14 @@ def _ask(asking: pa.Table, asked: pa.Table) -> pa.Table:
 
 def _components(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """doc_id, set_hash, n_shingles, component_id, kept, stays of every input row."""
-    rows = narrow(docs, id_col, text_col)
+    rows = addressed(docs, id_col, text_col)
     sketches = stored(rows.mapInArrow(lambda batches: _sketches(batches, width), SKETCH), "sketches")
     nowhere = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     full = sketches.where("n > 0")
     classes = stored(full.groupBy("set_hash").agg(
-        F.min(F.struct("rid", "doc_id")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
+        F.min(F.struct("rid", "doc_id", "raw")).alias("one"), F.first("n").alias("n"), F.first("sketch").alias("sketch"),
         F.min(F.struct(nowhere.alias("order"), "rid", "doc_id")).alias("low"),
-    ).select("set_hash", F.col("one.rid").alias("cid"), F.col("one.doc_id").alias("doc_id"), "n", "sketch", "low"), "classes")
+    ).select("set_hash", F.col("one.rid").alias("cid"), F.col("one.doc_id").alias("doc_id"), F.col("one.raw").alias("raw"), "n", "sketch", "low"), "classes")
     labels = class_components(rows, classes, width)
     whole = classes.select("set_hash", "cid", "low").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     tops = whole.groupBy("comp").agg(F.min("low").alias("top"))

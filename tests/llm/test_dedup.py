@@ -13,6 +13,7 @@ from sessiograph.llm.components import connected
 from sessiograph.llm.exact_dedup import exact_duplicates, golomb_decode, golomb_encode, without_exact_duplicates
 from sessiograph.llm.minhash_dedup import near_duplicates, shingle_sets, without_near_duplicates
 from sessiograph.llm.suffix_dedup import repeated_spans
+from sessiograph.llm.suffix_doubling import doubled_spans, repeated_positions
 
 from .helpers import PROSE, SCHEMA, components_plain, counted, edge_docs, edge_rows, empty_docs, exact_plain, repeats_plain, shingles, words
 
@@ -47,7 +48,7 @@ def test_exact_rows_that_stay(spark):
     assert (2, (PROSE * 3).upper()) in kept and (1, PROSE * 3) not in kept and kept.count((20, "repeated row")) == 1
 
 
-@pytest.mark.parametrize("op", [exact_duplicates, near_duplicates, repeated_spans, without_exact_duplicates, without_near_duplicates])
+@pytest.mark.parametrize("op", [exact_duplicates, near_duplicates, repeated_spans, doubled_spans, without_exact_duplicates, without_near_duplicates])
 def test_empty_table(spark, op):
     assert op(empty_docs(spark)).collect() == []
 
@@ -121,13 +122,15 @@ def test_components(spark):
     assert connected(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_repeats_edges(spark):
+@pytest.mark.parametrize("op", [repeated_spans, doubled_spans])
+def test_repeats_edges(spark, op):
     rows = [r for r in edge_rows() if r[0] not in (9, 10)] + [(9, " ".join(f"w{i}" for i in range(900)), None, None, 0, "", 0), (10, " ".join(f"w{i}" for i in range(700)) + " tail", None, None, 0, "", 0)]
-    got = repeated_spans(spark.createDataFrame(rows, SCHEMA))
+    got = op(spark.createDataFrame(rows, SCHEMA))
     assert counted(got.collect()) == repeats_plain(rows)
 
 
-def test_repeats_random_passages(spark):
+@pytest.mark.parametrize("op", [repeated_spans, doubled_spans])
+def test_repeats_random_passages(spark, op):
     rng = random.Random(3)
     letters = "abcdefgh "
     passages = ["".join(rng.choice(letters) for _ in range(rng.randint(150, 420))) for _ in range(12)]
@@ -140,10 +143,54 @@ def test_repeats_random_passages(spark):
             parts += [p[at:], "".join(rng.choice(letters) for _ in range(rng.randint(0, 90)))]
         rows.append((i, "".join(parts)))
     rows += [(100, "z" * 199), (101, "z" * 200), (102, "y" * 201), (103, "é" * 130), (104, "xyz" * 70)]
-    got = repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = op(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert counted(got.collect()) == repeats_plain(rows)
 
 
+def _thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("op", [repeated_spans, doubled_spans])
+def test_repeats_of_regular_strings(spark, op):
+    rows = [(1, " " * 5000), (2, "ab " * 1500), (3, _thue_morse(3000)), (4, _thue_morse(1024, "cd") + _thue_morse(1024, "dc")), (5, "q" + "ab " * 70)]
+    assert counted(op(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == repeats_plain(rows)
+
+
+@pytest.mark.parametrize("op", [repeated_spans, exact_duplicates, near_duplicates])
+def test_one_id_in_a_third_of_the_rows(spark, op):
+    rng = random.Random(9)
+    texts = [" ".join(f"h{rng.randrange(300)}" for _ in range(60)) for _ in range(40)]
+    rows = [(None, texts[i % 20]) for i in range(60)] + [(None, "short")] * 5 + [(i, texts[i % 40]) for i in range(100)]
+    got = counted(op(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect())
+    if op is near_duplicates:
+        comp, size = components_plain(rows)
+        assert counted((r[0], r[1], r[2]) for r in got.elements()) == counted(zip([r[0] for r in rows], size, comp))
+    else:
+        assert got == (repeats_plain if op is repeated_spans else exact_plain)(rows)
+
+
+def test_ranks_follow_byte_order(spark):
+    rng = random.Random(11)
+    bodies = [(i, bytes(rng.choice(b"ab\x00\xff") for _ in range(400))) for i in range(4)] + [(9, b"abababababababab"), (10, b""), (11, None), (12, b"short")]
+    places = {(r, p): b[p : p + 12] for r, b in bodies for p in range(len(b or b"") - 11)}
+    seen = counted([x] for x in places.values())
+    want = {k: x for k, x in places.items() if seen[(x,)] > 1}
+    got = {(r.rid, r.pos): r.rank for r in repeated_positions(spark.createDataFrame(bodies, "rid long, body binary"), 12).collect()}
+    assert set(got) == set(want) and want
+    by_rank = sorted(got, key=lambda k: (got[k], k))
+    assert by_rank == sorted(want, key=lambda k: (want[k], k))
+    with pytest.raises(ValueError):
+        repeated_positions(spark.createDataFrame(bodies, "rid long, body binary"), 4)
+
+
+def test_long_regular_words_differ():
+    words = [_thue_morse(4096).encode(), _thue_morse(4096, "ba").encode(), b"x" * 256, b"x" * 257]
+    found = [shingle_sets([w]) for w in words]
+    assert len({int(s[0][0]) for s in found}) == 4
+    assert int(shingle_sets([b"one " + words[0], words[0]])[1][0]) == int(found[0][0][0])
+
+
 def test_repeats_long_text_in_segments(spark, monkeypatch):
     from sessiograph.llm import suffix_dedup
 
