@@ -70,9 +70,9 @@ def acoustic_index(segments: DataFrame, session: str, index: str) -> DataFrame:
     return n.withColumns({"x": middle, "y": sc.clamp01(total)})
 
 
-def acoustic_profile(index: DataFrame, session: str) -> DataFrame:
-    """Session means of the five signals and the index, with the messages they call for."""
-    p = index.groupBy(session).agg(*[F.avg(f"{c}_norm").alias(c) for c, _, _ in ACOUSTIC_SIGNALS], F.avg("y").alias("acoustic_risk"))
+def acoustic_profile(index: DataFrame, session: str, order: str) -> DataFrame:
+    """Session means of the five signals and the index, added in segment order, with the messages they call for."""
+    p = ordered.moments(index, [session], [order], ordered.chunk_of(order, 4096), {**{c: F.col(f"{c}_norm") for c, _, _ in ACOUSTIC_SIGNALS}, "acoustic_risk": F.col("y")}).drop("n")
     rules = [(F.col(c) >= limit if op == ">=" else F.col(c) < limit, text) for c, op, limit, text in ACOUSTIC_INSIGHTS]
     return p.withColumn("insights", insights(rules))
 

@@ -101,7 +101,7 @@ _PROF = _ACSQL + f""", p AS (SELECT session_id, avg(n_pause_ratio) AS pause_rati
 
 @q("acoustic_profile", "tokens", _PROF + f""" SELECT session_id, {', '.join(r(c, c, 9) for c, _, _ in _AC)}, CAST(0 AS DOUBLE) AS rms_mean, {r('risk', 'acoustic_risk', 9)} FROM p""")
 def _(t):
-    p = windows.acoustic_profile(_acoustic(t), "session_id")
+    p = windows.acoustic_profile(_acoustic(t), "session_id", "segment_idx")
     return p.select("session_id", *[r6(c, digits=9) for c, _, _ in _AC], "rms_mean", r6("acoustic_risk", digits=9))
 
 
@@ -109,7 +109,7 @@ def _(t):
     CASE WHEN speech_rate >= 0.55 THEN 'Speech pace is slower than the rest of this session.' END, CASE WHEN articulation_rate >= 0.55 THEN 'Articulation becomes less fluent in several segments.' END,
     CASE WHEN asr_conf_mean >= 0.45 THEN 'Speech confidence drops in multiple transcript segments.' END, CASE WHEN risk < 0.35 THEN 'Acoustic pattern looks relatively stable across the session.' END) AS insights FROM p""")
 def _(t):
-    return windows.acoustic_profile(_acoustic(t), "session_id").select("session_id", F.array_join("insights", " | ").alias("insights"))
+    return windows.acoustic_profile(_acoustic(t), "session_id", "segment_idx").select("session_id", F.array_join("insights", " | ").alias("insights"))
 
 
 @q("zscore_column", "", f"WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS d FROM events) SELECT event_id, {r('(value - m) / d', 'z')}, CAST(4 AS DOUBLE) AS flat FROM events, s")
