@@ -82,9 +82,9 @@ def median_filter(df: DataFrame, keys: list[str], index: str, value: str, width:
 
 
 def trend(df: DataFrame, keys: list[str], index: str, value: str, short: int = 5, long: int = 20, flat: float = 0.0) -> DataFrame:
-    """Mean of the last ``short`` frames minus that of the last ``long``: fall -1, flat 0, rise 1."""
+    """Mean of the last ``short`` frames minus that of the last ``long``, to nine places: fall -1, flat 0, rise 1."""
     out = ordered.over_neighbours(df, keys, index, lambda w: {
-        "score": F.avg(value).over(w.rowsBetween(-(short - 1), 0)) - F.avg(value).over(w.rowsBetween(-(long - 1), 0))}, long, 0)
+        "score": F.round(F.avg(value).over(w.rowsBetween(-(short - 1), 0)) - F.avg(value).over(w.rowsBetween(-(long - 1), 0)), 9)}, long, 0)
     return out.withColumn("direction", F.when(F.col("score") > flat, 1).when(F.col("score") < -flat, -1).otherwise(0))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sessiograph.operators import ordered, windows
+from sessiograph.operators import ordered, series, windows
 
 
 def backwards(spark, values, schema):
@@ -33,3 +33,10 @@ def test_moments_over_chunks(spark):
     mean = sum(known) / len(known)
     assert got[1].n == 23 and abs(got[1].v - mean) < 1e-12 and abs(got[1].v_std - (sum((x - mean) ** 2 for x in known) / len(known)) ** 0.5) < 1e-12
     assert got[2].n == 1 and got[2].v is None and got[2].v_std is None
+
+
+def test_trend_is_judged_to_nine_places(spark):
+    values = [0.73, 2.77, 0.45, 0.52, 1.21, 2.97, 2.67, 1.61, 0.89, 2.68, 2.04, 2.36, 1.08, 2.21, 1.69, 2.55, 2.68, 2.95, 2.21, 1.57]
+    assert left_to_right(values[-5:]) - left_to_right(values) > 0.5
+    last = series.trend(backwards(spark, values, "s int, i long, v double"), ["s"], "i", "v", flat=0.5).orderBy(F.desc("i")).first()
+    assert last.score == 0.5 and last.direction == 0
