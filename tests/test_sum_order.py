@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sessiograph.operators import ordered, series, windows
+from sessiograph.operators import ordered, reports, series, windows
 
 
 def backwards(spark, values, schema):
@@ -40,3 +40,11 @@ def test_trend_is_judged_to_nine_places(spark):
     assert left_to_right(values[-5:]) - left_to_right(values) > 0.5
     last = series.trend(backwards(spark, values, "s int, i long, v double"), ["s"], "i", "v", flat=0.5).orderBy(F.desc("i")).first()
     assert last.score == 0.5 and last.direction == 0
+
+
+def test_chunk_means_add_in_frame_order(spark):
+    values = [0.42, 1.0, 0.36, 0.34, 0.29, 0.49, 0.0, 0.95, 0.52, 0.37, 0.34, 0.96, 0.11, 0.64, 0.71]
+    chunks = ordered.moments(backwards(spark, values, "s int, i long, p double").withColumn("chunk", F.lit(0)), ["s", "chunk"], ["i"], F.lit(0), {"p": F.col("p")})
+    row = reports.chunk_summary(chunks, "s", "chunk", "p").first()
+    assert row.probability == left_to_right(values) < 0.5 <= left_to_right(values[::-1])
+    assert (row.chunks_used, row.positive_ratio, row.prediction, row.risk_level) == (1, 0.0, 0, "medium")
