@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from sessiograph.operators import ordered, reports, series, windows
+from sessiograph.operators import ordered, reports, scoring, series, windows
 
 
 def backwards(spark, values, schema):
@@ -48,3 +48,16 @@ def test_chunk_means_add_in_frame_order(spark):
     row = reports.chunk_summary(chunks, "s", "chunk", "p").first()
     assert row.probability == left_to_right(values) < 0.5 <= left_to_right(values[::-1])
     assert (row.chunks_used, row.positive_ratio, row.prediction, row.risk_level) == (1, 0.0, 0, "medium")
+
+
+def test_deception_score_adds_in_segment_order(spark):
+    scores = [(i * 37 % 101) / 100 for i in range(60)]
+    n = mean = squares = 0.0
+    for x in scores:
+        n, d = n + 1, x - mean
+        mean += d / n
+        squares += (x - mean) * d
+    want = 0.5 * left_to_right(scores) + 0.35 * (squares / n) ** 0.5 + 0.15 * (sum(x >= 0.6 for x in scores) / n)
+    df = backwards(spark, scores, "session_id int, segment_idx long, score double").repartition(4, "segment_idx")
+    row = scoring.deception_score(df, "session_id", "segment_idx").first()
+    assert row.deception_score == want and row.segments_used == 60
