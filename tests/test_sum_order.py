@@ -61,3 +61,11 @@ def test_deception_score_adds_in_segment_order(spark):
     df = backwards(spark, scores, "session_id int, segment_idx long, score double").repartition(4, "segment_idx")
     row = scoring.deception_score(df, "session_id", "segment_idx").first()
     assert row.deception_score == want and row.segments_used == 60
+
+
+def test_a_mean_at_the_limit_is_positive(spark):
+    scores = {"a": 0.58, "b": 0.74, "c": 0.18}
+    assert left_to_right(scores.values()) < 0.5
+    rows = [(1, m, s, int(s >= 0.5), True) for m, s in scores.items()]
+    row = scoring.ensemble(spark.createDataFrame(rows, "s int, model string, score double, prediction int, success boolean"), "s").first()
+    assert (row.prediction, row.risk_level, row.n_models) == (1, "high", 3) and row.individual_scores == scores
