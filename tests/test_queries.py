@@ -7,10 +7,12 @@ import os
 
 import duckdb
 import pytest
+from pyspark.ml import feature as ft
 from pyspark.sql import functions as F
 
-from sessiograph.operators import folds, packages
+from sessiograph.operators import folds, models, packages
 from sessiograph.plans.catalog import catalog
+from sessiograph.session import packed
 from sessiograph.sources.bindings import Tables
 from tests.conftest import DATA
 
@@ -111,3 +113,22 @@ def test_a_saved_package_scores_every_document(spark, tmp_path):
 def test_entry(spark):
     import __spark_entry__ as e
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_counts_of_folds_give_the_vectorizers_vocabulary(spark):
+    rows = [(i, i % 3, [f"t{j}" for j in range(40) if (i * 7 + j * j) % (j + 2) < 2] + ["t1"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id int, fold int, terms array<string>").repartition(8)
+    counts = models.term_counts(df, "fold")
+    for rest in (df, df.where("fold != 1")):
+        known = counts if rest is df else counts.where("fold != 1")
+        got = models.TextVectors.of_counts(known, rest.count(), 100, 3, 0.9)
+        old = ft.CountVectorizer(inputCol="terms", outputCol="_counts", vocabSize=100, minDF=3.0, maxDF=0.9).fit(rest)
+        assert set(got.stages[0].vocabulary) == set(old.vocabulary)
+        idf = ft.IDF(inputCol="_counts", outputCol="_idf").fit(old.transform(rest)).idf.toArray()
+        weights = dict(zip(got.stages[0].vocabulary, got.stages[2].getScalingVec().toArray(), strict=True))
+        assert all(math.isclose(weights[t], w + 1, rel_tol=1e-12) for t, w in zip(old.vocabulary, idf, strict=True))
+
+
+def test_small_training_tables_are_one_task(spark):
+    df = spark.range(1000).repartition(8)
+    assert packed(df, 1000).rdd.getNumPartitions() == 1 and packed(df, 150_001).rdd.getNumPartitions() == 4
