@@ -132,3 +132,19 @@ def test_counts_of_folds_give_the_vectorizers_vocabulary(spark):
 def test_small_training_tables_are_one_task(spark):
     df = spark.range(1000).repartition(8)
     assert packed(df, 1000).rdd.getNumPartitions() == 1 and packed(df, 150_001).rdd.getNumPartitions() == 4
+
+
+def test_terms_are_counted_where_the_text_is(spark):
+    plan = ALL.queries["tfidf_features"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert dealt and not any("doc_id" in d.split("),")[0] and "term" in d.split("),")[0] for d in dealt)
+    assert sum("doc_id" in d.split("),")[0] for d in dealt) <= 3
+
+
+def test_tfidf_by_hand(spark):
+    df = spark.createDataFrame([(1, "aa bb aa"), (2, "aa cc"), (3, "bb cc dd"), (4, None)], "doc_id int, text string")
+    got = {(r.doc_id, r.term): r.weight for r in models.tfidf(df, "doc_id", "text", max_terms=None).collect()}
+    idf = math.log(5 / 3) + 1
+    raw = {1: {"aa": (1 + math.log(2)) * idf, "bb": idf}, 2: {"aa": idf, "cc": idf}, 3: {"bb": idf, "cc": idf}}
+    want = {(d, t): w / math.sqrt(sum(x * x for x in ws.values())) for d, ws in raw.items() for t, w in ws.items()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
