@@ -380,3 +380,13 @@ def test_query_equals_its_sql(spark, name):
 def test_query_runs(spark, name):
     got = QUERIES[name](spark, DATA.replace("0.001", "0.01") if name.startswith("op9_") else DATA)  # the smallest texts hold no candidate
     assert got.where(F.col("doc_id").isNotNull()).count() > 0
+
+
+def test_stored_words_are_the_librarys_ids(monkeypatch):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    monkeypatch.setattr("sessiograph.llm.sentencepiece_codec._CACHED", 5)
+    sp, codec = sentencepiece.SentencePieceProcessor(model_file=PIECES), Codec(PIECES)
+    for text in ["", " two  spaces ", "one two three four five six seven", "你好 \U0001f600 bé", "one two"]:
+        (words,) = codec.words_of([text])
+        raw = b"".join(ids for ids, _ in words)
+        assert list(memoryview(raw).cast("i")) == sp.encode(text) and codec.shown(b"".join(r for _, r in words)) == text
