@@ -132,6 +132,21 @@ def test_quantiles_of_a_hot_group_outliers_and_infinities(spark):
             assert got[k][f"w2_{s}"] == 2 * got[k][f"v_{s}"] or k in ("outliers",)
 
 
+def test_quantiles_of_small_groups_are_lists_and_equal_those_of_large_ones(spark):
+    rnd = random.Random(5)
+    rows = [(g, rnd.choice([rnd.gauss(0, 50), 1.5, -0.0, float("inf"), float("nan"), None])) for g in range(40) for _ in range(rnd.randint(1, 30))]
+    df, probs = spark.createDataFrame(rows, "k int, v double"), {"lo": 0.0, "q": 0.2, "m": 0.5, "hi": 1.0}
+
+    def by(small):
+        out = quantiles.group_quantiles(df, ["k"], {"v": F.col("v")}, probs, [F.count("v").alias("n"), F.max("v").alias("top")], small=small)
+        got = {r.k: repr(r) for r in out.collect()}
+        return got, out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    lists, plan = by(quantiles.SMALL)
+    assert len(lists) == 40 and "Generate" not in plan  # no row per value
+    assert lists == by(0)[0] == by(12)[0]
+
+
 def test_quantiles_run_nothing_while_they_are_built(spark):
     group = "quantile-plan"
     spark.sparkContext.setJobGroup(group, group)
