@@ -113,11 +113,12 @@ class TextVectors:
         return out.drop("terms", "_counts", "_tf", "_scaled")
 
 
-def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
-    """n / (2 n_class) per row, from one aggregate."""
-    n = df.agg(F.count(F.lit(1)).alias("_n"), F.sum(label).alias("_p"))
+def class_weights(df: DataFrame, label: str = "label", count: str | None = None) -> DataFrame:
+    """n / (2 n_class) per row, from one aggregate; times ``count`` where a row stands for that many."""
+    each = F.lit(1) if count is None else F.col(count)
+    n = df.agg(F.sum(each).alias("_n"), F.sum(F.col(label) * each).alias("_p"))
     w = F.when(F.col(label) == 1, F.try_divide(F.col("_n"), 2 * F.col("_p"))).otherwise(F.try_divide(F.col("_n"), 2 * (F.col("_n") - F.col("_p"))))
-    return with_scalars(df, n).withColumn("weight", F.coalesce(w, F.lit(1.0))).drop("_n", "_p")
+    return with_scalars(df, n).withColumn("weight", F.coalesce(w, F.lit(1.0)) * each).drop("_n", "_p")
 
 
 def assemble(features: list[str], output: str = "features") -> ft.VectorAssembler:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions import text as tx
 from ..operators import folds, models, packages, projections, reports, scoring, series, sessions
-from ..session import durable, shared_dir, spread
+from ..session import durable, packed, shared_dir, spread
 from ._sql import AWL, TTR, band, r
 from .registry import Registry, r6
 
@@ -64,16 +64,29 @@ def audio_of_documents(t):
         F.avg("l_quantity").alias("audio_loudness_mean"), F.avg("l_extendedprice").alias("audio_f0_mean"), F.max("l_tax").alias("audio_jitter_max"), F.count(F.lit(1)).cast("double").alias("audio_n"))
 
 
-def sessions_to_score(t):
-    """All documents as sessions: terms of the text, audio statistics where there are any."""
-    return t.table("documents").select("doc_id", models.ngram_terms("text").alias("terms")).join(audio_of_documents(t), "doc_id", "left")
+def terms_of_text() -> dict:
+    return {"terms": models.ngram_terms("text")}
 
 
-def training_sessions(t):
-    """Labelled documents as sessions: text, audio statistics, label, group. Stored once, because every learner reads it many times."""
-    s = t.table("documents").select("doc_id", "text").join(t.table("labels").select("doc_id", F.col("quality").cast("int").alias("label")), "doc_id").join(audio_of_documents(t), "doc_id", "left")
-    s = projections.fill_missing_features(s, AUDIO)
-    s = s.withColumns({"group_id": F.col("doc_id").cast("string"), "terms": models.ngram_terms("text")})
+def term_numbers() -> dict:
+    """How many terms a text has, and how many different ones."""
+    return {"n_terms": F.size(models.ngram_terms("text")).cast("double"), "distinct_terms": F.size(F.array_distinct(models.ngram_terms("text"))).cast("double")}
+
+
+def sessions_to_score(t, of_text=terms_of_text):
+    """All documents as sessions: what the learner takes of the text, audio statistics where there are any."""
+    return t.table("documents").select("doc_id", *[c.alias(n) for n, c in of_text().items()]).join(audio_of_documents(t), "doc_id", "left")
+
+
+def training_sessions(t, of_text=terms_of_text):
+    """Labelled documents as sessions: what the learners take of the text (``dict`` leaves it unread), audio statistics, label, group.
+
+    Stored once, because every learner reads it many times. Texts become terms or numbers before they are joined.
+    """
+    labels = t.table("labels").select("doc_id", F.col("quality").cast("int").alias("label"))
+    s = t.table("documents").join(labels, "doc_id").select("doc_id", "label", *[c.alias(n) for n, c in of_text().items()])
+    s = s.join(audio_of_documents(t), "doc_id", "left")
+    s = projections.fill_missing_features(s, AUDIO).withColumn("group_id", F.col("doc_id").cast("string"))
     return durable(folds.group_kfold(s, "group_id", packages.Settings.folds), "training")
 
 
@@ -144,11 +157,8 @@ def _(t):
 
 @q("early_fusion_trees")
 def _(t):
-    def wide(df):
-        return projections.fill_missing_features(df, AUDIO).withColumns({"n_terms": F.size("terms").cast("double"), "distinct_terms": F.size(F.array_distinct("terms")).cast("double")})
-    columns = [*AUDIO, "n_terms", "distinct_terms"]
-    model = packages.tree_model(wide(training_sessions(t)), columns, packages.Settings(), balanced=True)
-    return packages.with_score(model, wide(sessions_to_score(t)), "p_final").select("doc_id", r6("p_final", "p"))
+    model = packages.tree_model(training_sessions(t, term_numbers), [*AUDIO, *term_numbers()], packages.Settings(), balanced=True)
+    return packages.with_score(model, projections.fill_missing_features(sessions_to_score(t, term_numbers), AUDIO), "p_final").select("doc_id", r6("p_final", "p"))
 
 
 @q("oof_predictions")
@@ -164,7 +174,7 @@ def _(t):
 
 @q("average_fusion")
 def _(t):
-    s, k = training_sessions(t), packages.Settings.folds
+    s, k = training_sessions(t, dict), packages.Settings.folds
     (audio, _), (video, _) = packages.side_by_side([
         lambda: packages.held_out(s, k, lambda d: packages.tree_model(d, AUDIO[:2], packages.Settings()), "p_audio"),
         lambda: packages.held_out(s, k, lambda d: packages.tree_model(d, AUDIO[2:], packages.Settings()), "p_video")])
@@ -173,10 +183,19 @@ def _(t):
     return both.select("doc_id", "label", r6(p, "p_fused"), (p >= 0.5).cast("int").alias("prediction"))
 
 
+#: The boosted baseline as ``models.learners`` has it.
+BOOSTED = packages.Settings(rounds=50, depth=3, rate=0.1, min_rows=1, column_share=1.0)
+
+
 @q("baseline_models")
 def _(t):
-    s, makers = training_sessions(t), models.learners(width=len(AUDIO))
-    parts = packages.side_by_side([lambda make=make: packages.held_out(s, packages.Settings.folds, lambda d: models.numeric_pipeline(AUDIO, make()).fit(d), "p_held")[0] for make in makers.values()])
+    s, makers = training_sessions(t, dict), models.learners(width=len(AUDIO))
+
+    def fit(name, d):
+        if name == "gradient_boosting":
+            return packages.tree_model(d, AUDIO, BOOSTED)
+        return models.numeric_pipeline(AUDIO, makers[name]()).fit(packed(d, d.count()))
+    parts = packages.side_by_side([lambda name=name: packages.held_out(s, packages.Settings.folds, lambda d: fit(name, d), "p_held")[0] for name in makers])
     out = None
     for name, part in zip(makers, parts, strict=True):
         part = part.select(F.lit(name).alias("model"), "doc_id", "label", r6("p_held", "p"))

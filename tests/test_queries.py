@@ -148,3 +148,20 @@ def test_tfidf_by_hand(spark):
     raw = {1: {"aa": (1 + math.log(2)) * idf, "bb": idf}, 2: {"aa": idf, "cc": idf}, 3: {"bb": idf, "cc": idf}}
     want = {(d, t): w / math.sqrt(sum(x * x for x in ws.values())) for d, ws in raw.items() for t, w in ws.items()}
     assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_trees_learn_from_rows_of_equal_ranges(spark):
+    plans = importlib.import_module("sessiograph.plans.models")
+    assert set(plans.training_sessions(Tables(spark, DATA), dict).columns) == {"doc_id", "label", *plans.AUDIO, "group_id", "fold"}  # no text is read
+    df = spark.range(4000).select((F.hash("id") % 997 / 7).alias("x"), (F.pmod(F.xxhash64("id"), F.lit(5)) + 0.0).alias("y"))
+    df = df.withColumn("label", ((F.col("x") > 20) & (F.col("y") != 2) | (F.col("y") == 4)).cast("int"))
+    cuts = packages.cut_points(df, ["x", "y"])
+    assert cuts[1] == [-math.inf, 0.5, 1.5, 2.5, 3.5, math.inf] and 30 <= len(cuts[0]) <= 33
+    ranged = ft.Bucketizer(splitsArray=cuts, inputCols=["x", "y"], outputCols=["a", "b"]).transform(df)
+    cells = packages.cells(ranged, ["a", "b", "label"])
+    assert cells.count() <= 32 * 5 * 2 and cells.agg(F.sum("n")).first()[0] == 4000
+    for balanced in (False, True):
+        model = packages.tree_model(df, ["x", "y"], packages.Settings(rounds=20, rate=0.3, column_share=1.0), balanced)
+        wrong = packages.with_score(model, df, "p").where((F.col("p") >= 0.5).cast("int") != F.col("label")).count()
+        assert wrong < 4000 / 32  # only the range in which the border of x lies
+        assert sum(packages.importances(model, ["x", "y"]).values()) > 0.99
