@@ -165,3 +165,10 @@ def test_trees_learn_from_rows_of_equal_ranges(spark):
         wrong = packages.with_score(model, df, "p").where((F.col("p") >= 0.5).cast("int") != F.col("label")).count()
         assert wrong < 4000 / 32  # only the range in which the border of x lies
         assert sum(packages.importances(model, ["x", "y"]).values()) > 0.99
+
+
+def test_numbers_of_terms_are_joined_instead_of_terms(spark):
+    plans, t = importlib.import_module("sessiograph.plans.models"), Tables(spark, DATA)
+    got = {r.doc_id: (r.n_terms, r.distinct_terms) for r in plans.sessions_to_score(t, plans.term_numbers).drop(*plans.AUDIO).collect()}
+    assert got == {r.doc_id: (len(r.terms), len(set(r.terms))) for r in plans.sessions_to_score(t).select("doc_id", "terms").collect()}
+    assert not any(kind.startswith("array") for _, kind in plans.training_sessions(t, plans.term_numbers).dtypes)
