@@ -172,3 +172,10 @@ def test_numbers_of_terms_are_joined_instead_of_terms(spark):
     got = {r.doc_id: (r.n_terms, r.distinct_terms) for r in plans.sessions_to_score(t, plans.term_numbers).drop(*plans.AUDIO).collect()}
     assert got == {r.doc_id: (len(r.terms), len(set(r.terms))) for r in plans.sessions_to_score(t).select("doc_id", "terms").collect()}
     assert not any(kind.startswith("array") for _, kind in plans.training_sessions(t, plans.term_numbers).dtypes)
+
+
+def test_the_boosted_baseline_has_the_learners_settings():
+    plans, gbt = importlib.import_module("sessiograph.plans.models"), models.learners()["gradient_boosting"]()
+    b = plans.BOOSTED
+    assert (b.rounds, b.depth, b.rate, b.min_rows, b.seed) == (gbt.getMaxIter(), gbt.getMaxDepth(), gbt.getStepSize(), gbt.getMinInstancesPerNode(), gbt.getSeed())
+    assert b.column_share == gbt.getSubsamplingRate() == b.row_share == 1.0 and packages.BINS == gbt.getMaxBins()
