@@ -390,3 +390,11 @@ def test_stored_words_are_the_librarys_ids(monkeypatch):
         (words,) = codec.words_of([text])
         raw = b"".join(ids for ids, _ in words)
         assert list(memoryview(raw).cast("i")) == sp.encode(text) and codec.shown(b"".join(r for _, r in words)) == text
+
+
+def test_codec_keeps_each_word_once():
+    codec = Codec(PIECES)
+    texts = ["one two  two ⁂ onerous", "", "two one"]
+    ids = codec.encode(texts)
+    assert "words" not in vars(codec) and set(codec.words) == set(codec.stored)
+    assert codec.words["▁two"] == tuple(codec.encode(["two"])[0]) and ids == codec.encode(texts)
