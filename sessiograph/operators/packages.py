@@ -90,7 +90,7 @@ def text_model(train: DataFrame, s: Settings, counts: DataFrame | None = None) -
 def cut_points(train: DataFrame, features: list[str], bins: int = BINS) -> list[list[float]]:
     """Where each column is cut into at most ``bins`` ranges: between any two values if there are that few, else at quantiles of all rows."""
     few = side_by_side([lambda f=f: [r[0] for r in train.select(f).distinct().limit(bins + 3).collect()] for f in features])
-    few = [sorted(v for v in values if v is not None and math.isfinite(v)) for values in few]
+    few = [sorted(float(v) for v in values if v is not None and math.isfinite(v)) for values in few]
     many = [f for f, v in zip(features, few, strict=True) if len(v) > bins]
     found = dict(zip(many, train.approxQuantile(many, [i / bins for i in range(1, bins)], 0.05 / bins) if many else [], strict=True))
     cuts = [sorted({c for c in found[f] if math.isfinite(c)} if f in found else {a + (b - a) / 2 for a, b in zip(v, v[1:])}) for f, v in zip(features, few, strict=True)]

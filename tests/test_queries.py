@@ -179,3 +179,9 @@ def test_the_boosted_baseline_has_the_learners_settings():
     b = plans.BOOSTED
     assert (b.rounds, b.depth, b.rate, b.min_rows, b.seed) == (gbt.getMaxIter(), gbt.getMaxDepth(), gbt.getStepSize(), gbt.getMinInstancesPerNode(), gbt.getSeed())
     assert b.column_share == gbt.getSubsamplingRate() == b.row_share == 1.0 and packages.BINS == gbt.getMaxBins()
+
+
+def test_trees_that_draw_rows_take_decimal_columns(spark):
+    df = spark.range(300).selectExpr("id", "cast(id % 50 / 7.0 as decimal(6, 3)) as x", "cast(id % 50 > 20 as int) as label")
+    model = packages.tree_model(df, ["x"], packages.Settings(rounds=3, row_share=0.8, column_share=1.0), balanced=True)
+    assert all((r.p >= 0.5) == (r.label == 1) for r in packages.with_score(model, df, "p").collect())
