@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..functions import text as tx
-from ..operators import folds, models, packages, projections, reports, scoring, series, sessions
+from ..operators import folds, models, packages, perceptron, projections, reports, scoring, series, sessions
 from ..session import durable, packed, shared_dir, spread
 from ._sql import AWL, TTR, band, r
 from .registry import Registry, r6
@@ -194,6 +194,8 @@ def _(t):
     def fit(name, d):
         if name == "gradient_boosting":
             return packages.tree_model(d, AUDIO, BOOSTED)
+        if name == "perceptron":
+            return perceptron.fit_perceptron(d, AUDIO, makers[name]())
         return models.numeric_pipeline(AUDIO, makers[name]()).fit(packed(d, d.count()))
     parts = packages.side_by_side([lambda name=name: packages.held_out(s, packages.Settings.folds, lambda d: fit(name, d), "p_held")[0] for name in makers])
     out = None

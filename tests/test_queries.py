@@ -6,11 +6,12 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.ml import feature as ft
 from pyspark.sql import functions as F
 
-from sessiograph.operators import folds, models, packages
+from sessiograph.operators import folds, models, packages, perceptron
 from sessiograph.plans.catalog import catalog
 from sessiograph.session import packed
 from sessiograph.sources.bindings import Tables
@@ -185,3 +186,30 @@ def test_trees_that_draw_rows_take_decimal_columns(spark):
     df = spark.range(300).selectExpr("id", "cast(id % 50 / 7.0 as decimal(6, 3)) as x", "cast(id % 50 > 20 as int) as label")
     model = packages.tree_model(df, ["x"], packages.Settings(rounds=3, row_share=0.8, column_share=1.0), balanced=True)
     assert all((r.p >= 0.5) == (r.label == 1) for r in packages.with_score(model, df, "p").collect())
+
+
+def test_the_perceptron_learns_from_weighted_rows_as_the_learner_does(spark):
+    rows = [(x / 10, float((x * 7) % 11), int((x > 20) != ((x * 7) % 11 > 6)), x % 3 + 1) for x in range(40)]
+    df = spark.createDataFrame([r[:3] for r in rows for _ in range(r[3])], "x double, y double, label int")
+    learner = models.learners(width=2)["perceptron"]
+    fitted = perceptron.fit_perceptron(df, ["x", "y"], learner())
+    net, scaled = fitted.stages[-1], fitted.stages[1].transform(fitted.stages[0].transform(df))
+
+    def loss(model):
+        p = packages.with_score(model, df, "score").collect()
+        return -sum(math.log(max(1e-12, r.score if r.label else 1 - r.score)) for r in p) / len(p)
+    theirs = models.numeric_pipeline(["x", "y"], learner()).fit(df)
+    assert loss(fitted) < max(1.5 * loss(theirs), 0.05)
+    # loss, weights and their order are the learner's; a row of weight 3 counts as three rows
+    x = np.array([r.features.toArray() for r in scaled.collect()])
+    label, one, w = np.array([r.label for r in df.collect()]), np.ones(len(x)), net.weights.toArray()
+    whole = perceptron.loss_and_gradient(w, net.getLayers(), x, label, one)
+    assert whole[0] / len(x) == pytest.approx(loss(fitted), rel=1e-6, abs=1e-9)
+    at = [i for i in range(len(x)) if i == 0 or tuple(x[i]) != tuple(x[i - 1])]
+    n = np.array([float(r[3]) for r in rows])
+    assert np.allclose(perceptron.loss_and_gradient(w, net.getLayers(), x[at], label[at], n), whole)
+    for k in (0, 50, 500, len(w) - 1):
+        step = np.zeros(len(w))
+        step[k] = 1e-5
+        up, down = (perceptron.loss_and_gradient(v, net.getLayers(), x, label, one)[0] for v in (w + step, w - step))
+        assert (up - down) / 2e-5 == pytest.approx(whole[k + 1], rel=1e-3, abs=1e-6)
