@@ -398,3 +398,14 @@ def test_codec_keeps_each_word_once():
     ids = codec.encode(texts)
     assert "words" not in vars(codec) and set(codec.words) == set(codec.stored)
     assert codec.words["▁two"] == tuple(codec.encode(["two"])[0]) and ids == codec.encode(texts)
+
+
+def test_words_that_come_again_outlive_a_clearing(monkeypatch):
+    monkeypatch.setattr("sessiograph.llm.sentencepiece_codec._CACHED", 4)
+    codec, learned = Codec(PIECES), []
+    plain = codec.learn
+    monkeypatch.setattr(codec, "learn", lambda words: (learned.extend(words), plain(words)))
+    texts = ["the one", "the two", "the three", "the four five", "the one", "the six seven", "the"]
+    ids = [codec.encode([t])[0] for t in texts]
+    assert learned.count("▁the") == 1 and len(codec.stored) + len(codec.older) <= 8
+    assert ids == [Codec(PIECES).encode([t])[0] for t in texts]
