@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..session import durable
 from . import ordered
 from .quantiles import group_quantiles
 
@@ -346,11 +347,12 @@ def acoustic_set(df: DataFrame, keys: list[str], index: str, f0: str, loudness:
     """The declared set for a pitch contour (zeros are unvoiced) and a loudness contour.
 
     Moments and percentiles of voiced pitch and of loudness, slopes between their extremes, loudness in
-    voiced and unvoiced stretches, peak and segment rates, equivalent level.
+    voiced and unvoiced stretches, peak and segment rates, equivalent level. The smoothed contours are stored once, because
+    every scan reads them and would number and smooth the series anew.
     """
     voiced = F.col(f0) != 0
     smoothed = smooth(df.select(*keys, index, f0, loudness), keys, index, f0, 3, no_zero=True, name="_f")
-    smoothed = smooth(smoothed, keys, index, loudness, 3, name="_l")
+    smoothed = durable(smooth(smoothed, keys, index, loudness, 3, name="_l"), "smoothed")
     long = smoothed.select(*keys, index, F.explode(F.array(
         F.struct(F.lit(f0).alias("contour"), F.col("_f").alias("_v"), F.when(F.col("_f") != 0, F.col("_f")).alias("_x")),
         F.struct(F.lit(loudness).alias("contour"), F.col("_l").alias("_v"), F.col("_l").alias("_x")))).alias("_e")).select(*keys, index, "_e.*")
@@ -369,7 +371,7 @@ def acoustic_set(df: DataFrame, keys: list[str], index: str, f0: str, loudness:
     level = smoothed.groupBy(*keys).agg(
         F.avg(F.when(voiced, F.col("_l"))).alias(f"{loudness}V_amean"), F.avg(F.when(~voiced, F.col("_l"))).alias(f"{loudness}UV_amean"),
         level_db(F.col(loudness) * F.col(loudness)).alias("equivalentSoundLevel_dBp"), (F.count(F.lit(1)) / fps).alias("_sec"))
-    stretch = run_lengths(df.select(*keys, index, voiced.alias("_voiced")), keys, index, "_voiced", fps)
+    stretch = run_lengths(smoothed.select(*keys, index, voiced.alias("_voiced")), keys, index, "_voiced", fps)
     on, off = F.when(F.col("_voiced"), F.col("_l")), F.when(~F.col("_voiced"), F.col("_l"))
     zero = F.lit(0.0)
     runs = stretch.groupBy(*keys).agg(

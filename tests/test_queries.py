@@ -213,3 +213,8 @@ def test_the_perceptron_learns_from_weighted_rows_as_the_learner_does(spark):
         step[k] = 1e-5
         up, down = (perceptron.loss_and_gradient(v, net.getLayers(), x, label, one)[0] for v in (w + step, w - step))
         assert (up - down) / 2e-5 == pytest.approx(whole[k + 1], rel=1e-3, abs=1e-6)
+
+
+def test_the_acoustic_set_numbers_and_smooths_the_series_once(spark):
+    files = ALL.queries["acoustic_functional_set"](spark, DATA).inputFiles()
+    assert files and not any("events.parquet" in f for f in files)
