@@ -409,3 +409,21 @@ def test_words_that_come_again_outlive_a_clearing(monkeypatch):
     ids = [codec.encode([t])[0] for t in texts]
     assert learned.count("▁the") == 1 and len(codec.stored) + len(codec.older) <= 8
     assert ids == [Codec(PIECES).encode([t])[0] for t in texts]
+
+
+@pytest.mark.parametrize("bits", [21, 4])
+def test_common_words_are_encoded_together(monkeypatch, bits):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    monkeypatch.setattr("sessiograph.llm.sentencepiece_codec.SLOT_BITS", bits)
+    sp, codec, alone = sentencepiece.SentencePieceProcessor(model_file=PIECES), Codec(PIECES), []
+    plain = codec._forward
+    monkeypatch.setattr(codec, "_forward", lambda word, *rest: (alone.append(word), plain(word, *rest)))
+    rng = random.Random(3)
+    parts = ["the", "ing", "tion", "un", "re", "ß", "ñ", "é", "12", "\n", "q", "e", "internation", "a", "&&", "д", "  ", " ", "A"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(300)]
+    assert codec.encode(texts) == [sp.encode(t) for t in texts] and all(len(w) > 64 for w in alone)
+    rare = [f"{t}\U0001f600\u4f60\u0301 {t}" for t in texts] + ["", "x" * 300, " ", "a▁b ▁ c", "\x00\x1f", "▁"]
+    ids, ends, shown = codec.coded(rare)
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [sp.encode(t) for t in rare]
+    assert shown == [t.replace("▁", " ") for t in rare] and [list(w) for w in codec.words_of(rare[-6:])] == [list(w) for w in Codec(PIECES).words_of(rare[-6:])]
+    assert codec.coded(["", ""])[1].tolist() == [0, 0, 0] and codec.coded([])[1].tolist() == [0]
