@@ -427,3 +427,13 @@ def test_common_words_are_encoded_together(monkeypatch, bits):
     assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [sp.encode(t) for t in rare]
     assert shown == [t.replace("▁", " ") for t in rare] and [list(w) for w in codec.words_of(rare[-6:])] == [list(w) for w in Codec(PIECES).words_of(rare[-6:])]
     assert codec.coded(["", ""])[1].tolist() == [0, 0, 0] and codec.coded([])[1].tolist() == [0]
+
+
+def test_words_encoded_together_are_decoded_from_their_ids(monkeypatch):
+    codec, alone = Codec(PIECES), []
+    monkeypatch.setattr(codec, "_forward", lambda word, *rest: alone.append(word))
+    codec.raw[codec.pieces["▁the"]] = b" teh"
+    texts = ["the one", "".join(f" w{i}é{i % 7}" for i in range(200)), "  the\nend", "the"]
+    ids, ends, shown = codec.coded(texts)
+    assert not alone and shown == [codec.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])]
+    assert [x == t for x, t in zip(shown, texts)] == [False, True, False, False] and shown[3] == "teh"
