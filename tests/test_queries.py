@@ -4,11 +4,15 @@ import glob
 import importlib
 import math
 import os
+import random
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.ml import feature as ft
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LinearSVC
+from pyspark.ml.feature import Bucketizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from sessiograph.operators import folds, models, packages, perceptron
@@ -218,3 +222,48 @@ def test_the_perceptron_learns_from_weighted_rows_as_the_learner_does(spark):
 def test_the_acoustic_set_numbers_and_smooths_the_series_once(spark):
     files = ALL.queries["acoustic_functional_set"](spark, DATA).inputFiles()
     assert files and not any("events.parquet" in f for f in files)
+
+
+@pytest.mark.parametrize("together", [16_000_000, 0])
+def test_the_svc_takes_the_learners_steps(spark, monkeypatch, together):
+    from sessiograph.operators import svc
+    monkeypatch.setattr(svc, "TOGETHER", together)
+    monkeypatch.setattr(svc, "BLOCK", 40)
+    rng = random.Random(5)
+    rows = []
+    for i in range(90):
+        label = int(rng.random() < 0.7)
+        x = [1.0 if rng.random() < 0.5 else 0.0, rng.gauss(label, 1) if rng.random() < 0.4 else 0.0, 3.0, rng.gauss(0, 5), 0.0]
+        at = [k for k, v in enumerate(x) if v]
+        vector = Vectors.dense(x) if i % 3 else Vectors.sparse(5, at, [x[k] for k in at])
+        rows.append((Vectors.sparse(5, {}) if i == 7 else vector, label, 0.5 + label, i % 3))
+    df = spark.createDataFrame(rows, ["features", "label", "weight", "part"]).repartition(3)
+    learner = LinearSVC(maxIter=40, tol=1e-6, regParam=0.01, weightCol="weight")
+    got = svc.fit_svcs(df, learner, "part", 3)
+    for i, m in enumerate(got):
+        want = learner.fit(df.where(F.col("part") != i))
+        assert [*m.coefficients, m.intercept] == pytest.approx([*want.coefficients, want.intercept], abs=1e-6)
+    assert got[3].transform(df).select("prediction").distinct().count() == 2
+    with pytest.raises(Exception, match="labels are 0 or 1"):
+        svc.fit_svcs(df.withColumn("label", F.when(F.col("part") > 0, F.col("label"))), learner, "part", 3)
+
+
+@pytest.mark.parametrize("share, categories", [("0.7", True), ("all", False)])
+def test_trees_in_one_task_are_the_learners(spark, tmp_path, share, categories):
+    from sessiograph.operators import boosting
+    rng = random.Random(6)
+    rows = [(rng.random() * 9, rng.random() * 5, rng.random() * 3, float(rng.randint(0, 1)), rng.random() + 0.5) for _ in range(200)]
+    df = spark.createDataFrame([(*r[:3], float(r[0] > 4.5 and r[1] < 3 or r[3] > 0 and r[2] > 2), r[4]) for r in rows], ["a", "b", "c", "label", "weight"])
+    names = ["a_range", "b_range", "c_range"]
+    cut = Bucketizer(splitsArray=[[float("-inf"), *(k + 0.5 for k in range(8)), float("inf")]] * 3, inputCols=["a", "b", "c"], outputCols=names).transform(df)
+    if not categories:
+        cut = cut.select("label", "weight", *[(F.col(c) + 0.0).alias(c) for c in names])
+    cut = cut.coalesce(1)
+    gbt = GBTClassifier(maxIter=8, maxDepth=3, stepSize=0.3, minWeightFractionPerNode=0.02, maxBins=34, weightCol="weight", featureSubsetStrategy=share, seed=42).setProbabilityCol("p")
+    rows = models.assemble(names).transform(cut)
+    want, got = gbt.fit(rows), boosting.fit_trees(cut, names, gbt)
+    assert got.treeWeights == want.treeWeights and got.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), abs=1e-9)
+    assert ("{" in got.toDebugString) == categories and got.toDebugString.split("\n")[1:] == want.toDebugString.split("\n")[1:]
+    got.write().save(f"{tmp_path}/trees")
+    again = GBTClassificationModel.load(f"{tmp_path}/trees")
+    assert [r.p for r in again.transform(rows).collect()] == [r.p for r in want.transform(rows).collect()]
